@@ -5,15 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, packing, simhash
+from . import chat, decontaminate, html_text, langid, line_dedup, near_vectors, packing, simhash, tokencount
 from .common import Maker, table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
@@ -29,12 +41,25 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+#: The conversation added to the table's own.
+EXTRA_CHAT = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(EXTRA_CHAT, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_chats(turns.union(extra)))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+OPERATORS = (op1_token_counts, op2_html_extraction, op3_line_dedup, op4_near_vectors, op5_decontamination, op7_packing, op8_language_id, op9_chat_formatting, op10_simhash)
+
+
 def queries() -> dict[str, Maker]:
-    return {f.__name__: f for f in (op3_line_dedup, op5_decontamination, op7_packing, op8_language_id, op10_simhash)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -65,5 +90,32 @@ select dw.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(h.n, 0) as bi
 from dw left join n_hit h on dw.doc_id = h.doc_id left join items i on dw.doc_id = i.doc_id"""
 
 
+_ESCAPED = "replace(replace({}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
+
+OP9_SQL = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, n, r, chr(92) || '### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(n, r))
+select conv_id, cast(count(*) as bigint) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + 23) as bigint) as formatted_chars
+from t group by conv_id"""
+
+OP4_SQL = """
+with unit as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as x from embeddings
+  where label is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link as (
+  select a.vec_id as a, b.vec_id as b from unit a join unit b
+  on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x) and list_cosine_similarity(a.x, b.x) >= 0.98),
+reach as (
+  with recursive r(a, b) as (select vec_id, vec_id from embeddings union select r.a, link.b from r join link on r.b = link.a) select * from r)
+select e.vec_id, cast(coalesce(l.n, 0) as bigint) as n_links, m.c as component_id, e.vec_id = m.c as kept
+from embeddings e left join (select a, count(*) as n from link group by a) l on e.vec_id = l.a
+join (select a, min(b) as c from reach group by a) m on e.vec_id = m.a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_near_vectors": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_chat_formatting": OP9_SQL}
