@@ -35,6 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows: texts may be long, and each worker holds a batch or two."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
@@ -97,39 +102,51 @@ def arrow_type(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-class Forest:
-    """Union by smallest index over n items."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-    def labels(self) -> np.ndarray:
-        return np.array([self.root(x) for x in range(len(self.up))], dtype=np.int64)
+def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of n items, the smallest of each one's component under the edges a-b: roots are hooked to smaller ones until no edge is left over."""
+    least = np.arange(n)
+    while True:
+        x, y = least[a], least[b]
+        open_ = x != y
+        if not open_.any():
+            return least
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = least[least]
+            if (up == least).all():
+                break
+            least = up
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges with the same components as the edges a-b: from each item to the smallest of its component, no more of them."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    forest = Forest(len(ids))
-    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
-        forest.join(x, y)
-    least = forest.labels()
+    least = joined(at[: len(a)], at[len(a) :], len(ids))
     keep = least != np.arange(len(ids))
     return ids[keep], ids[least[keep]]
 
 
+class Links:
+    """Edges that are kept as stars, so that they take no more memory than their items."""
+
+    def __init__(self, most: int = 1 << 19) -> None:
+        self.a, self.b, self.size, self.most = [], [], 0, most
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.size += len(a)
+        if self.size > self.most:
+            a, b = self.stars()
+            self.a, self.b, self.size = [a], [b], 0
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.a:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return stars(np.concatenate(self.a), np.concatenate(self.b))
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

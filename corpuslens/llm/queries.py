@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, langid, line_dedup, near_vectors, packing, simhash, tokencount
+from . import bloom_lm, chat, decontaminate, html_text, langid, line_dedup, near_vectors, packing, simhash, tokencount
 from .common import Maker, table
 
 
@@ -32,6 +32,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_token_counts, op2_html_extraction, op3_line_dedup, op4_near_vectors, op5_decontamination, op7_packing, op8_language_id, op9_chat_formatting, op10_simhash)
+OPERATORS = (op1_token_counts, op2_html_extraction, op3_line_dedup, op4_near_vectors, op5_decontamination, op6_lm_scores, op7_packing, op8_language_id, op9_chat_formatting, op10_simhash)
 
 
 def queries() -> dict[str, Maker]:
