@@ -1 +1,15 @@
+"""Registered queries: one per operator, with the SQL that DuckDB runs beside it."""
 
+from __future__ import annotations
+
+from . import identity, quotes
+
+AREAS = (identity, quotes)
+
+
+def queries() -> dict:
+    return {name: q for area in AREAS for name, q in area.R.queries.items()}
+
+
+def oracle_sql() -> dict:
+    return {name: q for area in AREAS for name, q in area.R.sql.items()}
