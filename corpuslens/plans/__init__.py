@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import identity, quotes
+from . import coding, identity, quotes
 
-AREAS = (identity, quotes)
+AREAS = (identity, quotes, coding)
 
 
 def queries() -> dict:

@@ -123,7 +123,7 @@ def context_window_cp(t: Tables) -> DataFrame:
 def _outputs(t: Tables) -> DataFrame:
     """A derived text for each item: it cites the item's own id, an id nobody has, and a wrong wording; and one quotation without a marker."""
     ext = lambda c: F.concat(F.lit("ext-"), F.lpad(F.hex(c), 12, "0"))
-    first = F.substring_index("text", " ", 1)
+    first = F.regexp_replace(F.substring_index("text", " ", 1), "\n", "-")
     own, none = ext(F.col("item_id")), ext(F.col("item_id") + 1_000_000)
     parts = [F.lit("```quote "), F.lower(own), F.lit("\n"), F.col("text"), F.lit("\n```\nThen \""), first, F.lit("\" ["), F.lower(own), F.lit("] and \""), first, F.lit("\"["), F.lower(none), F.lit("], but \"nobody cites this long sentence\".")]
     return t.benchmark.select(F.col("item_id").alias("object_id"), F.concat(*parts).alias("output_text"), F.lower(own).alias("extraction_id"), F.col("text").alias("direct_quote"), F.lit("active").alias("status"))
