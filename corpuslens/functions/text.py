@@ -107,7 +107,7 @@ def refind_status(text: Column, candidate: Column) -> Column:
 
 def fragments(quote: Column, least: int = 12) -> Column:
     """Pieces of a quotation between ellipses, trimmed, of `least` characters or more."""
-    return F.filter(F.transform(F.split(quote, "\\s*(?:\u2026|\\.{3}|\\[\u2026\\]|\\[\\.{3}\\])\\s*"), F.btrim), lambda x: F.length(x) >= least)
+    return F.filter(F.transform(F.split(quote, "\\s*(?:\u2026|\\.{3}|\\[\u2026\\]|\\[\\.{3}\\])\\s*"), lambda x: F.btrim(x)), lambda x: F.length(x) >= least)
 
 
 def quote_check(text: Column, quote: Column) -> Column:
@@ -122,7 +122,7 @@ def quote_check(text: Column, quote: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces that end in a stop, question or exclamation mark before white space, or at the end."""
-    return F.filter(F.transform(F.split(text, "(?<=[.!?])\\s+"), F.btrim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "(?<=[.!?])\\s+"), lambda x: F.btrim(x)), lambda x: x != "")
 
 
 def numbers(text: Column) -> Column:
@@ -175,4 +175,4 @@ def date_key(text: Column) -> Column:
 
 def list_cell(c: Column) -> Column:
     """A cell's parts between semicolons, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, ";"), F.btrim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ";"), lambda x: F.btrim(x)), lambda x: x != "")

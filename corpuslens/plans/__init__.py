@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import coding, identity, quotes
+from . import coding, identity, quotes, tables
 
-AREAS = (identity, quotes, coding)
+AREAS = (identity, quotes, coding, tables)
 
 
 def queries() -> dict:
