@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, components, id_key, ints, stars, typed, whole_groups, written
+from .common import NULL_ID, Links, bounded_batches, components, id_key, ints, typed, whole_groups, written
 
 SAMPLE = 8192
 ROUNDS = 40
@@ -79,6 +79,7 @@ def compare(left: np.ndarray, right: np.ndarray, lc: np.ndarray, rc: np.ndarray,
 def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row (vec_id, embedding, label)."""
     spark = rows.sparkSession
+    bounded_batches(spark)
     given = rows.select(id_key("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("x"), "label")
     given = given.withColumn("ok", usable("x")).withColumn("h", F.when(F.col("ok"), F.xxhash64("x"))).withColumn("g", F.when(F.col("ok"), F.hash("x")))
     fine = given.where("ok").withColumn("width", F.size("x"))
@@ -146,7 +147,7 @@ def _bucket_links(classes: DataFrame, rotation: np.ndarray, least: float, tables
             order = np.lexsort(place.T[::-1])
             cuts = np.flatnonzero((np.diff(place[order], axis=0) != 0).any(axis=1)) + 1
             links = np.zeros(len(order), dtype=np.int64)
-            ea, eb = [], []
+            edges = Links()
             for part in np.split(order, cuts):
                 if len(part) < 2:
                     continue
@@ -162,12 +163,8 @@ def _bucket_links(classes: DataFrame, rotation: np.ndarray, least: float, tables
                     np.add.at(links, a, cols["copies"][b])
                     if low != high:
                         np.add.at(links, b, cols["copies"][a])
-                    ea.append(cols["rep"][a])
-                    eb.append(cols["rep"][b])
-                    if sum(map(len, ea)) > 1 << 20:
-                        y, z = stars(np.concatenate(ea), np.concatenate(eb))
-                        ea, eb = [y], [z]
-            a, b = stars(np.concatenate(ea), np.concatenate(eb)) if ea else (links[:0], links[:0])
+                    edges.add(cols["rep"][a], cols["rep"][b])
+            a, b = edges.stars()
             some = np.flatnonzero(links)
             yield typed([np.concatenate([a, cols["rep"][some]]), [*b.tolist(), *[None] * len(some)], np.concatenate([0 * a, links[some]])], [("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 

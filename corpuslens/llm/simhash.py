@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, binary, components, id_key, ints, slices, stars, typed, whole_groups, written
+from .common import NULL_ID, Links, binary, bounded_batches, components, id_key, ints, slices, typed, whole_groups, written
 
 SEED = 42
 #: Fixed: the generator polynomial of the (23, 12) Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -31,6 +31,7 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Rows of one side of a bucket that are compared with all others at once.
 BLOCK = 2048
+PAIRS_AT_ONCE = 1 << 18
 
 
 def fingerprint(text: bytes, size: int = 3, seed: int = SEED) -> int:
@@ -114,7 +115,7 @@ def bucket_links(k: np.ndarray, f: np.ndarray, rep: np.ndarray, stored: np.ndarr
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
     sizes = np.diff(cuts)
     u = f.view(np.uint64)
-    a, b = [], []
+    found = Links()
     small = (sizes > 1) & (sizes <= BLOCK)
     # each stored row against all rows of its bucket, many buckets at once
     bucket = np.repeat(np.arange(len(sizes)), sizes)
@@ -123,28 +124,20 @@ def bucket_links(k: np.ndarray, f: np.ndarray, rep: np.ndarray, stored: np.ndarr
     ends = np.cumsum(width)
     at = 0
     while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
         w = width[at:to]
         left = np.repeat(rows[at:to], w)
-        first = np.cumsum(w) - w
-        right = np.arange(int(w.sum())) - np.repeat(first, w) + np.repeat(cuts[bucket[rows[at:to]]], w)
+        right = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w) + np.repeat(cuts[bucket[rows[at:to]]], w)
         hit = (np.bitwise_count(u[left] ^ u[right]) <= most) & (rep[left] != rep[right])
-        a.append(rep[left[hit]])
-        b.append(rep[right[hit]])
+        found.add(rep[left[hit]], rep[right[hit]])
         at = to
     for g in np.flatnonzero(sizes > BLOCK):
         whole = slice(cuts[g], cuts[g + 1])
-        uw, rw, own = u[whole], rep[whole], np.flatnonzero(stored[whole])
-        for row in own:
+        uw, rw = u[whole], rep[whole]
+        for row in np.flatnonzero(stored[whole]):
             hit = (np.bitwise_count(uw ^ uw[row]) <= most) & (rw != rw[row])
-            a.append(np.full(int(hit.sum()), rw[row]))
-            b.append(rw[hit])
-            if sum(map(len, a)) > 1 << 20:
-                x, y = stars(np.concatenate(a), np.concatenate(b))
-                a, b = [x], [y]
-    a = np.concatenate(a) if a else np.zeros(0, dtype=np.int64)
-    b = np.concatenate(b) if b else np.zeros(0, dtype=np.int64)
-    return stars(a, b) if len(a) else (a, b)
+            found.add(np.full(int(hit.sum()), rw[row]), rw[hit])
+    return found.stars()
 
 
 def links(classes: DataFrame, most: int = 3) -> DataFrame:
@@ -162,6 +155,7 @@ def links(classes: DataFrame, most: int = 3) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, most: int = 3, size: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs; an empty table gives no rows."""
+    bounded_batches(docs.sparkSession)
     found = written(fingerprints(docs, size), "fingerprints")
     classes = written(found.groupBy("f").agg(F.min("d").alias("rep")), "fingerprint-classes")
     parts = components(links(classes, most), "fingerprint-links")
