@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Query keys that never decide a page's identity.
 TRACKING_PARAMS = ("gclid", "fbclid", "msclkid", "twclid", "igshid", "mc_cid", "mc_eid", "wbraid", "gbraid")
@@ -123,7 +124,7 @@ def canonical_url(raw: Column) -> Column:
     return F.when(scheme.isin("http", "https") & (host != ""), url)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; no built-in function decomposes."""
     plain = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c) != "Mn")
