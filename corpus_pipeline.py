@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import decontaminate, langid, line_dedup, packing, simhash
-from corpuslens.llm.common import id_key, shared_dir, table
+from corpuslens.llm.common import fresh, id_key, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +31,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
     kept = simhash.simhash_groups(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(id_key().alias("__k")).distinct()
-    keyed = docs.withColumn("__d", id_key())
-    return keyed.join(kept, F.col("__d") == F.col("__k"), "left_semi").dropDuplicates(["__d"]).select(*docs.columns)
+    own, other = fresh(docs.columns, "own"), fresh(docs.columns, "other")
+    kept = kept.select(id_key().alias(other)).distinct()
+    keyed = docs.withColumn(own, id_key())
+    return keyed.join(kept, F.col(own) == F.col(other), "left_semi").dropDuplicates([own]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages contaminate go."""
     found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(id_key().alias("__k"))
-    keyed = docs.withColumn("__d", id_key())
-    return keyed.join(bad, F.col("__d") == F.col("__k"), "left_anti").select(*docs.columns)
+    own, other = fresh(docs.columns, "own"), fresh(docs.columns, "other")
+    bad = found.where("contaminated").select(id_key().alias(other))
+    return docs.withColumn(own, id_key()).join(bad, F.col(own) == F.col(other), "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

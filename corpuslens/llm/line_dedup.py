@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_type, binary, column, id_key, ints, slices, typed, whole_groups, written
+from .common import arrow_type, binary, column, fresh, id_key, ints, slices, typed, whole_groups, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 SEEDS = (0x5BD1E995, 0x27D4EB2F)
@@ -185,9 +185,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     smallest doc_id that holds it. An empty table gives an empty table.
     """
     base = docs.drop("n_lines", "n_dropped")
-    given = base.withColumn("__d", id_key())
-    lost = lost_lines(docs.select("doc_id", "text"), min_chars)
-    joined = given.join(lost.withColumnRenamed("lost", "__lost"), F.col("__d") == F.col("d"), "left").drop("__d", "d")
+    own, other, gone_ = (fresh(base.columns, x) for x in ("own", "other", "gone"))
+    lost = lost_lines(docs.select("doc_id", "text"), min_chars).toDF(other, gone_)
+    joined = base.withColumn(own, id_key()).join(lost, F.col(own) == F.col(other), "left").drop(own, other)
     fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in base.schema.fields]
     shape = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = [f.name for f in fields]
@@ -196,7 +196,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         kinds = arrow_type(shape)
         for batch in slices(batches, "text"):
             texts, total, gone = [], [], []
-            for text, drop in zip(binary(batch, "text"), column(batch, "__lost").to_pylist(), strict=True):
+            for text, drop in zip(binary(batch, "text"), column(batch, gone_).to_pylist(), strict=True):
                 lines = text.split(b"\n")
                 kept = lines
                 if drop:

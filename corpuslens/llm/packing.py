@@ -1,8 +1,8 @@
 """Best-fit packing: pattern packing by non-negative least squares.
 
 Patterns are the multisets of up to three lengths that fill a sequence. Non-negative least squares finds how often to repeat each so
-that the repeats explain the length histogram; rounded down and cut to what is there they take most pieces, and the residual histogram
-is packed best-fit decreasing. All of that sees the histogram alone (max_tokens numbers), whatever the number of documents.
+that the repeats explain the length histogram; rounded and cut to what is there they take most pieces, and the residual histogram is
+packed best-fit decreasing. Of a few roundings the best one stands. All of that sees the histogram alone (max_tokens numbers), whatever the number of documents.
 
 Pieces find their places without a global sort: a task numbers its pieces of each length, sums over the tasks' counts make the
 numbers global, and the plan maps a (length, number) to a sequence and an offset.
@@ -29,6 +29,8 @@ from .common import NULL_ID, column, id_key, ints, slices, typed, written
 
 MAX_TOKENS = 1024
 END = 2
+#: From these parts of a repeat on, patterns are tried once more after rounding down; 2 never.
+ROUNDINGS = (2.0, 0.5, 0.05)
 
 
 @cache
@@ -130,27 +132,34 @@ def fit(table: np.ndarray, histogram: np.ndarray, rounds: int = 600) -> np.ndarr
 
 
 def plan(histogram: np.ndarray, max_tokens: int = MAX_TOKENS) -> list[tuple[list[tuple[int, int]], int]]:
-    """[([(length, times), ...], repeats), ...]: sequences that hold every piece of the histogram (index: length) just once."""
+    """[([(length, times), ...], repeats), ...]: sequences that hold every piece of the histogram (index: length) just once.
+
+    The fitted repeats are rounded in several ways; the one with the fewest sequences after its residual is packed stands."""
     left = histogram.astype(np.int64).copy()
-    out: list[tuple[list[tuple[int, int]], int]] = []
-    if left[max_tokens]:
-        out.append(([(max_tokens, 1)], int(left[max_tokens])))
-        left[max_tokens] = 0
-    if left.any():
-        table = patterns(max_tokens)
-        repeats = fit(table, left)
-        order = np.argsort(-repeats, kind="stable")
-        for take in (np.floor, np.ceil):  # what rounding down leaves goes to the strongest patterns first
-            for i in order[: int((repeats > 0.05).sum())]:
-                times: dict[int, int] = defaultdict(int)
-                for length in table[i].tolist():
-                    if length:
-                        times[length] += 1
-                n = min(int(take(repeats[i])) if take is np.floor else 1, *(int(left[a]) // m for a, m in times.items()))
-                if n > 0:
-                    out.append((list(times.items()), n))
-                    for a, m in times.items():
-                        left[a] -= n * m
+    whole = [([(max_tokens, 1)], int(left[max_tokens]))] if left[max_tokens] else []
+    left[max_tokens] = 0
+    if not left.any():
+        return whole
+    table = patterns(max_tokens)
+    repeats = fit(table, left)
+    return whole + min((_rounded(table, repeats, left, up, max_tokens) for up in ROUNDINGS), key=lambda made: sum(n for _, n in made))
+
+
+def _rounded(table: np.ndarray, repeats: np.ndarray, histogram: np.ndarray, up: float, max_tokens: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Repeats rounded down first, strongest patterns first; then those of `up` or more once again where pieces are left."""
+    left, out = histogram.copy(), []
+    order = np.argsort(-repeats, kind="stable")
+    for down in (True, False):
+        for i in order[: int((repeats >= (1 if down else up)).sum())]:
+            times: dict[int, int] = defaultdict(int)
+            for length in table[i].tolist():
+                if length:
+                    times[length] += 1
+            n = min(int(repeats[i]) if down else 1, *(int(left[a]) // m for a, m in times.items()))
+            if n > 0:
+                out.append((list(times.items()), n))
+                for a, m in times.items():
+                    left[a] -= n * m
     return out + best_fit(left, max_tokens)
 
 
