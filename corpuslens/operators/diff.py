@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 
 def keyed(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, state, changed): gone, new, same or changed, and the names of the fields that changed, in order."""
@@ -37,7 +39,7 @@ def chains(links: DataFrame, most: int = 64) -> DataFrame:
     now = links.select("id", F.coalesce("supersedes", "id").alias("up"), F.when(F.col("supersedes").isNotNull(), 1).otherwise(0).alias("d"))
     for _ in range(most):
         step = now.select(F.col("id").alias("up"), F.col("up").alias("upper"), F.col("d").alias("more"))
-        nxt = now.join(step, "up", "left").select("id", F.coalesce("upper", "up").alias("up"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")).checkpoint()
+        nxt = checkpointed(now.join(step, "up", "left").select("id", F.coalesce("upper", "up").alias("up"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")))
         if nxt.join(now.select("id", F.col("up").alias("was")), "id").where("up <> was").isEmpty():
             break
         now = nxt

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import coding, identity, quotes, tables
+from . import coding, corpus, identity, quotes, tables
 
-AREAS = (identity, quotes, coding, tables)
+AREAS = (identity, quotes, coding, tables, corpus)
 
 
 def queries() -> dict:

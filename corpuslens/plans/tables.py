@@ -40,7 +40,10 @@ def percentile(t: Tables) -> DataFrame:
     return profile.column_facts(df).select("column", F.col("len_p50").alias("p50"), F.col("len_p90").alias("p90"))
 
 
-@R.add("select 'supplier' as tbl, 's_suppkey' as column union all select 'supplier', 's_name' union all select 'customer', 'c_custkey' union all select 'customer', 'c_name' union all select 'part', 'p_partkey' union all select 'orders', 'o_orderkey' union all select 'nation', 'n_nationkey' union all select 'nation', 'n_name' union all select 'region', 'r_regionkey' union all select 'region', 'r_name' union all select 'part', 'p_name' from part having count(distinct p_name) = count(*)")
+KEY = "select '{t}' as tbl, '{c}' as column from (select trim(coalesce(cast({c} as varchar), '')) as v from {t}) having count(*) > 0 and count(distinct v) filter (v <> '') = count(*)"
+
+
+@R.add(" union all ".join(KEY.format(t=t, c=c) for t, cols in FACT_COLUMNS.items() for c in cols))
 def keys(t: Tables) -> DataFrame:
     out = None
     for name, df in _strings(t).items():
