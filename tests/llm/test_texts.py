@@ -314,8 +314,8 @@ def test_lm_probabilities_add_up(spark, documents):
     """Over all known tokens and the unknown one, a context's probabilities add up to 1 but for the filter's false positives."""
     rest, hot, model = bloom_lm.fit(documents.select("text"), bits=1 << 24)
     assert rest.isEmpty()
-    ids = np.arange(len(hot))
-    for context in (hot[bloom_lm.END], 3, len(hot) // 2):
+    ids = np.arange(hot.size)
+    for context in (hot.ids[bloom_lm.END], 3, hot.size // 2):
         pairs = np.stack([np.full(len(ids), context), ids], axis=1).ravel()
         p = 10 ** model.tokens(pairs)[1::2]
         unknown = model.back[context] * model.discount * model.v / model.n
