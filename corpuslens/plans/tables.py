@@ -40,7 +40,7 @@ def percentile(t: Tables) -> DataFrame:
     return profile.column_facts(df).select("column", F.col("len_p50").alias("p50"), F.col("len_p90").alias("p90"))
 
 
-KEY = "select '{t}' as tbl, '{c}' as column from (select trim(coalesce(cast({c} as varchar), '')) as v from {t}) having count(*) > 0 and count(distinct v) filter (v <> '') = count(*)"
+KEY = "select '{t}' as tbl, '{c}' as column from (select trim(coalesce(cast({c} as varchar), '')) as v from {t}) having count(*) >= 3 and max(length(v)) <= 80 and count(distinct v) filter (v <> '') = count(*)"
 
 
 @R.add(" union all ".join(KEY.format(t=t, c=c) for t, cols in FACT_COLUMNS.items() for c in cols))
