@@ -269,9 +269,12 @@ def extract(page: str, weights: np.ndarray) -> str:
 
 
 def extract_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row; the classifier is fitted on up to `sample` pages of 100,000 characters at most."""
+    """(page_id, url, text, n_chars) for every row; the classifier is fitted on up to `sample` different pages of 100,000 characters at
+    most, those with the smallest hashes: the hashes are found first, so no task sends more than its share of the sample."""
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
-    shown = rows.where(F.length("html").between(1, 100_000)).select("html").orderBy(F.xxhash64("html")).limit(sample)
+    known = rows.where(F.length("html").between(1, 100_000)).select(F.xxhash64("html").alias("h"), "html")
+    last = known.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    shown = known.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").select("html")  # `sample` rows
     shared = pages.sparkSession.sparkContext.broadcast(train([r[0] for r in shown.collect()]))
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]
 
