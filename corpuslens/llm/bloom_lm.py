@@ -2,14 +2,15 @@
 
 Training (documents whose fold isn't `held`):
 1. Word counts, with partial sums, as a written table: exact, of any size.
-2. The words of highest count, HOT_WORDS at most, are broadcast with their counts. Which words these are decides nothing about the
-   base score: all others meet their exact counts in a join.
-3. Bigrams of hot words are counted. A bigram seen n times goes into the filter once for each of its levels 1..1+log(n / least, BASE).
-   The filter has FILTER_BITS bits whatever the corpus; `least` is the smallest count (2 or more) with which it stays sparse.
-Scoring: a bigram's level comes from repeated membership probes, its count from the level (rounded down). With interpolated absolute
-discounting, p(w|v) = max(count(v, w) - D, 0) / count(v) + backoff(v) p(w), where backoff(v) is what the filter's counts leave. p(w)
-discounts word counts alike and gives the rest to one unknown event, so a context's probabilities over the V known tokens and the
-unknown one add up to 1 (but for the filter's false positives, under 0.001 a probe).
+2. The words of highest count, HOT_WORDS at most, are broadcast with their counts. Which words these are decides nothing: other words
+   and their bigrams meet their counts in joins, by 64-bit hashes.
+3. All bigrams are counted. A bigram of hot words seen n times goes into the filter once for each of its levels 1..1+log(n, BASE). The
+   filter is sized by the bigrams' levels (LEVEL_BITS each) and cut by the key's hash into parts of FILTER_BITS.
+Scoring: a bigram's level comes from repeated membership probes, its count from the level (rounded down); bigrams of other words take
+the same rounded counts. Each part of the filter is broadcast in a round of its own. With interpolated absolute discounting,
+p(w|v) = max(count(v, w) - D, 0) / count(v) + backoff(v) p(w), where backoff(v) is what the rounded counts leave. p(w) discounts word
+counts alike and gives the rest to one unknown event, so a context's probabilities over the V known tokens and the unknown one add up
+to 1 (but for the filter's false positives, under 0.003 a level in a full part).
 
 Nulls: a null text is empty: one end token. A null doc_id belongs to the training part (its id text is empty). Rows that share a doc_id
 are separate rows. Extra columns are ignored. An empty table gives no rows; without training tokens every token has probability 1.
@@ -18,20 +19,22 @@ are separate rows. Extra columns are ignored. An empty table gives no rows; with
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, binary, bounded_batches, column, fold, id_key, ints, slices, typed, whole_groups, written
 
 HOT_WORDS = 1 << 18
+#: Of one part of the filter.
 FILTER_BITS = 1 << 28
+LEVEL_BITS = 16
 SEGMENTS = 1 << 8
 PROBES = 4
 BASE = 1.5
@@ -84,8 +87,17 @@ class Hot:
     def ids(self) -> Ids:
         return Ids((w, i) for i, w in enumerate(self.joined.split(b" ") if self.size else ()))
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return word_hashes(self.ids)
+
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "ids"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "hashes")}
+
+
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    """The same as Spark's xxhash64."""
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype=np.uint64).view(np.int64)
 
 
 def token_ids(texts: list[bytes], hot: Ids) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -118,25 +130,54 @@ def pair_keys(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, spread((before[at] << 20) | ids[at])
 
 
+def rare_pairs(ids: np.ndarray, last: np.ndarray, words: list[list[bytes]], hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the tokens that make a pair with a word that isn't hot, and the hashes of the words before and at them."""
+    h = np.append(hot.hashes, 0)[ids]
+    inner = np.ones(len(ids), dtype=bool)
+    inner[last] = False
+    h[last] = word_hashes([END])[0]
+    h[inner & (ids < 0)] = word_hashes(w for x in words for w in x if hot.ids[w] < 0)
+    before = np.concatenate([ids[-1:], ids[:-1]])
+    at = np.flatnonzero((ids < 0) | (before < 0))
+    return at, h[at - 1], h[at]
+
+
+def grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the columns' different rows, a place of each and their counts."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([np.diff(c[order]) != 0 for c in columns])
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order)))
+
+
 def pair_counts(train: DataFrame, shared) -> DataFrame:
-    """(k long, n long) of all pairs of hot words."""
+    """(k long, b long, n long) of all pairs: of hot words by key, b null; of others by the two words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("k", pa.int64()), ("n", pa.int64())]
-        held, size = [], 0
+        kinds = [("k", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]
+        held, rare, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            k, n = np.unique(np.concatenate(held), return_counts=True)
+            yield typed([k, pa.nulls(len(k), pa.int64()), n], kinds)
+            a, b = (np.concatenate(x) for x in zip(*rare, strict=True))
+            at, n = grouped(a, b)
+            yield typed([a[at], b[at], n], kinds)
+
         for batch in slices(batches, "text"):
-            keys = pair_keys(token_ids(binary(batch, "text"), shared.value.ids)[0])[1]
-            held.append(keys)
-            size += len(keys)
+            found = token_ids(binary(batch, "text"), shared.value.ids)
+            held.append(pair_keys(found[0])[1])
+            rare.append(rare_pairs(*found, shared.value)[1:])
+            size += len(found[0])
             if size > CHUNK:
-                k, n = np.unique(np.concatenate(held), return_counts=True)
-                yield typed([k, n], kinds)
-                held, size = [], 0
+                yield from flush()
+                held, rare, size = [], [], 0
         if held:
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            yield typed([k, n], kinds)
+            yield from flush()
 
-    return train.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1")
+    return train.select("text").mapInArrow(run, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n").alias("n"))
 
 
 def levels(n: np.ndarray, least: int) -> np.ndarray:
@@ -144,7 +185,20 @@ def levels(n: np.ndarray, least: int) -> np.ndarray:
 
 
 def counted(level: np.ndarray, least: int) -> np.ndarray:
-    return np.where(level > 0, np.maximum(least, np.floor(least * BASE ** (level - 1.0) + 1e-6)), 0.0)
+    return np.where(level > 0, np.ceil(least * BASE ** (level - 1.0) - 1e-6), 0.0)
+
+
+def _level(n: str) -> Column:
+    return 1 + F.floor(F.log(n) / float(np.log(BASE)) + 1e-9)
+
+
+def _counted(n: str) -> Column:
+    """counted(levels(n, 1), 1) as a Column."""
+    return F.ceil(F.pow(F.lit(BASE), _level(n) - 1) - 1e-6)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(48)).astype(np.int64) % parts
 
 
 def places(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
@@ -211,39 +265,37 @@ def _steps(name: str) -> Column:
     return F.floor(16 * F.log2(name) + 1e-9).cast("int").alias("step")
 
 
-def least_count(sizes: dict[int, int], room: float) -> int:
-    """The smallest count of 2 or more with which all levels of the pairs (their numbers by sixteenths of a power of two) fit room."""
-    for step in range(16, 64 * 16):
-        least = int(np.ceil(2 ** (step / 16) - 1e-6))
-        if sum(n * int(levels(np.array([max(2 ** (s / 16), least)]), least)[0]) for s, n in sizes.items() if 2 ** (s / 16) >= least - 1e-6) <= room:
-            return least
-    return 1 << 62
-
-
 class Model:
-    """What the workers get: the filter, and of the hot words log10 p(w), p(w), count and backoff."""
+    """What the workers get: a part of the filter, and of the hot words p(w), count and backoff."""
 
-    def __init__(self, filter_: Filter, count: np.ndarray, back: np.ndarray, n: int, v: int, discount: float) -> None:
+    def __init__(self, filter_: Filter, count: np.ndarray, back: np.ndarray, n: int, v: int, discount: float, parts: int = 1) -> None:
         self.filter, self.count, self.back = filter_, count, back
         self.n, self.v, self.discount = n, v, discount
+        self.part, self.parts = 0, parts
         self.p = (count - discount) / max(1, n)
 
     def tokens(self, ids: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability; of one that isn't hot, the part that its context decides."""
+        """log10 of the probability of each token whose pair is this part's; 0 for others."""
         before = np.concatenate([ids[-1:], ids[:-1]])
-        back = np.where(before >= 0, self.back[before], 1.0)
-        out = np.where(ids >= 0, back * self.p[ids], back) if self.n else np.ones(len(ids))
+        out = np.zeros(len(ids))
         at, keys = pair_keys(ids)
+        own = part_of(keys, self.parts) == self.part
+        at, keys = at[own], keys[own]
         if len(at) and self.n:
             seen = counted(self.filter.level(keys), self.filter.least)
-            out[at] += np.maximum(seen - D, 0) / self.count[before[at]]
-        return np.log10(np.minimum(out, 1.0))
+            first = before[at]
+            out[at] = np.log10(np.minimum(self.back[first] * self.p[ids[at]] + np.maximum(seen - D, 0) / self.count[first], 1.0))
+        return out
 
 
-def fit(train: DataFrame, hot_words: int = HOT_WORDS, bits: int = FILTER_BITS) -> tuple[DataFrame, Hot, Model]:
-    """(the word counts that aren't hot, the hot words' ids, the model) from the rows (text)."""
+def part_filter(pairs: DataFrame, part: int, parts: int, bits: int) -> Filter:
+    return build_filter(pairs.where(F.col("b").isNull() & (F.pmod(F.shiftrightunsigned("k", 48), F.lit(parts)) == part)), 1, bits)
+
+
+def trained(train: DataFrame, hot_words: int = HOT_WORDS, bits: int = FILTER_BITS) -> tuple[DataFrame, Hot, Model, DataFrame]:
+    """(h, c, back of the words that aren't hot, the hot words' ids, the model with the filter's first part, the pairs)."""
     spark = train.sparkSession
-    counts = written(word_counts(train), "word-counts")
+    counts = written(word_counts(train).withColumn("h", F.xxhash64("w")), "word-counts")
     n, v, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     sizes = dict(counts.groupBy(_steps("c")).count().collect())
     step, total = 64 * 16, 0
@@ -259,74 +311,104 @@ def fit(train: DataFrame, hot_words: int = HOT_WORDS, bits: int = FILTER_BITS) -
     shared = spark.sparkContext.broadcast(hot)
     pairs = written(pair_counts(train, shared), "word-pairs")
     shared.destroy()
-    least = least_count(dict(pairs.groupBy(_steps("n")).count().collect()), bits / 10)
-    filter_ = build_filter(pairs, least, bits)
+    size = pairs.where("b is null").agg(F.sum(_level("n"))).first()[0] or 0
+    parts = max(1, -(-int(size) * LEVEL_BITS // bits))
+    filter_ = part_filter(pairs, 0, parts, bits)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 first = unspread(ints(batch, "k")) >> 20
-                seen = counted(levels(ints(batch, "n"), least), least) - D
+                seen = counted(levels(ints(batch, "n"), 1), 1) - D
                 of, at = np.unique(first, return_inverse=True)
                 yield typed([of, np.bincount(at, weights=seen)], [("v", pa.int64()), ("s", pa.float64())])
 
-    back = np.ones(max(1, len(count)))
-    seen = pairs.where(F.col("n") >= least).mapInArrow(sums, "v long, s double").groupBy("v").agg(F.sum("s").alias("s")).toArrow()  # hot words
-    at = seen["v"].to_numpy()
-    back[at] = np.maximum(1e-9, 1 - seen["s"].to_numpy() / count[at])
-    rest = counts.where(~is_hot)
-    return rest, hot, Model(filter_, count if len(count) else np.ones(1), back, n, v, discount)
+    taken = np.zeros(max(1, len(count)))
+    seen = pairs.where("b is null").mapInArrow(sums, "v long, s double").groupBy("v").agg(F.sum("s").alias("s")).toArrow()  # hot words
+    taken[seen["v"].to_numpy()] += seen["s"].to_numpy()
+    others = written(pairs.where("b is not null").groupBy(F.col("k").alias("v")).agg(F.sum(_counted("n") - D).alias("s")), "word-backoffs")
+    seen = others.join(F.broadcast(counts.where(is_hot).select("h")), F.col("v") == F.col("h"), "left_semi").toArrow()  # hot words
+    hashes = words["h"].to_numpy()
+    order = np.argsort(hashes)
+    taken[order[np.searchsorted(hashes, seen["v"].to_numpy(), sorter=order)]] += seen["s"].to_numpy()
+    if not len(count):
+        count = np.ones(1)
+    rest = counts.where(~is_hot).join(others, F.col("h") == F.col("v"), "left").select("h", "c", F.greatest(F.lit(1e-9), 1 - F.coalesce("s", F.lit(0.0)) / F.col("c")).alias("back"))
+    return written(rest, "rest-words"), hot, Model(filter_, count, np.maximum(1e-9, 1 - taken / count), n, v, discount, parts), pairs
+
+
+def fit(train: DataFrame, hot_words: int = HOT_WORDS, bits: int = FILTER_BITS) -> tuple[DataFrame, Hot, Model]:
+    return trained(train, hot_words, bits)[:3]
 
 
-ROWS = [("rid", pa.int64()), ("d", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("w", pa.binary()), ("m", pa.int64())]
+ROWS = [("rid", pa.int64()), ("d", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("v", pa.int64()), ("w", pa.int64()), ("cv", pa.float64()), ("bv", pa.float64()), ("pw", pa.float64()), ("m", pa.int64())]
 
 
 def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, hot_words: int = HOT_WORDS, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     bounded_batches(docs.sparkSession)
     given = docs.select(id_key().alias("d"), (fold() % folds == held).alias("held"), F.col("text").cast("string").alias("text"))
-    rest, hot, model = fit(given.where(~F.col("held")), hot_words, bits)
-    shared = docs.sparkSession.sparkContext.broadcast((hot, model))
-    n, v, discount = model.n, model.v, model.discount
-    del hot, model  # the driver needs no copy of its own
+    rest, hot, model, pairs = trained(given.where(~F.col("held")), hot_words, bits)
+    n, v, discount, parts = model.n, model.v, model.discount, model.parts
+    given = given.withColumn("rid", F.monotonically_increasing_id())
+    if parts > 1:
+        given = written(given, "lm-texts")  # the rounds meet by rid
     whole = n + 0.5 * (v + 1)
 
+    def known_or_null(values: np.ndarray, ids: np.ndarray) -> pa.Array:
+        return pa.array(np.append(values, 0.0)[ids], pa.float64(), mask=ids < 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, model = shared.value[0].ids, shared.value[1]
+        hot, model = shared.value
         base = np.append(np.log10((model.count + 0.5) / whole), 0.0)
-        task, row = TaskContext.get().partitionId() << 36, 0
         for batch in slices(batches, "text"):
-            ids, last, words = token_ids(binary(batch, "text"), hot)
+            ids, last, words = token_ids(binary(batch, "text"), hot.ids)
             first = np.concatenate([[0], last[:-1] + 1])
-            rids = task + row + np.arange(len(last))
-            row += len(last)
+            rids = ints(batch, "rid")
             known = np.add.reduceat((ids >= 0).astype(np.int64), first)
-            if hot[END] < 0:  # no training text: an end is an unknown token
-                ids_base, extra = base[ids], np.full(len(last), np.log10(0.5 / whole))
-            else:
-                ids_base, extra = base[ids], 0.0
-            n_docs = len(last)
-            out = [rids, ints(batch, "d"), column(batch, "held"), last - first + 1, known, np.add.reduceat(ids_base, first) + extra, np.add.reduceat(model.tokens(ids), first), [None] * n_docs, [None] * n_docs]
-            yield typed(out, ROWS)
-            rid, w, m = [], [], []
-            rare = np.flatnonzero(known < last - first + (hot[END] >= 0))
-            for i in rare.tolist():
-                seen = Counter(x for x in words[i] if x not in hot)
-                rid += [int(rids[i])] * len(seen)
-                w += seen.keys()
-                m += seen.values()
-            none = pa.nulls(len(w))
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), *[none.cast(t) for _, t in ROWS[1:7]], pa.array(w, pa.binary()), pa.array(m, pa.int64())], [x for x, _ in ROWS])
-
-    shape = "rid long, d long, held boolean, n_tokens long, known long, base double, score double, w binary, m long"
+            none = [pa.nulls(len(last), t) for _, t in ROWS[7:]]
+            yield typed([rids, ints(batch, "d"), column(batch, "held"), last - first + 1, known, np.add.reduceat(base[ids], first), np.add.reduceat(model.tokens(ids), first), *none], ROWS)
+            at, a, b = rare_pairs(ids, last, words, hot)
+            row = np.searchsorted(last, at)
+            one, m = grouped(b, a, row)
+            at, row = at[one], row[one]
+            before, own = ids[at - 1], ids[at]
+            none = [pa.nulls(len(at), t) for _, t in ROWS[1:7]]
+            yield typed([rids[row], *none, a[one], b[one], known_or_null(model.count, before), known_or_null(model.back, before), known_or_null(model.p, own), m], ROWS)
+
+    def more(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+        hot, model = shared.value
+        for batch in slices(batches, "text"):
+            ids, last, _ = token_ids(binary(batch, "text"), hot.ids)
+            yield typed([ints(batch, "rid"), np.add.reduceat(model.tokens(ids), np.concatenate([[0], last[:-1] + 1]))], [("rid", pa.int64()), ("score", pa.float64())])
+
+    shape = "rid long, d long, held boolean, n_tokens long, known long, base double, score double, v long, w long, cv double, bv double, pw double, m long"
+    shared = docs.sparkSession.sparkContext.broadcast((hot, model))
     found = written(given.mapInArrow(run, shape), "lm-rows")
     shared.destroy()
-    rows = found.where("w is null").select("rid", "d", "held", "n_tokens", "known", "base", "score")
-    tail = found.where("w is not null").select("rid", F.col("w").alias("tw"), "m").join(rest, F.col("tw") == F.col("w"), "left")
-    c = F.coalesce("c", F.lit(0))
+    scores = found.where("m is null").select("rid", "score")
+    for model.part in range(1, parts):
+        model.filter = part_filter(pairs, model.part, parts, bits)
+        part = docs.sparkSession.sparkContext.broadcast((hot, model))
+        scores = scores.union(written(given.select("rid", "text").mapInArrow(lambda x, part=part: more(x, part), "rid long, score double"), "lm-round"))
+        part.destroy()
+    rows = found.where("m is null").select("rid", "d", "held", "n_tokens", "known", "base", "score")
+    if parts > 1:
+        rows = rows.drop("score").join(scores.groupBy("rid").agg(F.sum("score").alias("score")), "rid")
+    del hot, model  # the driver needs no copy of its own
+    tail = found.where("m is not null").select("rid", "v", "w", "cv", "bv", "pw", "m")
+    # one of a pair's words isn't hot: a hot one takes its place as a key, so that no key is frequent for that
+    tail = tail.join(rest.select(F.col("h").alias("h1"), F.col("c").alias("c1")), F.when(F.col("pw").isNull(), F.col("w")).otherwise(F.col("v")) == F.col("h1"), "left")
+    tail = tail.join(rest.select(F.col("h").alias("h2"), F.col("c").alias("c2"), F.col("back").alias("b2")), F.when(F.col("cv").isNull(), F.col("v")).otherwise(F.col("w")) == F.col("h2"), "left")
+    tail = tail.join(pairs.where("b is not null").select("k", "b", _counted("n").alias("q")), (F.col("v") == F.col("k")) & (F.col("w") == F.col("b")), "left")
+    rare = F.col("pw").isNull()
+    c = F.coalesce("c1", F.lit(0))
     unknown = discount * v / n if n else 1.0
-    p = F.when(c > 0, (c - discount) / max(1, n)).otherwise(unknown)
-    tail = tail.groupBy(F.col("rid").alias("r")).agg(F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("k"), F.sum(F.col("m") * F.log10((c + 0.5) / whole)).alias("b"), F.sum(F.col("m") * F.log10(p)).alias("s"))
+    pw = F.coalesce("pw", F.when(c > 0, (c - discount) / max(1, n)).otherwise(unknown))
+    back = F.when(F.col("cv").isNull(), F.coalesce("b2", F.lit(1.0))).otherwise(F.col("bv"))
+    p = F.least(F.lit(1.0), F.coalesce((F.col("q") - D) / F.coalesce("cv", F.col("c2")), F.lit(0.0)) + back * pw)
+    m = F.col("m")
+    tail = tail.groupBy(F.col("rid").alias("r")).agg(F.sum(F.when(rare & (c > 0), m).otherwise(0)).alias("k"), F.sum(F.when(rare, m * F.log10((c + 0.5) / whole)).otherwise(0.0)).alias("b"), F.sum(m * F.log10(p)).alias("s"))
     out = rows.join(tail, F.col("rid") == F.col("r"), "left")
     zero = lambda x: F.coalesce(x, F.lit(0))
     return out.select(F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + zero("k")).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + zero("b")).alias("base_score"), (F.col("score") + zero("s")).alias("score"))

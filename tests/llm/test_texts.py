@@ -342,3 +342,34 @@ def test_lm_scores_empty(spark, no_docs):
 
 def test_queries_are_named_by_number():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_lm_counts_every_pair_in_any_part(spark, monkeypatch):
+    """Pairs seen once and pairs of words that aren't hot count, whatever the number of hot words and of the filter's parts."""
+    r = np.random.default_rng(8)
+    given = [(d, " ".join(f"w{int(x)}" for x in r.zipf(1.3, 60) % 3000)) for d in range(150)]
+    counts, tokens, held = base_of(given)
+    n, v = sum(counts.values()), len(counts)
+    pairs = Counter(p for d, ts in tokens.items() if not held[d] for p in zip([b"\n", *ts[:-1]], ts, strict=True))
+    q = {p: int(bloom_lm.counted(bloom_lm.levels(np.array([c]), 1), 1)[0]) for p, c in pairs.items()}
+    taken = Counter()
+    for (a, _), c in q.items():
+        taken[a] += c - bloom_lm.D
+    once = Counter(counts.values())
+    d = min(0.9, max(0.1, once[1] / (once[1] + 2 * once[2])))
+
+    def score(ts: list[bytes]) -> float:
+        out = 0.0
+        for a, b in zip([b"\n", *ts[:-1]], ts, strict=True):
+            seen = max(q.get((a, b), 0) - bloom_lm.D, 0) / counts[a] if counts[a] else 0
+            back = max(1e-9, 1 - taken[a] / counts[a]) if counts[a] else 1
+            out += math.log10(min(1, seen + back * ((counts[b] - d) / n if counts[b] else d * v / n)))
+        return out
+
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(bloom_lm, "LEVEL_BITS", 400)
+    for hot, bits in ((1 << 18, 1 << 22), (20, 1 << 22), (1 << 18, 1 << 19)):
+        found = bloom_lm.lm_scores(docs, hot_words=hot, bits=bits).collect()
+        check_scores(given, found)
+        for x in found:
+            assert x["score"] == pytest.approx(score(tokens[x["doc_id"]]), rel=1e-3)
