@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, line dedup, SimHash near-dedup, benchmark decontamination, best-fit packing.
 
 Each stage works on all rows that its predecessor kept; all but the last return the columns of documents. Rows that share a doc_id are
-treated as each operator says; the near-dedup keeps one of them. An empty table goes through as empty.
+treated as each operator says; the near-dedup and the decontamination decide row by row. An empty table goes through as empty.
 """
 
 from __future__ import annotations
@@ -29,20 +29,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    kept = simhash.simhash_groups(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    own, other = fresh(docs.columns, "own"), fresh(docs.columns, "other")
-    kept = kept.select(id_key().alias(other)).distinct()
-    keyed = docs.withColumn(own, id_key())
-    return keyed.join(kept, F.col(own) == F.col(other), "left_semi").dropDuplicates([own]).select(*docs.columns)
+    """Of each group of near copies one row stays: of the smallest id, of that id's texts the one with the smallest hash."""
+    groups = simhash.row_groups(docs.select("doc_id", "text"))
+    own, other, text, other_text = (fresh(docs.columns, x) for x in ("own", "other", "own_text", "other_text"))
+    kept = groups.groupBy("g").agg(F.min(F.struct("d", "t")).alias("x")).select(F.col("x.d").alias(other), F.col("x.t").alias(other_text))
+    keyed = docs.withColumns({own: id_key(), text: F.xxhash64(F.col("text").cast("string"))})
+    same = (F.col(own) == F.col(other)) & (F.col(text) == F.col(other_text))
+    return keyed.join(kept, same, "left_semi").dropDuplicates([own, text]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark passages contaminate go."""
-    found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    """Rows whose texts benchmark passages contaminate go; a text's hash stands for it."""
+    text = F.xxhash64(F.col("text").cast("string"))
+    found = decontaminate.contamination(docs.select(text.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     own, other = fresh(docs.columns, "own"), fresh(docs.columns, "other")
     bad = found.where("contaminated").select(id_key().alias(other))
-    return docs.withColumn(own, id_key()).join(bad, F.col(own) == F.col(other), "left_anti").select(*docs.columns)
+    return docs.withColumn(own, text).join(bad, F.col(own) == F.col(other), "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,14 +55,15 @@ def fingerprint(text: bytes, size: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, f): the fingerprint as a signed long."""
+    """(d, f, t): the fingerprint as a signed long, and the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = np.array([fingerprint(x, size) for x in binary(batch, "text")], dtype=np.uint64).view(np.int64)
-            yield typed([ints(batch, "d"), found], [("d", pa.int64()), ("f", pa.int64())])
+            yield typed([ints(batch, "d"), found, ints(batch, "t")], [("d", pa.int64()), ("f", pa.int64()), ("t", pa.int64())])
 
-    return docs.select(id_key().alias("d"), F.col("text").cast("string").alias("text")).mapInArrow(run, "d long, f long")
+    text = F.col("text").cast("string")
+    return docs.select(id_key().alias("d"), text.alias("text"), F.xxhash64(text).alias("t")).mapInArrow(run, "d long, f long, t long")
 
 
 @cache
@@ -153,12 +154,19 @@ def links(classes: DataFrame, most: int = 3) -> DataFrame:
     return keyed(classes).repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, most: int = 3, size: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs; an empty table gives no rows."""
+def row_groups(docs: DataFrame, most: int = 3, size: int = 3) -> DataFrame:
+    """(d, f, t, g, c) for every row of docs: its id, fingerprint, text hash, the component and the component's smallest id. Components
+    are of fingerprints, so rows that share a doc_id stay apart."""
     bounded_batches(docs.sparkSession)
     found = written(fingerprints(docs, size), "fingerprints")
     classes = written(found.groupBy("f").agg(F.min("d").alias("rep")), "fingerprint-classes")
-    parts = components(links(classes, most), "fingerprint-links")
-    least = classes.join(parts, F.col("rep") == F.col("id"), "left").select("f", F.coalesce("component", "rep").alias("c"))
+    parts = components(links(classes.select("f", F.col("f").alias("rep")), most), "fingerprint-links")
+    of = written(classes.join(parts, F.col("f") == F.col("id"), "left").select("f", "rep", F.coalesce("component", "f").alias("g")), "fingerprint-groups")
+    least = of.select("f", "g").join(of.groupBy("g").agg(F.min("rep").alias("c")), "g")
+    return found.join(least, "f")
+
+
+def simhash_groups(docs: DataFrame, most: int = 3, size: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs; an empty table gives no rows."""
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return found.join(least, "f").select(back("d").alias("doc_id"), F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), back("c").alias("component_id"))
+    return row_groups(docs, most, size).select(back("d").alias("doc_id"), F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), back("c").alias("component_id"))

@@ -51,3 +51,15 @@ def test_stages_take_messy_and_empty_rows(spark, sf_dir, no_docs, messy_docs, st
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_decide_row_by_row(spark, sf_dir):
+    """Rows that share a doc_id, a null one included, go only for their own texts."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    given = [(5, a), (3, a), (5, b), (None, c), (None, item), (None, "quite another text"), (None, "quite another text")]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    one_each = [(3, a), (5, b), (None, c), (None, item), (None, "quite another text")]
+    assert rows(corpus_pipeline.near_copies(spark, docs, sf_dir)) == sorted(one_each, key=repr)
+    assert rows(corpus_pipeline.decontamination(spark, docs, sf_dir)) == sorted((x for x in given if x[1] != item), key=repr)
