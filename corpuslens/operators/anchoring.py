@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -12,15 +12,15 @@ from ..functions.ident import char_range_json, mint_ext_id
 BLOCK_BYTES = 8 << 20
 
 
-def hits(texts: DataFrame, quotes: DataFrame) -> DataFrame:
-    """texts joined with the quotes (quote_id, quote) that stand in them: a stated set of proposals against all texts, in blocks of bounded
+def hits(texts: DataFrame, quotes: DataFrame, met: Column | None = None) -> DataFrame:
+    """texts joined with the quotes (quote_id, quote) that stand in them (or for which met is true): a stated set of proposals against all texts, in blocks of bounded
     size, each broadcast. contains() settles most pairs before anything is counted."""
     size = quotes.agg(F.sum(F.octet_length("quote"))).first()[0] or 0
     blocks = 1 + int(size // BLOCK_BYTES)
     out = None
     for i in range(blocks):
         part = quotes.where(F.pmod(F.xxhash64("quote_id", "quote"), F.lit(blocks)) == i)
-        found = texts.join(F.broadcast(part), F.contains("text", F.col("quote")) & (F.col("quote") != ""))
+        found = texts.join(F.broadcast(part), (F.contains("text", F.col("quote")) if met is None else met) & (F.col("quote") != ""))
         out = found if out is None else out.unionByName(found)
     return out
 

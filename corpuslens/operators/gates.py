@@ -98,8 +98,8 @@ def structure_problems(blocks: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def leak_share(text: Column, hidden: Column, width: int = 40, stride: int = 20) -> Column:
-    """The share of hidden's windows that stand in text."""
-    starts = F.when(F.length(hidden) >= width, F.sequence(F.lit(1), F.length(hidden) - width + 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    """The share of hidden's windows that stand in text; one of 20 code points or more that is shorter than a window is one as a whole."""
+    starts = F.when(F.length(hidden) >= width, F.sequence(F.lit(1), F.length(hidden) - width + 1, F.lit(stride))).when(F.length(hidden) >= 20, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     return F.size(F.filter(starts, lambda i: F.contains(text, F.substring(hidden, i, F.lit(width))))) / F.nullif(F.size(starts), F.lit(0))
 
 

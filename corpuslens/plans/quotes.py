@@ -152,8 +152,10 @@ with w as (select d.doc_id, d.text, h.text as hidden from documents d join bench
 p as (select doc_id, hidden, text, unnest(range(1, length(hidden) - 40 + 2, 20)) as i from w where length(hidden) >= 40)
 select doc_id, sha256(hidden) as hidden, count(*) as windows, cast(sum(case when contains(text, substr(hidden, i, 40)) then 1 else 0 end) as double) / count(*) as share from p group by 1, 2""")
 def leak_check(t: Tables) -> DataFrame:
-    found = anchoring.hits(t.documents.select("doc_id", "text"), _quotes(t)).where(F.length("quote") >= 40)
-    n = F.floor((F.length("quote") - 40) / 20) + 1
+    """Passages of which 60 % of the windows reappear; the SQL knows only whole ones of 40 characters or more."""
+    met = gates.leak_share(F.col("text"), F.col("quote")) >= 0.6
+    found = anchoring.hits(t.documents.select("doc_id", "text"), _quotes(t), met)
+    n = F.greatest(F.lit(1), F.floor((F.length("quote") - 40) / 20) + 1)
     return found.groupBy("doc_id", F.sha2("quote", 256).alias("hidden")).agg(F.sum(n).alias("windows"), F.max(gates.leak_share(F.col("text"), F.col("quote"))).alias("share"))
 
 

@@ -174,3 +174,14 @@ def test_stream_goes_on_from_where_it_stopped(spark, tmp_path):
     assert [(r["n"], r["total"]) for r in go().collect()] == [(2, 3.0)]
     put([(3, "2024-01-01 10:20:00", 1, "a", 4.0), (4, "2024-01-01 11:20:00", 2, "a", 5.0)])
     assert [(r["n"], r["total"]) for r in go().orderBy("start").collect()] == [(3, 7.0), (1, 5.0)]
+
+
+def test_leak_check_finds_partial_and_short_leaks(spark, tmp_path):
+    from corpuslens import plans
+
+    hidden, short = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(80)), "a short hidden passage 1"
+    docs = [(1, "x " + hidden), (2, "x " + hidden[: int(len(hidden) * 0.85)]), (3, "x " + hidden[: int(len(hidden) * 0.5)]), (4, f"has {short}.")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, hidden), (2, short)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r["doc_id"]: r["share"] for r in plans.queries()["leak_check"](spark, str(tmp_path)).collect()}
+    assert sorted(found) == [1, 2, 4] and found[1] == found[4] == 1 and 0.6 <= found[2] < 1
