@@ -37,7 +37,7 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), added=True)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -373,3 +373,12 @@ def test_lm_counts_every_pair_in_any_part(spark, monkeypatch):
         check_scores(given, found)
         for x in found:
             assert x["score"] == pytest.approx(score(tokens[x["doc_id"]]), rel=1e-3)
+
+
+def test_packing_takes_added_tokens_as_the_file_has_them():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "plain <|end"):
+        want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        assert packing.encoder(path, True)(text).tolist() == want
