@@ -150,7 +150,6 @@ def check_packing(given: list[tuple], found: list, most: int = 1024) -> None:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     want = Counter()
     for d, text in given:
         ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
@@ -375,10 +374,37 @@ def test_lm_counts_every_pair_in_any_part(spark, monkeypatch):
             assert x["score"] == pytest.approx(score(tokens[x["doc_id"]]), rel=1e-3)
 
 
-def test_packing_takes_added_tokens_as_the_file_has_them():
+def plain_ids(text: str) -> list[int]:
     from tokenizers import Tokenizer
 
-    path = packing.tokenizer_path()
-    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "plain <|end"):
-        want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
-        assert packing.encoder(path, True)(text).tolist() == want
+    return Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t \u00a0", " \n"])
+@pytest.mark.parametrize("n", [999, 1000, 1001, 50_000])
+def test_packing_ids_of_long_white_space(space, n):
+    encode = packing.encoder(packing.tokenizer_path())
+    run = (space * n)[:n]
+    for text in (run, f"a{run}b", f"{run}<|endoftext|>{run} x"):
+        assert encode(text).tolist() == plain_ids(text)
+
+
+@pytest.mark.parametrize("text", ["one <|endoftext|> two", "<|endoftext|>", "<|endoftext|><|endoftext|>x", " <|endoftext|>\n", "<|endoftext", "a" * 200_000, "é" * 50_000, "x1" * 50_000, "'ll've it's\u2019s", "\u3000\u2028\x85 \x1c\x1d x", ""])
+def test_packing_ids_are_the_file_tokenizers(text):
+    assert packing.encoder(packing.tokenizer_path())(text).tolist() == plain_ids(text)
+
+
+def test_both_encoders_class_every_character_alike():
+    import tiktoken
+    from tokenizers import Regex, normalizers
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        one = tiktoken.Encoding("kind", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        others = set(normalizers.Replace(Regex(kind), "").normalize_str(every))
+        assert bytes(one.encode_ordinary(every)).decode() == "".join(c for c in every if c not in others)
+
+
+def test_packing_long_white_space_rows(spark):
+    given = [(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "one <|endoftext|> two"), (4, "a" + " " * 5_000_000 + "b")]
+    check_packing(given, packing.pack(spark.createDataFrame(given, "doc_id long, text string")).collect())
