@@ -88,7 +88,7 @@ dwin as (select doc_id, i, k, w[i:i + k - 1] as win from (
   select doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from dw, sizes where len(w) >= k)),
 hits as (select d.doc_id, d.i, d.k, b.item_id from dwin d join bwin b on d.win = b.win),
 n_hit as (select doc_id, count(distinct p) as n from (select doc_id, unnest(generate_series(i, i + k - 1)) as p from hits) group by doc_id),
-items as (select doc_id, count(*) as n, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from hits) group by doc_id)
+items as (select doc_id, count(*) as n, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from hits where item_id is not null) group by doc_id)
 select dw.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(h.n, 0) as bigint) as n_hit, cast(coalesce(i.n, 0) as bigint) as n_items,
   sha256(coalesce(i.ids, '')) as items_sha256, coalesce(h.n, 0) > 0 and 20 * coalesce(h.n, 0) >= len(w) as contaminated
 from dw left join n_hit h on dw.doc_id = h.doc_id left join items i on dw.doc_id = i.doc_id"""

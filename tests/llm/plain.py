@@ -56,8 +56,8 @@ def contamination(docs: list[tuple], items: list[tuple], width: int = 13) -> lis
     windows: dict[tuple, set[int]] = {}
     for item, text in items:
         w = words(text)
-        for i in range(max(1, len(w) - width + 1) if w and item is not None else 0):
-            windows.setdefault(tuple(w[i : i + width]), set()).add(item)
+        for i in range(max(1, len(w) - width + 1) if w else 0):
+            windows.setdefault(tuple(w[i : i + width]), set()).update(() if item is None else [item])
     out = []
     for d, text in docs:
         w = words(text)

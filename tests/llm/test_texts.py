@@ -78,6 +78,23 @@ def test_contamination_in_blocks(spark, messy, messy_docs, monkeypatch):
     assert rows(found, "doc_id", "n_words", "n_hit", "item_ids", "contaminated") == by_repr(plain.contamination([r[:2] for r in messy], items))
 
 
+@pytest.mark.parametrize("size", [8 << 20, 400])
+def test_contamination_repeated_ids_in_blocks(spark, monkeypatch, size):
+    """Rows that share a doc_id stay apart, whatever the number of blocks, parts and kept words."""
+    docs = [(1, "alpha beta gamma"), (1, "delta eps zeta"), (1, "alpha beta gamma"), (None, "alpha beta"), (None, "delta eps zeta alpha beta gamma"), (2, "x " * 70 + "eta theta"), (3, None)]
+    long_ = " ".join(f"w{i}" for i in range(100))
+    docs += [(4, long_), (4, long_[:60]), (5, "alpha beta gamma " + long_)]
+    items = [(1, "Alpha beta gamma"), (2, "delta eps, zeta"), (2, "alpha beta gamma"), (None, "eta theta"), (3, long_), (4, None)]
+    monkeypatch.setattr(decontaminate, "QUERY_BYTES", size)
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 7)
+    want = by_repr(plain.contamination(docs, items))
+    given = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for terms in (1 << 20, 5):
+        monkeypatch.setattr(decontaminate, "TERMS", terms)
+        found = decontaminate.contamination(given, items_of(spark, items))
+        assert rows(found, "doc_id", "n_words", "n_hit", "item_ids", "contaminated") == want
+
+
 def test_contamination_documents(spark, sf_dir, documents, plain_documents):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contamination(documents, items)
