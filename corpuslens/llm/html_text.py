@@ -1,14 +1,17 @@
 """HTML extraction: minimum-cut labelling of a page's text blocks.
 
-A page becomes its text blocks, each with the path of open elements. A logistic classifier over block features gives each block a cost of
+A page becomes its text blocks, each with the element that holds it. One scan finds them, in time linear in the page: where a tag ends,
+which open element an end tag closes and how far blocks lie apart never need a look at the rest of the page. A logistic classifier over block features gives each block a cost of
 being called content and one of being called boilerplate: the capacities of its edges to the two terminals. Neighbours in page order and
 the next blocks under the same parent are tied by smoothness edges that weaken with their distance in the tree. A minimum cut separates
 content from boilerplate: blocks whose terminal capacity outweighs all their ties are settled first, which no minimum cut contradicts;
-augmenting paths decide the rest.
+flow is pushed on from blocks with at most two open neighbours; augmenting paths decide the rest.
 
 The classifier is trained here: PRIOR holds what the features are expected to say, and weak labels of up to SAMPLE pages (blocks inside
 article or main and outside any marked boilerplate element, against blocks inside such elements) move it by penalised logistic
-regression. Scripts, styles, forms and other unseen elements never give blocks.
+regression. Class names and ids are features among others: names of adverts, menus, comments and notices weigh much everywhere,
+ambiguous ones (legal, related, footer) and names that only hold such a word (related-work, footer-note) weigh little inside an article.
+Scripts, styles, forms and other unseen elements never give blocks.
 
 Nulls: a null or empty html gives an empty text. Null ids and urls stay null; repeated rows are separate rows. Extra columns are
 ignored. An empty table gives no rows. White space is what str.split() takes, no-break spaces included.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,10 @@ from pyspark.sql import functions as F
 from .common import column, slices, typed
 
 SAMPLE = 512
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*(?:>|\Z)", re.DOTALL)
+#: A comment, a section of characters, a start or end tag's name, or a declaration.
+OPEN = re.compile(r"<!--|<!\[CDATA\[|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?]")
+#: A tag's attributes, up to its end: a quoted ">" doesn't end it.
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 #: Elements whose insides are never page text.
 UNSEEN = frozenset("script style noscript template head title iframe svg math object select option datalist textarea button canvas audio video map form".split())
 #: Of these, the ones whose insides are no markup either.
@@ -39,112 +46,252 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = frozenset("div section article main aside nav header footer ul ol dl table td th blockquote body html form figure".split())
 BOILER_TAGS = frozenset("nav footer aside menu dialog".split())
-BOILER = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscri\w*|sidebar|side|rail|widget|menu|nav\w*|breadcrumb\w*|pagination|pager|footer|header|masthead|topbar|comment\w*|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|more-\w+|trending|popular|tags|login|signup|search|toolbar|legal|copyright|disclaimer)(?:$|[\s_-])", re.IGNORECASE)
+#: Parts of class names and ids, between "-" and "_": of page furniture, of what may be furniture, and those that say nothing.
+FURNITURE = re.compile(r"ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w*|sidebar|rail|widgets?|menu|nav\w*|breadcrumb\w*|pagination|pager|masthead|topbar|comments?|commentlist|disqus|reply|replies|respond|share|sharing|login|signup|toolbar", re.IGNORECASE)
+AMBIGUOUS = re.compile(r"notice|side|footer|header|social|related|recommend\w*|more|trending|popular|tags|search|legal|copyright|disclaimer", re.IGNORECASE)
+NEUTRAL = re.compile(r"\d*|box|bar|list|wrap|wrapper|container|section|area|block|buttons?|links?|form|items?|inner|outer|panel|col|column|posts?|module|main|top|bottom|left|right|global|site|page|primary|secondary|icons?|thread|unit|slot|group|title|stories|articles", re.IGNORECASE)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|story|main|body|text|page-content)(?:$|[\s_-])", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
 
-FEATURES = ("bias", "inside article or main", "inside nav, footer, aside", "inside a header outside an article", "boilerplate name", "content name", "link share", "log length", "sentence end", "heading", "list item", "hidden")
-PRIOR = np.array([-0.8, 4.0, -7.0, -5.0, -7.0, 1.0, -3.0, 0.25, 0.4, 0.6, -0.8, -8.0])
+FEATURES = ("bias", "inside article or main", "inside nav, footer, aside", "inside a header outside an article", "furniture's name", "ambiguous name inside an article", "name that holds such a word", "such a name inside an article", "content name", "link share", "log length", "sentence end", "heading", "list item", "hidden")
+PRIOR = np.array([-0.8, 4.0, -7.0, -5.0, -7.0, -4.4, -3.0, -0.5, 1.0, -3.0, 0.25, 0.4, 0.6, -0.8, -8.0])
 TRUST = 40.0
 TIE = 1.2
 
 
 class Block:
-    __slots__ = ("flags", "linked", "parent", "path", "text")
-
-    def __init__(self, text: str, linked: float, path: tuple[int, ...], flags: tuple[bool, ...]) -> None:
-        self.text, self.linked, self.path, self.flags = text, linked, path, flags
-        self.parent = path[-2] if len(path) > 1 else 0
+    """flags: in article, in nav or the like, in page header, furniture's name, ambiguous name in article, holds such a word, the same in
+    article, content name, heading, list item, hidden."""
+
+    __slots__ = ("flags", "linked", "node", "text")
+
+    def __init__(self, text: str, linked: float, node: Node, flags: tuple[bool, ...]) -> None:
+        self.text, self.linked, self.node, self.flags = text, linked, node, flags
+
+
+class Node:
+    """An element that isn't inline."""
+
+    __slots__ = ("depth", "up")
+
+    def __init__(self, up: Node | None) -> None:
+        self.up, self.depth = up, up.depth + 1 if up else 0
+
+
+def apart(a: Node, b: Node) -> int:
+    """Steps from a to b in the tree. From block to block these are no more than the elements opened and closed between them."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
+
+
+class TagEnds:
+    """Where a tag that is open at a place ends, for all places at once: made from the page's end on, for pages with unclosed quotes."""
+
+    def __init__(self, page: str) -> None:
+        marks = [(m.start(), m[0]) for m in re.finditer("[\"'>]", page)]
+        self.place, self.end = [at for at, _ in marks], []
+        outside = double = single = -1
+        for at, mark in reversed(marks):
+            if mark == ">":
+                outside = at
+            elif mark == '"':
+                outside, double = double, outside
+            else:
+                outside, single = single, outside
+            self.end.append(outside)
+        self.end.reverse()
+
+    def after(self, at: int) -> int:
+        """The ">" that ends the tag, -1 if there is none."""
+        i = bisect_left(self.place, at)
+        return self.end[i] if i < len(self.end) else -1
+
+
+def _kind(names: str) -> tuple[bool, bool, bool]:
+    """Of a class or id: whether it names furniture, may name it, only holds such a word."""
+    furniture = ambiguous = holds = False
+    for token in names.split():
+        parts = re.split("[-_]", token)
+        sure = [bool(FURNITURE.fullmatch(x)) for x in parts]
+        maybe = [bool(AMBIGUOUS.fullmatch(x)) for x in parts]
+        if not any(sure) and not any(maybe):
+            continue
+        whole = all(s or m or NEUTRAL.fullmatch(x) for s, m, x in zip(sure, maybe, parts, strict=True))
+        furniture = furniture or whole and any(sure)
+        ambiguous = ambiguous or whole and not any(sure)
+        holds = holds or not whole
+    return furniture, ambiguous, holds
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
-    boiler = content = hidden = False
+def _marks(attributes: str) -> tuple[bool, bool, bool, bool, bool]:
+    """(furniture, ambiguous, holds such a word, content, hidden) of an element's attributes."""
+    furniture = ambiguous = holds = content = hidden = False
     if attributes and not attributes.isspace():
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
-                boiler = boiler or bool(BOILER.search(value))
+                found = _kind(value)
+                furniture, ambiguous, holds = furniture or found[0], ambiguous or found[1], holds or found[2]
                 content = content or bool(CONTENT.search(value))
             elif key == "role":
-                boiler = boiler or value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar")
+                furniture = furniture or value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar")
                 content = content or value.lower() in ("main", "article")
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 hidden = True
             elif key == "style":
                 hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
-    return boiler, content, hidden
+    return furniture, ambiguous, holds, content, hidden
+
+
+class Stack:
+    """The open elements, innermost last: (name, node, flags, unseen). It knows the places of each name and of what isn't inline."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, Node, tuple[bool, ...], bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+        self.holder_places: list[int] = [-1]
+        self.push("", Node(None), (False,) * 11, False)
+
+    def push(self, name: str, node: Node, flags: tuple[bool, ...], unseen: bool) -> None:
+        at = len(self.items)
+        self.items.append((name, node, flags, unseen))
+        self.places.setdefault(name, []).append(at)
+        if name not in INLINE:
+            self.block_places.append(at)
+        if name in HOLDERS:
+            self.holder_places.append(at)
+
+    def cut(self, depth: int) -> None:
+        while len(self.items) > depth:
+            name = self.items.pop()[0]
+            self.places[name].pop()
+            if name not in INLINE:
+                self.block_places.pop()
+            if name in HOLDERS:
+                self.holder_places.pop()
+
+    def last(self, name: str) -> int:
+        """The innermost element of that name, 0 if none is open."""
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def close(self, name: str) -> None:
+        """An end tag; an inline one doesn't reach past an element that isn't inline."""
+        depth = self.last(name)
+        if depth and not (name in INLINE and self.block_places[-1] > depth):
+            self.cut(depth)
+
+    def start(self, name: str) -> None:
+        """A start tag ends what can't hold it: a paragraph, or what CLOSES says, in the same container."""
+        depth = max(self.last(x) for x in (*CLOSES.get(name, ()), "p"))
+        if depth and depth >= self.holder_places[-1]:
+            self.cut(depth)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; an inline element doesn't end a block, and a line break is white space."""
     out: list[Block] = []
-    # name, number, in article, boiler tag, page header, boiler name, content name, heading, list item, hidden, unseen
-    stack: list[tuple] = [("", 0, False, False, False, False, False, False, False, False, False)]
+    stack = Stack()
     texts: list[str] = []
-    linked = number = in_link = at = 0
+    linked = in_link = at = text_at = 0
+    ends: TagEnds | None = None
+    last_end = page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
         if texts:
             text = " ".join(entities.unescape("".join(texts)).split())
             if text:
-                holder = [x for x in stack if x[0] not in INLINE]
-                out.append(Block(text, min(1.0, linked / len(text)), tuple(x[1] for x in holder), stack[-1][2:10]))
+                _, node, flags, _ = stack.items[-1]
+                out.append(Block(text, min(1.0, linked / len(text)), node, flags))
             texts.clear()
         linked = 0
 
-    while True:
-        m = TOKEN.search(page, at)
-        piece = page[at : m.start()] if m else page[at:]
-        if piece and not stack[-1][10]:
+    def say(piece: str) -> None:
+        nonlocal linked
+        if piece and not stack.items[-1][3]:
             texts.append(piece)
             if in_link:
                 linked += len(piece.strip())
-        if not m:
-            break
+
+    while m := OPEN.search(page, at):
         at = m.end()
+        if m[2]:
+            rest = None
+            if at <= last_end:
+                if ends is None:
+                    found = REST.match(page, at)
+                    if found:
+                        rest, at = found[1], found.end()
+                    else:
+                        ends = TagEnds(page)
+                if rest is None:
+                    end = ends.after(at)
+                    if end >= 0:
+                        rest, at = page[at:end], end + 1
+            if rest is None:
+                continue  # no tag: its characters are text
+        say(page[text_at : m.start()])
         if not m[2]:
-            if m[0].startswith("<![CDATA[") and not stack[-1][10]:
-                texts.append(entities.escape(m[0][9:].removesuffix("]]>")))
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+            end = page.find(close, at)
+            if m[0] == "<![CDATA[":
+                say(entities.escape(page[at:end] if end >= 0 else page[at:]))
+            at = text_at = end + len(close) if end >= 0 else len(page)
             continue
+        text_at = at
         name = m[2].lower()
         if m[1]:
             if name == "a":
                 in_link = 0
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
             if name not in INLINE:
                 flush()
             elif name == "br":
                 texts.append(" ")
-            if depth and not (name in INLINE and any(x[0] not in INLINE for x in stack[depth + 1 :])):
-                del stack[depth:]
+            stack.close(name)
             continue
         if name not in INLINE:
             flush()
             in_link = 0
             if name in CLOSES or name not in VOID:
-                ends = CLOSES.get(name, frozenset()) | {"p"}
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in HOLDERS:
-                        break
+                stack.start(name)
         elif name == "br":
             texts.append(" ")
-        if name in VOID or m[3].endswith("/") and name not in HOLDERS:
+        if name in VOID or rest.endswith("/") and name not in HOLDERS:
             continue
         if name == "a":
             in_link = 1
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            at = text_at = end.end() if end else len(page)
             continue
-        number += 1
-        up = stack[-1]
-        boiler, content, hidden = _marks(name, m[3])
-        article = up[2] or name in ("article", "main")
-        stack.append((name, number, article, up[3] or name in BOILER_TAGS, up[4] or name == "header" and not up[2], up[5] or boiler and name not in ("body", "html"), up[6] or content, up[7] or name in ("h1", "h2", "h3", "h4", "h5", "h6"), up[8] or name == "li", up[9] or hidden, up[10] or name in UNSEEN))
+        _, node, up, unseen = stack.items[-1]
+        furniture, ambiguous, holds, content, hidden = _marks(rest)
+        if name in ("body", "html"):
+            furniture = ambiguous = holds = False
+        article = up[0] or name in ("article", "main")
+        flags = (
+            article,
+            up[1] or name in BOILER_TAGS,
+            up[2] or name == "header" and not up[0],
+            up[3] or furniture or ambiguous and not article,
+            up[4] or ambiguous and article,
+            up[5] or holds and not article,
+            up[6] or holds and article,
+            up[7] or content,
+            up[8] or name in ("h1", "h2", "h3", "h4", "h5", "h6"),
+            up[9] or name == "li",
+            up[10] or hidden,
+        )
+        stack.push(name, node if name in INLINE else Node(node), flags, unseen or name in UNSEEN)
+    say(page[text_at:])
     flush()
     return out
 
@@ -152,8 +299,8 @@ def blocks(page: str) -> list[Block]:
 def features(found: list[Block]) -> np.ndarray:
     out = np.zeros((len(found), len(FEATURES)))
     for i, b in enumerate(found):
-        article, tag, header, boiler, content, heading, item, hidden = b.flags
-        out[i] = (1, article, tag, header, boiler, content, b.linked, min(8.0, np.log1p(len(b.text))) - 3, b.text[-1] in ".!?…。", heading, item, hidden)
+        *where, heading, item, hidden = b.flags
+        out[i] = (1, *where, b.linked, min(8.0, np.log1p(len(b.text))) - 3, b.text[-1] in ".!?…。", heading, item, hidden)
     return out
 
 
@@ -163,10 +310,12 @@ def train(pages: list[str]) -> np.ndarray:
     for page in pages:
         found = blocks(page)
         for b, x in zip(found, features(found), strict=True):
-            article, tag, header, boiler = b.flags[:4]
-            if article or tag or header or boiler:
+            article, tag, header, furniture, ambiguous = b.flags[:5]
+            if ambiguous:
+                continue  # no label
+            if article or tag or header or furniture:
                 xs.append(x)
-                ys.append(float(article and not (tag or header or boiler)))
+                ys.append(float(article and not (tag or header or furniture)))
     w = PRIOR.copy()
     if not xs:
         return w
@@ -185,18 +334,12 @@ def ties(found: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1].path
-            same = 0
-            for x, y in zip(a, b.path, strict=False):
-                if x != y:
-                    break
-                same += 1
-            apart = len(a) + len(b.path) - 2 * same
-            out.append((i - 1, i, TIE / (1 + apart) ** 2))
-        j = last.get(b.parent)
+            out.append((i - 1, i, TIE / (1 + apart(found[i - 1].node, b.node)) ** 2))
+        parent = id(b.node.up or b.node)
+        j = last.get(parent)
         if j is not None:
             out.append((j, i, TIE / 2))
-        last[b.parent] = i
+        last[parent] = i
     return out
 
 
@@ -220,13 +363,47 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
                 del near[j][i]
                 if abs(odds[j]) > sum(near[j].values()):
                     ready.append(j)
-    left = [i for i in range(n) if label[i] is None]
+    gone = _pushed(odds, label, near)
+    left = [i for i in range(n) if label[i] is None and i not in gone]
     if left:
         for i, side in zip(left, _max_flow(left, odds, near), strict=True):
             label[i] = side
+    for i, (odd, around) in reversed(gone.items()):
+        label[i] = odd + sum(w if label[j] else -w for j, w in around) > 0
     return label
 
 
+def _pushed(odds: list[float], label: list[bool | None], near: list[dict[int, float]]) -> dict[int, tuple[float, list[tuple[int, float]]]]:
+    """Pushes the flow of open nodes with two open neighbours or fewer on to these, one node after the other: what a node with ties v and w
+    can pass is a change of its neighbours' own odds and a tie between them, so the cut stays minimal. Returns the nodes in order, with
+    what their labels then depend on. Pages that are mostly rows of siblings are settled by this in linear time."""
+    gone: dict[int, tuple[float, list[tuple[int, float]]]] = {}
+    for i in range(len(odds)):
+        if label[i] is None:
+            near[i] = {j: w for j, w in near[i].items() if label[j] is None}
+    ready = [i for i in range(len(odds)) if label[i] is None and len(near[i]) <= 2]
+    while ready:
+        i = ready.pop()
+        if i in gone or len(near[i]) > 2:
+            continue
+        around = list(near[i].items())
+        gone[i] = (odds[i], around)
+        for j, _ in around:
+            del near[j][i]
+        (a, v), (b, w) = [*around, (-1, 0.0), (-1, 0.0)][:2]
+        cost = {(x, y): min(v * x + w * y, v * (1 - x) + w * (1 - y) - odds[i]) for x in (0, 1) for y in (0, 1)}
+        tie = max(0.0, (cost[1, 0] + cost[0, 1] - cost[0, 0] - cost[1, 1]) / 2)
+        if a >= 0:
+            odds[a] -= cost[1, 0] - cost[0, 0] - tie
+        if b >= 0:
+            odds[b] -= cost[0, 1] - cost[0, 0] - tie
+            if tie > 0:
+                near[a][b] = near[a].get(b, 0.0) + tie
+                near[b][a] = near[b].get(a, 0.0) + tie
+        ready += [j for j, _ in around if len(near[j]) <= 2]
+    return gone
+
+
 def _max_flow(left: list[int], odds: list[float], near: list[dict[int, float]]) -> list[bool]:
     """Shortest augmenting paths; True: reachable from the source in the residual graph."""
     at = {x: k for k, x in enumerate(left)}

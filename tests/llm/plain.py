@@ -100,8 +100,8 @@ def near_vectors(rows: list[tuple], least: float = 0.98) -> list[tuple]:
     edges = []
     for n, i in enumerate(fine):
         for j in fine[n + 1 :]:
-            a, b = np.array(rows[i][1], dtype=float), np.array(rows[j][1], dtype=float)
-            if rows[i][2] == rows[j][2] and len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= least:
+            a, b = (np.array(rows[k][1], dtype=np.longdouble) for k in (i, j))
+            if rows[i][2] == rows[j][2] and len(a) == len(b) and (a * b).sum() / np.sqrt((a * a).sum()) / np.sqrt((b * b).sum()) >= least:
                 edges.append((i, j))
     links = np.bincount(np.array(edges, dtype=int).reshape(-1), minlength=len(rows))
     return [(r[0], int(n), rows[c][0], c == i) for i, (r, n, c) in enumerate(zip(rows, links, groups(len(rows), edges), strict=True))]

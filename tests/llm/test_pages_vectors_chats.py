@@ -7,6 +7,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -58,6 +59,52 @@ def test_minimum_cut_against_all_labellings():
         assert cost(html_text.minimum_cut(odds, edges)) == pytest.approx(least, abs=1e-9)
 
 
+def test_minimum_cut_on_rows_and_rings():
+    """Ties of few neighbours, as pages have them."""
+    r = random.Random(2)
+    for _ in range(200):
+        n = r.randint(2, 9)
+        odds = [r.uniform(-1, 1) for _ in range(n)]
+        edges = [(i, i + 1, r.uniform(0, 2)) for i in range(n - 1)] + [(i, i + 2, r.uniform(0, 2)) for i in range(n - 2) if r.random() < 0.5] + [(0, n - 1, 0.5)]
+        least, cost = brute_cut(odds, edges)
+        assert cost(html_text.minimum_cut(odds, edges)) == pytest.approx(least, abs=1e-9)
+
+
+HOSTILE = {
+    "no tag ends": lambda n: "<a " * n, "quotes without end": lambda n: "<a '>' " * n + '"', "quotes": lambda n: '<a "' * n, "deep": lambda n: "<div>x" * n, "wrong ends": lambda n: "<div>" * n + "</b>" * n,
+    "inline in blocks": lambda n: "<b>" * n + "<h1>" * n, "undecided": lambda n: "<div class=content>" + "".join("<p>" + "a" * (3 + i * i % 17) for i in range(n)),
+    "text between": lambda n: "<div class=content>" + "aaaaaaaaa<p>b</p>" * n, "lists": lambda n: "<article>" + "<li>x<p>yy. " * n, "one name": lambda n: "<div class=" + "a-" * n + ">x",
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_time_grows_with_the_page(kind):
+    """Eight times the page takes no more than sixteen times as long (a fifth of a second aside)."""
+    took = []
+    for n in (2_000, 16_000):
+        page = HOSTILE[kind](n)
+        began = time.process_time()
+        html_text.extract(page, html_text.PRIOR)
+        took.append(time.process_time() - began)
+    assert took[1] <= 16 * took[0] + 0.2
+
+
+LONG = "A sentence of the article stands here, and it is followed by some more words. "
+
+
+@pytest.mark.parametrize("attribute", ['id="related-work"', 'class="social-text"', 'class="footer-note"', 'class="legal-basis"', 'class="search-methods"', 'class="copyright-law"'])
+def test_article_parts_keep_their_text_whatever_their_names(attribute):
+    page = f"<nav><a href=a>A</a></nav><article><h1>Title of it</h1><p>{LONG}</p><section {attribute}><h2>A part</h2><p>{LONG * 3}</p><p>{LONG}</p></section><p>{LONG}</p></article><footer>c</footer>"
+    text = html_text.extract(page, html_text.PRIOR)
+    assert text.count("A sentence") == 6 and "A part" in text
+
+
+@pytest.mark.parametrize("attribute", ['class="ad"', 'class="ad-box"', 'id="comments"', 'class="comment-list"', 'class="share-buttons"', 'class="newsletter signup"', 'class="cookie-notice"', 'class="related-posts"', "role=navigation"])
+def test_furniture_inside_an_article_goes(attribute):
+    page = f"<article><h1>Title of it</h1><p>{LONG * 3}</p><div {attribute}><p>Words of somebody else stand here.</p></div><p>{LONG}</p></article>"
+    assert "somebody else" not in html_text.extract(page, html_text.PRIOR)
+
+
 def test_pages_against_their_articles(spark, sf_dir):
     """The tables' pages hold their article in one element; a plain reading of that is the answer."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -104,6 +151,21 @@ def test_near_vectors_messy(spark):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(plain.near_vectors(given), key=repr)
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_near_vectors_of_any_size(spark, exact):
+    """Components whose squares over- or underflow."""
+    given = [(i, (np.array([1.0, 2.0, 3.0, -1.0]) * s + np.array([d, 0, 0, 0]) * s).tolist(), 1) for i, (s, d) in enumerate([(1e200, 0), (3e200, 0.01), (1e-200, 0), (5e-324, 0), (1e-310, 0.02), (1.0, 3.0), (1e300, 3.0)])]
+    found = near_vectors.near_vectors(spark.createDataFrame(given, "vec_id long, embedding array<double>, label int"), exact=exact)
+    assert sorted(map(tuple, found.collect())) == sorted(plain.near_vectors(given))
+
+
+def test_near_vectors_exact(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "BLOCK", 64)
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding", "label")
+    found = near_vectors.near_vectors(rows, exact=True)
+    assert sorted(map(tuple, found.collect())) == sorted(plain.near_vectors([tuple(r) for r in rows.collect()]))
+
+
 def test_near_vectors_large_bucket(spark, monkeypatch):
     """Buckets over a block are split into pairs of blocks; links and groups stay whole."""
     monkeypatch.setattr(near_vectors, "BLOCK", 16)
