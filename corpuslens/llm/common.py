@@ -157,29 +157,40 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(local, "a long, b long")
 
 
+#: Keys with more than this part of all rows are met by broadcast; there can't be more of them.
+HOT_KEYS = 1024
+
+
+def looked_up(rows: DataFrame, known: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of known, which has one row for each key `on` and in n how many of the `total` rows have it. Keys with over
+    1/HOT_KEYS of the rows (so HOT_KEYS at most) are met by broadcast and never gathered in a task; the others by a shuffle."""
+    hot = F.broadcast(known.where(F.col(n) * HOT_KEYS > total))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(known, on, how))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component): the smallest id reachable, for every id that has an edge. edges: a and b long, neither null.
 
     Alternating large and small stars: in turn each item hands its larger neighbours, then all its smaller ones, to its smallest
     neighbour, so that the depth of the trees falls geometrically. Each round is a written table; only a count and a checksum reach
-    the driver. The smallest neighbour comes from an aggregation with partial sums and a join that AQE can split, so that an item
-    with a third of all edges doesn't land in one task.
+    the driver. The smallest neighbour comes from an aggregation with partial sums, and items with many edges are looked up by
+    broadcast, so that an item with a third of all edges doesn't land in one task.
     """
     edges = written(_contracted(edges.where("a <> b")), name)
-    seen = None
+    seen, n = None, edges.count()
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("i"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("i")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("i"), "m")
-        small = large.join(lower, F.col("a") == F.col("i"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+        large = looked_up(both.where("b > a"), least, ["a"], "n", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.distinct(), name)
+        lower = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = looked_up(large, lower, ["a"], "n", n)
         small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = written(small.where("a <> b").distinct(), name)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        seen = now
+        seen, n = now, now[0]
 
 
 def typed(rows: list, types: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:

@@ -10,7 +10,9 @@
 5. Components of the edges come from alternating stars over written tables.
 
 The index holds every vector. Two vectors meet unless all their chunks differ, so some links may be missed near the threshold (recall
-is measured in tests/llm; over 0.97 for cosines of 0.98 and more), none is invented. Vectors of unequal length don't link.
+is measured in tests/llm; over 0.97 for cosines of 0.98 and more), none is invented. With exact=True all vectors of a label are one
+bucket, cut into pairs of blocks: no link is missed, and the work grows with the square of a label's different vectors. Vectors of
+unequal length don't link. Norms are taken of vectors scaled by a power of two, so components of any size neither over- nor underflow.
 
 Nulls: vectors that are null, zero or hold null or non-finite components, and those without a label, link with nothing. Null vec_ids
 count as the largest id and come back as null. Repeated rows are copies of each other. Extra columns are ignored. An empty table gives none.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Links, bounded_batches, components, id_key, ints, typed, whole_groups, written
+from .common import NULL_ID, Links, bounded_batches, components, id_key, ints, looked_up, typed, whole_groups, written
 
 SAMPLE = 8192
 ROUNDS = 40
@@ -52,8 +54,10 @@ def chunks(bits: int, tables: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
 
-def codes(x: np.ndarray, rotation: np.ndarray, tables: int) -> np.ndarray:
-    """(n, tables): the vectors' chunks."""
+def codes(x: np.ndarray, rotation: np.ndarray | None, tables: int) -> np.ndarray:
+    """(n, tables): the chunks of unit vectors; without a rotation one that all share."""
+    if rotation is None:
+        return np.zeros((len(x), 1), dtype=np.int64)
     on = (x @ rotation > 0).astype(np.int64)
     return np.stack([on[:, a:b] @ (1 << np.arange(b - a)) for a, b in chunks(rotation.shape[1], tables)], axis=1)
 
@@ -63,6 +67,13 @@ def vectors(values: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(values), -1)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows without zero rows, at length 1."""
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    x = np.ldexp(x, -power)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def usable(vector: str) -> Column:
     x = F.col(vector)
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -76,7 +87,7 @@ def compare(left: np.ndarray, right: np.ndarray, lc: np.ndarray, rc: np.ndarray,
     return a[first], b[first]
 
 
-def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES) -> DataFrame:
+def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES, exact: bool = False) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row (vec_id, embedding, label)."""
     spark = rows.sparkSession
     bounded_batches(spark)
@@ -85,35 +96,37 @@ def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES) ->
     fine = given.where("ok").withColumn("width", F.size("x"))
     # copies: the same label and the same 96 bits of hash of the vector
     classes = written(fine.groupBy("label", "h", "g").agg(F.min("v").alias("rep"), F.count("*").alias("copies"), F.min("x").alias("x"), F.min("width").alias("width")), "vector-classes")
-    alone = given.select("v", "label", "h", "g")
+    alone = given.select("v", "label", "h", "g", "ok")
     if classes.isEmpty():
-        links = spark.createDataFrame([], "rep long, n long, component long, label string, h long, g int, copies long")
-        return _result(alone, links)
+        return _result(alone.where(~F.col("ok")), None)
     edges = None
     for (w,) in classes.select("width").distinct().collect():
         own = classes.where(F.col("width") == w)
-        sample = own.orderBy(F.xxhash64("h", "label")).limit(SAMPLE).select("x").collect()
-        x = np.array([r[0] for r in sample], dtype=np.float64)
-        rotation = learn(x / np.linalg.norm(x, axis=1, keepdims=True))
-        found = written(_bucket_links(own, rotation, least, min(tables, rotation.shape[1])), "vector-links")
+        sample = own.orderBy(F.xxhash64("h", "label")).limit(0 if exact else SAMPLE).select("x").collect()
+        rotation = None if exact else learn(unit(np.array([r[0] for r in sample], dtype=np.float64)))
+        found = written(_bucket_links(own, rotation, least, 1 if exact else min(tables, rotation.shape[1])), "vector-links")
         edges = found if edges is None else edges.union(found)
     near = edges.where("b is not null").select("a", "b")
     counts = edges.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     parts = components(near, "vector-edges")
     links = classes.join(counts, F.col("rep") == counts["a"], "left").join(parts, F.col("rep") == F.col("id"), "left")
     links = links.select("rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component"), "label", "h", "g", "copies")
-    return _result(alone, links)
+    return _result(alone, written(links, "vector-components"))
 
 
-def _result(alone: DataFrame, links: DataFrame) -> DataFrame:
+def _result(alone: DataFrame, links: DataFrame | None) -> DataFrame:
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    found = alone.join(links.withColumnsRenamed({"label": "l", "h": "hh", "g": "gg"}), (F.col("label") == F.col("l")) & (F.col("h") == F.col("hh")) & (F.col("g") == F.col("gg")), "left")
-    n = F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long")
-    found = found.select("v", n.alias("n_links"), F.coalesce("component", "v").alias("c"))
+    n_links = lambda n: n.cast("long").alias("n_links")
+    found = alone.where(~F.col("ok")).select("v", n_links(F.lit(0)), F.col("v").alias("c"))
+    if links is not None:
+        fine = alone.where("ok").select("v", "label", "h", "g")
+        total = links.agg(F.sum("copies")).first()[0]
+        both = looked_up(fine, links, ["label", "h", "g"], "copies", total)
+        found = found.union(both.select("v", n_links(F.col("n") + F.col("copies") - 1), F.col("component").alias("c")))
     return found.select(back("v").alias("vec_id"), "n_links", back("c").alias("component_id"), (F.col("v") == F.col("c")).alias("kept"))
 
 
-def _bucket_links(classes: DataFrame, rotation: np.ndarray, least: float, tables: int) -> DataFrame:
+def _bucket_links(classes: DataFrame, rotation: np.ndarray | None, least: float, tables: int) -> DataFrame:
     """(a, b, n): b null: class a has n more links; else an edge between classes. k is a hash of the bucket, so different buckets may share it;
     label and chunk are compared, too, before anything counts."""
     shared = classes.sparkSession.sparkContext.broadcast(rotation)
@@ -121,7 +134,7 @@ def _bucket_links(classes: DataFrame, rotation: np.ndarray, least: float, tables
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = codes(vectors(batch.column(batch.schema.get_field_index("x"))), shared.value, tables)
+                found = codes(unit(vectors(batch.column(batch.schema.get_field_index("x")))), shared.value, tables)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.tolist(), pa.list_(pa.int64()))], [*batch.schema.names, "chunk"])
 
     coded = classes.select("rep", "copies", "label", "x").mapInArrow(code, "rep long, copies long, label " + classes.schema["label"].dataType.simpleString() + ", x array<double>, chunk array<long>")
@@ -140,8 +153,7 @@ def _bucket_links(classes: DataFrame, rotation: np.ndarray, least: float, tables
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "k"):
             cols = {n: group.column(n).to_numpy() for n in ("k", "rep", "copies", "l", "t", "c", "low", "high", "own")}
-            x = vectors(group.column("x").combine_chunks())
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(vectors(group.column("x").combine_chunks()))
             chunk = np.array(group.column("chunk").to_pylist(), dtype=np.int64)
             place = np.stack([cols[n] for n in ("k", "l", "t", "c", "low", "high")], axis=1)
             order = np.lexsort(place.T[::-1])

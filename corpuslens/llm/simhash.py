@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Links, binary, bounded_batches, components, id_key, ints, slices, typed, whole_groups, written
+from .common import NULL_ID, Links, binary, bounded_batches, components, id_key, ints, looked_up, slices, typed, whole_groups, written
 
 SEED = 42
 #: Fixed: the generator polynomial of the (23, 12) Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -159,11 +159,13 @@ def row_groups(docs: DataFrame, most: int = 3, size: int = 3) -> DataFrame:
     are of fingerprints, so rows that share a doc_id stay apart."""
     bounded_batches(docs.sparkSession)
     found = written(fingerprints(docs, size), "fingerprints")
-    classes = written(found.groupBy("f").agg(F.min("d").alias("rep")), "fingerprint-classes")
+    classes = written(found.groupBy("f").agg(F.min("d").alias("rep"), F.count("*").alias("n")), "fingerprint-classes")
     parts = components(links(classes.select("f", F.col("f").alias("rep")), most), "fingerprint-links")
-    of = written(classes.join(parts, F.col("f") == F.col("id"), "left").select("f", "rep", F.coalesce("component", "f").alias("g")), "fingerprint-groups")
-    least = of.select("f", "g").join(of.groupBy("g").agg(F.min("rep").alias("c")), "g")
-    return found.join(least, "f")
+    of = written(classes.join(parts, F.col("f") == F.col("id"), "left").select("f", "rep", "n", F.coalesce("component", "f").alias("g")), "fingerprint-groups")
+    groups = of.groupBy("g").agg(F.min("rep").alias("c"), F.count("*").alias("m"))
+    total = of.count()
+    least = written(looked_up(of.select("f", "n", "g"), groups, ["g"], "m", total).select("f", "n", "g", "c"), "fingerprint-components")
+    return looked_up(found, least, ["f"], "n", found.count()).select("d", "f", "t", "g", "c")
 
 
 def simhash_groups(docs: DataFrame, most: int = 3, size: int = 3) -> DataFrame:
