@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a temporary folder only where the session names none, as in tests."""
+    """What spark.checkpoint.dir names; a folder of the warehouse, which executors share as well, only where the session names none."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="corpuslens-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+    return (place or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
