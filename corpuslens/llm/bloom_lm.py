@@ -1,16 +1,17 @@
-"""LM scoring: a log-frequency Bloom filter of quantised bigram counts, broadcast to the workers.
-
-Training (documents whose fold isn't `held`):
-1. Word counts, with partial sums, as a written table: exact, of any size.
-2. The words of highest count, HOT_WORDS at most, are broadcast with their counts. Which words these are decides nothing: other words
-   and their bigrams meet their counts in joins, by 64-bit hashes.
-3. All bigrams are counted. A bigram of hot words seen n times goes into the filter once for each of its levels 1..1+log(n, BASE). The
-   filter is sized by the bigrams' levels (LEVEL_BITS each) and cut by the key's hash into parts of FILTER_BITS.
-Scoring: a bigram's level comes from repeated membership probes, its count from the level (rounded down); bigrams of other words take
-the same rounded counts. Each part of the filter is broadcast in a round of its own. With interpolated absolute discounting,
-p(w|v) = max(count(v, w) - D, 0) / count(v) + backoff(v) p(w), where backoff(v) is what the rounded counts leave. p(w) discounts word
-counts alike and gives the rest to one unknown event, so a context's probabilities over the V known tokens and the unknown one add up
-to 1 (but for the filter's false positives, under 0.003 a level in a full part).
+"""LM scoring: a log-frequency Bloom filter of quantised bigram counts, in shards by the bigrams' hashes.
+
+1. Texts go into slices of a few MB, a written table. Each slice names its different words and bigrams, as sorted 64-bit hashes with
+   their counts in the slice's training documents (those whose fold isn't `held`), and sends them to shards by the hashes' first bits.
+2. A shard adds the counts up. Bigrams seen n times in training go into its filter once for each of their levels 1..1+log(n, BASE);
+   the filter has LEVEL_BITS for each level. Every bigram that a slice asks for is then probed level by level. Words get exact counts.
+3. Answers go back to the slices in the order in which the slices named their words and bigrams, a byte for a bigram.
+Every word and bigram of a slice is named once, whatever their frequency, so shards are even; a shard holds about SHARD_BYTES of text.
+The filter of a corpus has no bounded size, so it isn't broadcast whole: the probes travel to its shards, once, with the counts.
+
+p(w|v) = (q(v, w) + b(v) p(w)) / (c(v) + b(v)): q is the filter's count (a level's lower bound), c(v) the exact count, and b(v) =
+c(v) ** GROWTH stands for the number of different followers, which grows so with a word's count. p(w) discounts word counts and gives
+the rest to one unknown event, so a context's probabilities over the V known tokens and the unknown one add up to 1, less what the
+levels round off (nothing for counts up to 4, a third of a count at most), but for false positives (under 0.003 a level).
 
 Nulls: a null text is empty: one end token. A null doc_id belongs to the training part (its id text is empty). Rows that share a doc_id
 are separate rows. Extra columns are ignored. An empty table gives no rows; without training tokens every token has probability 1.
@@ -18,397 +19,249 @@ are separate rows. Extra columns are ignored. An empty table gives no rows; with
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from functools import cached_property
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, binary, bounded_batches, column, fold, id_key, ints, slices, typed, whole_groups, written
 
-HOT_WORDS = 1 << 18
-#: Of one part of the filter.
-FILTER_BITS = 1 << 28
+#: Text whose words and bigrams one shard counts, and the least number of shards.
+SHARD_BYTES = 16 << 20
+SHARDS = 64
 LEVEL_BITS = 16
-SEGMENTS = 1 << 8
 PROBES = 4
 BASE = 1.5
-D = 0.75
+GROWTH = 0.7
 #: The end token among words; no word holds white space.
 END = b"\n"
-FLUSH = 300_000
-CHUNK = 4 << 20
-#: An odd factor and its inverse: keys are spread over 64 bits and can be read back.
-SPREAD = 0x9E3779B97F4A7C15
-BACK = pow(SPREAD, -1, 1 << 64)
+#: Odd factors that spread hashes over 64 bits.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(w binary, c long) of the texts' words and ends."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        kinds = [("w", pa.binary()), ("c", pa.int64())]
-        for batch in slices(batches, "text"):
-            for text in binary(batch, "text"):
-                seen.update(words_of(text))
-            seen[END] += batch.num_rows
-            if len(seen) > FLUSH:
-                yield typed([list(seen), list(seen.values())], kinds)
-                seen.clear()
-        yield typed([list(seen), list(seen.values())], kinds)
-
-    return train.select("text").mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
-
-
-class Ids(dict):
-    """Words' ids; -1 for others."""
+class Numbers(dict):
+    """Numbers words in the order of their first use."""
 
     def __missing__(self, key: bytes) -> int:
-        return -1
-
-
-class Hot:
-    """The hot words, numbered in order. They travel as one string; the dict is made where words are looked up, in the workers."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        self.joined, self.size = b" ".join(words), len(words)
+        self[key] = n = len(self)
+        return n
 
-    @cached_property
-    def ids(self) -> Ids:
-        return Ids((w, i) for i, w in enumerate(self.joined.split(b" ") if self.size else ()))
 
-    @cached_property
-    def hashes(self) -> np.ndarray:
-        return word_hashes(self.ids)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "hashes")}
-
-
-def word_hashes(words: Iterable[bytes]) -> np.ndarray:
-    """The same as Spark's xxhash64."""
-    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype=np.uint64).view(np.int64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * MIX
+        return x ^ (x >> np.uint64(29))
 
 
-def token_ids(texts: list[bytes], hot: Ids) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Ids of all texts' tokens, ends included; each text's last place; the words."""
-    words = [words_of(x) for x in texts]
-    size = np.array([len(x) for x in words], dtype=np.int64)
-    last = np.cumsum(size + 1) - 1
-    ids = np.empty(int(size.sum()) + len(texts), dtype=np.int64)
-    inner = np.ones(len(ids), dtype=bool)
-    inner[last] = False
-    ids[inner] = np.fromiter(map(hot.__getitem__, chain.from_iterable(words)), np.int64, int(size.sum()))
-    ids[last] = hot[END]
-    return ids, last, words
+class Tokens:
+    """The tokens of a slice's texts. word, before, pair: of each token, the places of its word, of the word before (an end before a
+    text's first) and of both in the sorted different hashes words and pairs; last: each text's end token."""
 
+    def __init__(self, texts: list[bytes]) -> None:
+        found = [words_of(x) for x in texts]
+        size = np.array([len(x) for x in found], dtype=np.int64)
+        self.last = np.cumsum(size + 1) - 1
+        self.first = self.last - size
+        numbers = Numbers({END: 0})
+        ids = np.zeros(int(size.sum()) + len(texts), dtype=np.int64)
+        inner = np.ones(len(ids), dtype=bool)
+        inner[self.last] = False
+        ids[inner] = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), np.int64, int(size.sum()))
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], dtype=np.uint64)
+        self.words, place = np.unique(hashes, return_inverse=True)
+        self.word = place[ids]
+        self.before = np.concatenate([self.word[-1:], self.word[:-1]])
+        with np.errstate(over="ignore"):
+            keys = mixed(self.words[self.before] * SPREAD + self.words[self.word])
+        self.pairs, self.pair = np.unique(keys, return_inverse=True)
 
-def spread(keys: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (keys.astype(np.uint64) * np.uint64(SPREAD)).view(np.int64)
 
+def packed(values: np.ndarray) -> bytes:
+    """Byte planes: the rarely used high ones take next to nothing once compressed."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
-def unspread(keys: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (keys.view(np.uint64) * np.uint64(BACK)).astype(np.int64)
 
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
 
-def pair_keys(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose token and the one before (an end before a text's first) are hot, and the pairs' keys."""
-    before = np.concatenate([ids[:0] if not len(ids) else [ids[-1]], ids[:-1]])
-    at = np.flatnonzero((ids >= 0) & (before >= 0))
-    return at, spread((before[at] << 20) | ids[at])
 
+def steps(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
-def rare_pairs(ids: np.ndarray, last: np.ndarray, words: list[list[bytes]], hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the tokens that make a pair with a word that isn't hot, and the hashes of the words before and at them."""
-    h = np.append(hot.hashes, 0)[ids]
-    inner = np.ones(len(ids), dtype=bool)
-    inner[last] = False
-    h[last] = word_hashes([END])[0]
-    h[inner & (ids < 0)] = word_hashes(w for x in words for w in x if hot.ids[w] < 0)
-    before = np.concatenate([ids[-1:], ids[:-1]])
-    at = np.flatnonzero((ids < 0) | (before < 0))
-    return at, h[at - 1], h[at]
 
+def from_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, "u8"), dtype=np.uint64)
 
-def grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the columns' different rows, a place of each and their counts."""
-    order = np.lexsort(columns)
-    new = np.ones(len(order), dtype=bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([np.diff(c[order]) != 0 for c in columns])
-    first = np.flatnonzero(new)
-    return order[first], np.diff(np.append(first, len(order)))
 
-
-def pair_counts(train: DataFrame, shared) -> DataFrame:
-    """(k long, b long, n long) of all pairs: of hot words by key, b null; of others by the two words' hashes."""
+def sliced(given: DataFrame) -> DataFrame:
+    """(slice, d, held, texts, size) of given (d, held, text)."""
+    kinds = [("slice", pa.int64()), ("d", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("texts", pa.list_(pa.binary())), ("size", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("k", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]
-        held, rare, size = [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            yield typed([k, pa.nulls(len(k), pa.int64()), n], kinds)
-            a, b = (np.concatenate(x) for x in zip(*rare, strict=True))
-            at, n = grouped(a, b)
-            yield typed([a[at], b[at], n], kinds)
-
+        at = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text"):
-            found = token_ids(binary(batch, "text"), shared.value.ids)
-            held.append(pair_keys(found[0])[1])
-            rare.append(rare_pairs(*found, shared.value)[1:])
-            size += len(found[0])
-            if size > CHUNK:
-                yield from flush()
-                held, rare, size = [], [], 0
-        if held:
-            yield from flush()
-
-    return train.select("text").mapInArrow(run, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n").alias("n"))
-
+            texts = binary(batch, "text")
+            yield typed([[at], [ints(batch, "d")], [column(batch, "held").to_pylist()], [texts], [sum(map(len, texts)) + len(texts)]], kinds)
+            at += 1
 
-def levels(n: np.ndarray, least: int) -> np.ndarray:
-    return 1 + np.floor(np.log(n / least) / np.log(BASE) + 1e-9).astype(np.int64)
+    return given.mapInArrow(run, "slice long, d array<long>, held array<boolean>, texts array<binary>, size long")
 
 
-def counted(level: np.ndarray, least: int) -> np.ndarray:
-    return np.where(level > 0, np.ceil(least * BASE ** (level - 1.0) - 1e-6), 0.0)
+ASKED = [("shard", pa.int64()), ("slice", pa.int64()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())]
 
 
-def _level(n: str) -> Column:
-    return 1 + F.floor(F.log(n) / float(np.log(BASE)) + 1e-9)
+def asked(rows: DataFrame, bits: int) -> DataFrame:
+    """For each slice and shard: the words' and bigrams' hashes, and their counts in training."""
 
-
-def _counted(n: str) -> Column:
-    """counted(levels(n, 1), 1) as a Column."""
-    return F.ceil(F.pow(F.lit(BASE), _level(n) - 1) - 1e-6)
-
-
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (keys.view(np.uint64) >> np.uint64(48)).astype(np.int64) % parts
-
-
-def places(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
-    """The probes' bits inside the keys' segments of `bits` bits."""
-    with np.errstate(over="ignore"):
-        x = keys.view(np.uint64)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = x ^ (x >> np.uint64(29))
-        first, step = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
-        return [((first + np.uint64(level * PROBES + i) * step) % np.uint64(bits)).astype(np.int64) for i in range(PROBES)]
-
-
-def segment(keys: np.ndarray, segments: int) -> np.ndarray:
-    return (keys.view(np.uint64) >> np.uint64(40)).astype(np.int64) % segments
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                t = Tokens([x.as_py() for x in column(batch, "texts")[i].values])
+                held = np.array(column(batch, "held")[i].as_py(), dtype=bool)
+                train = np.repeat(~held, t.last - t.first + 1)
+                sides = []
+                for keys, at in ((t.words, t.word), (t.pairs, t.pair)):
+                    n = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)
+                    cuts = np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+                    sides.append((keys, n, cuts))
+                out: list[list] = [[] for _ in ASKED]
+                for shard in range(1 << bits):
+                    row = [shard, column(batch, "slice")[i].as_py()]
+                    for keys, n, cuts in sides:
+                        own = slice(cuts[shard], cuts[shard + 1])
+                        row += [steps(keys[own]), packed(n[own])]
+                    if row[2] or row[4]:
+                        for x, v in zip(out, row, strict=True):
+                            x.append(v)
+                yield typed(out, ASKED)
+
+    return rows.select("slice", "held", "texts").mapInArrow(run, "shard long, slice long, words binary, word_counts binary, pairs binary, pair_counts binary")
+
+
+def levels(n: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, 1 + np.floor(np.log(np.maximum(n, 1)) / np.log(BASE) + 1e-9), 0).astype(np.int64)
+
+
+def counted(level: np.ndarray) -> np.ndarray:
+    """The least count of a level."""
+    return np.where(level > 0, np.ceil(BASE ** (level - 1.0) - 1e-6), 0.0)
 
 
 class Filter:
-    def __init__(self, data: np.ndarray, least: int) -> None:
-        #: (segments, bytes of a segment)
-        self.data, self.least = data, least
+    """A log-frequency Bloom filter: a key is a member once for each of its levels."""
+
+    def __init__(self, keys: np.ndarray, level: np.ndarray, level_bits: int = LEVEL_BITS) -> None:
+        self.bits = max(64, int(level.sum()) * level_bits)
+        self.top = int(level.max(initial=0))
+        on = np.zeros(-(-self.bits // 8) * 8, dtype=np.uint8)
+        for j in range(1, self.top + 1):
+            for place in self.places(keys[level >= j], j):
+                on[place] = 1
+        self.data = np.packbits(on, bitorder="little")
+
+    def places(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        with np.errstate(over="ignore"):
+            x = mixed(keys * SPREAD)
+            first, step = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
+            for i in range(PROBES):
+                yield ((first + np.uint64(level * PROBES + i) * step) % np.uint64(self.bits)).astype(np.int64)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """The highest level up to which every probe is a member."""
-        out = np.zeros(len(keys), dtype=np.int64)
-        live, flat, width = np.arange(len(keys)), self.data.reshape(-1), self.data.shape[1]
-        level = 1
-        while len(live):
-            own = keys[live]
-            base = segment(own, len(self.data)) * width
-            spots = places(own, level, width * 8)
-            for i in range(PROBES):
-                bit = spots[i]
-                on = (flat[base + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                live, own, base = live[on], own[on], base[on]
-                spots = [s[on] for s in spots]
+        out, live = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
+        for level in range(1, self.top + 1):
+            on = np.ones(len(live), dtype=bool)
+            for place in self.places(keys[live], level):
+                on &= (self.data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            live = live[on]
             out[live] = level
-            level += 1
         return out
 
 
-def build_filter(pairs: DataFrame, least: int, bits: int = FILTER_BITS, segments: int = SEGMENTS) -> Filter:
-    width = bits // segments // 8
+TOLD = [("slice", pa.int64()), ("shard", pa.int64()), ("counts", pa.binary()), ("levels", pa.binary()), *((x, pa.int64()) for x in ("n", "v", "once", "twice"))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "s"):
-            of, k, n = (group.column(c).to_numpy() for c in ("s", "k", "n"))
-            for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
-                on = np.zeros(width * 8, dtype=np.uint8)
-                keys, level = k[part], levels(n[part], least)
-                for j in range(1, int(level.max()) + 1):
-                    for bit in places(keys[level >= j], j, width * 8):
-                        on[bit] = 1
-                yield typed([[int(of[part[0]])], [np.packbits(on, bitorder="little").tobytes()]], [("s", pa.int64()), ("bits", pa.binary())])
-
-    dealt = pairs.where(F.col("n") >= least).select(F.pmod(F.shiftrightunsigned("k", 40), F.lit(segments)).cast("long").alias("s"), "k", "n").repartition("s").sortWithinPartitions("s")
-    data = np.zeros((segments, width), dtype=np.uint8)
-    made = dealt.mapInArrow(run, "s long, bits binary").toArrow()  # FILTER_BITS in all
-    for s, raw in zip(made["s"].to_pylist(), made["bits"], strict=True):
-        data[s] = np.frombuffer(raw.as_buffer(), np.uint8)
-    return Filter(data, least)
-
-
-def _steps(name: str) -> Column:
-    return F.floor(16 * F.log2(name) + 1e-9).cast("int").alias("step")
-
-
-class Model:
-    """What the workers get: a part of the filter, and of the hot words p(w), count and backoff."""
-
-    def __init__(self, filter_: Filter, count: np.ndarray, back: np.ndarray, n: int, v: int, discount: float, parts: int = 1) -> None:
-        self.filter, self.count, self.back = filter_, count, back
-        self.n, self.v, self.discount = n, v, discount
-        self.part, self.parts = 0, parts
-        self.p = (count - discount) / max(1, n)
-
-    def tokens(self, ids: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each token whose pair is this part's; 0 for others."""
-        before = np.concatenate([ids[-1:], ids[:-1]])
-        out = np.zeros(len(ids))
-        at, keys = pair_keys(ids)
-        own = part_of(keys, self.parts) == self.part
-        at, keys = at[own], keys[own]
-        if len(at) and self.n:
-            seen = counted(self.filter.level(keys), self.filter.least)
-            first = before[at]
-            out[at] = np.log10(np.minimum(self.back[first] * self.p[ids[at]] + np.maximum(seen - D, 0) / self.count[first], 1.0))
-        return out
 
+def answered(questions: DataFrame, level_bits: int = LEVEL_BITS) -> DataFrame:
+    """For each slice and shard: the words' counts and the bigrams' levels; and once for each shard its tokens, different words, and words
+    seen once and twice (n, v, once, twice)."""
 
-def part_filter(pairs: DataFrame, part: int, parts: int, bits: int) -> Filter:
-    return build_filter(pairs.where(F.col("b").isNull() & (F.pmod(F.shiftrightunsigned("k", 48), F.lit(parts)) == part)), 1, bits)
-
-
-def trained(train: DataFrame, hot_words: int = HOT_WORDS, bits: int = FILTER_BITS) -> tuple[DataFrame, Hot, Model, DataFrame]:
-    """(h, c, back of the words that aren't hot, the hot words' ids, the model with the filter's first part, the pairs)."""
-    spark = train.sparkSession
-    counts = written(word_counts(train).withColumn("h", F.xxhash64("w")), "word-counts")
-    n, v, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    sizes = dict(counts.groupBy(_steps("c")).count().collect())
-    step, total = 64 * 16, 0
-    for s in sorted(sizes, reverse=True):
-        total += sizes[s]
-        if total > hot_words:
-            break
-        step = s
-    is_hot = (_steps("c") >= step) | (F.col("w") == F.lit(END))
-    words = counts.where(is_hot).toArrow().sort_by("w")  # HOT_WORDS and the end at most
-    hot, count = Hot(words["w"].to_pylist()), words["c"].to_numpy().astype(np.float64)
-    discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    shared = spark.sparkContext.broadcast(hot)
-    pairs = written(pair_counts(train, shared), "word-pairs")
-    shared.destroy()
-    size = pairs.where("b is null").agg(F.sum(_level("n"))).first()[0] or 0
-    parts = max(1, -(-int(size) * LEVEL_BITS // bits))
-    filter_ = part_filter(pairs, 0, parts, bits)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                first = unspread(ints(batch, "k")) >> 20
-                seen = counted(levels(ints(batch, "n"), 1), 1) - D
-                of, at = np.unique(first, return_inverse=True)
-                yield typed([of, np.bincount(at, weights=seen)], [("v", pa.int64()), ("s", pa.float64())])
+    def total(raw: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        keys = [from_steps(x) for x in raw.to_pylist()]
+        n = np.concatenate([unpacked(x, "u4") for x in counts.to_pylist()])
+        different, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return different, np.bincount(at, weights=n, minlength=len(different)).astype(np.int64), at, np.cumsum([0, *map(len, keys)]).tolist()
 
-    taken = np.zeros(max(1, len(count)))
-    seen = pairs.where("b is null").mapInArrow(sums, "v long, s double").groupBy("v").agg(F.sum("s").alias("s")).toArrow()  # hot words
-    taken[seen["v"].to_numpy()] += seen["s"].to_numpy()
-    others = written(pairs.where("b is not null").groupBy(F.col("k").alias("v")).agg(F.sum(_counted("n") - D).alias("s")), "word-backoffs")
-    seen = others.join(F.broadcast(counts.where(is_hot).select("h")), F.col("v") == F.col("h"), "left_semi").toArrow()  # hot words
-    hashes = words["h"].to_numpy()
-    order = np.argsort(hashes)
-    taken[order[np.searchsorted(hashes, seen["v"].to_numpy(), sorter=order)]] += seen["s"].to_numpy()
-    if not len(count):
-        count = np.ones(1)
-    rest = counts.where(~is_hot).join(others, F.col("h") == F.col("v"), "left").select("h", "c", F.greatest(F.lit(1e-9), 1 - F.coalesce("s", F.lit(0.0)) / F.col("c")).alias("back"))
-    return written(rest, "rest-words"), hot, Model(filter_, count, np.maximum(1e-9, 1 - taken / count), n, v, discount, parts), pairs
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, "shard"):
+            cuts = np.flatnonzero(np.diff(group["shard"].to_numpy(), prepend=-1, append=-1))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own = group.slice(a, b - a)
+                _, n, word, words = total(own["words"], own["word_counts"])
+                keys, m, pair, pairs = total(own["pairs"], own["pair_counts"])
+                level = Filter(keys, levels(m), level_bits).level(keys).astype(np.uint8)
+                counts = [packed(n[word[x:y]]) for x, y in zip(words, words[1:], strict=False)]
+                told = [level[pair[x:y]].tobytes() for x, y in zip(pairs, pairs[1:], strict=False)]
+                none = [0] * (b - a - 1)
+                stats = [[int(x), *none] for x in (n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum())]
+                yield typed([own["slice"].to_numpy(), own["shard"].to_numpy(), counts, told, *stats], TOLD)
+
+    dealt = questions.repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "slice long, shard long, counts binary, levels binary, n long, v long, once long, twice long")
+
+
+def word_probabilities(c: np.ndarray, n: int, v: int, once: int, twice: int) -> np.ndarray:
+    """Of words seen c times in training; of n tokens, v different ones; those never seen share one event."""
+    discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    return np.where(c > 0, c - discount, discount * v) / n
 
 
-def fit(train: DataFrame, hot_words: int = HOT_WORDS, bits: int = FILTER_BITS) -> tuple[DataFrame, Hot, Model]:
-    return trained(train, hot_words, bits)[:3]
+def probabilities(seen: np.ndarray, context: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Of words of probability p, seen so often behind a context seen `context` times."""
+    b = np.where(context > 0, context**GROWTH, 1.0)
+    return np.minimum((seen + b * p) / (context + b), 1.0)
 
 
-ROWS = [("rid", pa.int64()), ("d", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("v", pa.int64()), ("w", pa.int64()), ("cv", pa.float64()), ("bv", pa.float64()), ("pw", pa.float64()), ("m", pa.int64())]
+SCORES = [("d", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, hot_words: int = HOT_WORDS, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
+def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, level_bits: int = LEVEL_BITS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; level_bits: the filter's bits for each level."""
     bounded_batches(docs.sparkSession)
     given = docs.select(id_key().alias("d"), (fold() % folds == held).alias("held"), F.col("text").cast("string").alias("text"))
-    rest, hot, model, pairs = trained(given.where(~F.col("held")), hot_words, bits)
-    n, v, discount, parts = model.n, model.v, model.discount, model.parts
-    given = given.withColumn("rid", F.monotonically_increasing_id())
-    if parts > 1:
-        given = written(given, "lm-texts")  # the rounds meet by rid
+    rows = written(sliced(given), "lm-slices")
+    size = rows.agg(F.sum("size")).first()[0] or 0
+    shards = max(SHARDS, -(-size // SHARD_BYTES))
+    answers = written(answered(asked(rows, (shards - 1).bit_length()), level_bits), "lm-answers")
+    n, v, once, twice = (int(x or 0) for x in answers.agg(*[F.sum(x) for x in ("n", "v", "once", "twice")]).first())
     whole = n + 0.5 * (v + 1)
 
-    def known_or_null(values: np.ndarray, ids: np.ndarray) -> pa.Array:
-        return pa.array(np.append(values, 0.0)[ids], pa.float64(), mask=ids < 0)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, model = shared.value
-        base = np.append(np.log10((model.count + 0.5) / whole), 0.0)
-        for batch in slices(batches, "text"):
-            ids, last, words = token_ids(binary(batch, "text"), hot.ids)
-            first = np.concatenate([[0], last[:-1] + 1])
-            rids = ints(batch, "rid")
-            known = np.add.reduceat((ids >= 0).astype(np.int64), first)
-            none = [pa.nulls(len(last), t) for _, t in ROWS[7:]]
-            yield typed([rids, ints(batch, "d"), column(batch, "held"), last - first + 1, known, np.add.reduceat(base[ids], first), np.add.reduceat(model.tokens(ids), first), *none], ROWS)
-            at, a, b = rare_pairs(ids, last, words, hot)
-            row = np.searchsorted(last, at)
-            one, m = grouped(b, a, row)
-            at, row = at[one], row[one]
-            before, own = ids[at - 1], ids[at]
-            none = [pa.nulls(len(at), t) for _, t in ROWS[1:7]]
-            yield typed([rids[row], *none, a[one], b[one], known_or_null(model.count, before), known_or_null(model.back, before), known_or_null(model.p, own), m], ROWS)
-
-    def more(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-        hot, model = shared.value
-        for batch in slices(batches, "text"):
-            ids, last, _ = token_ids(binary(batch, "text"), hot.ids)
-            yield typed([ints(batch, "rid"), np.add.reduceat(model.tokens(ids), np.concatenate([[0], last[:-1] + 1]))], [("rid", pa.int64()), ("score", pa.float64())])
-
-    shape = "rid long, d long, held boolean, n_tokens long, known long, base double, score double, v long, w long, cv double, bv double, pw double, m long"
-    shared = docs.sparkSession.sparkContext.broadcast((hot, model))
-    found = written(given.mapInArrow(run, shape), "lm-rows")
-    shared.destroy()
-    scores = found.where("m is null").select("rid", "score")
-    for model.part in range(1, parts):
-        model.filter = part_filter(pairs, model.part, parts, bits)
-        part = docs.sparkSession.sparkContext.broadcast((hot, model))
-        scores = scores.union(written(given.select("rid", "text").mapInArrow(lambda x, part=part: more(x, part), "rid long, score double"), "lm-round"))
-        part.destroy()
-    rows = found.where("m is null").select("rid", "d", "held", "n_tokens", "known", "base", "score")
-    if parts > 1:
-        rows = rows.drop("score").join(scores.groupBy("rid").agg(F.sum("score").alias("score")), "rid")
-    del hot, model  # the driver needs no copy of its own
-    tail = found.where("m is not null").select("rid", "v", "w", "cv", "bv", "pw", "m")
-    # one of a pair's words isn't hot: a hot one takes its place as a key, so that no key is frequent for that
-    tail = tail.join(rest.select(F.col("h").alias("h1"), F.col("c").alias("c1")), F.when(F.col("pw").isNull(), F.col("w")).otherwise(F.col("v")) == F.col("h1"), "left")
-    tail = tail.join(rest.select(F.col("h").alias("h2"), F.col("c").alias("c2"), F.col("back").alias("b2")), F.when(F.col("cv").isNull(), F.col("v")).otherwise(F.col("w")) == F.col("h2"), "left")
-    tail = tail.join(pairs.where("b is not null").select("k", "b", _counted("n").alias("q")), (F.col("v") == F.col("k")) & (F.col("w") == F.col("b")), "left")
-    rare = F.col("pw").isNull()
-    c = F.coalesce("c1", F.lit(0))
-    unknown = discount * v / n if n else 1.0
-    pw = F.coalesce("pw", F.when(c > 0, (c - discount) / max(1, n)).otherwise(unknown))
-    back = F.when(F.col("cv").isNull(), F.coalesce("b2", F.lit(1.0))).otherwise(F.col("bv"))
-    p = F.least(F.lit(1.0), F.coalesce((F.col("q") - D) / F.coalesce("cv", F.col("c2")), F.lit(0.0)) + back * pw)
-    m = F.col("m")
-    tail = tail.groupBy(F.col("rid").alias("r")).agg(F.sum(F.when(rare & (c > 0), m).otherwise(0)).alias("k"), F.sum(F.when(rare, m * F.log10((c + 0.5) / whole)).otherwise(0.0)).alias("b"), F.sum(m * F.log10(p)).alias("s"))
-    out = rows.join(tail, F.col("rid") == F.col("r"), "left")
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    return out.select(F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + zero("k")).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + zero("b")).alias("base_score"), (F.col("score") + zero("s")).alias("score"))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                t = Tokens([x.as_py() for x in column(batch, "texts")[i].values])
+                told = sorted(column(batch, "told")[i].as_py(), key=lambda x: x["shard"])
+                c = np.concatenate([unpacked(x["counts"], "i8") for x in told])
+                seen = counted(np.frombuffer(b"".join(x["levels"] for x in told), np.uint8).astype(np.int64))
+                known = np.add.reduceat((c > 0).astype(np.int64)[t.word], t.first)
+                base = np.add.reduceat(np.log10((c + 0.5) / whole)[t.word], t.first)
+                score = np.zeros(len(t.last))
+                if n:
+                    p = probabilities(seen[t.pair], c[t.before].astype(float), word_probabilities(c, n, v, once, twice)[t.word])
+                    score = np.add.reduceat(np.log10(p), t.first)
+                yield typed([column(batch, "d")[i].values, column(batch, "held")[i].values, t.last - t.first + 1, known, base, score], SCORES)
+
+    told = answers.groupBy("slice").agg(F.collect_list(F.struct("shard", "counts", "levels")).alias("told"))
+    joined = rows.join(told, "slice").select("d", "held", "texts", "told")
+    out = joined.mapInArrow(run, "d long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

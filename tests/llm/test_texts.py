@@ -314,39 +314,51 @@ def check_scores(given: list[tuple], found: list) -> None:
         assert -1e9 < r["score"] <= 0
 
 
-@pytest.mark.parametrize("hot", [1 << 18, 50])
-def test_lm_scores_messy(messy, messy_docs, hot):
-    check_scores([r[:2] for r in messy], bloom_lm.lm_scores(messy_docs, hot_words=hot, bits=1 << 20).collect())
+@pytest.mark.parametrize("shards", [1, 64])
+def test_lm_scores_messy(messy, messy_docs, monkeypatch, shards):
+    monkeypatch.setattr(bloom_lm, "SHARDS", shards)
+    check_scores([r[:2] for r in messy], bloom_lm.lm_scores(messy_docs).collect())
 
 
 def test_lm_scores_documents(documents, plain_documents):
-    found = bloom_lm.lm_scores(documents, bits=1 << 22).collect()
+    found = bloom_lm.lm_scores(documents).collect()
     check_scores(plain_documents, found)
     held = [r for r in found if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # pairs of words tell more than words
 
 
-def test_lm_probabilities_add_up(spark, documents):
-    """Over all known tokens and the unknown one, a context's probabilities add up to 1 but for the filter's false positives."""
-    rest, hot, model = bloom_lm.fit(documents.select("text"), bits=1 << 24)
-    assert rest.isEmpty()
-    ids = np.arange(hot.size)
-    for context in (hot.ids[bloom_lm.END], 3, hot.size // 2):
-        pairs = np.stack([np.full(len(ids), context), ids], axis=1).ravel()
-        p = 10 ** model.tokens(pairs)[1::2]
-        unknown = model.back[context] * model.discount * model.v / model.n
-        assert p.sum() + unknown == pytest.approx(1, abs=0.02)
+def test_lm_probabilities_add_up():
+    """Over all known tokens and the unknown one, a context's probabilities add up to 1, less what the levels round off."""
+    r = np.random.default_rng(5)
+    c = np.bincount(r.zipf(1.4, 5000) % 400)
+    n, v = int(c.sum()), int((c > 0).sum())
+    words = bloom_lm.word_probabilities(np.append(c[c > 0], 0), n, v, int((c == 1).sum()), int((c == 2).sum()))
+    assert words.sum() == pytest.approx(1)
+    for seen in (np.array([1, 2, 3, 4, 1, 1]), np.array([700, 90, 33, 5, 5, 1]), np.zeros(0)):
+        follow = np.zeros(len(words))
+        follow[: len(seen)] = seen
+        context = np.full(len(words), seen.sum(), dtype=float)
+        assert bloom_lm.probabilities(follow, context, words).sum() == pytest.approx(1)
+        rounded = bloom_lm.probabilities(bloom_lm.counted(bloom_lm.levels(follow)), context, words).sum()
+        assert 2 / 3 <= rounded <= 1 + 1e-9
+        assert seen.max(initial=0) > 4 or rounded == pytest.approx(1)
+
+
+def test_filter_never_undercounts():
+    r = np.random.default_rng(3)
+    keys = np.unique(r.integers(0, 1 << 63, 3000).astype(np.uint64))
+    level = bloom_lm.levels(r.integers(1, 5000, len(keys)))
+    made = bloom_lm.Filter(keys, level)
+    got = made.level(keys)
+    assert (got >= level).all() and (got == level).mean() > 0.98
+    assert (made.level(r.integers(0, 1 << 63, 5000).astype(np.uint64)) == 0).mean() > 0.98
+    assert bloom_lm.Filter(keys[:0], level[:0]).level(keys).sum() == 0
 
 
-def test_filter_never_undercounts(spark):
-    r = np.random.default_rng(3)
-    keys, n = bloom_lm.spread(np.unique(r.integers(0, 1 << 40, 3000))), None
-    n = r.integers(2, 5000, len(keys))
-    made = bloom_lm.build_filter(spark.createDataFrame([(int(k), int(c)) for k, c in zip(keys, n, strict=True)], "k long, n long"), 2, 1 << 20, 16)
-    got, want = made.level(keys), bloom_lm.levels(n, 2)
-    assert (got >= want).all() and (got == want).mean() > 0.99
-    assert (made.level(bloom_lm.spread(r.integers(1 << 41, 1 << 42, 5000))) == 0).mean() > 0.98
-    assert (bloom_lm.unspread(keys) < 1 << 40).all()
+def test_lm_key_packing():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    assert (bloom_lm.from_steps(bloom_lm.steps(keys)) == keys).all()
+    assert len(bloom_lm.from_steps(bloom_lm.steps(keys[:0]))) == 0
 
 
 def test_lm_scores_empty(spark, no_docs):
@@ -360,35 +372,36 @@ def test_queries_are_named_by_number():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
 
 
-def test_lm_counts_every_pair_in_any_part(spark, monkeypatch):
-    """Pairs seen once and pairs of words that aren't hot count, whatever the number of hot words and of the filter's parts."""
+@pytest.mark.parametrize("shards", [1, 64])
+def test_lm_scores_against_a_plain_model(spark, monkeypatch, shards):
+    """Every pair of words counts, those seen once and those of rare words, too, whatever the number of shards."""
+    monkeypatch.setattr(bloom_lm, "SHARDS", shards)
     r = np.random.default_rng(8)
-    given = [(d, " ".join(f"w{int(x)}" for x in r.zipf(1.3, 60) % 3000)) for d in range(150)]
+    given = [(d, " ".join(f"w{int(x)}" for x in r.zipf(1.3, 60) % 3000)) for d in range(150)] + [(150, None), (None, "w1 W2 w3"), (151, "unseen words")]
     counts, tokens, held = base_of(given)
     n, v = sum(counts.values()), len(counts)
     pairs = Counter(p for d, ts in tokens.items() if not held[d] for p in zip([b"\n", *ts[:-1]], ts, strict=True))
-    q = {p: int(bloom_lm.counted(bloom_lm.levels(np.array([c]), 1), 1)[0]) for p, c in pairs.items()}
-    taken = Counter()
-    for (a, _), c in q.items():
-        taken[a] += c - bloom_lm.D
     once = Counter(counts.values())
     d = min(0.9, max(0.1, once[1] / (once[1] + 2 * once[2])))
 
+    def rounded(c: int) -> int:
+        level = 0
+        while math.ceil(bloom_lm.BASE**level - 1e-6) <= c:
+            level += 1
+        return math.ceil(bloom_lm.BASE ** (level - 1) - 1e-6) if level else 0
+
     def score(ts: list[bytes]) -> float:
         out = 0.0
         for a, b in zip([b"\n", *ts[:-1]], ts, strict=True):
-            seen = max(q.get((a, b), 0) - bloom_lm.D, 0) / counts[a] if counts[a] else 0
-            back = max(1e-9, 1 - taken[a] / counts[a]) if counts[a] else 1
-            out += math.log10(min(1, seen + back * ((counts[b] - d) / n if counts[b] else d * v / n)))
+            p = (counts[b] - d) / n if counts[b] else d * v / n
+            more = counts[a] ** bloom_lm.GROWTH
+            out += math.log10(min(1, (rounded(pairs[a, b]) + more * p) / (counts[a] + more) if counts[a] else p))
         return out
 
-    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(bloom_lm, "LEVEL_BITS", 400)
-    for hot, bits in ((1 << 18, 1 << 22), (20, 1 << 22), (1 << 18, 1 << 19)):
-        found = bloom_lm.lm_scores(docs, hot_words=hot, bits=bits).collect()
-        check_scores(given, found)
-        for x in found:
-            assert x["score"] == pytest.approx(score(tokens[x["doc_id"]]), rel=1e-3)
+    found = bloom_lm.lm_scores(spark.createDataFrame(given, "doc_id long, text string").repartition(3), level_bits=1000).collect()
+    check_scores(given, found)
+    for x in found:
+        assert x["score"] == pytest.approx(score(tokens[x["doc_id"]]), rel=1e-6)
 
 
 def plain_ids(text: str) -> list[int]:
