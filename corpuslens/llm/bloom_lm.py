@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, binary, bounded_batches, column, fold, id_key, ints, slices, typed, whole_groups, written
 
 #: Text whose words and bigrams one shard counts, and the least number of shards.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 SHARDS = 64
 LEVEL_BITS = 16
 PROBES = 4

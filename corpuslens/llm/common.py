@@ -28,8 +28,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows: texts may be long, and each worker holds a batch or two."""
+    """Arrow batches of few rows and bytes: texts may be long, and each worker holds a batch or two."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def fresh(columns: list[str], name: str) -> str:
