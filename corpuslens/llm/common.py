@@ -164,8 +164,13 @@ HOT_KEYS = 1024
 
 def looked_up(rows: DataFrame, known: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
     """rows with the columns of known, which has one row for each key `on` and in n how many of the `total` rows have it. Keys with over
-    1/HOT_KEYS of the rows (so HOT_KEYS at most) are met by broadcast and never gathered in a task; the others by a shuffle."""
-    hot = F.broadcast(known.where(F.col(n) * HOT_KEYS > total))
+    1/HOT_KEYS of the rows are met by broadcast and never gathered in a task; the others by a shuffle. known is written, so that it is
+    made once."""
+    known = written(known, "lookup")
+    few = known.where(F.col(n) * HOT_KEYS > total).collect()  # HOT_KEYS at most
+    if not few:
+        return rows.join(known, on, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(few, known.schema))
     return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(known, on, how))
 
 

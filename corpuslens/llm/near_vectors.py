@@ -111,7 +111,7 @@ def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES, exa
     parts = components(near, "vector-edges")
     links = classes.join(counts, F.col("rep") == counts["a"], "left").join(parts, F.col("rep") == F.col("id"), "left")
     links = links.select("rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component"), "label", "h", "g", "copies")
-    return _result(alone, written(links, "vector-components"))
+    return _result(alone, links)
 
 
 def _result(alone: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -120,8 +120,7 @@ def _result(alone: DataFrame, links: DataFrame | None) -> DataFrame:
     found = alone.where(~F.col("ok")).select("v", n_links(F.lit(0)), F.col("v").alias("c"))
     if links is not None:
         fine = alone.where("ok").select("v", "label", "h", "g")
-        total = links.agg(F.sum("copies")).first()[0]
-        both = looked_up(fine, links, ["label", "h", "g"], "copies", total)
+        both = looked_up(fine, links, ["label", "h", "g"], "copies", fine.count())
         found = found.union(both.select("v", n_links(F.col("n") + F.col("copies") - 1), F.col("component").alias("c")))
     return found.select(back("v").alias("vec_id"), "n_links", back("c").alias("component_id"), (F.col("v") == F.col("c")).alias("kept"))
 

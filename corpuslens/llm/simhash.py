@@ -164,7 +164,7 @@ def row_groups(docs: DataFrame, most: int = 3, size: int = 3) -> DataFrame:
     of = written(classes.join(parts, F.col("f") == F.col("id"), "left").select("f", "rep", "n", F.coalesce("component", "f").alias("g")), "fingerprint-groups")
     groups = of.groupBy("g").agg(F.min("rep").alias("c"), F.count("*").alias("m"))
     total = of.count()
-    least = written(looked_up(of.select("f", "n", "g"), groups, ["g"], "m", total).select("f", "n", "g", "c"), "fingerprint-components")
+    least = looked_up(of.select("f", "n", "g"), groups, ["g"], "m", total).select("f", "n", "g", "c")
     return looked_up(found, least, ["f"], "n", found.count()).select("d", "f", "t", "g", "c")
 
 
