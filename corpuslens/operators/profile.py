@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Shapes of trimmed cells. A list is a cell with a semicolon whose parts are all tokens.
 SHAPES = {
-    "int": r"^[+-]?\d+$",
-    "number": r"^[+-]?(\d+([.,]\d+)?|[.,]\d+)([eE][+-]?\d+)?$",
-    "bool": r"(?i)^(true|false|yes|no)$",
-    "date": r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?.*)?$",
-    "url": r"^https?://\S+$",
-    "list": r";",
+    "int": r"^-?\d+$",
+    "number": r"^-?\d+(\.\d+)?([eE]-?\d+)?$",
+    "bool": r"(?i)^(true|false|yes|no|0|1|y|n|t|f)$",
+    "date": r"^\d{4}-\d{2}-\d{2}",
+    "url": r"(?i)^https?://",
     "newline": r"\n",
 }
+TOKEN = r"^[A-Za-z]{0,3}[\w.-]{1,40}$"
+#: How quotations of others are marked.
+QUOTE_STYLES = {"xenforo": r"(?m)^.{1,80} said:\s*$|Click to expand\.\.\.", "markdown": r"(?m)^\s*>", "email": r"(?m)^On .{5,120} wrote:\s*$"}
 
 
 def cell(c: Column, kind: str) -> Column:
@@ -46,30 +49,61 @@ def percentile_of(lengths: Column, n: Column, p: float) -> Column:
     return step["hit"]
 
 
-def column_facts(df: DataFrame) -> DataFrame:
-    """A row for each column of a table of strings: rows, filled, fill, distinct, unique, lengths (p50, p90, max), shares of shapes.
+def long_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """(t, column, value) of all cells of tables of strings."""
+    out = None
+    for name, df in tables.items():
+        rows = long_form(df).select(F.lit(name).alias("t"), "column", "value")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def list_parts(value: Column) -> Column:
+    return F.filter(F.transform(F.split(value, ";"), lambda x: F.btrim(x)), lambda x: x != "")
+
+
+def column_facts(tables: dict[str, DataFrame]) -> DataFrame:
+    """A row for each column of tables of strings: t, column, rows, filled, fill, distinct, unique, lengths (p50, p90, max), shares of shapes,
+    quote_blocks (styles met in 2 % of the cells or more, where the p90 length is 40 or more).
+
+    All tables go through one chain of aggregations: cells by value, so a shape is looked at once for each different value, values by
+    length, so a column is a list of as many pairs as it has different lengths."""
+    return _facts(_values(tables))
+
 
-    Lengths are counted before they are gathered, so a column of any height is a list of as many pairs as it has different lengths."""
-    cells = long_form(df).withColumn("v", F.btrim("value"))
-    filled = cells.where("v <> ''")
-    shares = [F.round(F.avg(F.col("v").rlike(shape).cast("int")), 3).alias(f"share_{name}") for name, shape in SHAPES.items()]
-    base = cells.groupBy("column").agg(F.count("*").alias("rows"), F.count_if(F.col("v") != "").alias("filled"))
-    seen = filled.groupBy("column", "v").agg(F.count("*").alias("n")).groupBy("column").agg(F.count("*").alias("distinct"), (F.max("n") == 1).alias("unique"))
-    lengths = filled.groupBy("column", F.length("v").alias("length")).agg(F.count("*").alias("n")).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("length", "n"))).alias("lengths"), F.sum("n").alias("n"), F.max("length").alias("len_max"))
-    lengths = lengths.select("column", percentile_of(F.col("lengths"), F.col("n"), 0.5).alias("len_p50"), percentile_of(F.col("lengths"), F.col("n"), 0.9).alias("len_p90"), "len_max")
-    out = base.join(seen, "column", "left").join(lengths, "column", "left").join(filled.groupBy("column").agg(*shares), "column", "left")
-    return out.withColumn("fill", F.round(F.col("filled") / F.col("rows"), 3))
+def _values(tables: dict[str, DataFrame]) -> DataFrame:
+    return long_tables(tables).groupBy("t", "column", F.coalesce("value", F.lit("")).alias("value")).agg(F.count("*").alias("n"))
+
+
+def _facts(values: DataFrame) -> DataFrame:
+    trimmed = F.btrim("value", F.lit(" \t\n\r\f\x0b"))
+    filled = trimmed != ""
+    weighed = lambda test: F.sum(F.when(filled & test, F.col("n")).otherwise(0))
+    parts = list_parts(F.col("value"))
+    listed = F.col("value").contains(";") & F.forall(parts, lambda x: x.rlike(TOKEN))
+    tests = {f"n_{k}": (F.col("value") if k == "newline" else trimmed).rlike(v) for k, v in SHAPES.items()} | {"n_list": listed} | {f"n_{k}": F.col("value").rlike(v) for k, v in QUOTE_STYLES.items()}
+    per = values.groupBy("t", "column", F.when(filled, F.length("value")).alias("length")).agg(F.sum("n").alias("n"), F.count(F.when(filled, 1)).alias("distinct"), *[weighed(x).alias(k) for k, x in tests.items()])
+    has = F.col("length").isNotNull()
+    out = per.groupBy("t", "column").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(has, F.col("n")).otherwise(0)).alias("filled"), F.sum("distinct").alias("distinct"),
+        F.array_sort(F.collect_list(F.when(has, F.struct("length", "n")))).alias("lengths"), F.coalesce(F.max("length"), F.lit(0)).alias("len_max"), *[F.sum(k).alias(k) for k in tests],
+    )
+    share = lambda c: F.round(F.when(F.col("filled") > 0, F.col(c) / F.col("filled")).otherwise(0.0), 3)
+    out = out.withColumns({"len_p50": percentile_of(F.col("lengths"), F.col("filled"), 0.5), "len_p90": percentile_of(F.col("lengths"), F.col("filled"), 0.9)})
+    out = out.withColumns({"fill": F.round(F.col("filled") / F.col("rows"), 3), "unique": (F.col("filled") > 0) & (F.col("distinct") == F.col("filled")) & (F.col("filled") == F.col("rows"))})
+    out = out.withColumns({f"share_{k}": share(f"n_{k}") for k in (*SHAPES, "list")})
+    marks = F.filter(F.array(*[F.when((F.col("len_p90") >= 40) & (F.col(f"n_{k}") > 0) & (F.col(f"n_{k}") >= 0.02 * F.col("filled")), F.struct(F.lit(k).alias("style"), F.col(f"n_{k}").alias("n"))) for k in QUOTE_STYLES]), lambda x: x.isNotNull())
+    return out.withColumn("quote_blocks", marks).drop("lengths", *tests)
 
 
 def is_key() -> Column:
-    """Of column_facts' rows: every cell filled, all different, short, in one line, no dates, three rows at least."""
-    return F.col("unique") & (F.col("filled") == F.col("rows")) & (F.col("rows") >= 3) & (F.col("len_max") <= 80) & (F.col("share_newline") == 0) & (F.col("share_date") < 0.5)
+    """Of column_facts' rows: every cell filled, all different, short, in one line, not nearly all dates, three rows at least."""
+    return F.col("unique") & (F.col("len_max") <= 80) & (F.col("share_newline") == 0) & (F.col("share_date") < 0.9) & (F.col("rows") >= 3)
 
 
-def tokens(df: DataFrame) -> DataFrame:
-    """(column, token): the different parts of a table's cells between semicolons."""
-    cells = long_form(df)
-    return cells.select("column", F.explode(F.split("value", ";")).alias("t")).select("column", F.btrim("t").alias("token")).where("token <> ''").distinct()
+def prefix_of(c: Column) -> Column:
+    """The up to three letters before a value's digits, or none."""
+    return F.regexp_extract(c, "^([A-Za-z]{1,3})\\d", 1)
 
 
 def without_prefix(c: Column) -> Column:
@@ -77,25 +111,36 @@ def without_prefix(c: Column) -> Column:
     return F.regexp_replace(c, "^[A-Za-z]{1,3}(?=\\d)", "")
 
 
-def find_links(tables: dict[str, DataFrame], least: float = 0.5, whole: float = 0.9) -> DataFrame:
-    """(from_table, from_column, to_table, to_column, containment, partial, transform): columns whose tokens lie in another table's key.
+def apply_transform(value: Column, strip: Column, add: Column) -> Column:
+    """A value with the prefix `strip` taken off where it has that one, and the prefix `add` before it; null prefixes: as it is."""
+    return F.when(strip.isNull(), value).otherwise(F.concat(F.coalesce(add, F.lit("")), F.when((strip != "") & (prefix_of(value) == strip), without_prefix(value)).otherwise(value)))
 
-    One equi-join of all tables' tokens with all tables' keys, plain and without letter prefixes, rather than one for each pair."""
-    facts, toks, keys = None, None, None
-    for name, df in tables.items():
-        f = column_facts(df).where(is_key()).select(F.lit(name).alias("t"), "column")
-        k = long_form(df).select(F.lit(name).alias("t"), "column", F.btrim("value").alias("token")).join(f.drop("t"), "column", "left_semi")
-        x = tokens(df).select(F.lit(name).alias("t"), "column", "token")
-        facts, keys, toks = (b if a is None else a.union(b) for a, b in ((facts, f), (keys, k), (toks, x)))
-    sizes = toks.groupBy("t", "column").agg(F.count("*").alias("n")).where("n >= 5")
-
-    def matched(form: str, change) -> DataFrame:
-        left = toks.select(F.col("t").alias("from_table"), F.col("column").alias("from_column"), change(F.col("token")).alias("token"))
-        right = keys.select(F.col("t").alias("to_table"), F.col("column").alias("to_column"), change(F.col("token")).alias("token"))
-        return left.join(right, "token").where("from_table <> to_table").groupBy("from_table", "from_column", "to_table", "to_column").agg(F.countDistinct("token").alias("hits")).withColumn("transform", F.lit(form))
-
-    found = matched("none", lambda c: c).union(matched("strip_prefix", without_prefix))
-    found = found.join(sizes, (F.col("from_table") == F.col("t")) & (F.col("from_column") == F.col("column")))
-    found = found.withColumn("containment", F.round(F.col("hits") / F.col("n"), 3)).where(F.col("containment") >= least)
-    best = found.groupBy("from_table", "from_column", "to_table", "to_column").agg(F.max("containment").alias("containment"), F.max_by("transform", F.struct("containment", (F.col("transform") == "none").cast("int"))).alias("transform"))
-    return best.withColumn("partial", F.col("containment") < whole)
+
+def find_links(tables: dict[str, DataFrame], least: float = 0.5, whole: float = 0.9) -> DataFrame:
+    """(from_table, from_column, to_table, to_column, containment, partial, as_list, strip, add): columns whose values lie in another column's
+    unique values, in the same table or in another one.
+
+    Cells are split at semicolons where the column has lists. A column counts if it has five different tokens, or as many as rows, all of
+    them token-like and no cell over 400 characters. Where less than `whole` of the tokens are found, prefixes of letters are taken off
+    both sides; the commonest pair of prefixes is named. One equi-join of all tokens with all keys' values, not one for each pair."""
+    values = _values(tables)
+    facts = _facts(values)
+    open_ = facts.where("filled > 0 and len_max <= 400").select("t", "column", (F.col("share_list") > 0).alias("as_list"), "rows")
+    cells = values.join(F.broadcast(open_), ["t", "column"])
+    parts = F.when(F.col("as_list"), list_parts(F.col("value"))).otherwise(F.array(F.btrim("value")))
+    toks = cells.select("t", "column", "as_list", "rows", F.explode(parts).alias("token")).where("token <> ''").distinct()
+    sizes = toks.groupBy("t", "column", "as_list", "rows").agg(F.count("*").alias("n"), F.bool_and(F.col("token").rlike(TOKEN)).alias("plain")).where("plain and n >= least(5, rows)")
+    toks = toks.join(F.broadcast(sizes.select("t", "column")), ["t", "column"], "left_semi").select(F.col("t").alias("from_table"), F.col("column").alias("from_column"), "token")
+    keyed = values.join(F.broadcast(facts.where(is_key()).select("t", "column")), ["t", "column"], "left_semi").select(F.col("t").alias("to_table"), F.col("column").alias("to_column"), F.btrim("value").alias("token"))
+    pair = ["from_table", "from_column", "to_table", "to_column"]
+    other = (F.col("from_table") != F.col("to_table")) | (F.col("from_column") != F.col("to_column"))
+    direct = toks.join(keyed, "token").where(other).groupBy(*pair).agg(F.count("*").alias("hits"))
+    bare = toks.select("from_table", "from_column", prefix_of(F.col("token")).alias("strip"), without_prefix(F.col("token")).alias("token"))
+    bare_keys = keyed.groupBy("to_table", "to_column", without_prefix(F.col("token")).alias("token")).agg(F.min(prefix_of(F.col("token"))).alias("add"))
+    loose = bare.join(bare_keys, "token").where(other).groupBy(*pair, "strip", "add").agg(F.count("*").alias("m"))
+    loose = loose.groupBy(*pair).agg(F.sum("m").alias("loose"), F.max_by(F.struct("strip", "add"), F.struct("m", "strip", "add")).alias("prefix"))
+    both = direct.join(loose, pair, "full").join(F.broadcast(sizes.select(F.col("t").alias("from_table"), F.col("column").alias("from_column"), "as_list", "n")), ["from_table", "from_column"])
+    hits = F.coalesce("hits", F.lit(0))
+    better = (hits < whole * F.col("n")) & (F.coalesce("loose", F.lit(0)) > hits)
+    found = both.withColumn("share", F.when(better, F.col("loose")).otherwise(hits) / F.col("n")).where(F.col("share") >= least)
+    return found.select(*pair, F.round("share", 3).alias("containment"), (F.col("share") < whole).alias("partial"), "as_list", F.when(better, F.col("prefix.strip")).alias("strip"), F.when(better, F.col("prefix.add")).alias("add"))

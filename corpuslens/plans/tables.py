@@ -11,24 +11,33 @@ from .base import Registry, Tables
 R = Registry()
 
 
-FACTS = """
-select '{t}' as tbl, '{c}' as column, count(*) as rows, count(*) filter (v <> '') as filled, round(count(*) filter (v <> '')::double / count(*), 3) as fill, count(distinct v) filter (v <> '') as distinct_,
-  count(distinct v) filter (v <> '') = count(*) filter (v <> '') as unique_, cast(max(length(v)) as integer) as len_max, round(avg(case when v <> '' then regexp_matches(v, '^[+-]?\\d+$')::int end), 3) as share_int
-from (select trim(coalesce(cast({c} as varchar), '')) as v from {t})"""
-FACT_COLUMNS = {"nation": ("n_nationkey", "n_name", "n_regionkey"), "region": ("r_regionkey", "r_name"), "supplier": ("s_suppkey", "s_name", "s_nationkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")}
+#: Every table of the driver with its columns of plain values.
+FACT_COLUMNS = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "supplier": ("s_suppkey", "s_name", "s_nationkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"),
+    "events": ("event_id", "user_id", "event_type"), "documents": ("doc_id", "text", "lang", "source"), "pages": ("page_id", "url"), "benchmark": ("item_id", "text"), "labels": ("doc_id", "quality", "toxic"), "conversations": ("conv_id", "turn", "role", "text"),
+}
+CELLS = " union all ".join(f"select '{t}' as tbl, '{c}' as col, coalesce(cast({c} as varchar), '') as v from {t}" for t, cols in FACT_COLUMNS.items() for c in cols)
+_TRIM = "trim(v, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
+FACTS = f"""
+cells as ({CELLS}), trimmed as (select *, {_TRIM} as s from cells),
+facts as (select tbl, col, count(*) as rows, count(*) filter (s <> '') as filled, count(distinct v) filter (s <> '') as distinct_, coalesce(max(length(v)) filter (s <> ''), 0) as len_max,
+  coalesce(round(avg(regexp_matches(s, '^-?[0-9]+$')::int) filter (s <> ''), 3), 0) as share_int, coalesce(round(avg(regexp_matches(s, '^-?[0-9]+([.][0-9]+)?([eE]-?[0-9]+)?$')::int) filter (s <> ''), 3), 0) as share_number,
+  coalesce(round(avg((lower(s) in ('true', 'false', 'yes', 'no', '0', '1', 'y', 'n', 't', 'f'))::int) filter (s <> ''), 3), 0) as share_bool, coalesce(round(avg(regexp_matches(s, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')::int) filter (s <> ''), 3), 0) as share_date,
+  coalesce(round(avg(contains(v, chr(10))::int) filter (s <> ''), 3), 0) as share_newline from trimmed group by tbl, col),
+keys as (select tbl, col from facts where filled > 0 and distinct_ = filled and filled = rows and len_max <= 80 and share_newline = 0 and share_date < 0.9 and rows >= 3)"""
 
 
 def _strings(t: Tables) -> dict[str, DataFrame]:
     return {name: profile.as_strings(getattr(t, name).select(*cols)) for name, cols in FACT_COLUMNS.items()}
 
 
-@R.add(" union all ".join(FACTS.format(t=t, c=c) for t, cols in FACT_COLUMNS.items() for c in cols))
+@R.add(f"""
+with {FACTS} select tbl, col as column, cast(rows as bigint) as rows, cast(filled as bigint) as filled, round(filled::double / rows, 3) as fill, cast(distinct_ as bigint) as distinct_,
+  filled > 0 and distinct_ = filled and filled = rows as unique_, cast(len_max as integer) as len_max, share_int, share_number, share_bool, share_date, share_newline from facts""")
 def column_facts(t: Tables) -> DataFrame:
-    out = None
-    for name, df in _strings(t).items():
-        f = profile.column_facts(df).select(F.lit(name).alias("tbl"), "column", "rows", "filled", "fill", F.col("distinct").alias("distinct_"), F.col("unique").alias("unique_"), "len_max", "share_int")
-        out = f if out is None else out.union(f)
-    return out
+    shares = [f"share_{k}" for k in ("int", "number", "bool", "date", "newline")]
+    return profile.column_facts(_strings(t)).select(F.col("t").alias("tbl"), "column", "rows", "filled", "fill", F.col("distinct").alias("distinct_"), F.col("unique").alias("unique_"), "len_max", *shares)
 
 
 @R.add("""
@@ -37,29 +46,28 @@ r as (select col, length(v) as n, row_number() over (partition by col order by l
 select col as column, cast(max(n) filter (i = round_even(0.5 * (m - 1), 0)) as integer) as p50, cast(max(n) filter (i = round_even(0.9 * (m - 1), 0)) as integer) as p90 from r group by col""")
 def percentile(t: Tables) -> DataFrame:
     df = t.orders.select(F.round("o_totalprice").cast("bigint").cast("string").alias("o_totalprice"), "o_orderpriority")
-    return profile.column_facts(df).select("column", F.col("len_p50").alias("p50"), F.col("len_p90").alias("p90"))
-
-
-KEY = "select '{t}' as tbl, '{c}' as column from (select trim(coalesce(cast({c} as varchar), '')) as v from {t}) having count(*) >= 3 and max(length(v)) <= 80 and count(distinct v) filter (v <> '') = count(*)"
+    return profile.column_facts({"orders": df}).select("column", F.col("len_p50").alias("p50"), F.col("len_p90").alias("p90"))
 
 
-@R.add(" union all ".join(KEY.format(t=t, c=c) for t, cols in FACT_COLUMNS.items() for c in cols))
+@R.add(f"with {FACTS} select tbl, col as column from keys")
 def keys(t: Tables) -> DataFrame:
-    out = None
-    for name, df in _strings(t).items():
-        f = profile.column_facts(df).where(profile.is_key()).select(F.lit(name).alias("tbl"), "column")
-        out = f if out is None else out.union(f)
-    return out
+    return profile.column_facts(_strings(t)).where(profile.is_key()).select(F.col("t").alias("tbl"), "column")
 
 
-@R.add("""
-with c as (select count(distinct c_nationkey) as n, count(distinct c_nationkey) filter (c_nationkey in (select n_nationkey from nation)) as h from customer),
-s as (select count(distinct s_nationkey) as n, count(distinct s_nationkey) filter (s_nationkey in (select n_nationkey from nation)) as h from supplier)
-select 'customer' as from_table, 'c_nationkey' as from_column, 'nation' as to_table, 'n_nationkey' as to_column, round(h::double / n, 3) as containment from c where h::double / n >= 0.9
-union all select 'supplier', 's_nationkey', 'nation', 'n_nationkey', round(h::double / n, 3) from s where h::double / n >= 0.9 and n >= 5""")
+@R.add(f"""
+with {FACTS.replace("cells as (", "all_cells as (").replace("from cells)", "from cells)").replace("trimmed as", "cells as (select * from all_cells where tbl in ('region', 'nation', 'supplier', 'customer', 'part', 'orders', 'lineitem', 'events')), trimmed as", 1)},
+toks as (select distinct t.tbl, t.col, trim(t.v) as v from cells t join facts f using (tbl, col) where f.filled > 0 and f.len_max <= 400 and trim(t.v) <> ''),
+sizes as (select tbl, col, count(*) as n from toks join facts using (tbl, col) group by tbl, col having bool_and(regexp_full_match(v, '[A-Za-z]{{0,3}}[0-9A-Za-z_.-]{{1,40}}')) and count(*) >= least(5, max(rows))),
+hits as (select a.tbl as from_table, a.col as from_column, b.tbl as to_table, b.col as to_column, count(*) as m from toks a join sizes using (tbl, col) join toks b on a.v = b.v and (a.tbl <> b.tbl or a.col <> b.col) join keys k on b.tbl = k.tbl and b.col = k.col group by 1, 2, 3, 4),
+bare as (select distinct b.tbl, b.col, regexp_replace(b.v, '^[A-Za-z]{{1,3}}([0-9])', '\\1') as v from toks b join keys k on b.tbl = k.tbl and b.col = k.col),
+loose as (select a.tbl as from_table, a.col as from_column, b.tbl as to_table, b.col as to_column, count(*) as l from toks a join sizes using (tbl, col) join bare b on regexp_replace(a.v, '^[A-Za-z]{{1,3}}([0-9])', '\\1') = b.v and (a.tbl <> b.tbl or a.col <> b.col) group by 1, 2, 3, 4),
+both_ as (select from_table, from_column, to_table, to_column, coalesce(m, 0) as m, coalesce(l, 0) as l, n from hits full join loose using (from_table, from_column, to_table, to_column) join sizes s on s.tbl = from_table and s.col = from_column),
+share as (select *, (case when m < 0.9 * n and l > m then l else m end)::double / n as c from both_)
+select from_table, from_column, to_table, to_column, round(c, 3) as containment, c < 0.9 as partial from share where c >= 0.5""")
 def find_links(t: Tables) -> DataFrame:
-    tables = {"customer": profile.as_strings(t.customer.select("c_nationkey")), "supplier": profile.as_strings(t.supplier.select("s_nationkey")), "nation": profile.as_strings(t.nation.select("n_nationkey", "n_name"))}
-    return profile.find_links(tables).where("not partial").select("from_table", "from_column", "to_table", "to_column", "containment")
+    """Over all tables of keys; their cells hold no lists."""
+    names = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events")
+    return profile.find_links({k: v for k, v in _strings(t).items() if k in names}).select("from_table", "from_column", "to_table", "to_column", "containment", "partial")
 
 
 @R.add("select distinct cast(c_custkey as varchar) as start, cast(p_brand as varchar) as target from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey")
@@ -154,20 +162,22 @@ def rank_cap(t: Tables) -> DataFrame:
 
 
 ANSWERS = """
-ans as (select l_orderkey as paper, l_returnflag as profile, case l_shipmode_ when 0 then 'yes' when 1 then 'no' when 2 then 'unclear' when 3 then 'not found' when 4 then 'partly' end as answer, l_linenumber % 2 = 1 as critical,
-  case when l_returnflag = 'A' then 'High' when l_returnflag = 'N' then 'Moderate' else 'Low' end as start from (select *, (l_partkey + l_suppkey) % 6 as l_shipmode_ from lineitem)),
-cnt as (select paper, profile, count(*) as n, count(*) filter (answer is null) as open, max(start) as start, count(*) filter (critical and answer = 'no') as unmet, count(*) filter (critical and answer = 'unclear') as unclear,
-  count(*) filter (not critical and answer = 'not found') as missing from ans group by 1, 2),
-lvl as (select *, case start when 'High' then 3 when 'Moderate' then 2 else 1 end as s, case when unmet >= 2 then 0 when unmet = 1 then 1 else 3 end as cap from cnt),
-grades as (select paper, profile, case when 2 * open > n then 'not appraisable' else list_extract(['Very low', 'Low', 'Moderate', 'High'], cast(greatest(0, least(s, cap) - unclear - case when missing >= 2 then 1 else 0 end) + 1 as integer)) end as grade from lvl)"""
+ans as (select l_orderkey as paper, l_returnflag as profile, 'q' || l_linenumber as question, 'd' || (l_linenumber % 4) as dim, l_linenumber % 4 < 2 as critical, case when l_orderkey % 3 = 0 then 'systematic-review' else 'cohort' end as design,
+  case (l_partkey + l_suppkey) % 5 when 0 then 'yes' when 1 then 'partly' when 2 then 'not found' when 3 then 'can''t tell' else 'yes' end as answer, case when l_returnflag = 'A' or l_orderkey % 3 = 0 then 'High' when l_returnflag = 'N' then 'Moderate' else 'Low' end as start from lineitem),
+dims as (select paper, profile, dim, bool_or(critical) as critical, count(*) as n, count(*) filter (answer = 'can''t tell') as open, count(*) filter (answer in ('yes', 'partly')) as met, count(*) filter (answer = 'not found') as lost from ans group by 1, 2, 3),
+cnt as (select paper, profile, sum(n) as n, sum(open) as open, count(*) filter (critical and met = 0 and lost > 0) as unmet, count(*) filter (critical and open = n) as unclear, coalesce(sum(lost) filter (not critical), 0) as missing from dims group by 1, 2),
+st as (select paper, profile, case max(start) when 'High' then 3 when 'Moderate' then 2 else 1 end as s, max(design) = 'systematic-review' and not (bool_or(question = 'q6' and answer = 'yes') and bool_or(question = 'q7' and answer in ('yes', 'partly'))) as unshown from ans group by 1, 2),
+lvl as (select *, least(s, case when unshown then 2 else 3 end, case when unmet >= 2 then 0 when unmet = 1 then 1 else 3 end) - unclear - case when missing >= 2 then 1 else 0 end as i from cnt join st using (paper, profile)),
+grades as (select paper, profile, case when 2 * open > n then 'Not appraisable' else list_extract(['Very low', 'Low', 'Moderate', 'High'], cast(greatest(0, i) + 1 as integer)) end as grade from lvl)"""
 
 
 def _answers(t: Tables) -> DataFrame:
-    """Order lines as answers: the order is the paper, the return flag the profile, the line's number says whether the dimension is critical."""
-    kind = (F.col("l_partkey") + F.col("l_suppkey")) % 6
-    answer = F.element_at(F.array(*[F.lit(x) for x in ("yes", "no", "unclear", "not found", "partly", None)]), (kind + 1).cast("int"))
-    start = F.when(F.col("l_returnflag") == "A", "High").when(F.col("l_returnflag") == "N", "Moderate").otherwise("Low")
-    return t.lineitem.select(F.col("l_orderkey").alias("paper"), F.col("l_returnflag").alias("profile"), answer.alias("answer"), (F.col("l_linenumber") % 2 == 1).alias("critical"), start.alias("start"))
+    """Order lines as answers: the order is the paper, the return flag the profile, the line's number the question and its dimension."""
+    answer = F.element_at(F.array(*[F.lit(x) for x in ("yes", "partly", "not found", None, "yes")]), ((F.col("l_partkey") + F.col("l_suppkey")) % 5 + 1).cast("int"))
+    review, number = F.col("l_orderkey") % 3 == 0, F.col("l_linenumber")
+    start = F.when((F.col("l_returnflag") == "A") | review, "High").when(F.col("l_returnflag") == "N", "Moderate").otherwise("Low")
+    design = F.when(review, "systematic-review").otherwise("cohort")
+    return t.lineitem.select(F.col("l_orderkey").alias("paper"), F.col("l_returnflag").alias("profile"), F.concat(F.lit("q"), number).alias("question"), F.concat(F.lit("d"), number % 4).alias("dim"), (number % 4 < 2).alias("critical"), design.alias("design"), answer.alias("answer"), start.alias("start"))
 
 
 @R.add(f"with {ANSWERS} select * from grades")
@@ -176,31 +186,39 @@ def grade(t: Tables) -> DataFrame:
 
 
 @R.add(f"""
-with {ANSWERS} select paper, coalesce(list_extract(['Very low', 'Low', 'Moderate', 'High'], cast(min(list_position(['Very low', 'Low', 'Moderate', 'High'], grade)) filter (grade <> 'not appraisable') as integer)), 'not appraisable') as grade from grades group by paper""")
+with {ANSWERS} select paper, coalesce(list_extract(['Very low', 'Low', 'Moderate', 'High'], cast(min(list_position(['Very low', 'Low', 'Moderate', 'High'], grade)) filter (grade <> 'Not appraisable') as integer)), 'Not appraisable') as grade from grades group by paper""")
 def weaker_strand(t: Tables) -> DataFrame:
     return appraise.weaker(appraise.grade(_answers(t)))
 
 
 EVIDENCE = """
-ev as (select p_brand as statement, l_orderkey as paper, l_suppkey as lead, case l_linenumber % 4 when 0 then 'High' when 1 then 'Moderate' when 2 then 'Low' else 'Very low' end as grade, l_returnflag = 'R' as relayed,
-  case when l_quantity < 40 then 'supports' else 'against' end as verdict, p_type as country from lineitem join part on p_partkey = l_partkey)"""
+ev as (select l_orderkey // 8 as statement, l_orderkey as paper, case when l_suppkey % 7 = 0 then null else l_suppkey % 5 end as lead, case l_linenumber % 4 when 0 then 'High' when 1 then 'Moderate' when 2 then 'Low' else 'Not appraisable' end as grade, l_returnflag = 'R' as relayed,
+  case when l_returnflag = 'R' then 'reported' else 'own' end as origin, case when l_orderkey // 8 % 11 = 0 then null when l_quantity < 40 then 'supports' when l_quantity < 46 then 'partly' else 'does not support' end as verdict,
+  case when l_partkey % 9 = 0 then 'place' else 'none' end as gap, l_orderkey // 8 % 22 = 0 as split, p_type as country from lineitem join part on p_partkey = l_partkey)"""
 
 
 def _evidence(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
-    kind = F.col("l_linenumber") % 4
-    level = F.when(kind == 0, "High").when(kind == 1, "Moderate").when(kind == 2, "Low").otherwise("Very low")
-    return rows.select(F.col("p_brand").alias("statement"), F.col("l_orderkey").alias("paper"), F.col("l_suppkey").alias("lead"), level.alias("grade"), (F.col("l_returnflag") == "R").alias("relayed"), F.when(F.col("l_quantity") < 40, "supports").otherwise("against").alias("verdict"), F.col("p_type").alias("country"))
+    kind, statement, quantity = F.col("l_linenumber") % 4, F.floor(F.col("l_orderkey") / 8), F.col("l_quantity")
+    level = F.when(kind == 0, "High").when(kind == 1, "Moderate").when(kind == 2, "Low").otherwise("Not appraisable")
+    verdict = F.when(statement % 11 == 0, None).when(quantity < 40, "supports").when(quantity < 46, "partly").otherwise("does not support")
+    lead = F.when(F.col("l_suppkey") % 7 != 0, (F.col("l_suppkey") % 5).cast("string"))
+    runs = F.when(statement % 22 == 0, F.array(F.lit("supports"), F.lit("partly"), F.lit(None)))
+    relayed = F.col("l_returnflag") == "R"
+    return rows.select(statement.alias("statement"), F.col("l_orderkey").alias("paper"), lead.alias("lead"), level.alias("grade"), relayed.alias("relayed"), F.when(relayed, "reported").otherwise("own").alias("origin"), verdict.alias("verdict"), F.when(F.col("l_partkey") % 9 == 0, "place").otherwise("none").alias("gap"), runs.alias("runs"), F.col("p_type").alias("country"))
 
 
 @R.add(f"""
-with {EVIDENCE}, l as (select statement, lead, max(list_position(['Very low', 'Low', 'Moderate', 'High'], grade)) - 1 as best from ev where not relayed group by 1, 2),
-s as (select statement, count(*) as studies, count(*) filter (best >= 2) as good, count(*) filter (best = 3) as high from l group by 1),
-v as (select statement, count(*) filter (verdict = 'supports')::double / count(verdict) as share from ev group by 1),
-c as (select v.statement, coalesce(studies, 0) as studies, case when studies >= 3 and good >= 2 then 'robust' when studies >= 2 or high >= 1 then 'medium' else 'limited' end as evidence,
-  case when share >= 0.8 then 'high' when share >= 0.5 then 'medium' else 'low' end as agreement from v left join s on v.statement = s.statement)
-select statement, studies, evidence, agreement, case when studies = 0 then 'no independent study' else list_extract(['very low', 'low', 'medium', 'high', 'very high'],
-  cast(case evidence when 'robust' then 2 when 'medium' then 1 else 0 end + case agreement when 'high' then 2 when 'medium' then 1 else 0 end + 1 as integer)) end as confidence from c""")
+with {EVIDENCE}, backs as (select statement, paper, coalesce('l' || lead, 'p' || paper) as who, list_position(['Very low', 'Low', 'Moderate', 'High'], grade) as g from ev where verdict in ('supports', 'partly') and origin <> 'reported'),
+l as (select statement, who, max(g) as best from backs group by 1, 2), p as (select statement, count(distinct paper) as papers from backs group by 1),
+s as (select statement, count(*) as studies, count(*) filter (best >= 3) as good, count(*) filter (best = 4) as high from l group by 1),
+v as (select statement, count(verdict) as checked, count(*) filter (verdict = 'partly') as partly, count(*) filter (verdict = 'does not support') as against, count(*) filter (gap <> 'none') as gaps, bool_or(split) as split from ev group by 1),
+c as (select v.*, coalesce(studies, 0) as n, coalesce(good, 0) as good, coalesce(high, 0) as high, coalesce(papers, 0) as np, checked > 0 and against < checked as real from v left join s using (statement) left join p using (statement)),
+d as (select *, case when not real then null when n >= 3 and good >= 2 then 'robust' when n >= 2 or n = 1 and high = 1 then 'medium' else 'limited' end as evidence,
+  case when not real then null when against > 0 or 2 * partly > checked then 'low' when partly > 0 or gaps > 0 or n < 2 then 'medium' else 'high' end as agreement from c)
+select statement, case when real then n else 0 end as studies, case when real then np else 0 end as papers, evidence, agreement,
+  case when checked = 0 then case when split then 'runs disagreed' else 'not checked' end when not real then 'not supported by its passages'
+    else list_extract(['very low', 'low', 'medium', 'high', 'very high'], cast(list_position(['limited', 'medium', 'robust'], evidence) + list_position(['low', 'medium', 'high'], agreement) - 1 as integer)) end as confidence from d""")
 def confidence(t: Tables) -> DataFrame:
     return appraise.confidence(_evidence(t))
 
