@@ -11,6 +11,8 @@ SINGLE_QUOTES = "\u2018\u2019\u201a\u201b\u2032"
 DOUBLE_QUOTES = "\u201c\u201d\u201e\u201f\u2033"
 LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl"}
 EXT = "ext-[0-9a-f]{12}"
+#: Words of questions that aren't searched for.
+STOP_WORDS = ("what", "which", "does", "this", "that", "with", "from", "have", "about", "they", "their")
 #: White space in patterns: the ASCII kinds and the Unicode ones.
 SPACE = "\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
 
@@ -96,13 +98,22 @@ def refind_variants(needle: Column) -> Column:
     return F.filter(F.array(needle, swapped(needle), short, swapped(short)), lambda x: x.isNotNull())
 
 
+def bound(c: Column, use) -> Column:
+    """use(c) with c evaluated once, however often use takes it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def refind_status(text: Column, candidate: Column) -> Column:
-    """(status, candidates): refound, ambiguous or not_found under fold_for_refind; the first variant that occurs decides."""
-    hay, needle = fold_for_refind(text), F.btrim(fold_for_refind(candidate))
-    counts = F.transform(refind_variants(needle), lambda n: occurrences(hay, n))
-    first = F.coalesce(F.get(F.filter(counts, lambda x: x > 0), 0), F.lit(0))
-    n = F.when(F.coalesce(needle, F.lit("")) == "", 0).otherwise(first)
-    return F.struct(F.when(n == 1, "refound").when(n > 1, "ambiguous").otherwise("not_found").alias("status"), n.alias("candidates"))
+    """(status, candidates): refound, ambiguous or not_found under fold_for_refind; the first variant that occurs decides. The text is
+    folded once, and places are counted for that variant only."""
+    needle = F.btrim(fold_for_refind(candidate))
+
+    def decide(hay: Column) -> Column:
+        first = F.get(F.filter(refind_variants(needle), lambda n: F.contains(hay, n)), 0)
+        n = F.when((F.coalesce(needle, F.lit("")) == "") | first.isNull(), 0).otherwise(occurrences(hay, first))
+        return bound(n, lambda n: F.struct(F.when(n == 1, "refound").when(n > 1, "ambiguous").otherwise("not_found").alias("status"), n.alias("candidates")))
+
+    return bound(fold_for_refind(text), decide)
 
 
 def fragments(quote: Column, least: int = 12) -> Column:
@@ -113,11 +124,15 @@ def fragments(quote: Column, least: int = 12) -> Column:
 def quote_check(text: Column, quote: Column) -> Column:
     """exact, ambiguous, normalized, elided, missing or not found."""
     q = F.btrim(F.coalesce(quote, F.lit("")))
-    direct = occurrences(text, q)
-    folded = occurrences(F.lower(fold_for_refind(text)), F.btrim(F.lower(fold_for_refind(q))))
+    fold = lambda c: F.lower(fold_for_refind(c))
     pieces = fragments(q)
-    elided = (F.size(pieces) > 1) & F.forall(pieces, lambda p: F.contains(F.lower(fold_for_refind(text)), F.lower(fold_for_refind(p))))
-    return F.when(q == "", F.lit("missing")).when(direct == 1, "exact").when(direct > 1, "ambiguous").when(folded >= 1, "normalized").when(elided, "elided").otherwise("not found")
+
+    def loose(hay: Column) -> Column:
+        elided = (F.size(pieces) > 1) & F.forall(pieces, lambda p: F.contains(hay, fold(p)))
+        return F.when(F.contains(hay, F.btrim(fold(q))), F.lit("normalized")).when(elided, "elided").otherwise("not found")
+
+    direct = F.when(F.contains(text, q), bound(occurrences(text, q), lambda n: F.when(n == 1, F.lit("exact")).otherwise("ambiguous")))
+    return F.when(q == "", F.lit("missing")).otherwise(F.coalesce(direct, bound(fold(text), loose)))
 
 
 def sentences(text: Column) -> Column:
@@ -129,7 +144,7 @@ def numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("\\d+(?:[.,]\\d+)*"), F.lit(0))
 
 
-def search_terms(query: Column, least: int = 4, stop: tuple[str, ...] = ("that", "with", "from", "this", "have", "were", "what", "which", "their", "about")) -> Column:
+def search_terms(query: Column, least: int = 4, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     words = F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(f"[\\p{{L}}\\p{{N}}_]{{{least},}}"), F.lit(0)))
     return F.filter(words, lambda w: ~w.isin(*stop))
 

@@ -7,22 +7,37 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.ident import char_range_json, mint_ext_id
+from ..sources.shared import checkpointed
 
-#: Bytes of proposals that are broadcast against the texts; more are taken in blocks of that size.
-BLOCK_BYTES = 8 << 20
-
-
-def hits(texts: DataFrame, quotes: DataFrame, met: Column | None = None) -> DataFrame:
-    """texts joined with the quotes (quote_id, quote) that stand in them (or for which met is true): a stated set of proposals against all texts, in blocks of bounded
-    size, each broadcast. contains() settles most pairs before anything is counted."""
-    size = quotes.agg(F.sum(F.octet_length("quote"))).first()[0] or 0
-    blocks = 1 + int(size // BLOCK_BYTES)
-    out = None
-    for i in range(blocks):
-        part = quotes.where(F.pmod(F.xxhash64("quote_id", "quote"), F.lit(blocks)) == i)
-        found = texts.join(F.broadcast(part), (F.contains("text", F.col("quote")) if met is None else met) & (F.col("quote") != ""))
-        out = found if out is None else out.unionByName(found)
-    return out
+#: What parts words.
+PARTS = "[^\\p{L}\\p{N}]+"
+
+
+def words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, PARTS), lambda x: x != ""))
+
+
+def inner_words(quote: Column) -> Column:
+    """Words that are whole in every text that holds the quotation: those that touch neither of its ends."""
+    return words(F.regexp_replace(quote, "^[\\p{L}\\p{N}]+|[\\p{L}\\p{N}]+$", " "))
+
+
+def hits(texts: DataFrame, quotes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """texts joined with the quotes (quote_id, quote) that stand in them.
+
+    Texts and quotations meet by each quotation's rarest inner word: an equi-join of (key, word) pairs, not every text against every
+    quotation; the text itself decides. Only quotations without an inner word, of one or two words, are held against all texts."""
+    given = quotes.where("quote <> ''").withColumn("w", inner_words(F.col("quote")))
+    asked = given.select("quote_id", F.explode("w").alias("w"))
+    found = texts.select(F.col(key).alias("k"), F.explode(words(F.col("text"))).alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
+    found = checkpointed(found)
+    often = found.groupBy("w").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "w", "left").groupBy("quote_id").agg(F.min_by(F.struct("w", F.col("n").isNotNull().alias("there")), F.struct(F.coalesce("n", F.lit(0)), "w")).alias("x")).where("x.there").select("quote_id", F.col("x.w").alias("w"))
+    pairs = found.join(rarest, "w").select(F.col("k").alias(key), "quote_id").distinct()
+    known = given.where(F.size("w") > 0).select("quote_id", "quote")
+    out = texts.join(pairs, key).join(known, "quote_id").where(F.contains("text", F.col("quote")))
+    short = F.broadcast(given.where(F.size("w") == 0).select("quote_id", "quote"))
+    return out.unionByName(texts.join(short, F.contains("text", F.col("quote"))))
 
 
 def anchor(texts: DataFrame, candidates: DataFrame, normalize: bool = False) -> DataFrame:

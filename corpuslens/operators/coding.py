@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 
 def active(codings: DataFrame) -> DataFrame:
     return codings.where(F.coalesce("status", F.lit("active")) == "active") if "status" in codings.columns else codings
@@ -70,16 +72,15 @@ def recode(codings: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.select("coding_id", result.alias("result"), F.when(result == "recoded", F.col("to")).otherwise(F.col("old")).alias("code"))
 
 
-def ancestors(codes: DataFrame, most: int = 64) -> DataFrame:
-    """(code, ancestor, depth): each code and all above it. codes (code, parent) is a codebook, a small driver-sized table by definition; the walk
-    is joins by level, and a code met again (a cycle) ends it."""
+def ancestors(codes: DataFrame) -> DataFrame:
+    """(code, ancestor, depth): each code and all above it, to any depth. codes (code, parent) is a codebook, a small driver-sized table by
+    definition; the walk is joins by level, and a code met again (a cycle) ends it, so there are no more levels than codes."""
     step = codes.where("parent is not null").select(F.col("code").alias("c"), F.col("parent").alias("p"))
     now = codes.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("depth"), F.array("code").alias("seen"))
     out = now
-    for _ in range(most):
+    while not now.isEmpty():
         now = now.join(F.broadcast(step), F.col("ancestor") == F.col("c")).where(~F.array_contains("seen", F.col("p"))).select("code", F.col("p").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("seen", F.array("p")).alias("seen"))
-        if now.isEmpty():
-            break
+        now = checkpointed(now)
         out = out.union(now)
     return out.select("code", "ancestor", "depth")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.ident import bare_hash, sha256_hex
+from . import anchoring
 
 
 def hop_a(reps: DataFrame, stored: str = "sha256", content: str = "content") -> DataFrame:
@@ -97,10 +98,15 @@ def structure_problems(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     return blocks.withColumn("before", before).join(texts.select("doc", "text"), "doc").select("doc", "ord", problem.alias("problem")).where("problem is not null")
 
 
-def leak_share(text: Column, hidden: Column, width: int = 40, stride: int = 20) -> Column:
-    """The share of hidden's windows that stand in text; one of 20 code points or more that is shorter than a window is one as a whole."""
-    starts = F.when(F.length(hidden) >= width, F.sequence(F.lit(1), F.length(hidden) - width + 1, F.lit(stride))).when(F.length(hidden) >= 20, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.contains(text, F.substring(hidden, i, F.lit(width))))) / F.nullif(F.size(starts), F.lit(0))
+def leaks(texts: DataFrame, hidden: DataFrame, share: float = 0.6, width: int = 40, stride: int = 20) -> DataFrame:
+    """(doc_id, item_id, found, windows): hidden passages (item_id, hidden) of which `share` of the windows or more stand in a text (doc_id,
+    text); a passage of 20 code points or more that is shorter than a window is one as a whole."""
+    n = F.length("hidden")
+    starts = F.when(n >= width, F.sequence(F.lit(1), n - width + 1, F.lit(stride))).when(n >= 20, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    windows = hidden.select("item_id", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("hidden"), i, F.lit(width)))).alias("i", "quote"))
+    different = windows.select(F.xxhash64("quote").alias("quote_id"), "quote").distinct()
+    met = anchoring.hits(texts, different).select("doc_id", "quote").distinct().join(windows, "quote").groupBy("doc_id", "item_id").agg(F.count("*").alias("found"))
+    return met.join(windows.groupBy("item_id").agg(F.count("*").alias("windows")), "item_id").where(F.col("found") >= share * F.col("windows"))
 
 
 def level(findings: DataFrame, has_outputs: Column, has_extractions: Column) -> DataFrame:

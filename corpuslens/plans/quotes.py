@@ -42,11 +42,12 @@ def gate_hop_b(t: Tables) -> DataFrame:
     return gates.hop_b(_extractions(t), _reps(t))
 
 
-@R.add("select doc_id, sha256(text) = sha256(text || '') as intact from documents where false")
+@R.add("select doc_id, sha256(text) as actual from documents where doc_id % 7 = 3 and text is not null")
 def gate_hop_a(t: Tables) -> DataFrame:
-    """No stored hash of the table's own texts is wrong, so none is returned."""
-    reps = t.documents.withColumn("sha256", F.concat(F.lit("SHA256:"), F.upper(F.sha2("text", 256))))
-    return gates.hop_a(reps, "sha256", "text").select("doc_id", F.lit(False).alias("intact"))
+    """Stored hashes in several spellings; every seventh document's is of another text."""
+    stored = F.sha2(F.when(F.pmod("doc_id", F.lit(7)) == 3, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256)
+    spelled = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("SHA256:"), F.upper(stored))).otherwise(stored)
+    return gates.hop_a(t.documents.withColumn("sha256", spelled), "sha256", "text").select("doc_id", F.sha2("text", 256).alias("actual"))
 
 
 @R.add(f"""
@@ -69,21 +70,28 @@ def gate_findings_level(t: Tables) -> DataFrame:
 
 
 
-@R.add("""
-with hit as (select d.doc_id, b.item_id, d.text, b.text as quote from documents d join benchmark b on contains(d.text, b.text)),
-again as (select *, instr(text, quote) as p, contains(substr(text, instr(text, quote) + 1), quote) as more from hit)
-select doc_id, item_id, case when more then 'ambiguous' else 'anchored' end as status, case when more then null else p - 1 end as start from again""")
+_PROPOSED = """
+hit as (select d.doc_id, b.item_id, d.text, b.text as quote from documents d join benchmark b on contains(d.text, b.text)),
+made as (select doc_id, item_id as quote_id, text, quote from hit union all select doc_id, item_id + 1000000, text, quote || chr(7) from hit union all select doc_id, item_id + 2000000, text, '' from hit union all select doc_id, item_id + 3000000, text, left(quote, 2) from hit),
+again as (select *, case when quote = '' then 0 else instr(text, quote) end as p, quote <> '' and contains(substr(text, instr(text, quote) + 1), quote) as more from made),
+status as (select doc_id, quote_id, p, case when quote = '' then 'invalid' when p = 0 then 'not_found' when more then 'ambiguous' else 'anchored' end as status from again)"""
+
+
+def _proposed(t: Tables) -> DataFrame:
+    """Passages that stand in a document as they are, with a strange end, as nothing, and cut to two letters."""
+    found = anchoring.hits(t.documents.select("doc_id", "text"), _quotes(t))
+    forms = [(0, F.col("quote")), (1, F.concat("quote", F.lit("\a"))), (2, F.lit("")), (3, F.substring("quote", 1, 2))]
+    return found.select("doc_id", F.explode(F.array(*[F.struct((F.col("quote_id") + i * 1_000_000).alias("quote_id"), q.alias("quote")) for i, q in forms])).alias("x")).select("doc_id", "x.*")
+
+
+@R.add(f"with {_PROPOSED} select doc_id, quote_id, status, case when status = 'anchored' then p - 1 end as start from status")
 def anchor_status(t: Tables) -> DataFrame:
-    found = anchoring.hits(t.documents.select("doc_id", "text"), _quotes(t)).select("doc_id", "quote_id", "quote")
-    return anchoring.anchor(t.documents, found).select("doc_id", F.col("quote_id").alias("item_id"), "status", "start")
+    return anchoring.anchor(t.documents, _proposed(t)).select("doc_id", "quote_id", "status", "start")
 
 
-@R.add("""
-with hit as (select d.text, b.text as quote from documents d join benchmark b on contains(d.text, b.text))
-select status, count(*) as n from (select case when contains(substr(text, instr(text, quote) + 1), quote) then 'ambiguous' else 'anchored' end as status from hit) group by status""")
+@R.add(f"with {_PROPOSED} select status, count(*) as n from status group by status")
 def anchor_tally(t: Tables) -> DataFrame:
-    found = anchoring.hits(t.documents.select("doc_id", "text"), _quotes(t)).select("doc_id", "quote_id", "quote")
-    return anchoring.tally(anchoring.anchor(t.documents, found))
+    return anchoring.tally(anchoring.anchor(t.documents, _proposed(t)))
 
 
 _FIRST = "split_part(text, chr(10), 1)"
@@ -121,24 +129,35 @@ def context_window_cp(t: Tables) -> DataFrame:
 
 
 def _outputs(t: Tables) -> DataFrame:
-    """A derived text for each item: it cites the item's own id, an id nobody has, and a wrong wording; and one quotation without a marker."""
-    ext = lambda c: F.concat(F.lit("ext-"), F.lpad(F.hex(c), 12, "0"))
-    first = F.regexp_replace(F.substring_index("text", " ", 1), "\n", "-")
-    own, none = ext(F.col("item_id")), ext(F.col("item_id") + 1_000_000)
-    parts = [F.lit("```quote "), F.lower(own), F.lit("\n"), F.col("text"), F.lit("\n```\nThen \""), first, F.lit("\" ["), F.lower(own), F.lit("] and \""), first, F.lit("\"["), F.lower(none), F.lit("], but \"nobody cites this long sentence\".")]
-    return t.benchmark.select(F.col("item_id").alias("object_id"), F.concat(*parts).alias("output_text"), F.lower(own).alias("extraction_id"), F.col("text").alias("direct_quote"), F.lit("active").alias("status"))
+    """A derived text for each item. It cites the item's own passage in a fence, and, by the item's number: a wrong wording inline, an id
+    nobody has, and one to three quotations without a marker. Every third passage is superseded, every fifth retracted, every seventh
+    has no quotation."""
+    ext = lambda c: F.concat(F.lit("ext-"), F.lower(F.lpad(F.hex(c), 12, "0")))
+    i = F.col("item_id")
+    first = F.regexp_replace(F.substring_index("text", " ", 1), "[\n\"]", "-")
+    wrong = F.when(i % 2 == 0, F.concat(F.lit('Then "'), first, F.lit('" ['), ext(i), F.lit("] too.\n"))).otherwise("")
+    none = F.when(i % 4 < 2, F.concat(F.lit('And "'), first, F.lit('"['), ext(i + 1_000_000), F.lit("].\n"))).otherwise("")
+    loose = F.repeat(F.lit('But "nobody cites this long sentence".\n'), (i % 3 + 1).cast("int"))
+    text = F.concat(F.lit("```quote "), ext(i), F.lit("\n"), F.col("text"), F.lit("\n```\n"), wrong, none, loose, F.lit('A "short" word.'))
+    status = F.when(i % 5 == 0, "retracted").when(i % 3 == 0, "superseded").otherwise("active")
+    return t.benchmark.select(i.alias("object_id"), text.alias("output_text"), ext(i).alias("extraction_id"), F.when(i % 7 != 0, F.col("text")).alias("direct_quote"), status.alias("status"))
 
 
-@R.add("select item_id as object_id, 3 as n_markers, 1 as n_blocks, 1 as n_uncited, sha256(text) as block from benchmark")
+@R.add("""
+select item_id as object_id, 1 + (item_id % 2 = 0)::int + (item_id % 4 < 2)::int as n_markers, 1 as n_blocks, cast(item_id % 3 + 1 as integer) as n_uncited, sha256(text) as block from benchmark""")
 def markers(t: Tables) -> DataFrame:
     m = tx.quote_markers(F.col("output_text"))
     return _outputs(t).select("object_id", F.size(m).alias("n_markers"), F.size(F.filter(m, lambda x: x["form"] == "block")).alias("n_blocks"), F.size(tx.uncited_quotes(F.col("output_text"))).alias("n_uncited"), F.sha2(m[0]["quote"], 256).alias("block"))
 
 
-@R.add("select code, severity, n from (select (select count(*) from benchmark) as n), (values ('output_quote_mismatch', 'error'), ('output_cites_unknown_extraction', 'error')) v(code, severity)")
+@R.add("""
+with m as (select item_id, 'block' as form, true as same, true as known from benchmark union all select item_id, 'inline', false, true from benchmark where item_id % 2 = 0 union all select item_id, 'inline', false, false from benchmark where item_id % 4 < 2),
+c as (select item_id as object_id, form, case when not known then 'output_cites_unknown_extraction' when item_id % 7 = 0 then 'cited_extraction_not_quotable' when not same then 'output_quote_mismatch'
+  when item_id % 5 = 0 then 'cites_retracted' when item_id % 3 = 0 then 'cites_superseded' end as code from m)
+select object_id, form, code, case when code = 'cites_superseded' then 'warning' else 'error' end as severity from c where code is not null""")
 def gate_hop_c(t: Tables) -> DataFrame:
     out = _outputs(t)
-    return gates.hop_c(out, out).groupBy("code", "severity").agg(F.count("*").alias("n"))
+    return gates.hop_c(out, out).select("object_id", "form", "code", "severity")
 
 
 @R.add("select doc_id, len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) as n_numbers, array_to_string(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'), ' ') as numbers from documents where text is not null")
@@ -147,16 +166,21 @@ def printed_numbers(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").select("doc_id", F.size(n).cast("long").alias("n_numbers"), F.array_join(n, " ").alias("numbers"))
 
 
-@R.add("""
-with w as (select d.doc_id, d.text, h.text as hidden from documents d join benchmark h on contains(d.text, h.text)),
-p as (select doc_id, hidden, text, unnest(range(1, length(hidden) - 40 + 2, 20)) as i from w where length(hidden) >= 40)
-select doc_id, sha256(hidden) as hidden, count(*) as windows, cast(sum(case when contains(text, substr(hidden, i, 40)) then 1 else 0 end) as double) / count(*) as share from p group by 1, 2""")
+_HIDDEN = "select item_id, text as hidden from benchmark union all select item_id + 1000000, left(text, length(text) // 2) || repeat('@', length(text) // 2) from benchmark union all select item_id + 2000000, left(text, length(text) * 3 // 4) || repeat('#', length(text) // 4) from benchmark union all select item_id + 3000000, left(text, 30) from benchmark"
+
+
+@R.add(f"""
+with h as ({_HIDDEN}), w as (select item_id, hidden, unnest(case when length(hidden) >= 40 then range(1, length(hidden) - 40 + 2, 20) when length(hidden) >= 20 then [1] else [] end) as i from h),
+n as (select item_id, count(*) as n from w group by 1), f as (select d.doc_id, w.item_id, count(*) as m from w join documents d on contains(d.text, substr(w.hidden, w.i, 40)) group by 1, 2)
+select doc_id, item_id, m as found, n as windows from f join n using (item_id) where m >= 0.6 * n""")
 def leak_check(t: Tables) -> DataFrame:
-    """Passages of which 60 % of the windows reappear; the SQL knows only whole ones of 40 characters or more."""
-    met = gates.leak_share(F.col("text"), F.col("quote")) >= 0.6
-    found = anchoring.hits(t.documents.select("doc_id", "text"), _quotes(t), met)
-    n = F.greatest(F.lit(1), F.floor((F.length("quote") - 40) / 20) + 1)
-    return found.groupBy("doc_id", F.sha2("quote", 256).alias("hidden")).agg(F.sum(n).alias("windows"), F.max(gates.leak_share(F.col("text"), F.col("quote"))).alias("share"))
+    """Hidden passages of which 60 % of the windows stand in a document: whole ones, ones with half or a quarter spoilt, and short ones."""
+    n = F.length("text")
+    half, most = F.floor(n / 2).cast("int"), F.floor(n * 3 / 4).cast("int")
+    left = lambda k: F.substring(F.col("text"), F.lit(1), k)
+    forms = [F.col("text"), F.concat(left(half), F.repeat(F.lit("@"), half)), F.concat(left(most), F.repeat(F.lit("#"), F.floor(n / 4).cast("int"))), left(F.lit(30))]
+    hidden = t.benchmark.select(F.explode(F.array(*[F.struct((F.col("item_id") + i * 1_000_000).alias("item_id"), x.alias("hidden")) for i, x in enumerate(forms)])).alias("x")).select("x.*")
+    return gates.leaks(t.documents.select("doc_id", "text"), hidden)
 
 
 @R.add("""
@@ -168,9 +192,15 @@ def sentence_split(t: Tables) -> DataFrame:
 
 
 @R.add("""
-with c as (select conv_id, turn, text, 'x' || text as wrong from conversations where text is not null and text <> '')
-select conv_id, turn, case when contains(substr(text, instr(text, q) + 1), q) then 'ambiguous' else 'exact' end as status from (select conv_id, turn, text, trim(text) as q from c where trim(text) <> '')""")
+with c as (select conv_id, turn, text, conv_id * 100 + turn as k from conversations where length(text) >= 60 and not regexp_matches(text, '[\u2026]|[.][.][.]')),
+q as (select *, case k % 6 when 0 then substr(text, 3, 40) when 1 then replace(left(text, 40), ' ', '  ') when 2 then left(text, 20) || ' ... ' || right(text, 20) when 3 then '' when 4 then left(text, 30) || chr(7) || '?' else left(text, 1) end as raw from c),
+t as (select *, trim(raw) as q, lower(regexp_replace(text, '\\s+', ' ', 'g')) as hay from q)
+select conv_id, turn, case when q = '' then 'missing' when contains(text, q) then case when contains(substr(text, instr(text, q) + 1), q) then 'ambiguous' else 'exact' end
+  when contains(hay, trim(lower(regexp_replace(q, '\\s+', ' ', 'g')))) then 'normalized' when k % 6 = 2 then 'elided' else 'not found' end as status from t""")
 def quote_check(t: Tables) -> DataFrame:
-    """Each turn quoted against its own text."""
-    rows = t.conversations.where("text is not null and btrim(text) <> ''")
-    return rows.select("conv_id", "turn", tx.quote_check(F.col("text"), F.col("text")).alias("status"))
+    """Each turn quoted in six ways: a piece, with doubled blanks, with words left out, not at all, wrongly, and by its first letter."""
+    rows = t.conversations.where((F.length("text") >= 60) & ~F.col("text").rlike("[\u2026]|[.][.][.]"))
+    k = (F.col("conv_id") * 100 + F.col("turn")) % 6
+    left = lambda n: F.substring("text", 1, n)
+    quote = F.when(k == 0, F.substring("text", 3, 40)).when(k == 1, F.replace(left(40), F.lit(" "), F.lit("  "))).when(k == 2, F.concat(left(20), F.lit(" ... "), F.right("text", F.lit(20)))).when(k == 3, "").when(k == 4, F.concat(left(30), F.lit("\a?"))).otherwise(left(1))
+    return rows.select("conv_id", "turn", tx.quote_check(F.col("text"), quote).alias("status"))
