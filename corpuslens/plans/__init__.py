@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import coding, corpus, identity, quotes, tables
+from . import coding, corpus, identity, linking, passages, quotes, reports, tables
 
-AREAS = (identity, quotes, coding, tables, corpus)
+AREAS = (identity, quotes, coding, tables, corpus, reports, linking, passages)
 
 
 def queries() -> dict:
