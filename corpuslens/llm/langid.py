@@ -149,15 +149,16 @@ def has_letter(text: bytes) -> bool:
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[np.ndarray, list[str]]:
-    """Windows and languages of about per_lang texts of each language (all of them in a smaller one), chosen by a hash of the text."""
+    """Windows and languages of about per_lang different texts of each language (all of them in a smaller one), chosen by a hash of the
+    text: a group of copies counts once, so no group makes the sample larger."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.countDistinct(F.xxhash64("text"))).collect()}
     if not sizes:
         return np.zeros((0, WINDOW), np.uint8), []
     order = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1 << 20, int((per_lang << 20) / n)))]), F.col("lang"))
     spread = lambda seed: F.substring("text", 1 + F.pmod(F.xxhash64("text", F.lit(seed)), F.greatest(F.lit(1), F.length("text") - WINDOW // 2)).cast("int"), F.lit(WINDOW))
-    rows = labelled.where(order < share).select("lang", F.array(spread(1), spread(2)).alias("cuts")).collect()
+    rows = labelled.where(order < share).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min(F.array(spread(1), spread(2))).alias("cuts")).select("lang", "cuts").collect()
     rows.sort()
     texts = [x.encode()[:WINDOW] for r in rows for x in r[1] if x.strip()]
     langs = [r[0] for r in rows for x in r[1] if x.strip()]

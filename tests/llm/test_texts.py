@@ -278,6 +278,13 @@ def test_language_id_messy(messy, messy_docs):
         assert found[d]["k"] == 3
 
 
+def test_language_sample_counts_copies_once(spark):
+    given = [("the same text", "en")] * 500 + [(f"text number {i}", "en") for i in range(100)] + [(f"ein Text {i}", "de") for i in range(30)]
+    docs = spark.createDataFrame(given, "text string, lang string").repartition(4)
+    _, langs = langid.sample(docs, per_lang=40)
+    assert langs.count("de") == 60 and 20 <= langs.count("en") <= 140  # two windows of each text
+
+
 def test_language_id_without_labels(spark, no_docs):
     assert langid.language_id(no_docs).collect() == []
     found = langid.language_id(spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")).first()
