@@ -16,8 +16,11 @@ from corpuslens.llm.common import fresh, id_key, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (null texts, texts without letters) go."""
-    return langid.language_id(docs).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Documents without a recognisable language go: null texts and texts without letters. A predicted language rejects nothing, and a
+    corpus without any label, from which no language can be learned, loses only the former."""
+    found = langid.language_id(docs)
+    known = (F.col("lang_pred") != langid.UNKNOWN) | F.coalesce(F.col("text").cast("string").rlike("\\p{L}"), F.lit(False))
+    return found.where(known).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
