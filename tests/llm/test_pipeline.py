@@ -63,3 +63,8 @@ def test_stages_decide_row_by_row(spark, sf_dir):
     one_each = [(3, a), (5, b), (None, c), (None, item), (None, "quite another text")]
     assert rows(corpus_pipeline.near_copies(spark, docs, sf_dir)) == sorted(one_each, key=repr)
     assert rows(corpus_pipeline.decontamination(spark, docs, sf_dir)) == sorted((x for x in given if x[1] != item), key=repr)
+
+
+def test_language_stage_keeps_an_unlabelled_corpus(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, sf_dir).collect()] == [1]
