@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,20 +98,29 @@ def gate(measure: Column, top_share: Column, agreement: Column, ac1: Column, n:
     return (agreement >= 0.8) & ((n < 10) | (F.coalesce(used, F.lit(1.0)) >= 0.4))
 
 
-def bootstrap(pairs: DataFrame, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """(low, high): the 2.5 and 97.5 % places of kappa over resamples. Each row counts Poisson(1) times in each replicate, by its hash, so
-    a replicate is an aggregation of its own and none needs all rows in one place."""
-    spread = pairs.where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
-    runs = pairs.sparkSession.range(replicates).withColumnRenamed("id", "run")
-    # the sum of n Poisson(1) draws is Poisson(n); a normal draw rounded stands for it from 30 on
-    u = (F.pmod(F.xxhash64("a", "b", "run", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    v = (F.pmod(F.xxhash64("a", "b", "run", F.lit(seed + 1)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
-    drawn = runs.crossJoin(F.broadcast(spread)).withColumn("n", F.greatest(F.lit(0), F.round(F.col("n") + F.sqrt("n") * z)).cast("long"))
-    sides = drawn.groupBy("run").agg(F.collect_list(F.struct("a", "b", "n")).alias("c"), F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
-    total = lambda x, side: F.aggregate(F.filter("c", lambda y: y[side] == x), F.lit(0).cast("bigint"), lambda s, y: s + y["n"])
-    pe = F.aggregate(F.array_distinct(F.transform("c", lambda x: x["a"])), F.lit(0.0), lambda s, x: s + total(x, "a").cast("double") * total(x, "b")) / (F.col("n").cast("double") * F.col("n"))
-    k = sides.where("n > 0").withColumn("pe", pe).where("pe < 1").select(((F.col("same") / F.col("n") - F.col("pe")) / (1 - F.col("pe"))).alias("k"))
-    ranked = k.agg(F.sort_array(F.collect_list("k")).alias("k"))  # as many as there are replicates
-    place = lambda p: F.element_at("k", F.greatest(F.lit(1), F.ceil(F.size("k") * p).cast("int")))
+def bootstrap(pairs: DataFrame, replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """(low, high): the 2.5 and 97.5 % places of kappa over resamples of the pairs (a, b), with replacement. Drawing the pairs anew is
+    drawing how often each pair of labels comes, a multinomial draw over the table of label pairs, which is as small as a codebook's
+    square; tasks draw the replicates, each with a seed of its own."""
+    spark = pairs.sparkSession
+    table = pairs.where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n")).orderBy("a", "b").toPandas()
+    labels = sorted({*table["a"], *table["b"]})
+    left, right = (np.searchsorted(labels, table[c].to_numpy()) for c in ("a", "b"))
+    shared = spark.sparkContext.broadcast((left, right, table["n"].to_numpy(), len(labels)))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, right, n, k = shared.value
+        total = int(n.sum())
+        for batch in batches:
+            out = []
+            for run in batch["id"]:
+                drawn = np.random.default_rng((seed, int(run))).multinomial(total, n / max(1, total)) if total else n
+                same = drawn[left == right].sum() / max(1, total)
+                pe = (np.bincount(left, drawn, k) * np.bincount(right, drawn, k)).sum() / max(1, total) ** 2
+                if total and pe < 1:
+                    out.append((same - pe) / (1 - pe))
+            yield pd.DataFrame({"k": np.array(out, dtype=float)})
+
+    ranked = spark.range(replicates).mapInPandas(draw, "k double").agg(F.sort_array(F.collect_list("k")).alias("k"))  # as many as there are replicates
+    place = lambda p: F.when(F.size("k") > 0, F.element_at("k", F.greatest(F.lit(1), F.ceil(F.size("k") * p).cast("int"))))
     return ranked.select(place(0.025).alias("low"), place(0.975).alias("high"))

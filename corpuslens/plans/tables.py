@@ -238,8 +238,9 @@ def citation_tier(t: Tables) -> DataFrame:
 
     cited = t.customer.join(t.orders.groupBy("o_custkey").agg(F.count("*").alias("cited")), F.col("o_custkey") == F.col("c_custkey"), "left")
     sizes = cited.groupBy("cited").agg(F.count("*").alias("m"))
+    # a row for each different count of orders, far fewer than customers
     above = sizes.withColumn("above", F.coalesce(F.sum("m").over(Window.orderBy(F.desc_nulls_last("cited")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("cited").orderBy("c_custkey")
     total = cited.count()
-    ranked = cited.join(F.broadcast(above.withColumnRenamed("cited", "k")), F.col("cited").eqNullSafe(F.col("k"))).withColumn("rank", F.col("above") + F.row_number().over(inside))
+    ranked = cited.join(above.withColumnRenamed("cited", "k"), F.col("cited").eqNullSafe(F.col("k"))).withColumn("rank", F.col("above") + F.row_number().over(inside))
     return ranked.groupBy(appraise.citation_tier(F.col("cited"), F.col("rank"), F.lit(total), F.col("c_custkey") % 9 == 0).alias("tier")).agg(F.count("*").alias("n"))

@@ -64,7 +64,7 @@ sys.path.insert(0, {ROOT!r})
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name == 'corpus_pipeline' or name.startswith('corpuslens.llm'):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 from corpuslens import plans
