@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,8 @@ from pyspark.sql.types import StringType
 TRACKING_PARAMS = ("gclid", "fbclid", "msclkid", "twclid", "igshid", "mc_cid", "mc_eid", "wbraid", "gbraid")
 #: File stems that Windows refuses.
 RESERVED_STEMS = ("con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10)))
+#: Left as they are when other characters of a URL are percent-encoded.
+SAFE = "%/?#[]@!$&'()*+,;=:~|^\\"
 UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
 
 
@@ -106,22 +109,70 @@ def _percent(c: Column) -> Column:
     return F.array_join(F.transform(parts, piece), "")
 
 
-def canonical_url(raw: Column) -> Column:
-    """An http(s) URL's one spelling: scheme and host in lower case, no default port, fragment or tracking keys, unreserved escapes undone,
-    no final slashes, query tokens sorted. Null if it isn't such a URL (hosts outside ASCII need their punycode form beforehand)."""
+#: Schemes with a host of their own kind, and their default ports.
+SPECIAL_PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
+
+
+@F.pandas_udf(StringType())
+def ascii_url(s: pd.Series) -> pd.Series:
+    """URLs with characters outside plain ASCII: the host in its punycode form, other parts percent-encoded; null for hosts that have none."""
+
+    def one(x: str | None) -> str | None:
+        if x is None:
+            return None
+        head, sep, rest = x.partition("://")
+        if not sep:
+            return quote(x, safe=SAFE)
+        end = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+        user, at, host = rest[:end].rpartition("@")
+        try:
+            host = host if host.isascii() else host.encode("idna").decode()
+        except UnicodeError:
+            return None
+        return head + sep + user + at + host + quote(rest[end:], safe=SAFE)
+
+    return s.map(one)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its `.` and `..` segments resolved."""
+    dot = lambda x, n: F.lower(F.regexp_replace(x, "(?i)%2e", ".")) == "." * n
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    last = F.element_at(parts, -1)
+    parts = F.when(dot(last, 1) | dot(last, 2), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda acc, x: F.when(dot(x, 1), acc).when(dot(x, 2), F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1))).otherwise(F.concat(acc, F.array(x))))
+    return F.when(path.rlike("(?i)/(?:\\.|%2e)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def canonical_url(raw: Column, ascii_only: bool = False) -> Column:
+    """A URL's one spelling: scheme and host in lower case (punycode outside ASCII), no default port, fragment or tracking keys, dot
+    segments resolved, unreserved escapes undone, no final slashes, query tokens sorted. URLs of other schemes keep their host and path;
+    null if there is no scheme, or no host where the scheme needs one. ascii_only: URLs known to be plain stay inside the JVM."""
     trimmed = F.btrim(raw)
-    shape = "^([A-Za-z][A-Za-z0-9+.-]*):/{2,}(?:[^/?#@]*@)?([^/?#:@\\s]+)(?::(\\d*))?([^?#]*)(?:\\?([^#]*))?(?:#.*)?$"
-    part = lambda i: F.regexp_extract(trimmed, shape, i)
-    scheme, host, port, path, query = F.lower(part(1)), F.lower(part(2)), part(3), part(4), part(5)
-    default = F.when(scheme == "http", "80").otherwise("443")
+    if not ascii_only:
+        trimmed = F.when(trimmed.rlike("[^!-~]"), ascii_url(trimmed)).otherwise(trimmed)
+    shape = "^([A-Za-z][A-Za-z0-9+.-]*):(//+)?(.*)$"
+    scheme, slashes, rest = F.lower(F.regexp_extract(trimmed, shape, 1)), F.regexp_extract(trimmed, shape, 2), F.regexp_extract(trimmed, shape, 3)
+    special = scheme.isin(*SPECIAL_PORTS)
+    rest = F.when(special, F.regexp_replace(F.regexp_replace(rest, "^[/\\\\]+", ""), "\\\\(?=[^?#]*(?:[?#]|$))", "/")).otherwise(rest)
+    held = special | (slashes != "")
+    parts = "^(?:[^/?#@]*@)?([^/?#:@\\s]*)(?::(\\d*))?([^?#]*)(?:\\?([^#]*))?(?:#.*)?$"
+    part = lambda i: F.regexp_extract(rest, parts, i)
+    host, port = F.when(special, F.lower(part(1))).otherwise(part(1)), F.regexp_replace(part(2), "^0+(?=\\d)", "")
+    default = F.coalesce(F.create_map(*[F.lit(x) for pair in SPECIAL_PORTS.items() for x in pair])[scheme], F.lit(""))
     at = F.when((port != "") & (port != default), F.concat(F.lit(":"), port)).otherwise("")
-    path = _percent(F.when(path == "", "/").otherwise(path))
-    path = F.when(path.rlike("^/+$"), F.when(path == "/", "/").otherwise(F.lit("/"))).otherwise(F.regexp_replace(path, "/+$", ""))
+    opaque = F.regexp_extract(rest, "^([^?#]*)", 1)
+    path = F.when(held, part(3)).otherwise(opaque)
+    path = F.when(special & (path == ""), "/").otherwise(path)
+    path = _percent(F.when(path.startswith("/"), _without_dots(path)).otherwise(path))
+    path = F.when(path == "/", path).when(path.rlike("^/+$"), "/").otherwise(F.regexp_replace(path, "/+$", ""))
+    query = F.when(held, part(4)).otherwise(F.regexp_extract(rest, "^[^?#]*\\?([^#]*)", 1))
     key = lambda t: F.lower(F.try_url_decode(F.substring_index(t, "=", 1)))
     tokens = F.filter(F.split(query, "&"), lambda t: ~F.coalesce(key(t).startswith("utm_") | key(t).isin(*TRACKING_PARAMS), F.lit(False)))
     kept = F.array_join(F.array_sort(tokens), "&")
-    url = F.concat(scheme, F.lit("://"), host, at, path, F.when((query != "") & (kept != ""), F.concat(F.lit("?"), kept)).otherwise(""))
-    return F.when(scheme.isin("http", "https") & (host != ""), url)
+    url = F.concat(scheme, F.lit("://"), F.when(held, F.concat(host, at)).otherwise(""), path, F.when((query != "") & (kept != ""), F.concat(F.lit("?"), kept)).otherwise(""))
+    return F.when((scheme != "") & (~special | (host != "")), url)
 
 
 @F.pandas_udf(StringType())

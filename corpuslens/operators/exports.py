@@ -1,4 +1,4 @@
-"""Exports: mirrors as CSV, citations, JSON lines, provenance nodes, annotation selectors."""
+"""Exports: mirrors as CSV, citations, JSON lines, derivation nodes, annotation selectors."""
 
 from __future__ import annotations
 

@@ -19,7 +19,7 @@ from . import gates
 PREFIXES = {"sources": ("source_id", "src"), "extractions": ("extraction_id", "ext"), "generations": ("generation_id", "gen"), "syntheses": ("synthesis_id", "syn"), "codebooks": ("codebook_id", "cbk"), "codings": ("coding_id", "cod")}
 #: What an object must have.
 REQUIRED = {
-    "corpora": ("upc_spec_version", "corpus_id", "sections"),
+    "corpora": ("spec_version", "corpus_id", "sections"),
     "sources": ("source_id", "source_kind", "representations"),
     "extractions": ("extraction_id", "source_id", "representation_ref", "type", "locator"),
     "generations": ("generation_id", "type", "provenance"),
@@ -58,10 +58,10 @@ def value_number(name: str, field: str = "locator") -> Column:
 
 def shape_rules(c: Corpora) -> list[DataFrame]:
     """Rules 0.1, 0.2, 0.6, 0.7 and what the reader met."""
-    version = F.coalesce("upc_spec_version", F.lit(""))
+    version = F.coalesce("spec_version", F.lit(""))
     errors = ~F.col("code").isin("jsonl_torn_tail")
     out = [
-        finding(c.corpora.where(~version.rlike("^1\\.")), "spec_version_missing", F.lit("corpus.json"), level=0, detail="upc_spec_version"),
+        finding(c.corpora.where(~version.rlike("^1\\.")), "spec_version_missing", F.lit("corpus.json"), level=0, detail="spec_version"),
         finding(c.findings.where(errors), F.col("code"), "object_id", level=0, detail="detail"),
         warning(c.findings.where(~errors), "jsonl_torn_tail", "object_id", "detail"),
     ]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import coding, corpus, identity, linking, passages, quotes, reports, tables
+from . import coding, corpus, identity, linking, passages, quotes, reports, tables, writing
 
-AREAS = (identity, quotes, coding, tables, corpus, reports, linking, passages)
+AREAS = (identity, quotes, coding, tables, corpus, reports, linking, passages, writing)
 
 
 def queries() -> dict:

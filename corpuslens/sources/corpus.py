@@ -18,9 +18,11 @@ STAMP = "provenance struct<produced_by: struct<tool: string, model: string, meth
 OUTPUT = "output struct<path: string, media_type: string, sha256: string, value: string>"
 LOCATOR = "struct<type: string, representation_ref: string, value: string>"
 REPRESENTATION = "struct<representation_id: string, role: string, media_type: string, path: string, sha256: string, parent_representation_ref: string, dimensions: struct<width: double, height: double>, duration_seconds: double, " + STAMP.replace(" struct", ": struct", 1) + ">"
+#: A manifest's version of the format, whatever the format is called.
+VERSION = '"[a-z]+_spec_version"\\s*:\\s*"([^"]*)"'
 #: Each kind's schema; fields of codes stand in the order of canonical JSON.
 SCHEMAS = {
-    "corpora": "upc_spec_version string, corpus_id string, sections map<string, string>, counts map<string, long>, sources array<struct<source_id: string, path: string>>, syntheses array<struct<synthesis_id: string, path: string>>",
+    "corpora": "spec_version string, corpus_id string, sections map<string, string>, counts map<string, long>, sources array<struct<source_id: string, path: string>>, syntheses array<struct<synthesis_id: string, path: string>>",
     "sources": f"source_id string, source_kind string, title string, representations array<{REPRESENTATION}>, extractions_path string, retrieval struct<original_url: string, final_url: string>, bibliographic struct<item_type: string, title: string, url: string>, identifiers array<struct<scheme: string, value: string>>, relations array<struct<type: string, target: string>>, aliases map<string, string>, {STAMP}",
     "extractions": f"extraction_id string, source_id string, representation_ref string, type string, status string, text string, direct_quote string, locator {LOCATOR}, secondary_locators array<{LOCATOR}>, anchoring struct<method: string, rules: array<string>>, confidence string, confidence_score double, {STAMP}",
     "generations": f"generation_id string, type string, {OUTPUT}, {STAMP}",
@@ -84,7 +86,10 @@ def load(spark: SparkSession, base: str) -> Corpora:
         """Whole JSON files; those without `needs` are no objects of the kind."""
         parsed = _parsed(rows.select("corpus", F.col("rel").alias("at"), F.coalesce(_text(), F.lit("")).alias("raw")), kind)
         findings.append(parsed.where("bad").select("corpus", F.lit("load_error" if kind == "corpora" else "schema_invalid").alias("code"), F.col("at").alias("object_id"), F.lit("no JSON object").alias("detail")))
-        good = parsed.where("not bad").select("corpus", "at", F.col("row").dropFields("__bad").alias("row")).select("corpus", "at", "row.*")
+        good = parsed.where("not bad").select("corpus", "at", "raw", F.col("row").dropFields("__bad").alias("row")).select("corpus", "at", "raw", "row.*")
+        if kind == "corpora":
+            good = good.withColumn("spec_version", F.nullif(F.regexp_extract("raw", VERSION, 1), F.lit("")))
+        good = good.drop("raw")
         return checkpointed(good.where(f"{needs} is not null") if needs else good)
 
     def lines(kind: str, rows: DataFrame) -> DataFrame:

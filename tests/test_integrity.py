@@ -81,7 +81,7 @@ class Made:
             sections["syntheses"] = "syntheses/"
         if self.book:
             sections |= {"codebooks": "codebooks/", "codings": "codings/"}
-        put("corpus.json", json.dumps({"upc_spec_version": "1.15.1", "corpus_id": "cor-000000000001", "sections": sections, "counts": {"sources": 1}, "sources": [{"source_id": self.source["source_id"], "path": "sources/one/"}]}))
+        put("corpus.json", json.dumps({"own_spec_version": "1.15.1", "corpus_id": "cor-000000000001", "sections": sections, "counts": {"sources": 1}, "sources": [{"source_id": self.source["source_id"], "path": "sources/one/"}]}))
         put("sources/one/source.json", json.dumps(self.source))
         if self.text is not None:
             put("sources/one/representations/text.md", self.text)

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
+from corpuslens.sources import files
+from corpuslens.functions import ident
 from corpuslens.operators import appraise, passages, profile, reports, stats, units
 
 
@@ -156,3 +158,44 @@ def test_bootstrap_holds_kappa(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     low, high = stats.bootstrap(df, 2000).first()
     assert low < 0.745 < high and 0.2 < high - low < 0.45
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("HTTP://Example.ORG:80/a/./b/../c/?utm_source=x&b=2&a=1#f", "http://example.org/a/c?a=1&b=2"),
+        ("https://example.org/a/b/..", "https://example.org/a"),
+        ("https://example.org/%7Euser/%2e%2E/x", "https://example.org/x"),
+        ("https://b\u00fccher.example/stra\u00dfe?q=\u00e4", "https://xn--bcher-kva.example/stra%C3%9Fe?q=%C3%A4"),
+        ("ftp://Host.example:21/x/", "ftp://host.example/x"),
+        ("urn:isbn:0451450523", "urn://isbn:0451450523"),
+        ("mailto:a@b.example", "mailto://a@b.example"),
+        ("git://Host/x/../y", "git://Host/y"),
+        ("https://example.org/a b", "https://example.org/a%20b"),
+        ("no url", None),
+        ("https://", None),
+    ],
+)
+def test_canonical_url(spark, raw, want):
+    assert spark.createDataFrame([(raw,)], "u string").select(ident.canonical_url(F.col("u"))).first()[0] == want
+
+
+def test_tables_of_any_kind(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffx;y\n1;"a;b"\n2;c\n')
+    (tmp_path / "b.jsonl").write_text('{"n": 1, "f": true, "l": ["p", "q"]}\n{"n": null, "f": false, "l": []}\n')
+    (tmp_path / "c.tsv").write_text("x\ty\n1\t2\n")
+    (tmp_path / ".hidden.csv").write_text("x\n1\n")
+    rows = lambda name: sorted(map(tuple, files.any_table(spark, f"{tmp_path}/{name}").collect()))
+    assert rows("a.csv") == [("1", "a;b"), ("2", "c")]
+    assert files.any_table(spark, f"{tmp_path}/a.csv").columns == ["x", "y"]
+    assert rows("b.jsonl") == [("False", "", ""), ("True", "p;q", "1")]
+    assert rows("c.tsv") == [("1", "2")]
+    found = files.table_files(spark, [str(tmp_path)])
+    assert [x.rsplit("/", 1)[-1] for x in found] == ["a.csv", "b.jsonl", "c.tsv"]
+    assert files.table_names(["/p/One X/t.csv", "/p/two/t.csv", "/p/two/u.csv"]) == {"/p/One X/t.csv": "one-x_t", "/p/two/t.csv": "two_t", "/p/two/u.csv": "u"}
+
+
+def test_captions(spark):
+    text = "WEBVTT\n\n1\n00:00:01.000 --> 00:00:02.500 align:start\nAnn B: <i>Hello</i>\nthere\n\n00:03,500 --> 00:04,000\nno name\n\n00:05 --> 00:06\n\n00:07 --> 00:08\nat 10:30: now"
+    found = files.captions(spark.createDataFrame([(1, text)], "id int, text string"), "id").orderBy("start").collect()
+    assert [tuple(r)[2:] for r in found] == [(1.0, 2.5, "Ann B", "Hello there"), (3.5, 4.0, None, "no name"), (7.0, 8.0, None, "at 10:30: now")]
