@@ -191,3 +191,15 @@ def date_key(text: Column) -> Column:
 def list_cell(c: Column) -> Column:
     """A cell's parts between semicolons, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(c, ";"), lambda x: F.btrim(x)), lambda x: x != "")
+
+
+def first_object(answer: Column) -> Column:
+    """The first JSON object in a model's answer, whatever stands around it, as text: from a brace to the nearest one that closes it; null
+    if there is none. Braces inside strings don't count."""
+    string = '"(?:[^"\\\\]|\\\\.)*+"'
+    flat = f"(?:[^{{}}\"]|{string})*+"
+    nested = flat
+    for _ in range(8):
+        nested = f"(?:[^{{}}\"]|{string}|\\{{{nested}\\}})*+"
+    found = F.regexp_extract(answer, f"(?s)\\{{{nested}\\}}", 0)
+    return F.when((found != "") & F.try_parse_json(found).isNotNull(), found)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ident import char_range_json
+
 
 def csv_field(c: Column) -> Column:
     text = F.coalesce(c.cast("string"), F.lit(""))
@@ -78,3 +80,18 @@ def write_single_csv(lines: DataFrame, header: str, path: str) -> None:
     """A mirror as Spark text files under path: the header, then lines (ord, line) in order of ord, range-partitioned rather than in one task."""
     lines.sparkSession.createDataFrame([(header,)], "line string").write.mode("overwrite").text(f"{path}/header")
     lines.orderBy("ord").select("line").write.mode("overwrite").text(f"{path}/rows")
+
+
+def extraction_lines(extractions: DataFrame) -> DataFrame:
+    """(extraction_id, line): the CSV mirror of passages, the locator as canonical JSON. extractions: extraction_id, source_id,
+    representation_ref, type, start, end, direct_quote, status."""
+    locator = char_range_json(F.col("representation_ref"), F.col("start"), F.col("end"))
+    return extractions.select("extraction_id", csv_line(F.col("extraction_id"), F.col("source_id"), F.col("representation_ref"), F.col("type"), locator, F.col("direct_quote"), F.coalesce("status", F.lit("active"))).alias("line"))
+
+
+def markdown_entry(authors: Column, year: Column, title: Column, container: Column, url: Column) -> Column:
+    """A bibliography's line: authors (year). *Title*. Container. <url>; what is missing is left out."""
+    has = lambda c: F.coalesce(c.cast("string") != "", F.lit(False))
+    who = F.when(has(authors), F.concat(authors, F.when(has(year), F.concat(F.lit(" ("), year.cast("string"), F.lit(")"))).otherwise(""), F.lit(". "))).otherwise(F.when(has(year), F.concat(F.lit("("), year.cast("string"), F.lit("). "))).otherwise(""))
+    rest = F.concat(F.when(has(title), F.concat(F.lit("*"), title, F.lit("*. "))).otherwise(""), F.when(has(container), F.concat(container, F.lit(". "))).otherwise(""), F.when(has(url), F.concat(F.lit("<"), url, F.lit(">"))).otherwise(""))
+    return F.concat(F.lit("- "), F.rtrim(F.concat(who, rest)))

@@ -112,3 +112,32 @@ def facet_counts(rows: DataFrame, ticks: dict[str, list], schemes: list[str]) ->
         parts.append(F.when(F.coalesce(others, F.lit(False)), F.struct(F.lit(s).alias("scheme"), F.col(s).cast("string").alias("value"))))
     long = rows.select(F.explode(F.array_compact(F.array(*parts))).alias("f"))
     return long.groupBy("f.scheme", "f.value").agg(F.count("*").alias("n"))
+
+
+def findings_filter(support: list[str], kinds: list[str], places: list[str], terms: tuple[str, ...] = ()) -> Column:
+    """Which findings (support, kind, places array, text) a reader's choices leave: of each list of choices one must hold, an empty one
+    asks nothing; every term must stand in the text, whatever its case."""
+    test = F.lit(True)
+    if support:
+        test = test & F.col("support").isin(*support)
+    if kinds:
+        test = test & F.col("kind").isin(*kinds)
+    if places:
+        test = test & F.arrays_overlap("places", F.array(*[F.lit(x) for x in places]))
+    for term in terms:
+        test = test & F.contains(F.lower("text"), F.lit(term.lower()))
+    return F.coalesce(test, F.lit(False))
+
+
+def by_strength(findings: DataFrame, overview: str) -> DataFrame:
+    """findings (overview, ord, support_rank, studies) with their place from 1 in each overview: stronger first, then more studies, then as
+    they stand."""
+    w = Window.partitionBy(overview).orderBy(F.desc("support_rank"), F.desc("studies"), "ord")
+    return findings.withColumn("place", F.row_number().over(w))
+
+
+def by_coverage(codings: DataFrame, last: tuple[str, ...] = ()) -> DataFrame:
+    """(scheme, sources, place): facet groups by how many sources they cover, those of `last` at the end."""
+    per = codings.groupBy("scheme").agg(F.countDistinct("source").alias("sources"))
+    w = Window.orderBy(F.col("scheme").isin(*last).cast("int") if last else F.lit(0), F.desc("sources"), "scheme")  # a row for each scheme
+    return per.withColumn("place", F.row_number().over(w))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ident
-from ..operators import writing
+from ..functions import text as tx
+from ..operators import exports, search, writing
 from .base import Registry, Tables
 
 R = Registry()
@@ -55,3 +56,46 @@ def pending_units(t: Tables) -> DataFrame:
     units = t.orders.select(k.alias("unit"), F.sha2(F.concat_ws("|", k, "o_orderstatus"), 256).alias("digest"))
     done = t.orders.where("o_orderkey % 4 <> 0").select(k.alias("unit"), F.sha2(F.concat_ws("|", k, F.when(k % 6 == 1, "?").otherwise(F.col("o_orderstatus"))), 256).alias("digest"))
     return writing.pending(units, done).select("unit")
+
+
+@R.add("""
+select item_id, 'ext-' || item_id || ',s,r,quote,"{""representation_ref"":""r"",""type"":""char_range"",""value"":{""end"":' || length(text) || ',""start"":0}}",' ||
+  case when regexp_matches(text, '[",\r\n]') then '"' || replace(text, '"', '""') || '"' else text end || ',active' as line from benchmark""")
+def extraction_mirror(t: Tables) -> DataFrame:
+    rows = t.benchmark.select(F.concat(F.lit("ext-"), "item_id").alias("extraction_id"), F.lit("s").alias("source_id"), F.lit("r").alias("representation_ref"), F.lit("quote").alias("type"), F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("direct_quote"), F.lit(None).cast("string").alias("status"))
+    return exports.extraction_lines(rows).select(F.substring_index("extraction_id", "-", -1).cast("long").alias("item_id"), "line")
+
+
+@R.add("select p_partkey, '- ' || p_brand || case when p_size % 2 = 0 then ' (' || p_size || ')' else '' end || '. *' || p_name || '*.' || case when p_size % 3 = 0 then ' ' || p_type || '.' else '' end as entry from part")
+def export_markdown(t: Tables) -> DataFrame:
+    size = F.col("p_size")
+    return t.part.select("p_partkey", exports.markdown_entry(F.col("p_brand"), F.when(size % 2 == 0, size), F.col("p_name"), F.when(size % 3 == 0, F.col("p_type")), F.lit(None).cast("string")).alias("entry"))
+
+
+@R.add("""
+select p_partkey from part where case when p_size < 10 then 'well' when p_size < 30 then 'some' else 'weak' end in ('well', 'some') and p_partkey % 3 in (0, 1) and contains(lower(p_name), 'a')""")
+def findings_filter(t: Tables) -> DataFrame:
+    size = F.col("p_size")
+    rows = t.part.select("p_partkey", F.when(size < 10, "well").when(size < 30, "some").otherwise("weak").alias("support"), F.lit("finding").alias("kind"), F.array(F.concat(F.lit("k"), F.col("p_partkey") % 3), F.lit("world")).alias("places"), F.col("p_name").alias("text"))
+    return rows.where(search.findings_filter(["well", "some"], [], ["k0", "k1"], ("A",))).select("p_partkey")
+
+
+@R.add("select p_partkey, row_number() over (partition by p_brand order by p_size % 4 desc, p_size desc, p_partkey) as place from part")
+def findings_by_strength(t: Tables) -> DataFrame:
+    rows = t.part.select("p_partkey", F.col("p_brand").alias("overview"), F.col("p_partkey").alias("ord"), (F.col("p_size") % 4).alias("support_rank"), F.col("p_size").alias("studies"))
+    return search.by_strength(rows, "overview").select("p_partkey", F.col("place").cast("long").alias("place"))
+
+
+@R.add("""
+with c as (select event_type as scheme, count(distinct user_id) as sources from events group by 1) select scheme, sources, row_number() over (order by (scheme = 'click')::int, sources desc, scheme) as place from c""")
+def facets_by_coverage(t: Tables) -> DataFrame:
+    return search.by_coverage(t.events.select(F.col("event_type").alias("scheme"), F.col("user_id").alias("source")), ("click",)).withColumn("place", F.col("place").cast("long"))
+
+
+@R.add("""select event_id, case when event_id % 3 = 0 then '{"id":' || event_id || ',"in":{"s":"a } b"}}' end as object from events""")
+def loose_objects(t: Tables) -> DataFrame:
+    """Answers with words around an object, with a broken one, and with none."""
+    k = F.col("event_id")
+    whole = F.concat(F.lit('Here it is: {"id":'), k, F.lit(',"in":{"s":"a } b"}} and {"x":1}'))
+    answer = F.when(k % 3 == 0, whole).when(k % 3 == 1, F.lit('{"id": broken')).otherwise("no object")
+    return t.events.select("event_id", tx.first_object(answer).alias("object"))
