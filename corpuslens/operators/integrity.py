@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import ident
 from ..functions import text as tx
 from ..sources.corpus import Corpora
+from ..sources.shared import checkpointed
 from . import gates
 
 #: The kinds of ids.
@@ -332,10 +333,11 @@ def count_rules(c: Corpora) -> list[DataFrame]:
 
 
 def findings(c: Corpora) -> DataFrame:
-    """(corpus, code, severity, level, object_id, detail) of every rule."""
-    gate = gated(c)
-    rules = [*shape_rules(c), *file_rules(c), *id_rules(c), *reference_rules(c), *quote_rules(c, gate), *output_rules(c), *coding_rules(c, gate), *count_rules(c)]
-    return reduce(DataFrame.unionByName, rules)
+    """(corpus, code, severity, level, object_id, detail) of every rule. Each family of rules is written on its own, so that plans stay small
+    and a report doesn't look for the findings again."""
+    gate = checkpointed(gated(c))
+    families = (shape_rules(c), file_rules(c), id_rules(c), reference_rules(c), quote_rules(c, gate), output_rules(c), coding_rules(c, gate), count_rules(c))
+    return reduce(DataFrame.unionByName, [checkpointed(reduce(DataFrame.unionByName, rules)) for rules in families])
 
 
 def report(c: Corpora, found: DataFrame) -> DataFrame:
