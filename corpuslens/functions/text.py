@@ -104,16 +104,16 @@ def bound(c: Column, use) -> Column:
 
 
 def refind_status(text: Column, candidate: Column) -> Column:
-    """(status, candidates): refound, ambiguous or not_found under fold_for_refind; the first variant that occurs decides. The text is
-    folded once, and places are counted for that variant only."""
-    needle = F.btrim(fold_for_refind(candidate))
+    """(status, candidates): refound, ambiguous or not_found under fold_for_refind; the first variant that occurs decides. Text and candidate
+    are folded once, and places are counted for that variant only."""
 
-    def decide(hay: Column) -> Column:
+    def decide(hay: Column, needle: Column) -> Column:
         first = F.get(F.filter(refind_variants(needle), lambda n: F.contains(hay, n)), 0)
-        n = F.when((F.coalesce(needle, F.lit("")) == "") | first.isNull(), 0).otherwise(occurrences(hay, first))
+        n = bound(first, lambda v: F.when(v.isNull() | (needle == ""), 0).otherwise(occurrences(hay, v)))
         return bound(n, lambda n: F.struct(F.when(n == 1, "refound").when(n > 1, "ambiguous").otherwise("not_found").alias("status"), n.alias("candidates")))
 
-    return bound(fold_for_refind(text), decide)
+    needle = F.coalesce(F.btrim(fold_for_refind(candidate)), F.lit(""))
+    return bound(needle, lambda needle: bound(fold_for_refind(text), lambda hay: decide(hay, needle)))
 
 
 def fragments(quote: Column, least: int = 12) -> Column:
