@@ -19,10 +19,14 @@ NULL_ID = (1 << 63) - 1
 SLICE_BYTES = 4 << 20
 
 
+def fresh_path(folder: str, name: str) -> str:
+    return f"{folder}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: it cuts lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(shared_dir(spark), name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, chat, decontaminate, html_text, langid, line_dedup, near_vectors, packing, simhash, tokencount
+from . import bloom_lm, centroids, chat, decontaminate, exact_dedup, html_text, langid, line_dedup, near_vectors, packing, simhash, tokencount, vector_codes
 from .common import Maker, table
 
 
@@ -59,7 +59,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_token_counts, op2_html_extraction, op3_line_dedup, op4_near_vectors, op5_decontamination, op6_lm_scores, op7_packing, op8_language_id, op9_chat_formatting, op10_simhash)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_token_counts, op2_html_extraction, op3_line_dedup, op4_near_vectors, op5_decontamination, op6_lm_scores, op7_packing, op8_language_id, op9_chat_formatting, op10_simhash, op11_vector_codes, op12_centroids, op13_exact_dedup)
 
 
 def queries() -> dict[str, Maker]:
@@ -121,5 +134,69 @@ from embeddings e left join (select a, count(*) as n from link group by a) l on
 join (select a, min(b) as c from reach group by a) m on e.vec_id = m.a"""
 
 
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0"
+
+
+def _op11_sql(rounds: int = 6) -> str:
+    """Every part against every entry, round by round; entries without members stay."""
+    assigned = """
+a{i} as materialized (
+  select vec_id, label, part, x, arg_min(e, struct_pack(d, e)) as e, min(d) as d
+  from (select p.*, b.e, list_sum(list_transform(generate_series(1, 8), lambda j: (p.x[j] - b.c[j]) * (p.x[j] - b.c[j]))) as d from parts p join b{i} b using (part))
+  group by all)"""
+    updated = """
+b{n} as materialized (
+  select b.part, b.e, coalesce(m.c, b.c) as c
+  from b{i} b left join (
+    select part, e, list(c order by j) as c from (
+      select part, e, j, cast(floor(sum(x[j]) / count(*)) as bigint) as c from a{i}, generate_series(1, 8) s(j) group by part, e, j) group by part, e) m
+  on b.part = m.part and b.e = m.e)"""
+    steps = ",".join(assigned.format(i=i) + "," + updated.format(i=i, n=i + 1) for i in range(rounds)) + "," + assigned.format(i=rounds)
+    return f"""
+with ints as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as v from embeddings where {_FINITE}),
+parts as materialized (select vec_id, label, part, v[8 * part + 1:8 * part + 8] as x from ints, generate_series(0, 7) s(part)),
+b0 as materialized (
+  select part, e, v[8 * part + 1:8 * part + 8] as c
+  from (select v, row_number() over (order by vec_id) - 1 as e from ints) f, generate_series(0, 7) s(part) where e < 16),
+{steps},
+total as materialized (select vec_id, any_value(label) as label, string_agg(printf('%02x', e), '' order by part) as code, cast(sum(d) as bigint) as error from a{rounds} group by vec_id),
+book as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, e)) as h from b{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, h as codebooks_sha256 from total, book"""
+
+
+def _op12_sql(rounds: int = 5) -> str:
+    """Every vector against every centroid, round by round; centroids without members stay."""
+    assigned = """
+a{i} as materialized (
+  select vec_id, v, arg_min(k, struct_pack(d, k)) as k, min(d) as d
+  from (select p.*, b.k, list_sum(list_transform(generate_series(1, 64), lambda j: (p.v[j] - b.c[j]) * (p.v[j] - b.c[j]))) as d from ints p, b{i} b)
+  group by all)"""
+    updated = """
+b{n} as materialized (
+  select b.k, coalesce(m.c, b.c) as c
+  from b{i} b left join (
+    select k, list(c order by j) as c from (
+      select k, j, cast(floor(sum(v[j]) / count(*)) as bigint) as c from a{i}, generate_series(1, 64) s(j) group by k, j) group by k) m on b.k = m.k)"""
+    steps = ",".join(assigned.format(i=i) + "," + updated.format(i=i, n=i + 1) for i in range(rounds)) + "," + assigned.format(i=rounds)
+    return f"""
+with ints as materialized (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings where {_FINITE} and len(embedding) = 64),
+b0 as materialized (select k, v as c from (select v, row_number() over (order by sha256('2:' || cast(vec_id as varchar))) - 1 as k from ints) where k < 40),
+{steps}
+select vec_id, cast(a.k as integer) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by a.k) as bigint) as cluster_inertia,
+  cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} a join b{rounds} b on a.k = b.k"""
+
+
+OP13_SQL = r"""
+with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_near_vectors": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_chat_formatting": OP9_SQL}
+    return {
+        "op3_line_dedup": OP3_SQL, "op4_near_vectors": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_chat_formatting": OP9_SQL,
+        "op11_vector_codes": _op11_sql(), "op12_centroids": _op12_sql(), "op13_exact_dedup": OP13_SQL,
+    }
