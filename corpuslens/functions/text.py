@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,6 +88,38 @@ def fold_for_refind(text: Column) -> Column:
     return F.regexp_replace(s, f"[{SPACE}]+", " ")
 
 
+def _table(low: int, high: int, strip: bool) -> tuple[str, str]:
+    """Code points of a range whose compatibility form is one other character, and these; strip: combining marks of the form don't count."""
+    pairs = []
+    for c in map(chr, range(low, high)):
+        form = unicodedata.normalize("NFKD" if strip else "NFKC", c)
+        form = "".join(x for x in form if not (strip and unicodedata.combining(x)))
+        if len(form) == 1 and form != c:
+            pairs.append((c, form))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+#: Where letters with marks and full-width forms lie.
+_MARKED = tuple(map("".join, zip(_table(0xA0, 0x250, True), _table(0x1E00, 0x1F00, True), strict=True)))
+_WIDE = tuple(map("".join, zip(_table(0xFF01, 0xFF5F, False), _table(0x2070, 0x20A0, False), strict=True)))
+
+
+def fold_marks(text: Column) -> Column:
+    """Lower case without marks on Latin letters."""
+    return F.regexp_replace(F.translate(F.lower(text), *_MARKED), "\\p{M}+", "")
+
+
+def reader_fold(text: Column) -> Column:
+    """A text as a reader compares it: case, emphasis signs, quote and dash forms, full-width forms, ligatures and white space don't count."""
+    s = F.translate(F.coalesce(text, F.lit("")), *_WIDE)
+    for ligature, plain in LIGATURES.items():
+        s = F.replace(s, F.lit(ligature), F.lit(plain))
+    s = F.replace(s, F.lit("\u2026"), F.lit("..."))
+    # fixed values: quote and dash forms that are read alike; emphasis signs go
+    s = F.translate(s, "\u2019\u2018\u201c\u201d\u2013\u2014\u00a0*_", "''\"\"-- ")
+    return F.lower(F.btrim(F.regexp_replace(s, f"[{SPACE}]+", " ")))
+
+
 def refind_variants(needle: Column) -> Column:
     """Spellings to try in order: as it is, first letter's case changed, final stop dropped, both."""
 

@@ -100,7 +100,11 @@ def structure_problems(blocks: DataFrame, texts: DataFrame) -> DataFrame:
 
 def leaks(texts: DataFrame, hidden: DataFrame, share: float = 0.6, width: int = 40, stride: int = 20) -> DataFrame:
     """(doc_id, item_id, found, windows): hidden passages (item_id, hidden) of which `share` of the windows or more stand in a text (doc_id,
-    text); a passage of 20 code points or more that is shorter than a window is one as a whole."""
+    text); a passage of 20 code points or more that is shorter than a window is one as a whole. White space is folded in both, so that a
+    re-wrapped passage is found; case isn't."""
+    one_line = lambda c: F.btrim(F.regexp_replace(c, f"[{tx.SPACE}]+", " "))
+    hidden = hidden.select("item_id", one_line(F.col("hidden")).alias("hidden"))
+    texts = texts.select("doc_id", one_line(F.col("text")).alias("text"))
     n = F.length("hidden")
     starts = F.when(n >= width, F.sequence(F.lit(1), n - width + 1, F.lit(stride))).when(n >= 20, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     windows = hidden.select("item_id", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("hidden"), i, F.lit(width)))).alias("i", "quote"))

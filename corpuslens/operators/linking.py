@@ -93,20 +93,40 @@ def groups(edges: DataFrame) -> DataFrame:
         now = new.select("id", "group")
 
 
-def name_keys(name: Column) -> Column:
-    """What a name may be known by: itself without a note in brackets, the note if it is an acronym, a person's name before a title."""
-    base = F.regexp_replace(name, "\\s*\\([^()]*\\)$", "")
-    note = F.regexp_extract(name, "\\(([^()]*)\\)$", 1)
-    person = F.btrim(F.regexp_extract(name, "^([^,(]*)", 1))
-    shape = "^[A-Z][a-z'\u2019-]+(?: [A-Z][a-z'\u2019.-]+){1,2}$"
-    keys = F.array(F.regexp_replace(F.lower(base), "\\.+$", ""), F.when(note.rlike("^[A-Z][A-Za-z0-9&.-]{1,9}$"), F.lower(note)), F.when((person != name) & person.rlike(shape), F.lower(person)))
-    return F.array_distinct(F.filter(keys, lambda x: x.isNotNull() & (x != "")))
-
-
-def merged_entities(names: DataFrame) -> DataFrame:
+def singular(term: Column) -> Column:
+    """A term whose last word is a plural, as the singular: -es behind a hissing sound, else -s, but not -ss or -us and not of short words."""
+    hissing = F.lit(False)
+    for end in ("ches", "shes", "xes", "sses", "zes"):
+        hissing = hissing | term.endswith(end)
+    last = F.substring_index(term, " ", -1)
+    plain = term.endswith("s") & ~term.endswith("ss") & ~term.endswith("us") & (F.length(last) > 3)
+    left = lambda n: F.left(term, F.length(term) - n)
+    return F.when(hissing, left(2)).when(plain, left(1)).otherwise(term)
+
+
+def name_keys(name: Column, terms: bool = False) -> Column:
+    """What a name may be known by, in lower case: the name without a note in brackets at its end; the note, if it is an acronym of 2 to 10
+    characters; and what stands before a title (behind a comma or bracket), if it reads as a person's name of two or three capitalised words.
+    terms: a note of several words counts as well, unless it is a list, and a plural is known by its singular, too."""
+    whole = F.btrim(F.regexp_replace(F.coalesce(name, F.lit("")), "\\s+", " "))
+    closed = whole.endswith(")") & (F.instr(whole, "(") > 0)
+    note = F.when(closed, F.regexp_replace(F.substring_index(whole, "(", -1), "\\)$", ""))
+    base = F.when(closed & ~note.contains(")"), F.rtrim(F.left(whole, F.length(whole) - F.length(note) - 2))).otherwise(whole)
+    acronym = F.length(note).between(2, 10) & F.left(note, F.lit(1)).between("A", "Z") & (F.translate(F.lower(note), "abcdefghijklmnopqrstuvwxyz0123456789&.-", "") == "")
+    several = note.contains(" ") & ~note.contains(",") & ~note.contains(";") if terms else F.lit(False)
+    before = F.rtrim(F.substring_index(F.substring_index(whole, ",", 1), " (", 1))
+    words = F.split(before, " ")
+    capital = F.forall(words, lambda w: F.left(w, F.lit(1)).between("A", "Z") & (F.length(w) > 1) & (F.translate(F.substring(w, 2, 1 << 30), "abcdefghijklmnopqrstuvwxyz'\u2019.-", "") == ""))
+    person = F.when((before != whole) & F.size(words).between(2, 3) & capital, before)
+    keys = F.filter(F.array(F.rtrim(base, F.lit(".")), F.when(acronym | several, note), person), lambda k: k.isNotNull() & (k != ""))
+    keys = F.transform(keys, F.lower)
+    return F.array_distinct(F.concat(keys, F.transform(keys, singular)) if terms else keys)
+
+
+def merged_entities(names: DataFrame, terms: bool = False) -> DataFrame:
     """(id, entity) of names (id, name): names that share a key, over others as well, are one entity, named by its smallest id. Names meet
-    through the smallest id of each key, never pair by pair."""
-    keys = names.select("id", F.explode(name_keys(F.col("name"))).alias("key"))
+    through the smallest id of each key, never pair by pair. terms: keys of terms instead of names."""
+    keys = names.select("id", F.explode(name_keys(F.col("name"), terms)).alias("key"))
     stars = keys.join(keys.groupBy("key").agg(F.min("id").alias("b")), "key").where("id <> b").select(F.col("id").alias("a"), "b")
     return names.select("id").join(groups(stars), "id", "left").select("id", F.coalesce("group", "id").alias("entity"))
 

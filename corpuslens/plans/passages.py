@@ -40,7 +40,7 @@ def spot_check(t: Tables) -> DataFrame:
 
 @R.add("""
 with p as (select p_partkey as paper, p_brand || ' ' || (p_partkey // 9) as who from part), n as (select *, count(*) over (partition by who) as m, row_number() over (partition by who order by paper) as i from p)
-select paper, case when m > 1 then who || chr(cast(96 + i as integer)) else who end as name from n""")
+select paper, case when m > 1 then who || case when i > 26 then chr(cast(96 + (i - 1) // 26 as integer)) else '' end || chr(cast(97 + (i - 1) % 26 as integer)) else who end as name from n""")
 def names_told_apart(t: Tables) -> DataFrame:
     return passages.told_apart(t.part.select(F.col("p_partkey").alias("paper"), F.concat_ws(" ", "p_brand", F.floor(F.col("p_partkey") / 9)).alias("author_year")))
 

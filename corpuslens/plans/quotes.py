@@ -170,8 +170,9 @@ _HIDDEN = "select item_id, text as hidden from benchmark union all select item_i
 
 
 @R.add(f"""
-with h as ({_HIDDEN}), w as (select item_id, hidden, unnest(case when length(hidden) >= 40 then range(1, length(hidden) - 40 + 2, 20) when length(hidden) >= 20 then [1] else [] end) as i from h),
-n as (select item_id, count(*) as n from w group by 1), f as (select d.doc_id, w.item_id, count(*) as m from w join documents d on contains(d.text, substr(w.hidden, w.i, 40)) group by 1, 2)
+with h0 as ({_HIDDEN}), h as (select item_id, trim(regexp_replace(hidden, '[\\s\\x{{A0}}]+', ' ', 'g')) as hidden from h0),
+t as (select doc_id, trim(regexp_replace(text, '[\\s\\x{{A0}}]+', ' ', 'g')) as text from documents), w as (select item_id, hidden, unnest(case when length(hidden) >= 40 then range(1, length(hidden) - 40 + 2, 20) when length(hidden) >= 20 then [1] else [] end) as i from h),
+n as (select item_id, count(*) as n from w group by 1), f as (select d.doc_id, w.item_id, count(*) as m from w join t d on contains(d.text, substr(w.hidden, w.i, 40)) group by 1, 2)
 select doc_id, item_id, m as found, n as windows from f join n using (item_id) where m >= 0.6 * n""")
 def leak_check(t: Tables) -> DataFrame:
     """Hidden passages of which 60 % of the windows stand in a document: whole ones, ones with half or a quarter spoilt, and short ones."""

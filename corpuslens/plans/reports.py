@@ -141,16 +141,23 @@ def export_fingerprint(t: Tables) -> DataFrame:
     return reports.fingerprint(t.orders.select(F.col("o_custkey").alias("cust"), "o_orderkey", "o_orderstatus"), ["cust"], F.concat_ws(" ", "o_orderkey", "o_orderstatus"))
 
 
-_PLACES = ("California, USA", "Germany; Kenya", "Wales and England", "Brazil", "The Netherlands", "", "united states of america", "Peru / France")
+_NAMED = lambda names: ", ".join(f"'{x}'" for x in names)
 
 
-@R.add("""
-select c_custkey, case c_custkey % 8 when 0 then 'us' when 1 then 'europe' when 2 then 'europe' when 4 then 'europe' when 6 then 'us' when 7 then 'europe' else 'elsewhere' end as region,
-  case when c_custkey % 8 in (0, 6) and c_mktsegment = 'BUILDING' then 'target' when c_custkey % 8 in (0, 6) or c_mktsegment = 'BUILDING' then 'near' else 'other' end as setting from customer""")
+@R.add(f"""
+with c as (select c_custkey, c_mktsegment, lower(n.n_name) as a, case when c_custkey % 3 = 0 then lower(m.n_name) end as b
+  from customer join nation n on c_nationkey = n.n_nationkey join nation m on (c_nationkey + 7) % 25 = m.n_nationkey),
+r as (select *, case when a in ({_NAMED(reports.US_NAMES)}) or coalesce(b in ({_NAMED(reports.US_NAMES)}), false) then 'us'
+  when a in ({_NAMED(reports.EUROPE_NAMES)}) or coalesce(b in ({_NAMED(reports.EUROPE_NAMES)}), false) then 'europe' else 'elsewhere' end as region from c)
+select c_custkey, region, case when region = 'europe' and c_mktsegment = 'BUILDING' then 'target' when region = 'europe' or c_mktsegment = 'BUILDING' then 'near' else 'other' end as setting from r""")
 def regions_and_settings(t: Tables) -> DataFrame:
-    place = F.element_at(F.array(*[F.lit(x) for x in _PLACES]), (F.col("c_custkey") % 8 + 1).cast("int"))
-    rows = t.customer.withColumn("place", place)
-    return rows.select("c_custkey", reports.region_of(F.col("place")).alias("region"), reports.setting_of(F.col("c_mktsegment"), F.array("place"), ["BUILDING"], ["us"]).alias("setting"))
+    """Customers' nations; every third customer names a second one. The nations' table is 25 rows."""
+    n = t.nation.select("n_nationkey", "n_name")
+    other = n.select(F.col("n_nationkey").alias("k2"), F.col("n_name").alias("second"))
+    rows = t.customer.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(other, (F.col("c_nationkey") + 7) % 25 == F.col("k2"))
+    place = F.concat_ws(" / ", "n_name", F.when(F.col("c_custkey") % 3 == 0, F.col("second")))
+    region = reports.region_of(place).alias("region")
+    return rows.select("c_custkey", region, reports.setting_of(F.col("c_mktsegment"), F.array(place), ["BUILDING"], ["europe"]).alias("setting"))
 
 
 @R.add("""

@@ -123,10 +123,59 @@ def test_anchor_and_reanchor(spark):
     assert {r["extraction_id"]: r["status"] for r in again.collect()} == {"e": "reanchored", "f": "needs_review"}
 
 
-def test_grades_and_confidence(spark):
-    rows = [("p", "q", "High", True, "no"), ("p", "q", "High", False, "yes"), ("r", "q", "High", True, None), ("r", "q", "High", True, None), ("r", "q", "High", False, "yes")]
-    found = appraise.grade(spark.createDataFrame(rows, "paper string, profile string, start string, critical boolean, answer string"))
-    assert {r["paper"]: r["grade"] for r in found.collect()} == {"p": "Low", "r": "not appraisable"}
+ANSWERS = "paper string, profile string, design string, start string, question string, dim string, critical boolean, answer string"
+
+
+@pytest.mark.parametrize(
+    ("design", "start", "answers", "grade"),
+    [
+        ("trial", "High", "yes partly|yes", "High"),  # the start is kept
+        ("trial", "High", "not found|yes", "Low"),  # a critical dimension unmet
+        ("trial", "High", "not found,not found|yes", "Low"),  # two questions of one dimension
+        ("trial", "High", "not found;not found|yes", "Very low"),  # two critical dimensions
+        ("trial", "High", "can't tell;yes;yes|yes", "Moderate"),  # one unclear
+        ("trial", "High", "yes|not found,yes,not found", "Moderate"),  # two missing elsewhere
+        ("trial", "High", "yes|not found,yes", "High"),
+        ("trial", "High", "can't tell|can't tell,yes", "Not appraisable"),  # over half
+        ("trial", "Very low", "can't tell;yes|not found,not found,yes", "Very low"),  # never below
+        ("systematic-review", "High", "yes|yes", "Moderate"),  # needs q6 and q7
+        ("trial", None, "yes|yes", "Not appraisable"),
+    ],
+)
+def test_grade_vectors(spark, design, start, answers, grade):
+    """Critical dimensions stand before the bar, parted by semicolons; answers of a dimension are parted by commas."""
+    critical, other = answers.split("|")
+    dims = [(d, True) for d in critical.split(";")] + [(other, False)]
+    given = [(f"d{i}", c, x.strip()) for i, (d, c) in enumerate(dims) for x in d.replace("yes partly", "yes,partly").split(",")]
+    rows = [("p", "q", design, start, f"q{n + 10}", d, c, None if x == "can't tell" and n % 2 else x) for n, (d, c, x) in enumerate(given)]
+    assert [r["grade"] for r in appraise.grade(spark.createDataFrame(rows, ANSWERS)).collect()] == [grade]
+
+
+def test_grade_of_a_full_review(spark):
+    rows = [("p", "q", "systematic-review", "High", q, "d", True, a) for q, a in (("q6", "yes"), ("q7", "partly"), ("q8", "yes"))]
+    found = appraise.grade(spark.createDataFrame(rows, ANSWERS))
+    assert [r["grade"] for r in found.collect()] == ["High"]
+    weak = spark.createDataFrame([("p", "High"), ("p", "Low"), ("r", "Not appraisable"), ("r", "Moderate"), ("s", "Not appraisable")], "paper string, grade string")
+    assert {r["paper"]: r["grade"] for r in appraise.weaker(weak).collect()} == {"p": "Low", "r": "Moderate", "s": "Not appraisable"}
+
+
+def test_confidence_vectors(spark):
+    shape = "statement string, paper string, lead string, verdict string, gap string, origin string, grade string, runs array<string>"
+    rows = lambda s, *passages: [(s, p, lead, v, gap, origin, g, None) for p, lead, v, gap, origin, g in passages]
+    given = rows("three", *[(p, p, "supports", "none", "own", "High") for p in "abc"])
+    given += rows("relayed", ("a", "a", "supports", "none", "own", "Low"), ("b", "b", "supports", "none", "reported", "High"))
+    given += rows("one", ("a", "a", "supports", "none", "own", "Moderate"))
+    given += rows("one high", ("a", "a", "supports", "none", "own", "High"))
+    given += rows("partly", ("a", "a", "partly", "big", "own", "Low"))
+    given += rows("none", ("a", "a", "does not support", "none", "own", "High"))
+    given += rows("same lead", *[(p, "L", "supports", "none", "own", "Moderate") for p in "abc"])
+    given += [("runs", "a", "a", None, None, "own", "High", ["supports", "partly"]), ("open", "a", "a", None, None, "own", "High", ["supports"])]
+    found = {r["statement"]: tuple(r)[1:] for r in appraise.confidence(spark.createDataFrame(given, shape)).collect()}
+    assert found == {
+        "three": (3, 3, "robust", "high", "very high"), "relayed": (1, 1, "limited", "medium", "low"), "one": (1, 1, "limited", "medium", "low"),
+        "one high": (1, 1, "medium", "medium", "medium"), "partly": (1, 1, "limited", "low", "very low"), "none": (0, 0, None, None, "not supported by its passages"),
+        "same lead": (1, 3, "limited", "medium", "low"), "runs": (0, 0, None, None, "runs disagreed"), "open": (0, 0, None, None, "not checked"),
+    }
 
 
 def test_keyword_places_and_merge(spark):
@@ -176,12 +225,10 @@ def test_stream_goes_on_from_where_it_stopped(spark, tmp_path):
     assert [(r["n"], r["total"]) for r in go().orderBy("start").collect()] == [(3, 7.0), (1, 5.0)]
 
 
-def test_leak_check_finds_partial_and_short_leaks(spark, tmp_path):
-    from corpuslens import plans
-
-    hidden, short = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(80)), "a short hidden passage 1"
-    docs = [(1, "x " + hidden), (2, "x " + hidden[: int(len(hidden) * 0.85)]), (3, "x " + hidden[: int(len(hidden) * 0.5)]), (4, f"has {short}.")]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, hidden), (2, short)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    found = {r["doc_id"]: r["share"] for r in plans.queries()["leak_check"](spark, str(tmp_path)).collect()}
-    assert sorted(found) == [1, 2, 4] and found[1] == found[4] == 1 and 0.6 <= found[2] < 1
+def test_leaks_finds_partial_short_and_rewrapped_ones(spark):
+    hidden, short = "".join(chr(97 + i * 7 % 26) + str(i) + " " * (i % 3 == 0) for i in range(80)), "a short hidden passage 1"
+    cut = lambda share: "x " + hidden[: int(len(hidden) * share)]
+    docs = [(1, "x " + hidden), (2, cut(0.85)), (3, cut(0.5)), (4, f"has {short}."), (5, hidden.replace(" ", "\n  ")), (6, f"a SHORT {short[8:]}"), (7, None)]
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["found"] / r["windows"] for r in gates.leaks(texts, spark.createDataFrame([(1, hidden), (2, short), (3, "under twenty"), (4, None)], "item_id long, hidden string")).collect()}
+    assert sorted(found) == [(1, 1), (2, 1), (4, 2), (5, 1)] and found[1, 1] == found[4, 2] == found[5, 1] == 1 and 0.6 <= found[2, 1] < 1

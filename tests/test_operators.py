@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
 from corpuslens.sources import files
 from corpuslens.functions import ident
-from corpuslens.operators import appraise, passages, profile, reports, stats, units
+from corpuslens.operators import appraise, linking, passages, profile, reports, stats, units
 
 
 def evidence(rows: list[tuple]) -> list[tuple]:
@@ -100,20 +102,91 @@ def test_text_chunks(spark):
     spans = passages.chunk_spans(text)
     assert all(0 <= a < b <= len(text) and b - a <= 1400 for a, b in spans)
     assert sum(text[a:b].count("Sentence") for a, b in spans) == text.count("Sentence")
-    assert [r["text"] for r in passages.chunks(spark.createDataFrame([(1, text)], "id long, text string"), "id").orderBy("chunk").collect()] == [text[a:b] for a, b in spans]
+    rows = passages.chunks(spark.createDataFrame([(1, text), (2, None)], "id long, text string"), "id").orderBy("chunk").collect()
+    assert [r["text"] for r in rows] == [text[a:b] for a, b in spans]
     assert passages.chunk_spans("") == [] and passages.chunk_spans(short) == []
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_chunks_by_trial(seed):
+    """The rule tried paragraph by paragraph and cut by cut."""
+    r = random.Random(seed)
+    piece = lambda: "".join(r.choice("ab. \n") for _ in range(r.choice([0, 3, 9, 15, 25, 70])))
+    text = "\n\n".join(piece() for _ in range(r.randint(1, 12)))
+    least, most, head = 8, 30, 5
+    paragraphs, at = [], 0
+    for x in text.split("\n\n"):
+        paragraphs.append((at, at + len(x)))
+        at += len(x) + 2
+    want, packed = [], []
+    for a, b in [p for p in paragraphs if p[1] - p[0] >= least]:
+        if b - a <= most:
+            if packed and packed[-1][1] - packed[-1][0] + b - a <= most:
+                packed[-1] = (packed[-1][0], b)
+            else:
+                packed.append((a, b))
+            continue
+        while b - a > most:
+            cut = max((i + 1 for i in range(a + head, a + most - 1) if text[i : i + 2] == ". "), default=a + most)
+            want.append((a, cut))
+            a = cut
+        want.append((a, b))
+    assert passages.chunk_spans(text, least, most, head) == sorted(want + packed)
+
+
 @pytest.mark.parametrize("budget", [7, 50, 1000])
 def test_model_parts(spark, budget):
     text = "one two\nthree four five six\n\nseven\n\n\n" + "y" * 120 + "\nend"
-    parts = passages.parts_within(text, budget)
-    assert all(0 < len(x) <= budget for x in parts) or len(text) <= budget
-    assert "".join("".join(parts).split()) == "".join(text.split())
-    rows = passages.model_parts(spark.createDataFrame([(1, text), (2, None)], "id long, text string"), "id", budget).collect()
+    spans = passages.part_spans(text, budget)
+    assert all(0 < b - a <= budget for a, b in spans) or len(text) <= budget
+    rows = passages.model_parts(spark.createDataFrame([(1, text), (2, None)], "id long, text string"), "id", budget).orderBy("part").collect()
+    assert "".join(r["text"] for r in rows if r["id"] == 1) == text
     assert len([r for r in rows if r["id"] == 2]) == 1
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_parts_reach_to_the_last_cut(seed):
+    r = random.Random(seed)
+    text = "".join(r.choice("ab\n\n") for _ in range(r.randint(0, 150)))
+    budget = r.choice([5, 12, 40])
+    spans = passages.part_spans(text, budget)
+    assert "".join(text[a:b] for a, b in spans) == text and all(b - a <= budget for a, b in spans)
+    for a, b in spans[:-1]:
+        later = [i for i in range(b + 1, min(a + budget, len(text)) + 1) if text[:i].endswith("\n\n") and "\n\n" not in text[b : i - 2]]
+        whole = [i for i in later if len(text[:i].rsplit("\n\n", 2)[-2]) + 2 <= budget and i - 2 - text.rfind("\n\n", 0, i - 2) <= budget and text.rfind("\n\n", 0, i - 2) + 2 == b]
+        assert not whole, (a, b, whole)  # a paragraph that still fits isn't left to the next part
+
+
+def test_names_and_their_keys(spark):
+    keys = lambda name, terms=False: set(spark.range(1).select(linking.name_keys(F.lit(name).cast("string"), terms)).first()[0])
+    assert keys("Water  Energy Board (WEB)") == {"water energy board", "web"}
+    assert keys("Ana Ruiz, Board Chair") == {"ana ruiz, board chair", "ana ruiz"}
+    assert keys("Ana Ruiz (Chair, WEB)") == {"ana ruiz", "ana ruiz (chair, web)"} or keys("Ana Ruiz (Chair, WEB)") == {"ana ruiz"}
+    assert keys("ABC Works, Ltd.") == {"abc works, ltd"}
+    assert keys(None) == set() and keys("x (not an acronym)") == {"x"}
+    assert keys("side roads (minor roads)", True) == {"side roads", "side road", "minor roads", "minor road"}
+    assert {keys(x, True).pop() for x in ("branch", "bus", "glass")} == {"branch", "bus", "glass"} and "branch" in keys("branches", True)
+
+
+def test_regions(spark):
+    given = {"California, USA": "us", "Germany; Kenya": "europe", "Wales and England": "europe", "": "elsewhere", None: "elsewhere", "Texás": "us", "the United States (west)": "us", "Perú / France": "europe", "Andorra": "elsewhere", "Kenya, U.S.": "us"}
+    rows = spark.createDataFrame([(c,) for c in given], "c string").select("c", reports.region_of(F.col("c")).alias("r")).collect()
+    assert {r["c"]: r["r"] for r in rows} == given
+
+
+def test_more_than_26_papers_of_a_name(spark):
+    rows = passages.told_apart(spark.createDataFrame([(i, "Bo 2020") for i in range(800)] + [(900, "Xu 2021")], "paper int, author_year string")).collect()
+    names = {r["paper"]: r["name"] for r in rows}
+    assert [names[i] for i in (0, 25, 26, 27, 51, 52, 701, 702, 900)] == ["Bo 2020" + x for x in ("a", "z", "aa", "ab", "az", "ba", "zz", "aaa")] + ["Xu 2021"]
+    assert len(set(names.values())) == 801
+
+
+def test_values_as_readers_compare_them(spark):
+    cases = [("a\u2013b", "x A-B", True), ("\uff12\uff10", "20 of", True), ("*it*  is", "It is", True), ("e\ufb03cient", "Efficient", True), ("\u201cso\u201d", 'He said "So"', True), ("", "x", False), (None, "x", False), ("x", None, False)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    assert {r["i"]: r["x"] for r in rows.select("i", passages.value_in(F.col("a"), F.col("b")).alias("x")).collect()} == {i: x for i, (_, _, x) in enumerate(cases)}
+
+
 def test_sentences_and_lines(spark):
     rows = spark.createDataFrame([("See Fig. 2 by Bo et al. in 2020. It holds, e.g. here. Done!", "a bro-\nken line\nof text\n\nnext")], "a string, b string")
     r = rows.select(passages.whole_sentences(F.col("a")).alias("s"), passages.soft_wrapped(F.col("b")).alias("w")).first()
