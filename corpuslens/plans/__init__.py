@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import coding, corpus, identity, linking, passages, quotes, reports, tables, writing
+from . import coding, corpus, identity, linking, passages, quotes, reports, streams, tables, writing
 
-AREAS = (identity, quotes, coding, tables, corpus, reports, linking, passages, writing)
+AREAS = (identity, quotes, coding, tables, corpus, reports, linking, passages, writing, streams)
 
 
 def queries() -> dict:
