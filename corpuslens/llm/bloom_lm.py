@@ -1,12 +1,17 @@
-"""LM scoring: a log-frequency Bloom filter of quantised bigram counts, in shards by the bigrams' hashes.
+"""LM scoring: a log-frequency Bloom filter of quantised bigram counts, in segments by the bigrams' hashes.
 
-1. Texts go into slices of a few MB, a written table. Each slice names its different words and bigrams, as sorted 64-bit hashes with
-   their counts in the slice's training documents (those whose fold isn't `held`), and sends them to shards by the hashes' first bits.
-2. A shard adds the counts up. Bigrams seen n times in training go into its filter once for each of their levels 1..1+log(n, BASE);
-   the filter has LEVEL_BITS for each level. Every bigram that a slice asks for is then probed level by level. Words get exact counts.
-3. Answers go back to the slices in the order in which the slices named their words and bigrams, a byte for a bigram.
-Every word and bigram of a slice is named once, whatever their frequency, so shards are even; a shard holds about SHARD_BYTES of text.
-The filter of a corpus has no bounded size, so it isn't broadcast whole: the probes travel to its shards, once, with the counts.
+Fitting. Texts go into slices of a few MB, a written table. Each slice names the different words and bigrams of its training documents
+(those whose fold isn't `held`) with their counts, as sorted hashes of KEY_BITS, and sends them to segments by the hashes' first bits. A
+segment adds the counts up; a bigram seen n times goes into its filter once for each of the levels 1..1+log(n, BASE), LEVEL_BITS for each.
+What is written of a segment, the model, is the filter's bits, no bigram and no count of one, and the exact counts of its words.
+
+Scoring. Each slice names the different words and bigrams of all its documents, hashes only; they meet the model's segments, where every
+bigram is probed level by level, and go back to their slice in the order in which it named them, a byte for a bigram. What a bigram is
+worth comes from the filter's bits alone, so that a model scores other corpora as well (`fitted`, `scored`).
+
+The filter of a corpus has no bounded size, so it isn't broadcast whole: the probes travel to its segments. A slice sends a row to those
+segments only that its keys fall into, never more rows than keys, so that work grows with the text however many segments there are. Every
+word and bigram of a slice is named once, whatever their frequency, so that segments are even; one holds about SHARD_BYTES of text.
 
 p(w|v) = (q(v, w) + b(v) p(w)) / (c(v) + b(v)): q is the filter's count (a level's lower bound), c(v) the exact count, and b(v) =
 c(v) ** GROWTH stands for the number of different followers, which grows so with a word's count. p(w) discounts word counts and gives
@@ -31,9 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, binary, bounded_batches, column, fold, id_key, ints, slices, typed, whole_groups, written
 
-#: Text whose words and bigrams one shard counts, and the least number of shards.
-SHARD_BYTES = 8 << 20
+#: Text whose words and bigrams one segment counts, the least number of segments, and text of a slice.
+SHARD_BYTES = 32 << 20
 SHARDS = 64
+SLICE_BYTES = 6 << 20
+#: Bits of a word's or bigram's hash: of 3e11 different ones one in a thousand meets another.
+KEY_BITS = 48
 LEVEL_BITS = 16
 PROBES = 4
 BASE = 1.5
@@ -77,12 +85,12 @@ class Tokens:
         inner = np.ones(len(ids), dtype=bool)
         inner[self.last] = False
         ids[inner] = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), np.int64, int(size.sum()))
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], dtype=np.uint64)
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], dtype=np.uint64) >> np.uint64(64 - KEY_BITS)
         self.words, place = np.unique(hashes, return_inverse=True)
         self.word = place[ids]
         self.before = np.concatenate([self.word[-1:], self.word[:-1]])
         with np.errstate(over="ignore"):
-            keys = mixed(self.words[self.before] * SPREAD + self.words[self.word])
+            keys = mixed(self.words[self.before] * SPREAD + self.words[self.word]) >> np.uint64(64 - KEY_BITS)
         self.pairs, self.pair = np.unique(keys, return_inverse=True)
 
 
@@ -110,7 +118,7 @@ def sliced(given: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             texts = binary(batch, "text")
             yield typed([[at], [ints(batch, "d")], [column(batch, "held").to_pylist()], [texts], [sum(map(len, texts)) + len(texts)]], kinds)
             at += 1
@@ -118,35 +126,39 @@ def sliced(given: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "slice long, d array<long>, held array<boolean>, texts array<binary>, size long")
 
 
-ASKED = [("shard", pa.int64()), ("slice", pa.int64()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())]
+def runs(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """(segment, its keys) of sorted keys, for the segments that have any."""
+    found, first = np.unique((keys >> np.uint64(KEY_BITS - bits)).astype(np.int64), return_index=True)
+    return zip(found.tolist(), map(slice, first.tolist(), [*first[1:].tolist(), len(keys)]), strict=True)
+
+
+def read_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Tokens, np.ndarray]]:
+    """(slice, tokens, which of them are training) of slices (slice, held, texts)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            t = Tokens([x.as_py() for x in column(batch, "texts")[i].values])
+            held = np.array(column(batch, "held")[i].as_py(), dtype=bool)
+            yield column(batch, "slice")[i].as_py(), t, np.repeat(~held, t.last - t.first + 1)
 
 
-def asked(rows: DataFrame, bits: int) -> DataFrame:
-    """For each slice and shard: the words' and bigrams' hashes, and their counts in training."""
+#: What of a segment a row is: its words with their counts, its filter, or what a slice asks of either.
+WORDS, PAIRS = 0, 1
+COUNTED = [("shard", pa.int64()), ("kind", pa.int8()), ("keys", pa.binary()), ("n", pa.binary())]
+
+
+def training_counts(rows: DataFrame, bits: int) -> DataFrame:
+    """(shard, kind, keys, n): of each slice and segment the words' and bigrams' hashes in training, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                t = Tokens([x.as_py() for x in column(batch, "texts")[i].values])
-                held = np.array(column(batch, "held")[i].as_py(), dtype=bool)
-                train = np.repeat(~held, t.last - t.first + 1)
-                sides = []
-                for keys, at in ((t.words, t.word), (t.pairs, t.pair)):
-                    n = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)
-                    cuts = np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-                    sides.append((keys, n, cuts))
-                out: list[list] = [[] for _ in ASKED]
-                for shard in range(1 << bits):
-                    row = [shard, column(batch, "slice")[i].as_py()]
-                    for keys, n, cuts in sides:
-                        own = slice(cuts[shard], cuts[shard + 1])
-                        row += [steps(keys[own]), packed(n[own])]
-                    if row[2] or row[4]:
-                        for x, v in zip(out, row, strict=True):
-                            x.append(v)
-                yield typed(out, ASKED)
-
-    return rows.select("slice", "held", "texts").mapInArrow(run, "shard long, slice long, words binary, word_counts binary, pairs binary, pair_counts binary")
+        for _, t, train in read_slices(batches):
+            for kind, keys, at in ((WORDS, t.words, t.word), (PAIRS, t.pairs, t.pair)):
+                n = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)
+                keys, n = keys[n > 0], n[n > 0]
+                out = [(shard, kind, steps(keys[own]), packed(n[own])) for shard, own in runs(keys, bits)]
+                if out:
+                    yield typed(list(zip(*out, strict=True)), COUNTED)
+
+    return rows.select("slice", "held", "texts").mapInArrow(run, "shard long, kind byte, keys binary, n binary")
 
 
 def levels(n: np.ndarray) -> np.ndarray:
@@ -189,35 +201,85 @@ class Filter:
         return out
 
 
-TOLD = [("slice", pa.int64()), ("shard", pa.int64()), ("counts", pa.binary()), ("levels", pa.binary()), *((x, pa.int64()) for x in ("n", "v", "once", "twice"))]
+    @classmethod
+    def read(cls, data: bytes) -> Filter:
+        out = cls.__new__(cls)
+        out.bits, out.top = np.frombuffer(data, "<i8", 2).tolist()
+        out.data = np.frombuffer(data, np.uint8, -1, 16)
+        return out
+
+    def to_bytes(self) -> bytes:
+        return np.array([self.bits, self.top], "<i8").tobytes() + self.data.tobytes()
+
 
+MODEL = [("shard", pa.int64()), ("kind", pa.int8()), ("keys", pa.binary()), ("data", pa.binary()), *((x, pa.int64()) for x in ("n", "v", "once", "twice"))]
+MODEL_SCHEMA = "shard long, kind byte, keys binary, data binary, n long, v long, once long, twice long"
 
-def answered(questions: DataFrame, level_bits: int = LEVEL_BITS) -> DataFrame:
-    """For each slice and shard: the words' counts and the bigrams' levels; and once for each shard its tokens, different words, and words
-    seen once and twice (n, v, once, twice)."""
 
-    def total(raw: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-        keys = [from_steps(x) for x in raw.to_pylist()]
-        n = np.concatenate([unpacked(x, "u4") for x in counts.to_pylist()])
-        different, at = np.unique(np.concatenate(keys), return_inverse=True)
-        return different, np.bincount(at, weights=n, minlength=len(different)).astype(np.int64), at, np.cumsum([0, *map(len, keys)]).tolist()
+def segments(counts: DataFrame, level_bits: int) -> DataFrame:
+    """The model: for each segment a row of its words (keys; data: their counts; its tokens, different words, words seen once and twice) and
+    a row of its bigrams (no keys; data: the filter)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "shard"):
-            cuts = np.flatnonzero(np.diff(group["shard"].to_numpy(), prepend=-1, append=-1))
+            label = group["shard"].to_numpy() * 2 + group["kind"].to_numpy()
+            cuts = np.flatnonzero(np.diff(label, prepend=-1, append=-1))
             for a, b in zip(cuts, cuts[1:], strict=False):
                 own = group.slice(a, b - a)
-                _, n, word, words = total(own["words"], own["word_counts"])
-                keys, m, pair, pairs = total(own["pairs"], own["pair_counts"])
-                level = Filter(keys, levels(m), level_bits).level(keys).astype(np.uint8)
-                counts = [packed(n[word[x:y]]) for x, y in zip(words, words[1:], strict=False)]
-                told = [level[pair[x:y]].tobytes() for x, y in zip(pairs, pairs[1:], strict=False)]
-                none = [0] * (b - a - 1)
-                stats = [[int(x), *none] for x in (n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum())]
-                yield typed([own["slice"].to_numpy(), own["shard"].to_numpy(), counts, told, *stats], TOLD)
+                every = np.concatenate([from_steps(x) for x in own["keys"].to_pylist()])
+                keys, at = np.unique(every, return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([unpacked(x, "u4") for x in own["n"].to_pylist()]), minlength=len(keys)).astype(np.int64)
+                shard, kind = divmod(int(label[a]), 2)
+                if kind == WORDS:
+                    row = [shard, kind, steps(keys), packed(n), int(n.sum()), len(n), int((n == 1).sum()), int((n == 2).sum())]
+                else:
+                    row = [shard, kind, None, Filter(keys, levels(n), level_bits).to_bytes(), 0, 0, 0, 0]
+                yield typed([[x] for x in row], MODEL)
+
+    return counts.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, MODEL_SCHEMA)
+
+
+ASKED = [("shard", pa.int64()), ("kind", pa.int8()), ("slice", pa.int64()), ("keys", pa.binary()), ("data", pa.binary())]
+TOLD = [("slice", pa.int64()), ("kind", pa.int8()), ("shard", pa.int64()), ("told", pa.binary())]
 
-    dealt = questions.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "slice long, shard long, counts binary, levels binary, n long, v long, once long, twice long")
+
+def answered(rows: DataFrame, model: DataFrame, bits: int) -> DataFrame:
+    """(slice, kind, shard, told): for each slice and segment that it asks, the words' counts or the bigrams' levels. A segment's model comes
+    first in the stream of its questions, so that no more than that and one question is held."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, t, _ in read_slices(batches):
+            for kind, keys in ((WORDS, t.words), (PAIRS, t.pairs)):
+                out = [(shard, kind, name, steps(keys[own]), None) for shard, own in runs(keys, bits)]
+                yield typed(list(zip(*out, strict=True)), ASKED)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, counts, filter_ = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+        for batch in batches:
+            out = []
+            for shard, kind, name, keys, data in zip(*(column(batch, x).to_pylist() for x, _ in ASKED), strict=True):
+                if (shard, kind) != at:
+                    at, known, counts, filter_ = (shard, kind), np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+                if name is None and kind == WORDS:
+                    known, counts = from_steps(keys), unpacked(data, "i8")
+                elif name is None:
+                    filter_ = Filter.read(data)
+                elif kind == WORDS:
+                    asked = from_steps(keys)
+                    place = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
+                    found = np.where(known[place] == asked, counts[place], 0) if len(known) else np.zeros(len(asked), np.int64)
+                    out.append((name, kind, shard, packed(found)))
+                else:
+                    asked = from_steps(keys)
+                    out.append((name, kind, shard, (filter_.level(asked) if filter_ else np.zeros(len(asked))).astype(np.uint8).tobytes()))
+            if out:
+                yield typed(list(zip(*out, strict=True)), TOLD)
+
+    schema = "shard long, kind byte, slice long, keys binary, data binary"
+    questions = rows.select("slice", "held", "texts").mapInArrow(ask, schema)
+    both = questions.unionByName(model.select("shard", "kind", F.lit(None).cast("long").alias("slice"), "keys", "data"))
+    dealt = both.repartition("shard").sortWithinPartitions("shard", "kind", F.asc_nulls_first("slice"))
+    return dealt.mapInArrow(tell, "slice long, kind byte, shard long, told binary")
 
 
 def word_probabilities(c: np.ndarray, n: int, v: int, once: int, twice: int) -> np.ndarray:
@@ -235,24 +297,30 @@ def probabilities(seen: np.ndarray, context: np.ndarray, p: np.ndarray) -> np.nd
 SCORES = [("d", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, level_bits: int = LEVEL_BITS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; level_bits: the filter's bits for each level."""
-    bounded_batches(docs.sparkSession)
+def in_slices(docs: DataFrame, folds: int, held: int) -> DataFrame:
     given = docs.select(id_key().alias("d"), (fold() % folds == held).alias("held"), F.col("text").cast("string").alias("text"))
-    rows = written(sliced(given), "lm-slices")
+    return written(sliced(given), "lm-slices")
+
+
+def fitted(rows: DataFrame, level_bits: int = LEVEL_BITS) -> tuple[DataFrame, int]:
+    """(model, bits of its segments' numbers) of slices."""
     size = rows.agg(F.sum("size")).first()[0] or 0
-    shards = max(SHARDS, -(-size // SHARD_BYTES))
-    answers = written(answered(asked(rows, (shards - 1).bit_length()), level_bits), "lm-answers")
-    n, v, once, twice = (int(x or 0) for x in answers.agg(*[F.sum(x) for x in ("n", "v", "once", "twice")]).first())
+    bits = (max(SHARDS, -(-size // SHARD_BYTES)) - 1).bit_length()
+    return written(segments(training_counts(rows, bits), level_bits), "lm-model"), bits
+
+
+def scored(rows: DataFrame, model: DataFrame, bits: int) -> DataFrame:
+    """The scores of slices under a model that these or other slices were fitted to."""
+    n, v, once, twice = (int(x or 0) for x in model.agg(*[F.sum(x) for x in ("n", "v", "once", "twice")]).first())
     whole = n + 0.5 * (v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 t = Tokens([x.as_py() for x in column(batch, "texts")[i].values])
-                told = sorted(column(batch, "told")[i].as_py(), key=lambda x: x["shard"])
-                c = np.concatenate([unpacked(x["counts"], "i8") for x in told])
-                seen = counted(np.frombuffer(b"".join(x["levels"] for x in told), np.uint8).astype(np.int64))
+                told = sorted(column(batch, "told")[i].as_py(), key=lambda x: (x["kind"], x["shard"]))
+                c = np.concatenate([unpacked(x["told"], "i8") for x in told if x["kind"] == WORDS])
+                seen = counted(np.frombuffer(b"".join(x["told"] for x in told if x["kind"] == PAIRS), np.uint8).astype(np.int64))
                 known = np.add.reduceat((c > 0).astype(np.int64)[t.word], t.first)
                 base = np.add.reduceat(np.log10((c + 0.5) / whole)[t.word], t.first)
                 score = np.zeros(len(t.last))
@@ -261,7 +329,15 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, level_bits: int =
                     score = np.add.reduceat(np.log10(p), t.first)
                 yield typed([column(batch, "d")[i].values, column(batch, "held")[i].values, t.last - t.first + 1, known, base, score], SCORES)
 
-    told = answers.groupBy("slice").agg(F.collect_list(F.struct("shard", "counts", "levels")).alias("told"))
+    told = answered(rows, model, bits).groupBy("slice").agg(F.collect_list(F.struct("kind", "shard", "told")).alias("told"))
     joined = rows.join(told, "slice").select("d", "held", "texts", "told")
     out = joined.mapInArrow(run, "d long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, level_bits: int = LEVEL_BITS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; level_bits: the filter's bits for each level."""
+    bounded_batches(docs.sparkSession)
+    rows = in_slices(docs, folds, held)
+    model, bits = fitted(rows, level_bits)
+    return scored(rows, model, bits)

@@ -376,7 +376,7 @@ def test_lm_scores_empty(spark, no_docs):
 
 
 def test_queries_are_named_by_number():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("shards", [1, 64])
@@ -411,6 +411,43 @@ def test_lm_scores_against_a_plain_model(spark, monkeypatch, shards):
         assert x["score"] == pytest.approx(score(tokens[x["doc_id"]]), rel=1e-6)
 
 
+def test_lm_scores_at_production_bits(spark):
+    """The filter's own error at 16 bits a level: scores move little against a thousand bits, and never far down."""
+    r = np.random.default_rng(9)
+    given = [(d, " ".join(f"w{int(x)}" for x in r.zipf(1.2, 300) % 5000)) for d in range(200)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    few, many = ({x["doc_id"]: x for x in bloom_lm.lm_scores(docs, level_bits=b).collect()} for b in (bloom_lm.LEVEL_BITS, 1000))
+    gap = np.array([(few[d]["score"] - many[d]["score"]) / few[d]["n_tokens"] for d in few])
+    assert (gap >= -1e-9).all()  # false positives only add
+    assert gap.mean() < 0.004 and gap.max() < 0.05  # log10 a token
+
+
+def test_lm_rows_and_questions_stay_in_proportion(spark, monkeypatch):
+    """However many segments: no more rows than keys, and the same scores."""
+    r = np.random.default_rng(2)
+    docs = spark.createDataFrame([(d, " ".join(f"w{int(x)}" for x in r.zipf(1.3, 200) % 3000)) for d in range(100)], "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(bloom_lm, "SLICE_BYTES", 4000)
+    rows = bloom_lm.in_slices(docs, 5, 1)
+    keys = sum(len(t.words) + len(t.pairs) for x in rows.collect() for t in [bloom_lm.Tokens([bytes(y) for y in x["texts"]])])
+    found = {}
+    for shards in (64, 4096, 1 << 16):
+        monkeypatch.setattr(bloom_lm, "SHARDS", shards)
+        model, bits = bloom_lm.fitted(rows, 1000)
+        assert model.where("kind = 1 and keys is not null").count() == 0  # bits only
+        assert bloom_lm.answered(rows, model, bits).count() <= keys
+        found[shards] = sorted((x["doc_id"], x["base_score"], round(x["score"], 6)) for x in bloom_lm.scored(rows, model, bits).collect())
+    assert found[64] == found[4096] == found[1 << 16]
+
+
+def test_a_model_scores_other_texts(spark):
+    """Texts that weren't there when the model was fitted: unknown words, known pairs."""
+    learn = bloom_lm.in_slices(spark.createDataFrame([(d, "the cat sat on the mat") for d in range(50)], "doc_id long, text string"), 5, 1)
+    model, bits = bloom_lm.fitted(learn)
+    other = bloom_lm.in_slices(spark.createDataFrame([(1, "the cat sat"), (2, "sat cat the"), (3, "dogs bark loudly")], "doc_id long, text string"), 5, 1)
+    found = {x["doc_id"]: x for x in bloom_lm.scored(other, model, bits).collect()}
+    assert found[1]["score"] > found[2]["score"] > found[3]["score"] and found[3]["n_known"] == 1
+
+
 def plain_ids(text: str) -> list[int]:
     from tokenizers import Tokenizer
 
