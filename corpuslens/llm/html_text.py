@@ -11,7 +11,10 @@ The classifier is trained here: PRIOR holds what the features are expected to sa
 article or main and outside any marked boilerplate element, against blocks inside such elements) move it by penalised logistic
 regression. Class names and ids are features among others: names of adverts, menus, comments and notices weigh much everywhere,
 ambiguous ones (legal, related, footer) and names that only hold such a word (related-work, footer-note) weigh little inside an article.
-Scripts, styles, forms and other unseen elements never give blocks.
+Scripts, styles, forms and other unseen elements never give blocks; those that stand inside a line (a script, a button, a drawing) don't
+end the block around them either, and a formula's text belongs to it. A form that holds the article (a page whose whole body is one form)
+is no form. Inside an article links and an ambiguous name alone say nothing: a list of references stays under its heading, a section named
+"more" too, unless there is a second sign (an ambiguous name with mostly links or without a sentence's end).
 
 Nulls: a null or empty html gives an empty text. Null ids and urls stay null; repeated rows are separate rows. Extra columns are
 ignored. An empty table gives no rows. White space is what str.split() takes, no-break spaces included.
@@ -37,23 +40,29 @@ OPEN = re.compile(r"<!--|<!\[CDATA\[|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?]")
 #: A tag's attributes, up to its end: a quoted ">" doesn't end it.
 REST = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 #: Elements whose insides are never page text.
-UNSEEN = frozenset("script style noscript template head title iframe svg math object select option datalist textarea button canvas audio video map form".split())
+UNSEEN = frozenset("script style noscript template head title iframe svg object select option datalist textarea button canvas audio video map form annotation annotation-xml".split())
+#: Of these and of void elements, the ones that stand inside a line: they don't end a block.
+WITHIN = frozenset("script style noscript template iframe svg object select option datalist textarea button canvas audio video map annotation annotation-xml input embed area link meta param source track".split())
 #: Of these, the ones whose insides are no markup either.
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none semantics".split())
 #: A start tag on the left closes an open element on the right that stands in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = frozenset("div section article main aside nav header footer ul ol dl table td th blockquote body html form figure".split())
 BOILER_TAGS = frozenset("nav footer aside menu dialog".split())
 #: Parts of class names and ids, between "-" and "_": of page furniture, of what may be furniture, and those that say nothing.
-FURNITURE = re.compile(r"ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w*|sidebar|rail|widgets?|menu|nav\w*|breadcrumb\w*|pagination|pager|masthead|topbar|comments?|commentlist|disqus|reply|replies|respond|share|sharing|login|signup|toolbar", re.IGNORECASE)
-AMBIGUOUS = re.compile(r"notice|side|footer|header|social|related|recommend\w*|more|trending|popular|tags|search|legal|copyright|disclaimer", re.IGNORECASE)
+FURNITURE = re.compile(r"ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w*|sidebar|rail|widgets?|menu|nav\w*|breadcrumb\w*|pagination|pager|masthead|topbar|comments?|commentlist|disqus|reply|replies|respond|share|sharing|login|signup|toolbar|notices?|announcements?", re.IGNORECASE)
+AMBIGUOUS = re.compile(r"side|footer|header|social|related|recommend\w*|more|trending|popular|tags|search|legal|copyright|disclaimer", re.IGNORECASE)
 NEUTRAL = re.compile(r"\d*|box|bar|list|wrap|wrapper|container|section|area|block|buttons?|links?|form|items?|inner|outer|panel|col|column|posts?|module|main|top|bottom|left|right|global|site|page|primary|secondary|icons?|thread|unit|slot|group|title|stories|articles", re.IGNORECASE)
+#: Neutral parts that make an ambiguous one sure: a list of links, not a part of a text.
+LISTED = re.compile(r"bar|buttons?|links?|posts?|icons?|stories|articles|list|items?", re.IGNORECASE)
+#: What a form holds that is a page and not a form.
+HELD = re.compile(r"<(?:article|main|h1)\b", re.IGNORECASE)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|story|main|body|text|page-content)(?:$|[\s_-])", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
 
-FEATURES = ("bias", "inside article or main", "inside nav, footer, aside", "inside a header outside an article", "furniture's name", "ambiguous name inside an article", "name that holds such a word", "such a name inside an article", "content name", "link share", "log length", "sentence end", "heading", "list item", "hidden")
+FEATURES = ("bias", "inside article or main", "inside nav, footer, aside", "inside a header outside an article", "furniture's name", "ambiguous name inside an article with a second sign", "name that holds such a word", "such a name inside an article", "content name", "link share", "log length", "sentence end", "heading", "list item", "hidden")
 PRIOR = np.array([-0.8, 4.0, -7.0, -5.0, -7.0, -4.4, -3.0, -0.5, 1.0, -3.0, 0.25, 0.4, 0.6, -0.8, -8.0])
 TRUST = 40.0
 TIE = 1.2
@@ -123,8 +132,9 @@ def _kind(names: str) -> tuple[bool, bool, bool]:
         if not any(sure) and not any(maybe):
             continue
         whole = all(s or m or NEUTRAL.fullmatch(x) for s, m, x in zip(sure, maybe, parts, strict=True))
-        furniture = furniture or whole and any(sure)
-        ambiguous = ambiguous or whole and not any(sure)
+        named = any(sure) or any(LISTED.fullmatch(x) for x in parts)
+        furniture = furniture or whole and named
+        ambiguous = ambiguous or whole and not named
         holds = holds or not whole
     return furniture, ambiguous, holds
 
@@ -203,6 +213,13 @@ def blocks(page: str) -> list[Block]:
     linked = in_link = at = text_at = 0
     ends: TagEnds | None = None
     last_end = page.rfind(">")
+    form_ends = [m.start() for m in re.finditer("(?i)</form", page)]
+    held = [m.start() for m in HELD.finditer(page)] if "<form" in page.lower() else []
+
+    def holds_the_page(start: int) -> bool:
+        """Whether the form that starts here has a page inside it."""
+        i, j = bisect_left(held, start), bisect_left(form_ends, start)
+        return i < len(held) and (j == len(form_ends) or held[i] < form_ends[j])
 
     def flush() -> None:
         nonlocal linked
@@ -251,13 +268,16 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name == "a":
                 in_link = 0
-            if name not in INLINE:
+            open_ = stack.last(name)
+            if name not in INLINE and name not in WITHIN and not stack.items[open_ or -1][3]:
                 flush()
-            elif name == "br":
+            elif name == "br" and not stack.items[-1][3]:
                 texts.append(" ")
             stack.close(name)
             continue
-        if name not in INLINE:
+        if stack.items[-1][3]:
+            pass  # inside an unseen element nothing ends a block
+        elif name not in INLINE and name not in WITHIN:
             flush()
             in_link = 0
             if name in CLOSES or name not in VOID:
@@ -290,7 +310,8 @@ def blocks(page: str) -> list[Block]:
             up[9] or name == "li",
             up[10] or hidden,
         )
-        stack.push(name, node if name in INLINE else Node(node), flags, unseen or name in UNSEEN)
+        unseen = unseen or name in UNSEEN and not (name == "form" and holds_the_page(at))
+        stack.push(name, node if name in INLINE or name in WITHIN else Node(node), flags, unseen)
     say(page[text_at:])
     flush()
     return out
@@ -299,8 +320,11 @@ def blocks(page: str) -> list[Block]:
 def features(found: list[Block]) -> np.ndarray:
     out = np.zeros((len(found), len(FEATURES)))
     for i, b in enumerate(found):
-        *where, heading, item, hidden = b.flags
-        out[i] = (1, *where, b.linked, min(8.0, np.log1p(len(b.text))) - 3, b.text[-1] in ".!?…。", heading, item, hidden)
+        article, tag, header, furniture, ambiguous, *names, heading, item, hidden = b.flags
+        stop = b.text[-1] in ".!?…。"
+        second = b.linked > 0.5 or not stop
+        linked = b.linked if not article or ambiguous else 0.0
+        out[i] = (1, article, tag, header, furniture, ambiguous and second, *names, linked, min(8.0, np.log1p(len(b.text))) - 3, stop, heading, item, hidden)
     return out
 
 

@@ -105,6 +105,90 @@ def test_furniture_inside_an_article_goes(attribute):
     assert "somebody else" not in html_text.extract(page, html_text.PRIOR)
 
 
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        ("<p>One part of it <script>x('</p>')</script>and the other part.</p>", ["One part of it and the other part."]),
+        ("<p>One part <svg><g><title>t</title><path d=x /></g></svg>of it.</p>", ["One part of it."]),
+        ("<p>One part <button><div>Press</div></button>of it.</p>", ["One part of it."]),
+        ("<p>One part <input type=text>of <select><option>a<option>b</select>it.</p>", ["One part of it."]),
+        ("<p>One <noscript><p>no</p></noscript>part <iframe src=x></iframe>of it.</p>", ["One part of it."]),
+        ("<p>We have <math><mi>x</mi><mo>=</mo><mn>3</mn></math> as the result.</p>", ["We have x=3 as the result."]),
+        ("<p>So <math><semantics><mi>y</mi><annotation encoding=tex>y_{tex}</annotation></semantics></math> follows.</p>", ["So y follows."]),
+        ("<p>Before it.</p><form><label>Name</label><input></form><p>After it.</p>", ["Before it.", "After it."]),
+        ("<p>An unclosed drawing <svg><path></p><p>is left here.</p>", ["An unclosed drawing"]),
+    ],
+)
+def test_blocks_stay_whole(inside, want):
+    found = [x for x in extract(f"<article><h1>Title of it</h1><p>{LONG * 2}</p>{inside}<p>{LONG}</p></article>") if x not in ("Title of it", LONG.strip(), (LONG * 2).strip())]
+    assert found == want or inside.startswith("<p>An unclosed") and found[:1] == want
+
+
+@pytest.mark.parametrize("holder", ["<article>", "<main>", "<h1>Of the page</h1><div class=content>"])
+def test_page_inside_a_form(holder):
+    page = f"<body><form method=post id=aspnet><input type=hidden name=state><nav><a href=a>A</a></nav>{holder}<p>{LONG * 3}</p><p>{LONG}</p></{re.findall('[a-z]+', holder)[-2] if 'div' in holder else holder[1:-1]}><footer>x</footer></form></body>"
+    assert extract(page).count(LONG.strip()) == 1 and any(x.startswith(LONG.strip()) and len(x) > 2 * len(LONG) for x in extract(page))
+
+
+@pytest.mark.parametrize("name", ["more", "social", "related", "legal", "footer", "search"])
+def test_ambiguous_names_alone_decide_nothing_inside_an_article(name):
+    text = html_text.extract(f"<article><h1>Title of it</h1><p>{LONG}</p><section class={name}><p>{LONG * 2}</p></section><p>{LONG}</p></article>", html_text.PRIOR)
+    assert text.count("A sentence") == 4
+    linked = html_text.extract(f"<article><h1>Title of it</h1><p>{LONG * 2}</p><div class={name}><a href=a>Some other page here</a> <a href=b>And another one</a></div><p>{LONG}</p></article>", html_text.PRIOR)
+    assert "other page" not in linked
+
+
+def test_references_and_notices_inside_an_article():
+    references = "".join(f"<li><a href=r{i}>Author {i}. A title of a work, number {i}. Journal, 20{i + 10}.</a></li>" for i in range(5))
+    text = html_text.extract(f"<article><h1>Title of it</h1><p>{LONG * 2}</p><p class=notice>This page was moved, please note it.</p><p>{LONG}</p><h2>References</h2><ol>{references}</ol></article>", html_text.PRIOR)
+    assert "References" in text and text.count("Author") == 5 and "moved" not in text
+
+
+def made_page(r: random.Random) -> tuple[str, list[str]]:
+    """A page of one of several shapes and the blocks of its article."""
+    word = lambda: "".join(r.choice("aeioubdgklmnprst") for _ in range(r.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    text = lambda: " ".join(sentence(r.randint(6, 15)) for _ in range(r.randint(2, 5)))
+    links = lambda n: "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(n))
+    blocks, body = [], []
+
+    def add(tag: str, content: str) -> None:
+        blocks.append(content)
+        words = content.split(" ")
+        k = r.randrange(len(words))
+        inside = r.choice([words[k], f"<b>{words[k]}</b>", f"<a href=x>{words[k]}</a>", f"<script>a('</p>')</script>{words[k]}", f"{words[k]}<svg><g></g></svg>", f"<em><i>{words[k]}</i></em>", f"<input>{words[k]}"])
+        words[k] = inside
+        body.append(f"<{tag}>{r.choice([' ', chr(10) + '  ']).join(words)}</{tag}>")
+
+    add("h1", sentence(6)[:-1])
+    for _ in range(r.randint(3, 8)):
+        kind = r.random()
+        if kind < 0.15:
+            add("h2", sentence(4)[:-1])
+        if kind > 0.9:
+            body.append("<ul>")
+            for _ in range(3):
+                add("li", sentence(9))
+            body.append("</ul>")
+        add(r.choice(["p", "p", "p", "blockquote"]), text())
+        if kind < 0.2:
+            body.append(r.choice(["<div class='ad'>Buy it now</div>", "<div class='share-buttons'><a href=x>Share</a></div>", f"<aside>{sentence(5)}</aside>", "<!-- x -->", "<figure><img src=x></figure>"]))
+    article = "".join(body)
+    head = r.choice([f"<header><div id=logo>{word()}</div><nav><ul>{links(5)}</ul></nav></header>", f"<div id='menu'><ul>{links(6)}</ul></div>", f"<nav>{links(4)}</nav>"])
+    side = r.choice([f"<aside><h3>{word()}</h3><ul>{links(5)}</ul></aside>", f"<div class='sidebar'><p>{sentence(8)}</p></div>", f"<div id='newsletter'><p>{sentence(7)}</p><form><input></form></div>", ""])
+    below = r.choice([f"<section id='comments'><p>{text()}</p><p>{text()}</p></section>", f"<div class='related-posts'><ul>{links(4)}</ul></div>", f"<form><p>{sentence(5)}</p><textarea>x</textarea></form>", ""])
+    foot = r.choice(["<footer>&copy; x <a href=i>Imprint</a></footer>", f"<div id='footer'><p>{sentence(5)}</p></div>"])
+    shape = r.choice(["<article>{}</article>", "<main>{}</main>", "<div class='content'><article>{}</article></div>", "<main><div class='post-content'>{}</div></main>", "<table><tr><td><article>{}</article></td></tr></table>"])
+    page = f"<html><head><title>{word()}</title><style>p{{}}</style></head><body>{head}{shape.format(article)}{side}{below}{foot}</body></html>"
+    return (page.replace("<body>", "<body><form action=x>").replace("</body>", "</form></body>") if r.random() < 0.2 and "<form" not in page else page), blocks
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_made_up_pages(seed):
+    page, want = made_page(random.Random(seed))
+    assert extract(page) == want
+
+
 def test_pages_against_their_articles(spark, sf_dir):
     """The tables' pages hold their article in one element; a plain reading of that is the answer."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
