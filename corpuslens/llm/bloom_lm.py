@@ -1,7 +1,7 @@
 """LM scoring: a log-frequency Bloom filter of quantised bigram counts, in segments by the bigrams' hashes.
 
 Fitting. Texts go into slices of a few MB, a written table. Each slice names the different words and bigrams of its training documents
-(those whose fold isn't `held`) with their counts, as sorted hashes of KEY_BITS, and sends them to segments by the hashes' first bits. A
+(those whose fold isn't `held`) with their counts, as sorted hashes, and sends them to segments by the hashes' first bits. A
 segment adds the counts up; a bigram seen n times goes into its filter once for each of the levels 1..1+log(n, BASE), LEVEL_BITS for each.
 What is written of a segment, the model, is the filter's bits, no bigram and no count of one, and the exact counts of its words.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,11 @@ from .common import NULL_ID, binary, bounded_batches, column, fold, id_key, ints
 #: Text whose words and bigrams one segment counts, the least number of segments, and text of a slice.
 SHARD_BYTES = 32 << 20
 SHARDS = 64
-SLICE_BYTES = 6 << 20
-#: Bits of a word's or bigram's hash: of 3e11 different ones one in a thousand meets another.
-KEY_BITS = 48
+SLICE_BYTES = 4 << 20
+#: Bits of a word's or bigram's hash beyond those that number the corpus' bytes: of the different ones not one in 6,000 meets another,
+#: far fewer than the filter's false positives. Hashes grow by a bit as segments double, so that their steps take as many bytes.
+SPARE_BITS = 10
+LEAST_BITS = 40
 LEVEL_BITS = 16
 PROBES = 4
 BASE = 1.5
@@ -75,7 +78,7 @@ class Tokens:
     """The tokens of a slice's texts. word, before, pair: of each token, the places of its word, of the word before (an end before a
     text's first) and of both in the sorted different hashes words and pairs; last: each text's end token."""
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], key_bits: int = 64) -> None:
         found = [words_of(x) for x in texts]
         size = np.array([len(x) for x in found], dtype=np.int64)
         self.last = np.cumsum(size + 1) - 1
@@ -85,12 +88,12 @@ class Tokens:
         inner = np.ones(len(ids), dtype=bool)
         inner[self.last] = False
         ids[inner] = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), np.int64, int(size.sum()))
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], dtype=np.uint64) >> np.uint64(64 - KEY_BITS)
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], dtype=np.uint64) >> np.uint64(64 - key_bits)
         self.words, place = np.unique(hashes, return_inverse=True)
         self.word = place[ids]
         self.before = np.concatenate([self.word[-1:], self.word[:-1]])
         with np.errstate(over="ignore"):
-            keys = mixed(self.words[self.before] * SPREAD + self.words[self.word]) >> np.uint64(64 - KEY_BITS)
+            keys = mixed(self.words[self.before] * SPREAD + self.words[self.word]) >> np.uint64(64 - key_bits)
         self.pairs, self.pair = np.unique(keys, return_inverse=True)
 
 
@@ -126,17 +129,25 @@ def sliced(given: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "slice long, d array<long>, held array<boolean>, texts array<binary>, size long")
 
 
-def runs(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+class Model(NamedTuple):
+    """A written model: its segments' rows, the bits of a segment's number and of a key."""
+
+    table: DataFrame
+    bits: int
+    key_bits: int
+
+
+def runs(keys: np.ndarray, bits: int, key_bits: int) -> Iterator[tuple[int, slice]]:
     """(segment, its keys) of sorted keys, for the segments that have any."""
-    found, first = np.unique((keys >> np.uint64(KEY_BITS - bits)).astype(np.int64), return_index=True)
+    found, first = np.unique((keys >> np.uint64(key_bits - bits)).astype(np.int64), return_index=True)
     return zip(found.tolist(), map(slice, first.tolist(), [*first[1:].tolist(), len(keys)]), strict=True)
 
 
-def read_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Tokens, np.ndarray]]:
+def read_slices(batches: Iterator[pa.RecordBatch], key_bits: int) -> Iterator[tuple[int, Tokens, np.ndarray]]:
     """(slice, tokens, which of them are training) of slices (slice, held, texts)."""
     for batch in batches:
         for i in range(batch.num_rows):
-            t = Tokens([x.as_py() for x in column(batch, "texts")[i].values])
+            t = Tokens([x.as_py() for x in column(batch, "texts")[i].values], key_bits)
             held = np.array(column(batch, "held")[i].as_py(), dtype=bool)
             yield column(batch, "slice")[i].as_py(), t, np.repeat(~held, t.last - t.first + 1)
 
@@ -146,15 +157,15 @@ WORDS, PAIRS = 0, 1
 COUNTED = [("shard", pa.int64()), ("kind", pa.int8()), ("keys", pa.binary()), ("n", pa.binary())]
 
 
-def training_counts(rows: DataFrame, bits: int) -> DataFrame:
+def training_counts(rows: DataFrame, bits: int, key_bits: int) -> DataFrame:
     """(shard, kind, keys, n): of each slice and segment the words' and bigrams' hashes in training, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t, train in read_slices(batches):
+        for _, t, train in read_slices(batches, key_bits):
             for kind, keys, at in ((WORDS, t.words, t.word), (PAIRS, t.pairs, t.pair)):
                 n = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)
                 keys, n = keys[n > 0], n[n > 0]
-                out = [(shard, kind, steps(keys[own]), packed(n[own])) for shard, own in runs(keys, bits)]
+                out = [(shard, kind, steps(keys[own]), packed(n[own])) for shard, own in runs(keys, bits, key_bits)]
                 if out:
                     yield typed(list(zip(*out, strict=True)), COUNTED)
 
@@ -243,14 +254,16 @@ ASKED = [("shard", pa.int64()), ("kind", pa.int8()), ("slice", pa.int64()), ("ke
 TOLD = [("slice", pa.int64()), ("kind", pa.int8()), ("shard", pa.int64()), ("told", pa.binary())]
 
 
-def answered(rows: DataFrame, model: DataFrame, bits: int) -> DataFrame:
+def answered(rows: DataFrame, model: Model) -> DataFrame:
     """(slice, kind, shard, told): for each slice and segment that it asks, the words' counts or the bigrams' levels. A segment's model comes
     first in the stream of its questions, so that no more than that and one question is held."""
 
+    bits, key_bits = model.bits, model.key_bits
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, t, _ in read_slices(batches):
+        for name, t, _ in read_slices(batches, key_bits):
             for kind, keys in ((WORDS, t.words), (PAIRS, t.pairs)):
-                out = [(shard, kind, name, steps(keys[own]), None) for shard, own in runs(keys, bits)]
+                out = [(shard, kind, name, steps(keys[own]), None) for shard, own in runs(keys, bits, key_bits)]
                 yield typed(list(zip(*out, strict=True)), ASKED)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +290,7 @@ def answered(rows: DataFrame, model: DataFrame, bits: int) -> DataFrame:
 
     schema = "shard long, kind byte, slice long, keys binary, data binary"
     questions = rows.select("slice", "held", "texts").mapInArrow(ask, schema)
-    both = questions.unionByName(model.select("shard", "kind", F.lit(None).cast("long").alias("slice"), "keys", "data"))
+    both = questions.unionByName(model.table.select("shard", "kind", F.lit(None).cast("long").alias("slice"), "keys", "data"))
     dealt = both.repartition("shard").sortWithinPartitions("shard", "kind", F.asc_nulls_first("slice"))
     return dealt.mapInArrow(tell, "slice long, kind byte, shard long, told binary")
 
@@ -297,27 +310,28 @@ def probabilities(seen: np.ndarray, context: np.ndarray, p: np.ndarray) -> np.nd
 SCORES = [("d", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def in_slices(docs: DataFrame, folds: int, held: int) -> DataFrame:
+def in_slices(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
+    """A corpus' slices, a written table."""
     given = docs.select(id_key().alias("d"), (fold() % folds == held).alias("held"), F.col("text").cast("string").alias("text"))
     return written(sliced(given), "lm-slices")
 
 
-def fitted(rows: DataFrame, level_bits: int = LEVEL_BITS) -> tuple[DataFrame, int]:
-    """(model, bits of its segments' numbers) of slices."""
+def fitted(rows: DataFrame, level_bits: int = LEVEL_BITS) -> Model:
     size = rows.agg(F.sum("size")).first()[0] or 0
     bits = (max(SHARDS, -(-size // SHARD_BYTES)) - 1).bit_length()
-    return written(segments(training_counts(rows, bits), level_bits), "lm-model"), bits
+    key_bits = min(64, max(LEAST_BITS, SPARE_BITS + size.bit_length()))
+    return Model(written(segments(training_counts(rows, bits, key_bits), level_bits), "lm-model"), bits, key_bits)
 
 
-def scored(rows: DataFrame, model: DataFrame, bits: int) -> DataFrame:
+def scored(rows: DataFrame, model: Model) -> DataFrame:
     """The scores of slices under a model that these or other slices were fitted to."""
-    n, v, once, twice = (int(x or 0) for x in model.agg(*[F.sum(x) for x in ("n", "v", "once", "twice")]).first())
-    whole = n + 0.5 * (v + 1)
+    n, v, once, twice = (int(x or 0) for x in model.table.agg(*[F.sum(x) for x in ("n", "v", "once", "twice")]).first())
+    whole, key_bits = n + 0.5 * (v + 1), model.key_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                t = Tokens([x.as_py() for x in column(batch, "texts")[i].values])
+                t = Tokens([x.as_py() for x in column(batch, "texts")[i].values], key_bits)
                 told = sorted(column(batch, "told")[i].as_py(), key=lambda x: (x["kind"], x["shard"]))
                 c = np.concatenate([unpacked(x["told"], "i8") for x in told if x["kind"] == WORDS])
                 seen = counted(np.frombuffer(b"".join(x["told"] for x in told if x["kind"] == PAIRS), np.uint8).astype(np.int64))
@@ -329,7 +343,7 @@ def scored(rows: DataFrame, model: DataFrame, bits: int) -> DataFrame:
                     score = np.add.reduceat(np.log10(p), t.first)
                 yield typed([column(batch, "d")[i].values, column(batch, "held")[i].values, t.last - t.first + 1, known, base, score], SCORES)
 
-    told = answered(rows, model, bits).groupBy("slice").agg(F.collect_list(F.struct("kind", "shard", "told")).alias("told"))
+    told = answered(rows, model).groupBy("slice").agg(F.collect_list(F.struct("kind", "shard", "told")).alias("told"))
     joined = rows.join(told, "slice").select("d", "held", "texts", "told")
     out = joined.mapInArrow(run, "d long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
@@ -339,5 +353,4 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, level_bits: int =
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; level_bits: the filter's bits for each level."""
     bounded_batches(docs.sparkSession)
     rows = in_slices(docs, folds, held)
-    model, bits = fitted(rows, level_bits)
-    return scored(rows, model, bits)
+    return scored(rows, fitted(rows, level_bits))

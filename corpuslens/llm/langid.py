@@ -4,7 +4,8 @@ Each window of WINDOW bytes goes through filters of several widths over byte vec
 text is cut into windows of that length, the last one filled up with zeros; a text's probabilities are the windows' mean, weighted by
 their bytes. For prediction, the byte vectors and the filters are multiplied out into tables over pairs of bytes.
 
-Training takes a bounded sample: about `per_lang` labelled texts of each language, chosen by a hash, of each a window or two.
+Training takes a bounded sample, whatever the corpus' size: of each of the MOST_LANGS languages with the most different labelled texts, the
+`per_lang` texts with the smallest hashes (all of them in a smaller language), of each two windows. The number of training steps is fixed.
 
 Nulls: texts that are null or hold no letter get `und` and score 0, as all do if no text is labelled. A null doc_id belongs to the
 training part (its id text is empty). Extra columns pass through `identify`. An empty table gives no rows.
@@ -12,6 +13,7 @@ training part (its id text is empty). Extra columns pass through `identify`. An
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 VECTOR = 8
 PER_LANG = 1500
+#: Languages that are learned at most.
+MOST_LANGS = 1000
+#: Training steps and windows of each.
+STEPS, BATCH = 560, 64
 UNKNOWN = "und"
 
 
@@ -43,26 +49,25 @@ class ByteCNN:
         self.p["c"] = np.zeros(len(langs))
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> ByteCNN:
+    def train(self, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 4e-3, seed: int = 11) -> ByteCNN:
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step, steps = 0, epochs * -(-len(windows) // batch)
-        for _ in range(epochs):
-            order = r.permutation(len(windows))
-            for at in range(0, len(order), batch):
-                rows = order[at : at + batch]
-                x = windows[rows].copy()
-                for i in np.flatnonzero(r.random(len(rows)) < 0.5):  # short texts are learned, too
-                    x[i, int(np.exp(r.uniform(np.log(3), np.log(WINDOW)))) :] = 0
-                g = self._gradients(x, labels[rows], weights[rows])
-                step += 1
-                now = rate * (1 - step / (steps + 1))
-                for k, v in g.items():
-                    m[k] = 0.9 * m[k] + 0.1 * v
-                    s[k] = 0.999 * s[k] + 0.001 * v * v
-                    self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-                self.p["e"][0] = 0
+        step, order = 0, np.zeros(0, dtype=np.int64)
+        for step in range(1, steps + 1):
+            if len(order) < batch:
+                order = np.concatenate([order, *[r.permutation(len(windows)) for _ in range(-(-batch // len(windows)))]])
+            rows, order = order[:batch], order[batch:]
+            x = windows[rows].copy()
+            for i in np.flatnonzero(r.random(len(rows)) < 0.5):  # short texts are learned, too
+                x[i, int(np.exp(r.uniform(np.log(3), np.log(WINDOW)))) :] = 0
+            g = self._gradients(x, labels[rows], weights[rows])
+            now = rate * (1 - step / (steps + 1))
+            for k, v in g.items():
+                m[k] = 0.9 * m[k] + 0.1 * v
+                s[k] = 0.999 * s[k] + 0.001 * v * v
+                self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            self.p["e"][0] = 0
         return self
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
@@ -149,19 +154,27 @@ def has_letter(text: bytes) -> bool:
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[np.ndarray, list[str]]:
-    """Windows and languages of about per_lang different texts of each language (all of them in a smaller one), chosen by a hash of the
-    text: a group of copies counts once, so no group makes the sample larger."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.countDistinct(F.xxhash64("text"))).collect()}
+    """Windows and languages of the per_lang different texts with the smallest hashes of each language: a group of copies counts once, so no
+    group makes the sample larger. The languages' sizes are estimated (within a few hundredths); a hash's share of its range tells rows
+    that may be among the smallest, half as many again as are taken, so that no task sorts a language and the driver gets a bounded table."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).withColumn("h", F.xxhash64("text"))
+    counted = labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    sizes = {r[0]: max(1, r[1]) for r in counted.collect()}
     if not sizes:
         return np.zeros((0, WINDOW), np.uint8), []
-    order = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1 << 20, int((per_lang << 20) / n)))]), F.col("lang"))
+    place = F.shiftrightunsigned("h", 11) / F.lit(2.0**53)
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, (1.5 * per_lang + 50) / n)]), F.col("lang"))
     spread = lambda seed: F.substring("text", 1 + F.pmod(F.xxhash64("text", F.lit(seed)), F.greatest(F.lit(1), F.length("text") - WINDOW // 2)).cast("int"), F.lit(WINDOW))
-    rows = labelled.where(order < share).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min(F.array(spread(1), spread(2))).alias("cuts")).select("lang", "cuts").collect()
-    rows.sort()
-    texts = [x.encode()[:WINDOW] for r in rows for x in r[1] if x.strip()]
-    langs = [r[0] for r in rows for x in r[1] if x.strip()]
+    near = labelled.where(F.col("lang").isin(*sizes)).where(place < share).groupBy("lang", place.alias("place"), "h").agg(F.min(F.array(spread(1), spread(2))).alias("cuts"))
+    rows, taken = [], Counter()
+    for r in sorted(near.collect(), key=lambda r: (r["lang"], r["place"], r["h"])):
+        if taken[r["lang"]] < per_lang:
+            taken[r["lang"]] += 1
+            rows.append((r["lang"], r["cuts"]))
+    texts = [x.encode()[:WINDOW] for _, cuts in rows for x in cuts if x.strip()]
+    langs = [lang for lang, cuts in rows for x in cuts if x.strip()]
+    if not langs:
+        raise ValueError("texts are labelled, but the sample to learn from is empty")
     return windows_of(texts)[0], langs
 
 
@@ -173,9 +186,7 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> ByteCNN | None:
     names = sorted(set(langs))
     labels = np.searchsorted(names, langs)
     counts = np.bincount(labels)
-    net = ByteCNN(names)
-    epochs = int(np.clip(30_000 // max(1, len(labels)), 3, 20))
-    return net.train(windows, labels, (1 / counts)[labels].astype(np.float32), epochs)
+    return ByteCNN(names).train(windows, labels, (1 / counts)[labels].astype(np.float32))
 
 
 def identify(docs: DataFrame, net: ByteCNN | None) -> DataFrame:

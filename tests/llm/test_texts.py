@@ -282,7 +282,64 @@ def test_language_sample_counts_copies_once(spark):
     given = [("the same text", "en")] * 500 + [(f"text number {i}", "en") for i in range(100)] + [(f"ein Text {i}", "de") for i in range(30)]
     docs = spark.createDataFrame(given, "text string, lang string").repartition(4)
     _, langs = langid.sample(docs, per_lang=40)
-    assert langs.count("de") == 60 and 20 <= langs.count("en") <= 140  # two windows of each text
+    assert langs.count("de") == 60 and langs.count("en") == 80  # two windows of each text
+
+
+def test_language_sample_is_bounded_and_the_smallest_hashes(spark):
+    """However many texts there are: per_lang of each language, those with the smallest hashes as unsigned numbers."""
+    docs = spark.range(60_000).select(F.concat(F.lit("text number "), "id").alias("text"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"))
+    windows, langs = langid.sample(docs, per_lang=7)
+    assert langs == ["de"] * 14 + ["en"] * 14
+    order = docs.where("lang = 'de'").select("text", F.shiftrightunsigned(F.xxhash64("text"), 11).alias("h")).orderBy("h").limit(7).collect()
+    assert {bytes(x).rstrip(b"\0")[-3:] for x in windows[:14]} <= {r["text"].encode()[-3:] for r in order}
+
+
+def plain_network(net, window):
+    """Probabilities of one window by loops over places, widths and filters."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    pooled = []
+    for w in langid.WIDTHS:
+        for f in range(langid.FILTERS):
+            at = [sum(float(p["e"][int(window[i + k])] @ p[f"w{w}"][k * langid.VECTOR : (k + 1) * langid.VECTOR, f]) for k in range(w)) for i in range(len(window) - w + 1)]
+            pooled.append(max(0.0, max(at) + p[f"b{w}"][f]))
+    q = np.array(pooled) @ p["o"] + p["c"]
+    q = np.exp(q - q.max())
+    return q / q.sum()
+
+
+def test_predictor_against_plain_convolution():
+    r = np.random.default_rng(3)
+    net = langid.ByteCNN(["a", "b", "c"])
+    for k, v in net.p.items():
+        net.p[k] = v + r.normal(0, 0.1, v.shape).astype(np.float32)
+    windows = np.concatenate([r.integers(0, 256, (3, langid.WINDOW)), np.zeros((1, langid.WINDOW), dtype=int)]).astype(np.uint8)
+    windows[1, 20:] = 0
+    found = langid.Predictor(net)(windows)
+    assert np.allclose(found, [plain_network(net, x) for x in windows], atol=1e-5)
+
+
+def test_gradients_against_differences():
+    """Of the loss, at every kind of parameter, in double precision."""
+    r = np.random.default_rng(4)
+    net = langid.ByteCNN(["a", "b", "c"])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x = r.integers(1, 256, (5, langid.WINDOW)).astype(np.uint8)
+    y, weight = r.integers(0, 3, 5), np.array([1.0, 2, 1, 1, 3])
+
+    def loss():
+        q = np.array([plain_network(net, row) for row in x])
+        return -(np.log(q[np.arange(5), y]) * weight).sum() / weight.sum() + 0.5e-4 * (net.p["o"] ** 2).sum()
+
+    g = net._gradients(x, y, weight)
+    for name in net.p:
+        for at in {tuple(int(r.integers(n)) for n in net.p[name].shape) if name != "e" else (int(x[0, r.integers(200)]), int(r.integers(langid.VECTOR))) for _ in range(3)}:
+            old = net.p[name][at]
+            net.p[name][at] = old + 1e-5
+            up = loss()
+            net.p[name][at] = old - 1e-5
+            down = loss()
+            net.p[name][at] = old
+            assert g[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-6), (name, at)
 
 
 def test_language_id_without_labels(spark, no_docs):
@@ -432,19 +489,19 @@ def test_lm_rows_and_questions_stay_in_proportion(spark, monkeypatch):
     found = {}
     for shards in (64, 4096, 1 << 16):
         monkeypatch.setattr(bloom_lm, "SHARDS", shards)
-        model, bits = bloom_lm.fitted(rows, 1000)
-        assert model.where("kind = 1 and keys is not null").count() == 0  # bits only
-        assert bloom_lm.answered(rows, model, bits).count() <= keys
-        found[shards] = sorted((x["doc_id"], x["base_score"], round(x["score"], 6)) for x in bloom_lm.scored(rows, model, bits).collect())
+        model = bloom_lm.fitted(rows, 1000)
+        assert model.table.where("kind = 1 and keys is not null").count() == 0  # bits only
+        assert bloom_lm.answered(rows, model).count() <= keys
+        found[shards] = sorted((x["doc_id"], x["base_score"], round(x["score"], 6)) for x in bloom_lm.scored(rows, model).collect())
     assert found[64] == found[4096] == found[1 << 16]
 
 
 def test_a_model_scores_other_texts(spark):
     """Texts that weren't there when the model was fitted: unknown words, known pairs."""
     learn = bloom_lm.in_slices(spark.createDataFrame([(d, "the cat sat on the mat") for d in range(50)], "doc_id long, text string"), 5, 1)
-    model, bits = bloom_lm.fitted(learn)
+    model = bloom_lm.fitted(learn)
     other = bloom_lm.in_slices(spark.createDataFrame([(1, "the cat sat"), (2, "sat cat the"), (3, "dogs bark loudly")], "doc_id long, text string"), 5, 1)
-    found = {x["doc_id"]: x for x in bloom_lm.scored(other, model, bits).collect()}
+    found = {x["doc_id"]: x for x in bloom_lm.scored(other, model).collect()}
     assert found[1]["score"] > found[2]["score"] > found[3]["score"] and found[3]["n_known"] == 1
 
 
