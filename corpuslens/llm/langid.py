@@ -34,6 +34,8 @@ MOST_LANGS = 1000
 #: Training steps and windows of each.
 STEPS, BATCH = 560, 64
 UNKNOWN = "und"
+#: The columns that are added.
+COLUMNS = ("held_out", "lang_pred", "score")
 
 
 class ByteCNN:

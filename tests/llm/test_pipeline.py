@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpuslens.llm import langid
@@ -25,9 +26,10 @@ def test_stages_on_documents(spark, sf_dir):
         assert out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
         kept = sorted((r["doc_id"], r["text"]) for r in out.collect())
         if name == "language":
-            known = {r["doc_id"] for r in langid.language_id(docs).where("lang_pred <> 'und'").collect()}
-            assert kept == sorted(x for x in given if x[0] in known)
-            assert {d for d, t in given if any(map(str.isalpha, t or ""))} == known
+            found = langid.language_id(docs).collect()
+            wrong = {r["doc_id"] for r in found if r["lang"] not in (None, r["lang_pred"]) and r["score"] >= corpus_pipeline.CONFIDENT}
+            assert kept == sorted((d, t) for d, t in given if any(map(str.isalpha, t or "")) and d not in wrong)
+            assert len(wrong) < 0.01 * len(given)
         elif name == "lines":
             assert kept == sorted((d, t) for d, _, _, t in plain.line_dedup(given))
         elif name == "near_copies":
@@ -68,3 +70,27 @@ def test_stages_decide_row_by_row(spark, sf_dir):
 def test_language_stage_keeps_an_unlabelled_corpus(spark, sf_dir):
     docs = spark.createDataFrame([(1, "some text", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, sf_dir).collect()] == [1]
+
+
+def test_language_stage_follows_the_prediction(spark, sf_dir, monkeypatch):
+    """A confident prediction of another language than the label's rejects a row; an unsure one, or a row without label, stays."""
+    docs = spark.createDataFrame([(i, f"some text {i}", lang, "kept") for i, lang in enumerate(["en", "en", "de", "de", None])], "doc_id long, text string, lang string, score string")
+    told = [("en", 0.99), ("de", 0.95), ("en", 0.5), ("de", 0.99), ("en", 0.99)]
+
+    def answer(rows):
+        pick = lambda k: F.element_at(F.array(*[F.lit(t[k]) for t in told]), (F.col("doc_id") + 1).cast("int"))
+        return rows.withColumns({"lang_pred": pick(0), "score": pick(1), "held_out": F.lit(False)})
+
+    monkeypatch.setattr(corpus_pipeline.langid, "language_id", answer)
+    out = corpus_pipeline.language(spark, docs, sf_dir)
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 2, 3, 4]
+    assert out.columns == docs.columns and {r["score"] for r in out.collect()} == {"kept"}
+
+
+def test_language_stage_rejects_misfiled_texts(spark, sf_dir):
+    """Of a corpus in two alphabets' words, the few texts filed under the other language go, all others stay."""
+    words = {"aa": "lorem ipsum dolor sit amet".split(), "bb": "zug wagen strasse brücke über".split()}
+    rows = [(i, " ".join(words[x][(i * 7 + k * k) % 5] for k in range(40)), x) for i, x in enumerate(["aa", "bb"] * 150)]
+    rows += [(1000 + i, rows[i][1] + " x", "bb" if rows[i][2] == "aa" else "aa") for i in range(6)]
+    out = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), sf_dir)
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(300))
