@@ -15,12 +15,20 @@ from corpuslens.llm import decontaminate, langid, line_dedup, packing, simhash
 from corpuslens.llm.common import fresh, id_key, shared_dir, table
 
 
+#: From this probability on a prediction counts against a label.
+CONFIDENT = 0.9
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: null texts and texts without letters. A predicted language rejects nothing, and a
-    corpus without any label, from which no language can be learned, loses only the former."""
-    found = langid.language_id(docs)
-    known = (F.col("lang_pred") != langid.UNKNOWN) | F.coalesce(F.col("text").cast("string").rlike("\\p{L}"), F.lit(False))
-    return found.where(known).select(*docs.columns)
+    """Documents without a recognisable language go: null texts and texts without letters, and texts whose label is another language than the
+    one that is predicted with CONFIDENT probability or more: filed under a language that they aren't in. Unlabelled texts, and all texts of
+    a corpus without any label, go only for the former."""
+    own = {c: fresh([*docs.columns, *langid.COLUMNS], f"own_{c}") for c in docs.columns if c.lower() in langid.COLUMNS}
+    found = langid.language_id(docs.withColumnsRenamed(own))
+    letters = (F.col("lang_pred") != langid.UNKNOWN) | F.coalesce(F.col("text").cast("string").rlike("\\p{L}"), F.lit(False))
+    misfiled = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= CONFIDENT)
+    kept = found.where(letters & ~F.coalesce(misfiled, F.lit(False)))
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
