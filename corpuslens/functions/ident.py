@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ipaddress
+import re
 import unicodedata
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -113,9 +115,41 @@ def _percent(c: Column) -> Column:
 SPECIAL_PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
 
 
+def _number(part: str) -> int | None:
+    """A part of a host's number: decimal, 0x hexadecimal or 0 octal."""
+    try:
+        if part[:2].lower() == "0x":
+            return int(part[2:] or "0", 16)
+        return int(part, 8) if len(part) > 1 and part[0] == "0" else int(part)
+    except ValueError:
+        return None
+
+
+def plain_host(host: str) -> str | None:
+    """A host as browsers write it: punycode outside ASCII, IPv6 shortened, numbers as four decimal ones; null for hosts that have no such
+    form."""
+    if host.startswith("["):
+        try:
+            return f"[{ipaddress.IPv6Address(host[1:-1])}]" if host.endswith("]") else None
+        except ValueError:
+            return None
+    try:
+        host = host if host.isascii() else host.encode("idna").decode()
+    except UnicodeError:
+        return None
+    parts = host.removesuffix(".").split(".")
+    if not parts[-1][:1].isdigit() or not (parts[-1].isdigit() or re.fullmatch("0[xX][0-9a-fA-F]*", parts[-1])):
+        return host
+    numbers = [_number(x) if x else None for x in parts]
+    if len(parts) > 4 or None in numbers or any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(parts)):
+        return None
+    whole = numbers[-1] + sum(n << 8 * (3 - i) for i, n in enumerate(numbers[:-1]))
+    return str(ipaddress.IPv4Address(whole))
+
+
 @F.pandas_udf(StringType())
-def ascii_url(s: pd.Series) -> pd.Series:
-    """URLs with characters outside plain ASCII: the host in its punycode form, other parts percent-encoded; null for hosts that have none."""
+def plain_url(s: pd.Series) -> pd.Series:
+    """URLs with their host as plain_host writes it, and other characters outside plain ASCII percent-encoded; null for hosts without a form."""
 
     def one(x: str | None) -> str | None:
         if x is None:
@@ -125,15 +159,17 @@ def ascii_url(s: pd.Series) -> pd.Series:
             return quote(x, safe=SAFE)
         end = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
         user, at, host = rest[:end].rpartition("@")
-        try:
-            host = host if host.isascii() else host.encode("idna").decode()
-        except UnicodeError:
-            return None
-        return head + sep + user + at + host + quote(rest[end:], safe=SAFE)
+        name, colon, port = host.rpartition(":") if re.search(r":\d*$", host) else (host, "", "")
+        name = plain_host(name)
+        return None if name is None else head + sep + user + at + name + colon + port + quote(rest[end:], safe=SAFE)
 
     return s.map(one)
 
 
+#: URLs whose host the JVM can't write: it isn't plain ASCII, or a number, or an IPv6 address; or whose other parts need encoding.
+UNUSUAL = "[^!-~]|//(?:[^/?#@]*@)?(?:\\[|(?:[^/?#:]*\\.)?(?:[0-9]+|0[xX][0-9a-fA-F]*)\\.?(?:[:/?#]|$))"
+
+
 def _without_dots(path: Column) -> Column:
     """A path with its `.` and `..` segments resolved."""
     dot = lambda x, n: F.lower(F.regexp_replace(x, "(?i)%2e", ".")) == "." * n
@@ -148,16 +184,17 @@ def _without_dots(path: Column) -> Column:
 def canonical_url(raw: Column, ascii_only: bool = False) -> Column:
     """A URL's one spelling: scheme and host in lower case (punycode outside ASCII), no default port, fragment or tracking keys, dot
     segments resolved, unreserved escapes undone, no final slashes, query tokens sorted. URLs of other schemes keep their host and path;
-    null if there is no scheme, or no host where the scheme needs one. ascii_only: URLs known to be plain stay inside the JVM."""
+    null if there is no scheme, or no host where the scheme needs one. ascii_only: URLs known not to be UNUSUAL stay inside the JVM;
+    canonical_urls tells a table's rows apart."""
     trimmed = F.btrim(raw)
     if not ascii_only:
-        trimmed = F.when(trimmed.rlike("[^!-~]"), ascii_url(trimmed)).otherwise(trimmed)
+        trimmed = F.when(trimmed.rlike(UNUSUAL), plain_url(trimmed)).otherwise(trimmed)
     shape = "^([A-Za-z][A-Za-z0-9+.-]*):(//+)?(.*)$"
     scheme, slashes, rest = F.lower(F.regexp_extract(trimmed, shape, 1)), F.regexp_extract(trimmed, shape, 2), F.regexp_extract(trimmed, shape, 3)
     special = scheme.isin(*SPECIAL_PORTS)
     rest = F.when(special, F.regexp_replace(F.regexp_replace(rest, "^[/\\\\]+", ""), "\\\\(?=[^?#]*(?:[?#]|$))", "/")).otherwise(rest)
     held = special | (slashes != "")
-    parts = "^(?:[^/?#@]*@)?([^/?#:@\\s]*)(?::(\\d*))?([^?#]*)(?:\\?([^#]*))?(?:#.*)?$"
+    parts = "^(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:@\\s]*)(?::(\\d*))?([^?#]*)(?:\\?([^#]*))?(?:#.*)?$"
     part = lambda i: F.regexp_extract(rest, parts, i)
     host, port = F.when(special, F.lower(part(1))).otherwise(part(1)), F.regexp_replace(part(2), "^0+(?=\\d)", "")
     default = F.coalesce(F.create_map(*[F.lit(x) for pair in SPECIAL_PORTS.items() for x in pair])[scheme], F.lit(""))
@@ -175,6 +212,13 @@ def canonical_url(raw: Column, ascii_only: bool = False) -> Column:
     return F.when((scheme != "") & (~special | (host != "")), url)
 
 
+def canonical_urls(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the canonical form of their URLs as `name`. Usual URLs stay inside the JVM; only the others go through Python."""
+    unusual = F.coalesce(F.btrim(F.col(column)).rlike(UNUSUAL), F.lit(False))
+    plain = rows.where(~unusual).withColumn(name, canonical_url(F.col(column), ascii_only=True))
+    return plain.unionByName(rows.where(unusual).withColumn(name, canonical_url(plain_url(F.btrim(F.col(column))), ascii_only=True)))
+
+
 @F.pandas_udf(StringType())
 def strip_marks(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; no built-in function decomposes."""

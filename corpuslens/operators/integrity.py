@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ident
 from ..functions import text as tx
-from ..sources.corpus import Corpora
+from ..sources.corpus import STAMP_KEY, Corpora
 from ..sources.shared import checkpointed
 from . import gates
 
@@ -23,8 +23,8 @@ REQUIRED = {
     "corpora": ("spec_version", "corpus_id", "sections"),
     "sources": ("source_id", "source_kind", "representations"),
     "extractions": ("extraction_id", "source_id", "representation_ref", "type", "locator"),
-    "generations": ("generation_id", "type", "provenance"),
-    "syntheses": ("synthesis_id", "type", "provenance"),
+    "generations": ("generation_id", "type", "stamp"),
+    "syntheses": ("synthesis_id", "type", "stamp"),
     "codebooks": ("codebook_id", "namespace", "slug", "codes"),
     "codings": ("coding_id", "codebook_ref", "target", "coder"),
     "coding_sets": ("set_id", "coders"),
@@ -50,7 +50,7 @@ def missing(rows: DataFrame, key: str, known: DataFrame, id_: str) -> DataFrame:
 
 
 def has_stamp() -> Column:
-    return F.coalesce(F.col("provenance.produced_by.tool") != "", F.lit(False)) & F.coalesce(F.col("provenance.created_at") != "", F.lit(False))
+    return F.coalesce(F.col("stamp.produced_by.tool") != "", F.lit(False)) & F.coalesce(F.col("stamp.created_at") != "", F.lit(False))
 
 
 def value_number(name: str, field: str = "locator") -> Column:
@@ -122,9 +122,9 @@ def id_rules(c: Corpora) -> list[DataFrame]:
     locator = ident.char_range_json(F.col("locator.representation_ref"), value_number("start"), value_number("end"))
     exts = c.extractions.where("locator.type = 'char_range' and source_id is not null and representation_ref is not null").withColumn("made", ident.mint_ext_id(F.col("source_id"), F.col("representation_ref"), locator, F.col("direct_quote"), F.col("text")))
     out.append(finding(exts.where("made <> extraction_id"), "id_mismatch", "extraction_id", level=1, detail="made"))
-    d = "provenance.derived_from"
+    d = "stamp.derived_from"
     inputs = ident.collect_input_ids(*[F.col(f"{d}.{x}") for x in ("source_ids", "representation_refs", "extraction_ids", "generation_ids", "synthesis_ids")])
-    gens = c.generations.where("type is not null and provenance.input_digest is not null").withColumn("made", ident.mint_gen_id(F.col("type"), inputs, F.col("provenance.input_digest")))
+    gens = c.generations.where("type is not null and stamp.input_digest is not null").withColumn("made", ident.mint_gen_id(F.col("type"), inputs, F.col("stamp.input_digest")))
     out.append(warning(gens.where("made <> generation_id"), "id_mismatch", "generation_id", "made"))
     syns = c.syntheses.where("type is not null").withColumn("made", ident.mint_syn_id(F.col("type"), F.col("question"), inputs))
     out.append(warning(syns.where("made <> synthesis_id"), "id_mismatch", "synthesis_id", "made"))
@@ -149,22 +149,22 @@ def reference_rules(c: Corpora) -> list[DataFrame]:
         warning(ext.where("type like 'x-%'"), "x_extension", "extraction_id", "type"),
     ]
     for kind, id_ in (("representations", "representation_id"), ("extractions", "extraction_id"), ("generations", "generation_id"), ("syntheses", "synthesis_id")):
-        out.append(finding(getattr(c, kind).where(~has_stamp()), "missing_provenance", id_, level=1))
+        out.append(finding(getattr(c, kind).where(~has_stamp()), f"missing_{STAMP_KEY}", id_, level=1))
     for kind, id_ in (("codebooks", "codebook_id"), ("codings", "coding_id")):
-        out.append(finding(getattr(c, kind).where("coalesce(provenance.produced_by.tool, '') = ''"), "missing_provenance", id_, level=1))
+        out.append(finding(getattr(c, kind).where("coalesce(stamp.produced_by.tool, '') = ''"), f"missing_{STAMP_KEY}", id_, level=1))
     band = reduce(lambda a, b: a.when(F.col("confidence") == b[0], ~F.col("confidence_score").between(*b[1])), BANDS.items(), F.when(F.lit(False), F.lit(False)))
     out.append(warning(ext.where(F.coalesce(band, F.lit(False))), "confidence_inconsistent", "extraction_id", "confidence"))
     lists = {"source_ids": ("dangling_source", c.sources, "source_id"), "representation_refs": ("dangling_representation", c.representations, "representation_id"), "extraction_ids": ("dangling_extraction", c.extractions, "extraction_id"), "generation_ids": ("dangling_generation", c.generations, "generation_id"), "synthesis_ids": ("dangling_synthesis", c.syntheses, "synthesis_id")}
-    derived = c.generations.select("corpus", F.col("generation_id").alias("id"), "provenance", F.lit(True).alias("generated"))
-    derived = derived.union(c.syntheses.select("corpus", "synthesis_id", "provenance", F.lit(False)))
-    sources = F.coalesce(F.size("provenance.derived_from.source_ids"), F.lit(0)) > 0
-    without = F.col("provenance.derived_from").isNull() | F.col("generated") & ~sources
+    derived = c.generations.select("corpus", F.col("generation_id").alias("id"), "stamp", F.lit(True).alias("generated"))
+    derived = derived.union(c.syntheses.select("corpus", "synthesis_id", "stamp", F.lit(False)))
+    sources = F.coalesce(F.size("stamp.derived_from.source_ids"), F.lit(0)) > 0
+    without = F.col("stamp.derived_from").isNull() | F.col("generated") & ~sources
     out.append(finding(derived.where(without), "missing_derived_from", "id", level=2))
-    out.append(finding(derived.where("coalesce(provenance.input_digest, '') = ''"), "missing_input_digest", "id", level=2))
+    out.append(finding(derived.where("coalesce(stamp.input_digest, '') = ''"), "missing_input_digest", "id", level=2))
     for name, (code, known, id_) in lists.items():
-        named = derived.where(~without).select("corpus", "id", F.explode(f"provenance.derived_from.{name}").alias("ref"))
+        named = derived.where(~without).select("corpus", "id", F.explode(f"stamp.derived_from.{name}").alias("ref"))
         out.append(finding(missing(named, "ref", known, id_), code, "id", level=2, detail="ref"))
-    one = derived.select("corpus", "id", F.col("provenance.input_digest").alias("digest"), F.explode("provenance.derived_from.representation_refs").alias("representation_id"))
+    one = derived.select("corpus", "id", F.col("stamp.input_digest").alias("digest"), F.explode("stamp.derived_from.representation_refs").alias("representation_id"))
     met = one.join(c.representations.select("corpus", "representation_id", "path").dropDuplicates(["corpus", "representation_id"]), ["corpus", "representation_id"])
     met = met.groupBy("corpus", "id").agg(F.count("*").alias("n"), F.first("path").alias("path"), F.first("digest").alias("digest")).where("n = 1 and digest is not null")
     met = met.join(c.files.select("corpus", F.col("rel").alias("path"), F.sha2("content", 256).alias("actual")), ["corpus", "path"])
@@ -246,7 +246,7 @@ def output_rules(c: Corpora) -> list[DataFrame]:
     claims = c.syntheses.select("corpus", F.col("synthesis_id").alias("object_id"), F.explode("claims").alias("c")).select("corpus", "object_id", F.explode(F.array_distinct(F.concat(F.coalesce("c.evidence_ids", F.array().cast("array<string>")), F.coalesce("c.source_ids", F.array().cast("array<string>"))))).alias("need")).distinct()
     loose = text.select("corpus", "object_id", F.explode(tx.uncited_quotes(F.col("output_text"))).alias("quote"))
     second = c.generations.select("corpus").union(c.syntheses.select("corpus")).distinct()
-    at = F.coalesce(F.try_element_at("sections", F.lit("provenance")), F.lit("provenance/events.jsonl"))
+    at = F.coalesce(F.try_element_at("sections", F.lit(STAMP_KEY)), F.lit(f"{STAMP_KEY}/events.jsonl"))
     journal = c.corpora.select("corpus", at.alias("rel")).join(c.files.select("corpus", "rel"), ["corpus", "rel"])
     io = c.events.select("corpus", "event_id", F.explode(F.array("inputs", "outputs")).alias("m")).where("m is not null").select("corpus", "event_id", F.explode("m").alias("kind", "ids")).select("corpus", "event_id", F.explode("ids").alias("ref"))
     every = c.representations.select("corpus", F.col("representation_id").alias("id"))
@@ -264,7 +264,7 @@ def output_rules(c: Corpora) -> list[DataFrame]:
         warning(real.where("status = 'superseded'"), "cites_superseded", "object_id", "extraction_id"),
         finding(real.where("quote <> direct_quote"), "output_quote_mismatch", "object_id", level=2, detail="extraction_id"),
         warning(loose, "output_quote_uncited", "object_id", F.substring("quote", 1, 40)),
-        finding(second.join(journal, "corpus", "left_anti"), "missing_journal", F.lit("provenance"), level=2),
+        finding(second.join(journal, "corpus", "left_anti"), "missing_journal", F.lit(STAMP_KEY), level=2),
         finding(c.events.where(wanting), "event_invalid", F.coalesce("event_id", F.lit("event")), level=2),
         warning(missing(io, "ref", every, "id"), "event_dangling_ref", "event_id", "ref"),
     ]

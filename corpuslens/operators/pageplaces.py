@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prints import code_points, rolling
 from .alignment import increasing
 
 #: Letters of a fingerprint, letters that a page needs, letters of a page that are looked at.
 PROBE, MIN_PAGE, SPAN = 40, 30, 2000
-_BASE = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
 
 
 def letters(text: str) -> tuple[str, np.ndarray]:
@@ -31,26 +31,12 @@ def letters(text: str) -> tuple[str, np.ndarray]:
     return "".join(filter(str.isalpha, text)), at
 
 
-def rolling(codes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every run of `width` code points, by doubling: the hash of 2k is that of its halves."""
-    out = np.zeros(max(0, len(codes) - width + 1), dtype=np.uint64)
-    part, size, done, power = codes.astype(np.uint64) + np.uint64(1), 1, 0, _BASE
-    while size <= width:
-        if width & size:
-            out = out * power + part[done : done + len(out)]
-            done += size
-        part = part[: max(0, len(part) - size)] * power + part[size:]
-        size, power = 2 * size, power * power
-    return out
-
-
 class Places:
     """The text's fingerprints in order, for looking up many at once."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
-        found = rolling(codes, PROBE)
+        found = rolling(code_points(text), PROBE)
         self.order = np.argsort(found, kind="stable")
         self.sorted = found[self.order]
 
@@ -59,8 +45,7 @@ class Places:
         starts = list(range(0, max(1, min(len(page) - PROBE + 1, SPAN)), PROBE))
         if len(page) < PROBE:
             return [(0, np.array([m.start() for m in re.finditer(f"(?={re.escape(page)})", self.text)], dtype=np.int64))]
-        codes = np.frombuffer(page[: SPAN + PROBE].encode("utf-32-le"), dtype="<u4")
-        prints = rolling(codes, PROBE)[starts]
+        prints = rolling(code_points(page[: SPAN + PROBE]), PROBE)[starts]
         low, high = np.searchsorted(self.sorted, prints), np.searchsorted(self.sorted, prints, side="right")
         out = []
         for k, a, b in zip(starts, low.tolist(), high.tolist(), strict=True):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 #: Shapes of trimmed cells. A list is a cell with a semicolon whose parts are all tokens.
 SHAPES = {
     "int": r"^-?\d+$",
@@ -116,19 +121,30 @@ def apply_transform(value: Column, strip: Column, add: Column) -> Column:
     return F.when(strip.isNull(), value).otherwise(F.concat(F.coalesce(add, F.lit("")), F.when((strip != "") & (prefix_of(value) == strip), without_prefix(value)).otherwise(value)))
 
 
+def _short_columns(tables: dict[str, DataFrame], most: int = 400) -> dict[str, DataFrame]:
+    """The tables' columns without a cell of over `most` code points: one row a table comes to the driver."""
+    longest = lambda df: F.to_json(F.array(*[F.coalesce(F.max(F.length(c)), F.lit(0)) for c in df.columns])).alias("n")
+    rows = reduce(DataFrame.unionByName, [df.agg(longest(df)).withColumn("t", F.lit(t)) for t, df in tables.items()]).collect()
+    sizes = {r["t"]: json.loads(r["n"]) for r in rows}
+    kept = {t: [c for c, n in zip(df.columns, sizes[t], strict=True) if n <= most] for t, df in tables.items()}
+    return {t: df.select(*kept[t]) for t, df in tables.items() if kept[t]}
+
+
 def find_links(tables: dict[str, DataFrame], least: float = 0.5, whole: float = 0.9) -> DataFrame:
     """(from_table, from_column, to_table, to_column, containment, partial, as_list, strip, add): columns whose values lie in another column's
     unique values, in the same table or in another one.
 
     Cells are split at semicolons where the column has lists. A column counts if it has five different tokens, or as many as rows, all of
     them token-like and no cell over 400 characters. Where less than `whole` of the tokens are found, prefixes of letters are taken off
-    both sides; the commonest pair of prefixes is named. One equi-join of all tokens with all keys' values, not one for each pair."""
-    values = _values(tables)
-    facts = _facts(values)
+    both sides; the commonest pair of prefixes is named. One equi-join of all tokens with all keys' values, not one for each pair. Columns
+    with longer cells are weighed out before any cell is a key; values, facts and tokens are written once each."""
+    values = checkpointed(_values(_short_columns(tables)))
+    facts = checkpointed(_facts(values))
     open_ = facts.where("filled > 0 and len_max <= 400").select("t", "column", (F.col("share_list") > 0).alias("as_list"), "rows")
     cells = values.join(F.broadcast(open_), ["t", "column"])
     parts = F.when(F.col("as_list"), list_parts(F.col("value"))).otherwise(F.array(F.btrim("value")))
     toks = cells.select("t", "column", "as_list", "rows", F.explode(parts).alias("token")).where("token <> ''").distinct()
+    toks = checkpointed(toks)
     sizes = toks.groupBy("t", "column", "as_list", "rows").agg(F.count("*").alias("n"), F.bool_and(F.col("token").rlike(TOKEN)).alias("plain")).where("plain and n >= least(5, rows)")
     toks = toks.join(F.broadcast(sizes.select("t", "column")), ["t", "column"], "left_semi").select(F.col("t").alias("from_table"), F.col("column").alias("from_column"), "token")
     keyed = values.join(F.broadcast(facts.where(is_key()).select("t", "column")), ["t", "column"], "left_semi").select(F.col("t").alias("to_table"), F.col("column").alias("to_column"), F.btrim("value").alias("token"))

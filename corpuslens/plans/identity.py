@@ -79,7 +79,7 @@ select page_id, scheme || '://' || regexp_replace(host, case scheme when 'http'
 
 @R.add(URL_SQL)
 def url_canonical(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", ident.canonical_url(F.col("url")).alias("canonical"))
+    return ident.canonical_urls(t.pages.select("page_id", "url"), "url", "canonical").select("page_id", "canonical")
 
 
 SLUG = "case when trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-') = '' then 'untitled' else regexp_replace(left(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-+$', '') end"

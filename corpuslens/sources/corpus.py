@@ -6,15 +6,19 @@ lines by line, and what can't be parsed becomes a finding. Containment is lexica
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.ident import lexically_inside
 from .shared import checkpointed
 
-STAMP = "provenance struct<produced_by: struct<tool: string, model: string, method: string>, created_at: string, input_digest: string, derived_from: struct<source_ids: array<string>, representation_refs: array<string>, extraction_ids: array<string>, generation_ids: array<string>, synthesis_ids: array<string>>>"
+#: Fixed value: the format's key of an object's stamp (what made it, when, from what), and of the journal's section. It is read as `stamp`.
+STAMP_KEY = "provenance"
+STAMP = "stamp struct<produced_by: struct<tool: string, model: string, method: string>, created_at: string, input_digest: string, derived_from: struct<source_ids: array<string>, representation_refs: array<string>, extraction_ids: array<string>, generation_ids: array<string>, synthesis_ids: array<string>>>"
 OUTPUT = "output struct<path: string, media_type: string, sha256: string, value: string>"
 LOCATOR = "struct<type: string, representation_ref: string, value: string>"
 REPRESENTATION = "struct<representation_id: string, role: string, media_type: string, path: string, sha256: string, parent_representation_ref: string, dimensions: struct<width: double, height: double>, duration_seconds: double, " + STAMP.replace(" struct", ": struct", 1) + ">"
@@ -69,7 +73,8 @@ def _lines(files: DataFrame) -> DataFrame:
 
 
 def _parsed(rows: DataFrame, kind: str) -> DataFrame:
-    row = F.from_json("raw", f"{SCHEMAS[kind]}, __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"})
+    shape = f"{SCHEMAS[kind]}, __bad string"
+    row = F.from_json("raw", re.sub(r"\bstamp\b", STAMP_KEY, shape), {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}).cast(StructType.fromDDL(shape))
     return rows.withColumn("row", row).withColumn("bad", F.col("row").isNull() | F.col("row.__bad").isNotNull())
 
 
@@ -99,8 +104,8 @@ def load(spark: SparkSession, base: str) -> Corpora:
         return checkpointed(parsed.where("not bad").select("corpus", "at", F.col("row").dropFields("__bad").alias("row")).select("corpus", "at", "row.*"))
 
     corpora = objects("corpora", files.where("rel = 'corpus.json'"))
-    section = lambda name, default: F.coalesce(F.try_element_at("sections", F.lit(name)), F.lit(default))
-    places = {"sources": "sources/", "extractions": None, "generations": None, "syntheses": None, "codebooks": None, "codings": None, "provenance": "provenance/events.jsonl"}
+    section = lambda name, default: F.coalesce(F.try_element_at("sections", F.lit(STAMP_KEY if name == "journal" else name)), F.lit(default))
+    places = {"sources": "sources/", "extractions": None, "generations": None, "syntheses": None, "codebooks": None, "codings": None, "journal": f"{STAMP_KEY}/events.jsonl"}
     dirs = corpora.select("corpus", *[section(n, d).alias(f"s_{n}") for n, d in places.items()])
     known = files.join(dirs, "corpus")
     inside = lambda name, rest: F.col("rel").startswith(F.col(f"s_{name}")) & F.substring(F.col("rel"), F.length(f"s_{name}") + 1, F.lit(1 << 20)).rlike(rest)
@@ -122,7 +127,7 @@ def load(spark: SparkSession, base: str) -> Corpora:
     codebooks = objects("codebooks", known.where(inside("codebooks", "^[^/]+\\.json$")), "codebook_id")
     coding_sets = objects("coding_sets", known.where(inside("codings", "^[^/]+/manifest\\.json$")))
     codings = lines("codings", known.where(inside("codings", "^[^/]+/items\\.jsonl$")))
-    events = lines("events", known.where("rel = s_provenance"))
+    events = lines("events", known.where("rel = s_journal"))
     found = findings[0]
     for x in findings[1:]:
         found = found.union(x)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a folder of the warehouse, which executors share as well, only where the session names none."""
+    """A folder of this application's in the one that spark.checkpoint.dir names. Where the session names none, one of the warehouse if
+    all runs on one machine, else an error: executors of a cluster don't see each other's local folders. An application's tables lie
+    under its id, so that they can be removed with it."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (place or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
+    if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        place = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return f"{place.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -19,9 +19,11 @@ def one(spark, column, **values):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]).select(column.alias("x")).first()["x"] if values else spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("raw", "want"), [("HTTP://Example.COM:80/Path/", "http://example.com/Path"), ("https://a.org/?utm_source=z&b=2&a=1", "https://a.org/?a=1&b=2"), ("http://a.org/%7Euser%2f", "http://a.org/~user%2F"), ("https://a.org:8443#top", "https://a.org:8443/"), ("ftp://a.org/x", "ftp://a.org/x"), ("no url", None), (None, None)])
+@pytest.mark.parametrize(("raw", "want"), [("HTTP://Example.COM:80/Path/", "http://example.com/Path"), ("https://a.org/?utm_source=z&b=2&a=1", "https://a.org/?a=1&b=2"), ("http://a.org/%7Euser%2f", "http://a.org/~user%2F"), ("https://a.org:8443#top", "https://a.org:8443/"), ("ftp://a.org/x", "ftp://a.org/x"), ("no url", None), (None, None), ("http://[::1]:80/x", "http://[::1]/x"), ("http://[2001:DB8:0:0:0:0:0:1]:8080", "http://[2001:db8::1]:8080/"), ("http://[::g]/x", None), ("http://0x7f.1/y", "http://127.0.0.1/y"), ("http://017700000001", "http://127.0.0.1/"), ("http://192.168.0.1:80/a", "http://192.168.0.1/a"), ("http://1.2.3.4.5/", None), ("http://a.256/", None), ("https://b\u00fccher.example/\u00e4?q=\u00f6", "https://xn--bcher-kva.example/%C3%A4?q=%C3%B6")])
 def test_canonical_url(spark, raw, want):
     assert one(spark, ident.canonical_url(F.lit(raw).cast("string"))) == want
+    rows = spark.createDataFrame([(1, raw)], "i int, u string")
+    assert [r["c"] for r in ident.canonical_urls(rows, "u", "c").collect()] == [want]
 
 
 @pytest.mark.parametrize(("raw", "want"), [("Caf\u00e9 Soci\u00e9t\u00e9", "cafe-societe"), ("\u6d4b\u8bd5", "untitled"), ("--A  b--", "a-b"), (None, "untitled")])

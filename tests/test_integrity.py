@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators import integrity
 from corpuslens.sources import corpus as reader
+from corpuslens.sources.corpus import STAMP_KEY
 
 TEXT = "Wind turbines stand on the ridge.\nThe grid operator pays for balancing, and balancing is dear.\nNobody asked the village.\n"
 QUOTE = "The grid operator pays for balancing"
@@ -36,9 +37,9 @@ class Made:
         self.text = TEXT
         rep, src = f"rep-{sha(TEXT)[:12]}", short("src", f"src\nsha256:{sha(TEXT)}")
         self.path = "sources/one/representations/text.md"
-        self.source = {"source_id": src, "source_kind": "document", "title": "One", "extractions_path": "sources/one/extractions.jsonl", "provenance": WHEN, "representations": [{"representation_id": rep, "role": "clean_markdown", "media_type": "text/markdown", "path": self.path, "sha256": f"sha256:{sha(TEXT)}", "provenance": WHEN}]}
+        self.source = {"source_id": src, "source_kind": "document", "title": "One", "extractions_path": "sources/one/extractions.jsonl", STAMP_KEY: WHEN, "representations": [{"representation_id": rep, "role": "clean_markdown", "media_type": "text/markdown", "path": self.path, "sha256": f"sha256:{sha(TEXT)}", STAMP_KEY: WHEN}]}
         start = TEXT.index(QUOTE)
-        self.ext = {"source_id": src, "representation_ref": rep, "type": "quote", "direct_quote": QUOTE, "locator": {"type": "char_range", "representation_ref": rep, "value": {"start": start, "end": start + len(QUOTE)}}, "provenance": WHEN}
+        self.ext = {"source_id": src, "representation_ref": rep, "type": "quote", "direct_quote": QUOTE, "locator": {"type": "char_range", "representation_ref": rep, "value": {"start": start, "end": start + len(QUOTE)}}, STAMP_KEY: WHEN}
         self.mint_ext(self.ext)
         self.more: list[dict] = []
         self.tail = ""
@@ -50,15 +51,15 @@ class Made:
             digest = f"sha256:{sha(TEXT)}"
             derived = {"source_ids": [src], "representation_refs": [rep], "extraction_ids": [self.ext["extraction_id"]]}
             ids = sorted(x for v in derived.values() for x in v)
-            self.gen = {"generation_id": short("gen", f"gen\nsummary\n{jcs(ids)}\n{digest}"), "type": "summary", "output": {"path": "sources/one/generated/out.md", "sha256": f"sha256:{sha(out)}"}, "provenance": WHEN | {"derived_from": derived, "input_digest": digest}}
+            self.gen = {"generation_id": short("gen", f"gen\nsummary\n{jcs(ids)}\n{digest}"), "type": "summary", "output": {"path": "sources/one/generated/out.md", "sha256": f"sha256:{sha(out)}"}, STAMP_KEY: WHEN | {"derived_from": derived, "input_digest": digest}}
             claim = {"claim_id": "c1", "text": "It pays.", "evidence_ids": [self.ext["extraction_id"]], "source_ids": [src]}
-            self.syn = {"synthesis_id": short("syn", f"syn\nanswer\nWho pays?\n{jcs(ids)}"), "type": "answer", "question": "Who pays?", "claims": [claim], "output": {"path": "syntheses/s/out.md", "sha256": f"sha256:{sha(out)}"}, "provenance": WHEN | {"derived_from": derived, "input_digest": digest}}
+            self.syn = {"synthesis_id": short("syn", f"syn\nanswer\nWho pays?\n{jcs(ids)}"), "type": "answer", "question": "Who pays?", "claims": [claim], "output": {"path": "syntheses/s/out.md", "sha256": f"sha256:{sha(out)}"}, STAMP_KEY: WHEN | {"derived_from": derived, "input_digest": digest}}
             self.files |= {"sources/one/generated/out.md": out, "syntheses/s/out.md": out}
             self.event = {"event_id": "evt-000001", "activity_type": "generate", "tool": "t", "started_at": "2026-01-02T03:04:05Z", "status": "success", "inputs": {"source_ids": [src]}, "outputs": {"generation_ids": [self.gen["generation_id"]]}}
         if coded:
             codes = [{"code": "operator", "label": "Operator", "definition": "Runs it."}, {"code": "grid", "label": "Grid", "parent": "operator"}]
-            self.book = {"codebook_id": short("cbk", "cbk\nown\nactor"), "namespace": "own", "slug": "actor", "title": "Actor", "codes": codes, "provenance": WHEN}
-            self.coding = {"codebook_ref": self.book["codebook_id"], "code": "grid", "target": {"kind": "extraction", "id": self.ext["extraction_id"]}, "coder": "a", "provenance": WHEN}
+            self.book = {"codebook_id": short("cbk", "cbk\nown\nactor"), "namespace": "own", "slug": "actor", "title": "Actor", "codes": codes, STAMP_KEY: WHEN}
+            self.coding = {"codebook_ref": self.book["codebook_id"], "code": "grid", "target": {"kind": "extraction", "id": self.ext["extraction_id"]}, "coder": "a", STAMP_KEY: WHEN}
             self.mint_coding()
 
     @staticmethod
@@ -76,7 +77,7 @@ class Made:
             (root / rel).parent.mkdir(parents=True, exist_ok=True)
             (root / rel).write_text(text)
 
-        sections = {"sources": "sources/", "provenance": "provenance/events.jsonl"}
+        sections = {"sources": "sources/", STAMP_KEY: f"{STAMP_KEY}/events.jsonl"}
         if self.syn:
             sections["syntheses"] = "syntheses/"
         if self.book:
@@ -92,7 +93,7 @@ class Made:
             put("sources/one/generated/g.json", json.dumps(self.gen))
             put("syntheses/s/synthesis.json", json.dumps(self.syn))
             if self.event:
-                put("provenance/events.jsonl", json.dumps(self.event) + "\n")
+                put(f"{STAMP_KEY}/events.jsonl", json.dumps(self.event) + "\n")
         if self.book:
             put("codebooks/b.json", json.dumps(self.book))
             put("codings/cds/manifest.json", json.dumps(self.manifest))
@@ -132,7 +133,7 @@ def second_source(m: Made, **change) -> dict:
     """The same bytes in another source."""
     m.files["sources/two/t.md"] = m.text
     rep = copy.deepcopy(m.source["representations"][0]) | {"path": "sources/two/t.md"} | change
-    m.files["sources/two/source.json"] = json.dumps({"source_id": short("src", "src\nhttps://example.org/two"), "source_kind": "document", "retrieval": {"original_url": "https://example.org/two"}, "representations": [rep], "provenance": WHEN})
+    m.files["sources/two/source.json"] = json.dumps({"source_id": short("src", "src\nhttps://example.org/two"), "source_kind": "document", "retrieval": {"original_url": "https://example.org/two"}, "representations": [rep], STAMP_KEY: WHEN})
     return rep
 
 
@@ -145,7 +146,7 @@ CASES = {
     "id differs": ("", lambda m: m.ext.update(extraction_id="ext-000000000000"), {"id_mismatch"}),
     "id twice": ("", lambda m: m.more.append(m.ext), {"id_duplicate"}),
     "id malformed": ("", lambda m: m.ext.update(extraction_id="ext-1"), {"id_format", "id_mismatch"}),
-    "no stamp": ("", lambda m: m.ext.pop("provenance"), {"missing_provenance"}),
+    "no stamp": ("", lambda m: m.ext.pop(STAMP_KEY), {f"missing_{STAMP_KEY}"}),
     "path escapes": ("", lambda m: m.source["representations"][0].update(path="../x.md"), {"path_escape", "filename_illegal"}),
     "file missing": ("", lambda m: setattr(m, "text", None), {"missing_file"}),
     "no representations": ("", lambda m: m.source.update(representations=[]), {"missing_representation", "dangling_representation"}),
@@ -176,9 +177,9 @@ CASES = {
     "output missing": ("second", lambda m: m.files.pop("syntheses/s/out.md"), {"missing_output"}),
     "claim without source": ("second", lambda m: m.syn["claims"][0].update(source_ids=[]), {"claim_missing_source"}),
     "evidence dangling": ("second", lambda m: m.syn["claims"][0].update(evidence_ids=["ext-ffffffffffff"]), {"dangling_extraction"}),
-    "no inputs": ("second", lambda m: m.gen["provenance"].pop("derived_from"), {"missing_derived_from"}),
-    "no digest": ("second", lambda m: m.gen["provenance"].pop("input_digest"), {"missing_input_digest"}),
-    "stale": ("second", lambda m: m.syn["provenance"].update(input_digest="sha256:" + "2" * 64), {"stale_input"}),
+    "no inputs": ("second", lambda m: m.gen[STAMP_KEY].pop("derived_from"), {"missing_derived_from"}),
+    "no digest": ("second", lambda m: m.gen[STAMP_KEY].pop("input_digest"), {"missing_input_digest"}),
+    "stale": ("second", lambda m: m.syn[STAMP_KEY].update(input_digest="sha256:" + "2" * 64), {"stale_input"}),
     "supersedes itself": ("second", lambda m: m.syn.update(supersedes=m.syn["synthesis_id"]), {"dangling_synthesis"}),
     "no journal": ("second", lambda m: setattr(m, "event", None), {"missing_journal"}),
     "event incomplete": ("second", lambda m: m.event.pop("tool"), {"event_invalid"}),
@@ -190,7 +191,7 @@ CASES = {
     "target of another kind": ("coded", lambda m: recoded(m, target={"kind": "source", "id": m.ext["extraction_id"]}), {"dangling_coding_target"}),
     "unknown code": ("coded", lambda m: recoded(m, code="nobody"), {"coding_code_unknown"}),
     "value in a closed book": ("coded", lambda m: recoded(m, code=None, value="free"), {"coding_open_closed_mismatch"}),
-    "coding unstamped": ("coded", lambda m: m.coding.pop("provenance"), {"missing_provenance"}),
+    "coding unstamped": ("coded", lambda m: m.coding.pop(STAMP_KEY), {f"missing_{STAMP_KEY}"}),
     "coding id differs": ("coded", lambda m: m.coding.update(coding_id="cod-000000000000"), {"id_mismatch"}),
     "coder undeclared": ("coded", lambda m: recoded(m, coder="z"), {"coding_coder_undeclared"}),
     "code twice": ("coded", lambda m: m.book["codes"].append({"code": "grid"}), {"codebook_code_duplicate"}),

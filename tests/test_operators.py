@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import text as tx
 from corpuslens.sources import files
 from corpuslens.functions import ident
-from corpuslens.operators import appraise, linking, passages, profile, reports, stats, units
+from corpuslens.operators import anchoring, appraise, linking, passages, profile, reports, stats, units
 
 
 def evidence(rows: list[tuple]) -> list[tuple]:
@@ -157,6 +157,35 @@ def test_parts_reach_to_the_last_cut(seed):
         assert not whole, (a, b, whole)  # a paragraph that still fits isn't left to the next part
 
 
+@pytest.mark.parametrize("together", [50_000, 3])
+def test_hits_against_every_text_and_quotation(spark, monkeypatch, together):
+    """Any script and length, frequent passages, overlapping places, texts with more candidates than a row holds."""
+    monkeypatch.setattr(anchoring, "TOGETHER", together)
+    monkeypatch.setattr(anchoring, "CANDIDATES", 5)
+    monkeypatch.setattr(anchoring, "HOT", 1)
+    r = random.Random(6)
+    alphabet = "ab \n\u65e5\u672c\U0001f600\u00e9"
+    common = "".join(r.choice(alphabet) for _ in range(50))
+    texts = [(i, "".join(r.choice(alphabet) for _ in range(r.randint(0, 300))) + (common if i % 2 else "")) for i in range(60)] + [(60, None), (61, ""), (62, "\u65e5" * 200)]
+    quotes = [(1, common), (2, common[3:40]), (3, common[5:12]), (4, ""), (5, None), (6, "a"), (7, "\u65e5" * 30), (8, "nowhere at all, and long"), (9, "\U0001f600"), (10, "zz")]
+    for k in range(100, 160):
+        _, text = texts[r.randrange(60)]
+        s = r.randrange(len(text) + 1)
+        quotes.append((k, text[s : s + r.choice([3, 15, 16, 17, 40])]))
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, other string").repartition(3)
+    found = anchoring.hits(df, spark.createDataFrame(quotes, "quote_id long, quote string"))
+    assert found.columns == ["doc_id", "text", "other", "quote_id", "quote"]
+    got = sorted((x["doc_id"], x["quote_id"]) for x in found.collect())
+    assert got == sorted((i, k) for i, t in texts for k, q in quotes if t and q and q in t)
+
+
+def test_hits_have_no_nested_loop(spark):
+    df = spark.createDataFrame([(1, "some text of a document here"), (2, "other")], "doc_id long, text string")
+    found = anchoring.hits(df, spark.createDataFrame([(1, "a document here, or there"), (2, "text")], "quote_id long, quote string"))
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and found.count() == 1
+
+
 def test_names_and_their_keys(spark):
     keys = lambda name, terms=False: set(spark.range(1).select(linking.name_keys(F.lit(name).cast("string"), terms)).first()[0])
     assert keys("Water  Energy Board (WEB)") == {"water energy board", "web"}

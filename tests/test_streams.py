@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens.functions import prints
 from corpuslens.operators import alignment, pageplaces, widening
 from corpuslens.plans import streams
 from corpuslens.plans.base import Tables
@@ -213,7 +214,7 @@ def test_rolling_prints_tell_runs_apart():
     r = np.random.default_rng(0)
     codes = r.integers(0, 4, 600)
     for width in (1, 5, 40):
-        found = pageplaces.rolling(codes, width)
+        found = prints.rolling(codes, width)
         runs = [tuple(codes[i : i + width]) for i in range(len(codes) - width + 1)]
         assert len(found) == len(runs) and len({(a, b) for a, b in zip(runs, found.tolist(), strict=True)}) == len(set(runs)) == len(set(found.tolist()))
 
