@@ -1,11 +1,11 @@
-"""Queries on word streams, page maps, paginations and quotations made unique."""
+"""Queries on word streams, page maps, paginations, quotations made unique, furniture and other people's words."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import alignment, pageplaces, widening
+from ..operators import alignment, furniture, pageplaces, widening
 from .base import Registry, Tables
 
 R = Registry()
@@ -145,3 +145,84 @@ def widened_quotes(t: Tables) -> DataFrame:
 def sentence_quotes(t: Tables) -> DataFrame:
     """The same with whole sentences."""
     return widening.unique_quotes(_short_quotes(t, 2), t.documents.select("doc_id", "text"), "doc_id", how="sentences")
+
+
+#: Documents with a page divider before every sixth line, a head behind it, a page number before it, a fence and a line of links.
+_FURNISHED = """list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: case
+  when i % 6 = 1 then '## Page ' || (i // 6 + 1) || chr(10) || 'Report ' || doc_id || chr(10) || x when i % 6 = 0 then x || chr(10) || chr(10) || '- ' || (i // 6) || ' -'
+  when i % 12 = 4 then '```' || chr(10) || '- 7 -' || chr(10) || 'Page 9' || chr(10) || '```' || chr(10) || x when i % 12 = 9 then '[Home](/a) | http://x.org/' || i || chr(10) || x else x end)"""
+
+
+@R.add(rf"""
+with t as (select doc_id, unnest(string_split(array_to_string({_FURNISHED}, chr(10)), chr(10))) as line, generate_subscripts(string_split(array_to_string({_FURNISHED}, chr(10)), chr(10)), 1) as k from documents),
+b as (select *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as bare from t),
+f as (select *, regexp_matches(bare, '^(```|~~~)') as fence, regexp_matches(bare, '(?i)^(#{{1,6}}\s*)?(page|p\.)\s*[0-9]+\s*(of\s*[0-9]+\s*)?$') as mark, bare <> '' as "full",
+  lower(trim(regexp_replace(regexp_replace(bare, '[0-9]+', '', 'g'), '\s+', ' ', 'g'))) as name from b),
+n as (select *, coalesce(sum(fence::int) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as inside,
+  sum("full"::int) over (partition by doc_id order by k) as n, sum(mark::int) over (partition by doc_id) as pages, sum("full"::int) over (partition by doc_id) as top from f),
+m as (select *, case when mark then n end as d from n),
+e as (select *, case when "full" then n - last_value(d ignore nulls) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding) end as since,
+  case when "full" then first_value(d ignore nulls) over (partition by doc_id order by k rows between 1 following and unbounded following) - n end as until from m),
+h as (select doc_id, name from e where pages >= 3 and length(name) between 1 and 120 group by doc_id, name having sum((coalesce(since, 0) = 1)::int + (coalesce(until, 0) = 1)::int) > 0.5 * max(pages)),
+r as (select e.*, h.name is not null as head, regexp_replace(bare, '^[-–—/|\s.]+|[-–—/|\s.]+$', '', 'g') as num from e left join h using (doc_id, name)),
+c as (select *, case when fence or inside then null when mark then 'page_marker'
+  when (coalesce(since <= 2, false) or coalesce(until <= 2, false) or top - n < 2) and "full" and pages > 0 and length(num) <= 12 and (regexp_matches(num, '(?i)^[0-9]{{1,5}}(\s*(/|of)\s*[0-9]{{1,5}})?$') or regexp_matches(num, '^([ivxlcdm]{{2,7}}|[IVXLCDM]{{2,7}})$')) then 'page_number'
+  when "full" and head then 'running_head'
+  when "full" and regexp_matches(bare, '(?i)https?://|\]\(\s*[^)]*\)') and length(regexp_replace(regexp_replace(bare, '(?i)https?://[^\s<>"''\])]+', ' ', 'g'), '[^0-9A-Za-z]+', '', 'g')) < 20 then 'nav_line' end as reason from r),
+o as (select doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) order by k) filter (reason is null), ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+', ''), '\s+$', '') as text,
+  count(*) filter (reason = 'page_marker') as page_marker, count(*) filter (reason = 'page_number') as page_number, count(*) filter (reason = 'running_head') as running_head, count(*) filter (reason = 'nav_line') as nav_line from c group by doc_id)
+select doc_id, page_marker, page_number, running_head, nav_line, sha256(case when text = '' then '' else text || chr(10) end) as text_sha256 from o""")
+def without_furniture(t: Tables) -> DataFrame:
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+
+    def one(x: Column, i0: Column) -> Column:
+        i = i0 + 1
+        page = F.floor(i / 6).cast("string")
+        first = F.concat(F.lit("## Page "), (F.floor(i / 6) + 1).cast("string"), F.lit("\nReport "), F.col("doc_id").cast("string"), F.lit("\n"), x)
+        fence = F.concat(F.lit("```\n- 7 -\nPage 9\n```\n"), x)
+        links = F.concat(F.lit("[Home](/a) | http://x.org/"), i.cast("string"), F.lit("\n"), x)
+        return F.when(i % 6 == 1, first).when(i % 6 == 0, F.concat(x, F.lit("\n\n- "), page, F.lit(" -"))).when(i % 12 == 4, fence).when(i % 12 == 9, links).otherwise(x)
+
+    rows = t.documents.select("doc_id", F.array_join(F.transform(lines, one), "\n").alias("text"))
+    found = furniture.without_furniture(rows, "doc_id")
+    return found.select("doc_id", "page_marker", "page_number", "running_head", "nav_line", F.sha2("text", 256).alias("text_sha256"))
+
+
+@R.add(r"""
+with l as (select doc_id, string_split(text, chr(10)) as l from documents where length(text) > 0),
+p as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as i, len(l) as n from l)
+select d.doc_id, sha256(coalesce(o.own, '')) as own_sha256 from documents d left join (
+  select doc_id, string_agg(line || case when i < n then chr(10) else '' end, '' order by i) filter (i % 3 <> 0 and not regexp_matches(line, '^\s*>')) as own from p group by doc_id) o using (doc_id)""")
+def own_words(t: Tables) -> DataFrame:
+    """Documents every third line of which quotes somebody."""
+    quoted = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 2, F.concat(F.lit("> "), x)).otherwise(x))
+    rows = t.documents.select("doc_id", F.when(F.length("text") > 0, F.array_join(quoted, "\n")).otherwise(F.col("text")).alias("text"))
+    return furniture.own_words(rows, "doc_id", "markdown").select("doc_id", F.sha2("text", 256).alias("own_sha256"))
+
+
+def _forum(t: Tables) -> DataFrame:
+    """Turns that quote the turn before them as a forum does."""
+    said = F.concat(F.lit("User "), F.col("conv_id"), F.lit(" said:\n"), F.coalesce("text", F.lit("")), F.lit("\nClick to expand...\n"))
+    turn = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("Well.\n"), said, F.lit("I agree with that.\n"), said)).otherwise(F.col("text"))
+    return t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), turn.alias("text"), F.array(F.lit("a"), F.lit("b")).alias("sources"))
+
+
+@R.add()
+def forum_quotes(t: Tables) -> DataFrame:
+    """Own and quoted parts of forum posts; tests hold them against planted ones."""
+    return furniture.quote_blocks(_forum(t), "turn_id", "xenforo")
+
+
+@R.add()
+def cell_units(t: Tables) -> DataFrame:
+    """Lines of forum posts as units with their headings, quoted lines left out."""
+    return furniture.segment_units(_forum(t), "turn_id", style="xenforo")
+
+
+@R.add()
+def reference_lists(t: Tables) -> DataFrame:
+    """Documents with a list of works at their end, with and without its heading."""
+    entry = F.concat_ws("\n\n", *[F.lit(f"Bo, A. ({2000 + i}). A title of a work that is long enough to be weighed, vol. {i}, pp. {i}-{i + 9}. doi 10.1/{i}") for i in range(6)])
+    headed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("References\n\n"), entry)).when(F.col("doc_id") % 3 == 1, entry)
+    rows = t.documents.select("doc_id", F.concat_ws("\n\n", F.regexp_replace("text", "\n", "\n\n"), headed).alias("text"))
+    return furniture.references(rows, "doc_id")
