@@ -5,7 +5,8 @@
 3. They are dealt to shards of a bounded number of keys. Each shard becomes one index row: a minimal perfect hash in levels of bit
    arrays, and arrays of fingerprints, counts and owners in its order.
 4. The rows of step 1 go to the shard of their hash and probe its arrays there; no lines are joined. A shard's rows are salted over
-   `copies` tasks, each with its copy of the index row, so a line that lies in every document doesn't fill one task.
+   tasks, each with its copy of the index row: COPIES of them, and one for each TASK_ROWS of its counts, so that a line that lies in
+   every document fills no task at any size.
 5. Documents get the fingerprints that they lose and are rewritten in one pass.
 
 Nulls: a null or empty text is one empty line. A null doc_id stands for one document that is larger than all others. Rows that share
@@ -29,6 +30,8 @@ BLANK = b" \t\n\x0b\x0c\r"
 SEEDS = (0x5BD1E995, 0x27D4EB2F)
 SHARD_KEYS = 1 << 18
 GAMMA = 2.0
+#: Tasks of a shard at least, and rows that one more task is for.
+COPIES, TASK_ROWS = 8, 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,8 +70,11 @@ class PerfectHash:
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
+        """keys: all different; equal ones would never part."""
         levels, left = [], keys
         while len(left):
+            if len(levels) > 200:
+                raise ValueError("a perfect hash of equal keys")
             size = max(8, int(GAMMA * len(left)))
             at = _level_hash(left, len(levels), size)
             alone = np.bincount(at, minlength=size) == 1
@@ -95,14 +101,22 @@ class PerfectHash:
         return cls([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for n, b in zip(sizes, packed, strict=True)])
 
 
-def _place_keys(h: np.ndarray, f: np.ndarray) -> np.ndarray:
+def _place_keys(h: np.ndarray, f: np.ndarray, seed: int = 0) -> np.ndarray:
     """Both hashes decide the place, so two lines that share one of them don't stop the build."""
     with np.errstate(over="ignore"):
-        return h.view(np.uint64) ^ (f.view(np.uint64) * MIX)
+        return h.view(np.uint64) ^ (f.view(np.uint64) * (MIX + np.uint64(2 * seed)))
+
+
+def different_keys(h: np.ndarray, f: np.ndarray) -> tuple[int, np.ndarray]:
+    """(seed, place keys) by the first seed under which different lines have different keys."""
+    seed = 0
+    while len(np.unique(keys := _place_keys(h, f, seed))) < len(keys):
+        seed += 1
+    return seed, keys
 
 
 LINES = [("h", pa.int64()), ("f", pa.int64()), ("d", pa.int64())]
-PROBES = T.StructType([T.StructField("task", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("f", T.LongType()), T.StructField("d", T.LongType()), T.StructField("index", T.StructType([T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("levels", T.ArrayType(T.BinaryType())), T.StructField("fingerprints", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("owners", T.BinaryType())]))])
+PROBES = T.StructType([T.StructField("task", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("f", T.LongType()), T.StructField("d", T.LongType()), T.StructField("index", T.StructType([T.StructField("seed", T.LongType()), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("levels", T.ArrayType(T.BinaryType())), T.StructField("fingerprints", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("owners", T.BinaryType())]))])
 
 
 def line_rows(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -124,8 +138,8 @@ def line_rows(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def repeated_line_index(lines: DataFrame, shards: int) -> DataFrame:
-    """One row for each shard: the perfect hash and the arrays behind it."""
-    repeated = lines.groupBy("h", "f").agg(F.count("*").cast("int").alias("n"), F.min("d").alias("owner"), F.max("d").alias("last")).where("owner < last")
+    """One row for each shard: the perfect hash and the arrays behind it, and how many rows of lines its keys have."""
+    repeated = lines.groupBy("h", "f").agg(F.count("*").alias("n"), F.min("d").alias("owner"), F.max("d").alias("last")).where("owner < last")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "shard"):
@@ -133,14 +147,14 @@ def repeated_line_index(lines: DataFrame, shards: int) -> DataFrame:
             cuts = np.flatnonzero(np.diff(of)) + 1
             for part in np.split(np.arange(len(of)), cuts):
                 h, f, n, owner = (group.column(c).to_numpy()[part] for c in ("h", "f", "n", "owner"))
-                keys = _place_keys(h, f)
+                seed, keys = different_keys(h, f)
                 index = PerfectHash.build(keys)
                 order = np.argsort(index.places(keys))
                 sizes, levels = index.packed()
-                item = {"sizes": sizes, "levels": levels, "fingerprints": f[order].tobytes(), "counts": n[order].astype(np.int32).tobytes(), "owners": owner[order].tobytes()}
-                yield pa.RecordBatch.from_pylist([{"shard": int(of[part[0]]), "index": item}], schema=arrow_type(shape))
+                item = {"seed": seed, "sizes": sizes, "levels": levels, "fingerprints": f[order].tobytes(), "counts": n[order].astype(np.int64).tobytes(), "owners": owner[order].tobytes()}
+                yield pa.RecordBatch.from_pylist([{"shard": int(of[part[0]]), "rows": int(n.sum()), "index": item}], schema=arrow_type(shape))
 
-    shape = T.StructType([T.StructField("shard", T.LongType()), PROBES["index"]])
+    shape = T.StructType([T.StructField("shard", T.LongType()), T.StructField("rows", T.LongType()), PROBES["index"]])
     dealt = repeated.select(F.pmod("h", F.lit(shards)).alias("shard"), "h", "f", "n", "owner").repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(build, shape)
 
@@ -155,25 +169,31 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if kinds[a] == 0:
                 x = column(batch, "index")[int(a)].as_py()
-                task, held = tasks[a], (PerfectHash.unpacked(x["sizes"], x["levels"]), np.frombuffer(x["fingerprints"], np.int64), np.frombuffer(x["counts"], np.int32), np.frombuffer(x["owners"], np.int64))
+                task, held = tasks[a], (x["seed"], PerfectHash.unpacked(x["sizes"], x["levels"]), np.frombuffer(x["fingerprints"], np.int64), np.frombuffer(x["counts"], np.int64), np.frombuffer(x["owners"], np.int64))
                 a += 1
             if a == b or task != tasks[a]:
                 continue
             h, f, d = (ints(batch, c)[a:b] for c in ("h", "f", "d"))
-            index, fingerprints, counts, owners = held
-            at = index.places(_place_keys(h, f))
+            seed, index, fingerprints, counts, owners = held
+            at = index.places(_place_keys(h, f, seed))
             hit = (at >= 0) & (fingerprints[at] == f) & (counts[at] > 1) & (owners[at] != d)
             yield typed([f[hit], d[hit]], [("f", pa.int64()), ("d", pa.int64())])
 
 
-def lost_lines(docs: DataFrame, min_chars: int = 10, copies: int = 8) -> DataFrame:
+def lost_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """(d, lost): the fingerprints of the lines that document d loses."""
     lines = written(line_rows(docs, min_chars), "lines")
     shards = max(1, lines.count() // SHARD_KEYS) + 15
     index = written(repeated_line_index(lines, shards), "line-index")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
-    heads = index.select("shard", salts.alias("salt"), "index").select((F.col("shard") * copies + F.col("salt")).alias("task"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("d"), "index")
-    probes = lines.select((F.pmod("h", F.lit(shards)) * copies + F.pmod(F.xxhash64("d"), F.lit(copies))).alias("task"), F.lit(1).alias("kind"), "h", "f", "d", F.lit(None).cast(PROBES["index"].dataType).alias("index"))
+    copies = F.greatest(F.lit(COPIES), F.ceil(F.col("rows") / TASK_ROWS)).alias("copies")
+    # shards of frequent lines: at most one in COPIES * TASK_ROWS rows
+    wide = F.broadcast(index.where(F.col("rows") > COPIES * TASK_ROWS).select("shard", copies))
+    task = (F.col("shard") * (1 << 24) + F.col("salt")).alias("task")
+    none = F.lit(0).cast("long")
+    heads = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"), "index").select(task, F.lit(0).alias("kind"), none.alias("h"), none.alias("f"), none.alias("d"), "index")
+    asked = lines.withColumn("shard", F.pmod("h", F.lit(shards))).join(wide, "shard", "left")
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("d"), F.coalesce("copies", F.lit(COPIES))))
+    probes = asked.select(task, F.lit(1).alias("kind"), "h", "f", "d", F.lit(None).cast(PROBES["index"].dataType).alias("index"))
     dealt = heads.union(probes).repartition("task").sortWithinPartitions("task", "kind")
     return dealt.mapInArrow(_probe, "f long, d long").groupBy("d").agg(F.collect_set("f").alias("lost"))
 

@@ -54,6 +54,27 @@ def test_perfect_hash_is_minimal():
     assert sorted(again.places(np.unique(keys)).tolist()) == list(range(made.size))
 
 
+def test_place_keys_that_meet_are_told_apart():
+    """Two lines whose hashes meet in one place key get another seed; equal keys are an error, not an endless build."""
+    f = np.array([3, 5, 11], dtype=np.int64)
+    with np.errstate(over="ignore"):
+        h = (np.uint64(77) ^ (f.view(np.uint64) * line_dedup.MIX)).view(np.int64)
+    assert len(set(line_dedup._place_keys(h, f).tolist())) == 1
+    seed, keys = line_dedup.different_keys(h, f)
+    assert seed > 0 and sorted(line_dedup.PerfectHash.build(keys).places(keys).tolist()) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        line_dedup.PerfectHash.build(np.array([9, 9], dtype=np.uint64))
+
+
+def test_line_in_every_document_is_spread(spark, monkeypatch):
+    """A frequent line's shard gets as many tasks as its rows need; results stay the same."""
+    monkeypatch.setattr(line_dedup, "TASK_ROWS", 20)
+    monkeypatch.setattr(line_dedup, "COPIES", 2)
+    given = [(i, f"the line of every document\nline of its own, {i}\nshared by a few, {i % 40}") for i in range(400)]
+    found = line_dedup.line_dedup(spark.createDataFrame(given, "doc_id long, text string").repartition(5))
+    assert rows(found, "doc_id", "n_lines", "n_dropped", "text") == by_repr(plain.line_dedup(given))
+
+
 # decontamination
 
 
