@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.functions import prints
-from corpuslens.operators import alignment, pageplaces, widening
+from corpuslens.functions import ident, prints
+from corpuslens.operators import alignment, glossary, pageplaces, widening
 from corpuslens.plans import streams
 from corpuslens.plans.base import Tables
 
@@ -328,3 +328,62 @@ def test_widened_quotes_of_documents(spark, sf_dir):
     for x in rows:
         if x["start"] is not None:
             assert texts[x["doc_id"]][x["start"] : x["end"]] == x["quote"] and occurs(texts[x["doc_id"]][:20000], x["quote"]) <= 1
+
+
+# glossaries
+
+
+def plain_places(text, terms):
+    """At each place the longest term that stands there as whole words, then on behind it."""
+    text, low = text or "", (text or "").lower()
+    wordy = lambda c: c.isalnum() or c == "_"
+    out, at = [], 0
+    while at < len(text):
+        best = None
+        for t in sorted(terms, key=len, reverse=True):
+            end = at + len(t)
+            if low.startswith(t.lower(), at) and not (at and wordy(text[at - 1]) and wordy(text[at])) and not (end < len(text) and wordy(text[end]) and wordy(text[end - 1])):
+                best = t
+                break
+        out += [(at, at + len(best), best)] if best else []
+        at += len(best) if best else 1
+    return out
+
+
+@pytest.mark.parametrize(("n", "block"), [(1, 1 << 20), (40, 1 << 20), (40, 60), (1000, 1 << 20), (1000, 2000)])
+def test_terms_in_texts(spark, n, block):
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("abé日") for _ in range(r.randint(1, 3)))
+    terms = sorted({" ".join(word() for _ in range(r.randint(1, 3))) for _ in range(n)} | ({"(x)", "a-b", "C"} if n > 1 else set()))
+    low = {}
+    for t in terms:
+        low.setdefault(t.lower(), t)
+    texts = [(i, " ".join(r.choice([word(), word().upper(), r.choice(terms), "(x)", "a-b", "c_c", "😀"]) + r.choice(["", ",", "."]) for _ in range(r.randint(0, 40)))) for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    given = spark.createDataFrame([(t, f"<{t}>") for t in [*terms, terms[0]]] + [(None, "x"), ("", "y")], "term string, replacement string")
+    want = {i: plain_places(t, low.values()) for i, t in texts}
+    found = {i: [] for i, _ in texts}
+    for x in glossary.term_places(df, given, "id", block).collect():
+        found[x["id"]].append((x["start"], x["end"], x["term"]))
+    assert {i: sorted(x) for i, x in found.items()} == want
+    done = {x["id"]: x for x in glossary.replaced(df, given, "id", block).collect()}
+    for i, t in texts:
+        new, at = "", 0
+        for a, b, term in want[i]:
+            new, at = new + t[at:a] + f"<{term}>", b
+        assert done[i]["text"] == (None if t is None else new + t[at:]) and done[i]["n"] == len(want[i])
+
+
+def test_no_terms(spark):
+    df = spark.createDataFrame([(1, "a text")], "id long, text string")
+    none = spark.createDataFrame([], "term string, replacement string")
+    assert glossary.term_places(df, none, "id").collect() == []
+    assert [tuple(x) for x in glossary.replaced(df, none, "id").collect()] == [(1, "a text", 0)]
+
+
+def test_names_become_pseudonyms(spark):
+    df = spark.createDataFrame([(1, "Ann Lee met ann, and Annie. Ann-Lee?")], "id long, text string")
+    names = spark.createDataFrame([("Ann",), ("Ann Lee",), (None,)], "name string")
+    text = glossary.pseudonymised(df, names, "id", "k").first()["text"]
+    whole, first = (spark.range(1).select(ident.pseudonym(F.lit(x), "k")).first()[0] for x in ("Ann Lee", "Ann"))
+    assert text == f"{whole} met {first}, and Annie. {first}-Lee?"
