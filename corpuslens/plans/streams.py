@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import alignment, furniture, pageplaces, widening
+from ..operators import alignment, furniture, pageplaces, speakers, widening
 from .base import Registry, Tables
 
 R = Registry()
@@ -226,3 +226,30 @@ def reference_lists(t: Tables) -> DataFrame:
     headed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("References\n\n"), entry)).when(F.col("doc_id") % 3 == 1, entry)
     rows = t.documents.select("doc_id", F.concat_ws("\n\n", F.regexp_replace("text", "\n", "\n\n"), headed).alias("text"))
     return furniture.references(rows, "doc_id")
+
+
+def _recordings(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Segments and captions made from events: a recording for each twentieth of the users, seconds from the day's begin."""
+    second = F.unix_timestamp("ts").cast("double") % 86400
+    rows = t.events.select((F.col("user_id") % 20).alias("rec"), "event_id", "event_type", second.alias("t"))
+    segments = rows.select("rec", F.col("event_type").alias("sid"), F.col("t").alias("start"), (F.col("t") + 5 + F.col("event_id") % 40).alias("end"), F.when(F.col("event_id") % 7 == 0, "so?").otherwise("yes.").alias("text"))
+    cues = rows.where("event_id % 3 = 0").select("rec", (F.col("t") + 2).alias("start"), (F.col("t") + 20).alias("end"), F.concat(F.lit("P "), F.col("event_type")).alias("speaker"))
+    return segments, cues
+
+
+@R.add("""
+with r as (select user_id % 20 as rec, event_id, event_type, cast(floor(epoch(ts)) as bigint) % 86400 as t from events),
+s as (select rec, event_type as sid, t as lo, t + 5 + event_id % 40 as hi from r), c as (select rec, 'P ' || event_type as name, t + 2 as s, t + 20 as e from r where event_id % 3 = 0)
+select rec, sid, name, cast(sum(least(hi, e) - greatest(lo, s)) as double) as seconds from s join c using (rec) where s < hi and lo < e group by 1, 2, 3""")
+def caption_votes(t: Tables) -> DataFrame:
+    return speakers.caption_votes(*_recordings(t))
+
+
+@R.add()
+def named_speakers(t: Tables) -> DataFrame:
+    """Every speaker's name by voice, captions and intake; tests hold it against a plain version."""
+    segments, cues = _recordings(t)
+    recs = t.events.select((F.col("user_id") % 20).alias("rec")).distinct()
+    known = recs.where("rec % 4 = 0").select("rec", F.lit("click").alias("sid"), F.lit("Ann").alias("name"))
+    intake = recs.where("rec % 3 = 0").select("rec", F.lit("Ann").alias("interviewer"), F.concat(F.lit("Guest "), "rec").alias("interviewee"))
+    return speakers.named_speakers(segments, cues, known, intake)

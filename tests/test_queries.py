@@ -17,7 +17,7 @@ from corpuslens import plans
 from .conftest import ROOT
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-WITHOUT_SQL = {"pseudonyms", "bootstrap_kappa", "screen_windows_overlap", "stratified_sample", "text_chunks", "model_parts"} | {"word_errors", "word_changes", "engine_disputes", "correction_guard", "page_places", "page_maps", "widened_quotes", "sentence_quotes", "forum_quotes", "cell_units", "reference_lists", "pseudonymised"}
+WITHOUT_SQL = {"pseudonyms", "bootstrap_kappa", "screen_windows_overlap", "stratified_sample", "text_chunks", "model_parts"} | {"word_errors", "word_changes", "engine_disputes", "correction_guard", "page_places", "page_maps", "widened_quotes", "sentence_quotes", "forum_quotes", "cell_units", "reference_lists", "pseudonymised", "named_speakers"}
 
 
 def plain(v):

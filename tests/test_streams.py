@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import ident, prints
-from corpuslens.operators import alignment, glossary, pageplaces, widening
+from corpuslens.operators import alignment, glossary, pageplaces, speakers, widening
 from corpuslens.plans import streams
 from corpuslens.plans.base import Tables
 
@@ -387,3 +387,97 @@ def test_names_become_pseudonyms(spark):
     text = glossary.pseudonymised(df, names, "id", "k").first()["text"]
     whole, first = (spark.range(1).select(ident.pseudonym(F.lit(x), "k")).first()[0] for x in ("Ann Lee", "Ann"))
     assert text == f"{whole} met {first}, and Annie. {first}-Lee?"
+
+
+# recordings
+
+
+def plain_names(segments, cues, known, intake):
+    """{sid: (name, how)} of one recording."""
+    talk, since, said = {}, {}, {}
+    for sid, a, b, text in segments:
+        talk[sid] = talk.get(sid, 0) + b - a
+        since[sid] = min(since.get(sid, a), a)
+        said.setdefault(sid, []).append(text.rstrip().endswith("?"))
+    out = {s: (known[s], "voice") for s in talk if known.get(s)}
+    for sid in sorted(talk, key=lambda s: (since[s], s)):
+        votes = {}
+        for s, a, b, _ in segments:
+            for c, d, name in cues:
+                if s == sid and name and c < b and a < d:
+                    votes[name] = votes.get(name, 0) + min(b, d) - max(a, c)
+        if sid not in out and votes:
+            name = max(votes, key=lambda n: (votes[n], n))
+            if votes[name] >= 0.6 * sum(votes.values()) and name not in [n for n, _ in out.values()]:
+                out[sid] = (name, "caption")
+    open_ = [s for s in sorted(talk, key=lambda s: (-talk[s], s)) if s not in out and talk[s] >= 0.08 * sum(talk.values())]
+    free = [n for n in intake if n and n not in [x for x, _ in out.values()]]
+    if len(free) == 2 and len(open_) >= 2:
+        rate = [sum(said[s]) / len(said[s]) for s in open_[:2]]
+        order = open_[:2] if rate[0] >= rate[1] else open_[1::-1]
+        out |= {s: (n, "intake") for s, n in zip(order, free, strict=True)}
+    elif len(free) == 1 and open_:
+        out[open_[0]] = (free[0], "intake")
+    rest = [s for s in sorted(talk, key=lambda s: (since[s], s)) if s not in out]
+    return out | {s: (f"Speaker {i}", "unnamed") for i, s in enumerate(rest, 1)}
+
+
+def test_speakers_by_captions_and_intake(spark):
+    """Many small recordings, ties of times and names, speakers who share a caption, one long recording over many buckets."""
+    r = random.Random(12)
+    data = {}
+    for rec in range(40):
+        n = 400 if rec == 0 else r.randint(1, 14)
+        segments = [(r.choice("abcde"), a := r.randint(0, 60 * (20 if rec == 0 else 1)), a + r.randint(1, 30), r.choice(["so?", "yes.", "no? "])) for _ in range(n)]
+        cues = [(a := r.randint(0, 80), a + r.randint(0, 25), r.choice(["Ann", "Bo", "Cy", "", None])) for _ in range(r.choice([0, 3, n]))]
+        data[rec] = (segments, cues, {s: r.choice(["Ann", "Dee", ""]) for s in r.sample("abcde", r.choice([0, 0, 1]))}, (r.choice(["Ann", "Ina", "", None]), r.choice(["Eve", None])))
+    frame = lambda rows, shape: spark.createDataFrame(rows, shape).repartition(3)
+    segments = frame([(k, *s) for k, d in data.items() for s in d[0]], "rec int, sid string, start int, end int, text string")
+    cues = frame([(k, *c) for k, d in data.items() for c in d[1]], "rec int, start int, end int, speaker string")
+    known = frame([(k, s, n) for k, d in data.items() for s, n in d[2].items()], "rec int, sid string, name string")
+    intake = frame([(k, *d[3]) for k, d in data.items()], "rec int, interviewer string, interviewee string")
+    found = {}
+    for x in speakers.named_speakers(segments, cues, known, intake).collect():
+        found.setdefault(x["rec"], {})[x["sid"]] = (x["name"], x["how"])
+    for k, d in data.items():
+        assert found[k] == plain_names(*d), k
+
+
+def test_words_of_captions(spark):
+    cues = spark.createDataFrame([("r", 1, 1.0, 2.0, "one  two three", "Ann"), ("r", 2, 2.0, 3.0, " ", None), ("r", 3, 3.0, 3.0, "x", None)], "rec string, cue int, start double, end double, text string, speaker string")
+    found = [tuple(x)[1:6] for x in speakers.cue_words(cues).orderBy("cue", "n").collect()]
+    assert found == [(1, 0, "one", 1.0, 1.33), (1, 1, "two", 1.33, 1.67), (1, 2, "three", 1.67, 2.0), (3, 0, "x", 3.0, 3.0)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_cuts_of_long_segments(seed):
+    """Each piece is as long as the rule lets it: tried word by word."""
+    r = random.Random(seed)
+    for _ in range(60):
+        t, words = 0.0, []
+        for _ in range(r.randint(0, 60)):
+            t += r.choice([0, 0, 0.5, 1.5])
+            length = r.choice([0.3, 1, 2, 40 if r.random() < 0.05 else 1])
+            words.append((r.choice(["a", "b", "c.", "d,"]) if r.random() < 0.4 else "w", t, t + length))
+            t += length
+        want, a = [], 0
+        while True:
+            b = next((i for i in range(a, len(words)) if words[i][2] - words[a][1] > 15), None) if a < len(words) else None
+            if b is None:
+                break
+            b = max(b, a + 1)
+            if b >= len(words):
+                break
+            late = [i for i in range(a + 1, b) if words[i - 1][2] - words[a][1] >= 8]
+            ends = [i for i in late if words[i - 1][0][-1] in ".,;?!"]
+            a = ends[-1] if ends else max(late, key=lambda i: (words[i][1] - words[i - 1][2], i)) if late else b
+            want.append(a)
+        got = speakers.cut_places([w for w, _, _ in words], np.array([s for _, s, _ in words]), np.array([e for _, _, e in words])) if words else []
+        assert got == want
+
+
+def test_split_segments(spark):
+    rows = [("r", s, i, f"w{i}" + ("." if i == 10 else ""), float(i), i + 0.9) for s in (1, 2) for i in range(20 if s == 1 else 45)]
+    found = speakers.split_segments(spark.createDataFrame(rows, "rec string, seg int, n int, word string, start double, end double")).orderBy("seg", "piece").collect()
+    assert [(x["seg"], x["piece"], x["first"], x["last"]) for x in found] == [(1, 0, 0, 10), (1, 1, 11, 19), (2, 0, 0, 10), (2, 1, 11, 24), (2, 2, 25, 38), (2, 3, 39, 44)]
+    assert found[0]["text"].split()[-1] == "w10." and (found[3]["start"], found[3]["end"]) == (11.0, 24.9)
