@@ -32,14 +32,12 @@ def joined_export(units: DataFrame, key: str, links: DataFrame, coded: DataFrame
 
 
 def where_in(rows: DataFrame, column: str, values: DataFrame, value: str, negate: bool = False) -> DataFrame:
-    """Rows one of whose listed cells is (or none is) among the values."""
+    """Rows one of whose listed cells is (or none is) among the values. Each different cell is split once and stands for its rows."""
     known = values.select(F.explode(list_cell(F.col(value).cast("string"))).alias("__v")).distinct()
-    one = rows.where(F.coalesce(F.col(column).cast("string"), F.lit("")).contains(";")).limit(1)
-    if one.isEmpty():
-        return rows.join(known, F.btrim(F.col(column).cast("string")) == F.col("__v"), "left_anti" if negate else "left_semi")
-    keyed = rows.withColumn("__r", F.monotonically_increasing_id())
-    hit = keyed.select("__r", F.explode(list_cell(F.col(column).cast("string"))).alias("__v")).join(known, "__v", "left_semi").select("__r").distinct()
-    return keyed.join(hit, "__r", "left_anti" if negate else "left_semi").drop("__r")
+    cell = F.col(column).cast("string")
+    cells = rows.select(cell.alias("__c")).distinct().select("__c", F.explode(list_cell(F.col("__c"))).alias("__v"))
+    hit = cells.join(known, "__v", "left_semi").select("__c").distinct()
+    return rows.join(hit, cell == F.col("__c"), "left_anti" if negate else "left_semi")
 
 
 def unit_rows(parts: list[DataFrame], key: str) -> DataFrame:

@@ -43,13 +43,15 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A CSV table whose cells are all strings, null for none: headers, quotes doubled, line feeds inside cells; a byte-order mark goes."""
+    """A CSV table whose cells are all strings, null for none: headers, quotes doubled, line feeds inside cells; a byte-order mark goes. As cells may
+    hold line feeds a file can't be split: each is one task's work, so large tables come as folders of files."""
     df = spark.read.csv(path, header=True, sep=sep, multiLine=True, quote='"', escape='"', inferSchema=False, emptyValue="")
     return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
 
 
 def sniffed(spark: SparkSession, path: str, lines: int = 20) -> str:
-    """The delimiter of a text table: of comma, tab, semicolon and bar the one that stands equally often, and most often, in its first lines."""
+    """The delimiter of a text table: of comma, tab, semicolon and bar the one that stands equally often, and most often, in its first lines (of
+    the first file, if path is a folder)."""
     head = [r[0] for r in spark.read.text(path).limit(lines).collect() if r[0].strip()]
     counts = {d: [_outside_quotes(x).count(d) for x in head] for d in (",", "\t", ";", "|")}
     even = {d: n[0] for d, n in counts.items() if n and n[0] and len(set(n)) == 1}
