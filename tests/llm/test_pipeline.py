@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,9 +90,11 @@ def test_language_stage_follows_the_prediction(spark, sf_dir, monkeypatch):
 
 
 def test_language_stage_rejects_misfiled_texts(spark, sf_dir):
-    """Of a corpus in two alphabets' words, the few texts filed under the other language go, all others stay."""
-    words = {"aa": "lorem ipsum dolor sit amet".split(), "bb": "zug wagen strasse brücke über".split()}
-    rows = [(i, " ".join(words[x][(i * 7 + k * k) % 5] for k in range(40)), x) for i, x in enumerate(["aa", "bb"] * 150)]
-    rows += [(1000 + i, rows[i][1] + " x", "bb" if rows[i][2] == "aa" else "aa") for i in range(6)]
+    """Of a corpus in two vocabularies, the few texts filed under the other language go, all others stay."""
+    r = random.Random(1)
+    words = {"aa": "lorem ipsum dolor sit amet".split(), "bb": "zug wagen strasse br\u00fccke \u00fcber".split()}
+    text = lambda lang: " ".join(r.choice(words[lang]) for _ in range(40))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["aa", "bb"] * 150)]
+    rows += [(1000 + i, text("aa"), "bb") for i in range(3)] + [(2000 + i, text("bb"), "aa") for i in range(3)]
     out = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), sf_dir)
     assert sorted(r["doc_id"] for r in out.collect()) == list(range(300))
