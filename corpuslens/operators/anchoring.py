@@ -86,7 +86,7 @@ def hits(texts: DataFrame, quotes: DataFrame, key: str = "doc_id") -> DataFrame:
     """texts joined with the quotes (quote_id, quote) that stand in them; the text itself decides.
 
     Quotations of SURE code points or more meet texts by a run of code points that both have chosen, shorter ones by an automaton; no text is
-    held against every quotation. A text meets its candidates as a list, CANDIDATES at a time, so that it is copied for its hits only."""
+    held against every quotation. A text meets its candidates as a list, CANDIDATES at a time, so that it is shuffled once for them all."""
     given = quotes.where("quote <> ''").select("quote_id", "quote")
     size = F.char_length("quote")
     pairs = _long_pairs(texts, given.where(size >= SURE), key)
@@ -95,8 +95,9 @@ def hits(texts: DataFrame, quotes: DataFrame, key: str = "doc_id") -> DataFrame:
     many = pairs.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > CANDIDATES).select("k", F.ceil(F.col("n") / CANDIDATES).alias("blocks"))
     block = F.pmod(F.xxhash64("quote_id"), F.coalesce("blocks", F.lit(1)))
     lists = pairs.join(given, "quote_id").join(many, "k", "left").groupBy(F.col("k").alias(key), block.alias("b")).agg(F.collect_list(F.struct("quote_id", "quote")).alias("q")).drop("b")
-    met = texts.join(lists, key).withColumn("q", F.filter("q", lambda x: F.contains(F.col("text"), x["quote"])))
-    return met.where(F.size("q") > 0).select(*texts.columns, F.explode("q").alias("q")).select(*texts.columns, "q.quote_id", "q.quote")
+    # candidates are unfolded before the text decides: a condition on both sides' columns inside a lambda can't be bound in a sort-merge join
+    met = texts.join(lists, key).select(*texts.columns, F.explode("q").alias("q")).select(*texts.columns, "q.quote_id", "q.quote")
+    return met.where(F.contains(F.col("text"), F.col("quote")))
 
 
 def anchor(texts: DataFrame, candidates: DataFrame, normalize: bool = False) -> DataFrame:

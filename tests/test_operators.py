@@ -301,3 +301,18 @@ def test_captions(spark):
     text = "WEBVTT\n\n1\n00:00:01.000 --> 00:00:02.500 align:start\nAnn B: <i>Hello</i>\nthere\n\n00:03,500 --> 00:04,000\nno name\n\n00:05 --> 00:06\n\n00:07 --> 00:08\nat 10:30: now"
     found = files.captions(spark.createDataFrame([(1, text)], "id int, text string"), "id").orderBy("start").collect()
     assert [tuple(r)[2:] for r in found] == [(1.0, 2.5, "Ann B", "Hello there"), (3.5, 4.0, None, "no name"), (7.0, 8.0, None, "at 10:30: now")]
+
+
+def test_hits_decide_behind_a_sort_merge_join(spark):
+    """Where neither side is small enough for a broadcast, the text still decides."""
+    texts = spark.createDataFrame([(1, "a passage of some length, twice: a passage of some length"), (2, "nothing"), (3, None)], "doc_id int, text string")
+    quotes = spark.createDataFrame([(1, "passage of some length"), (2, "no passage of such a length"), (3, "thing")], "quote_id int, quote string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = anchoring.hits(texts, quotes)
+        assert "SortMergeJoin" in found._jdf.queryExecution().toString()
+        start = F.instr("text", F.col("quote")) - 1
+        assert sorted(map(tuple, found.select("doc_id", "quote_id", start).collect())) == [(1, 1, 2), (2, 3, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
