@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import bounded_batches, shared_dir  # noqa: F401
 
 #: Stands for a null id inside the operators: the largest, so a null is never the smallest id of a group of others.
 NULL_ID = (1 << 63) - 1
@@ -31,12 +31,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows and bytes: texts may be long, and each worker holds a batch or two."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-
-
 def fresh(columns: list[str], name: str) -> str:
     """name, with underscores before it until no column has it (Spark's names ignore case)."""
     taken = {c.lower() for c in columns}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.ident import char_range_json, mint_ext_id
 from ..functions.prints import SURE, chosen
-from ..sources.shared import checkpointed
+from ..sources.shared import bounded_batches, checkpointed
 
 #: Short quotations that one pass over the texts looks for, and the candidates of a text that one row holds.
 TOGETHER, CANDIDATES = 50_000, 2_000
@@ -87,6 +87,7 @@ def hits(texts: DataFrame, quotes: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Quotations of SURE code points or more meet texts by a run of code points that both have chosen, shorter ones by an automaton; no text is
     held against every quotation. A text meets its candidates as a list, CANDIDATES at a time, so that it is shuffled once for them all."""
+    bounded_batches(texts.sparkSession)
     given = quotes.where("quote <> ''").select("quote_id", "quote")
     size = F.char_length("quote")
     pairs = _long_pairs(texts, given.where(size >= SURE), key)

@@ -316,3 +316,9 @@ def test_hits_decide_behind_a_sort_merge_join(spark):
         assert sorted(map(tuple, found.select("doc_id", "quote_id", start).collect())) == [(1, 1, 2), (2, 3, 2)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    anchoring.hits(spark.createDataFrame([(1, "x" * 20)], "doc_id int, text string"), spark.createDataFrame([(1, "x" * 17)], "quote_id int, quote string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
