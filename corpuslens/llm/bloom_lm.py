@@ -24,8 +24,8 @@ are separate rows. Extra columns are ignored. An empty table gives no rows; with
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, binary, bounded_batches, column, fold, id_key, ints, slices, typed, whole_groups, written
+from .common import NULL_ID, binary, bounded_batches, column, fold, id_key, ints, slices, typed, written
 
 #: Text whose words and bigrams one segment counts, the least number of segments, and text of a slice.
 SHARD_BYTES = 32 << 20
@@ -46,6 +46,8 @@ SLICE_BYTES = 4 << 20
 SPARE_BITS = 10
 LEAST_BITS = 40
 LEVEL_BITS = 16
+#: Keys that go into a filter at once.
+TOGETHER = 1 << 18
 PROBES = 4
 BASE = 1.5
 GROWTH = 0.7
@@ -79,22 +81,37 @@ class Tokens:
     text's first) and of both in the sorted different hashes words and pairs; last: each text's end token."""
 
     def __init__(self, texts: list[bytes], key_bits: int = 64) -> None:
-        found = [words_of(x) for x in texts]
-        size = np.array([len(x) for x in found], dtype=np.int64)
-        self.last = np.cumsum(size + 1) - 1
-        self.first = self.last - size
         numbers = Numbers({END: 0})
-        ids = np.zeros(int(size.sum()) + len(texts), dtype=np.int64)
-        inner = np.ones(len(ids), dtype=bool)
-        inner[self.last] = False
-        ids[inner] = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), np.int64, int(size.sum()))
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], dtype=np.uint64) >> np.uint64(64 - key_bits)
+        ids, size = array("i"), []
+        for x in texts:
+            before = len(ids)
+            ids.extend(map(numbers.__getitem__, words_of(x)))
+            ids.append(0)
+            size.append(len(ids) - before)
+        self.last = np.cumsum(np.array(size, dtype=np.int64)) - 1
+        self.first = self.last + 1 - np.array(size, dtype=np.int64)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers)) >> np.uint64(64 - key_bits)
+        del numbers
         self.words, place = np.unique(hashes, return_inverse=True)
-        self.word = place[ids]
+        self.word = place.astype(np.int32)[np.frombuffer(ids, dtype=np.int32)]
+        del ids
         self.before = np.concatenate([self.word[-1:], self.word[:-1]])
         with np.errstate(over="ignore"):
-            keys = mixed(self.words[self.before] * SPREAD + self.words[self.word]) >> np.uint64(64 - key_bits)
-        self.pairs, self.pair = np.unique(keys, return_inverse=True)
+            keys = self.words[self.before]
+            keys *= SPREAD
+            keys += self.words[self.word]
+        self.pairs, self.pair = placed(mixed(keys) >> np.uint64(64 - key_bits))
+
+
+def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted different keys, and of each key its place among them."""
+    order = np.argsort(keys, kind="stable").astype(np.int32)
+    keys = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    at = np.empty(len(keys), dtype=np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], at
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -150,6 +167,7 @@ def read_slices(batches: Iterator[pa.RecordBatch], key_bits: int) -> Iterator[tu
             t = Tokens([x.as_py() for x in column(batch, "texts")[i].values], key_bits)
             held = np.array(column(batch, "held")[i].as_py(), dtype=bool)
             yield column(batch, "slice")[i].as_py(), t, np.repeat(~held, t.last - t.first + 1)
+            del t  # before the next slice's are made
 
 
 #: What of a segment a row is: its words with their counts, its filter, or what a slice asks of either.
@@ -168,6 +186,7 @@ def training_counts(rows: DataFrame, bits: int, key_bits: int) -> DataFrame:
                 out = [(shard, kind, steps(keys[own]), packed(n[own])) for shard, own in runs(keys, bits, key_bits)]
                 if out:
                     yield typed(list(zip(*out, strict=True)), COUNTED)
+            del t, train, keys, n, at, out
 
     return rows.select("slice", "held", "texts").mapInArrow(run, "shard long, kind byte, keys binary, n binary")
 
@@ -187,11 +206,12 @@ class Filter:
     def __init__(self, keys: np.ndarray, level: np.ndarray, level_bits: int = LEVEL_BITS) -> None:
         self.bits = max(64, int(level.sum()) * level_bits)
         self.top = int(level.max(initial=0))
-        on = np.zeros(-(-self.bits // 8) * 8, dtype=np.uint8)
-        for j in range(1, self.top + 1):
-            for place in self.places(keys[level >= j], j):
-                on[place] = 1
-        self.data = np.packbits(on, bitorder="little")
+        self.data = np.zeros(-(-self.bits // 8), dtype=np.uint8)
+        for at in range(0, len(keys), TOGETHER):
+            own, high = keys[at : at + TOGETHER], level[at : at + TOGETHER]
+            for j in range(1, int(high.max()) + 1):
+                for place in self.places(own[high >= j], j):
+                    np.bitwise_or.at(self.data, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
 
     def places(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
         with np.errstate(over="ignore"):
@@ -227,25 +247,49 @@ MODEL = [("shard", pa.int64()), ("kind", pa.int8()), ("keys", pa.binary()), ("da
 MODEL_SCHEMA = "shard long, kind byte, keys binary, data binary, n long, v long, once long, twice long"
 
 
+def added_up(keys: list[np.ndarray], n: list[np.ndarray], part: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted different keys of sorted arrays and their counts added up, a range of about `part` keys at a time: sorting takes several
+    times the memory of what it sorts."""
+    parts = max(1, sum(map(len, keys)) // part)
+    low, high = int(min(k[0] for k in keys)), int(max(k[-1] for k in keys)) + 1
+    bounds = np.array([low + (high - low) * p // parts for p in range(1, parts)], dtype=np.uint64)
+    cuts = [[0, *np.searchsorted(k, bounds).tolist(), len(k)] for k in keys]
+    found, sums = [], []
+    for p in range(parts):
+        own = np.concatenate([k[c[p] : c[p + 1]] for k, c in zip(keys, cuts, strict=True)])
+        if len(own):
+            different, at = placed(own)
+            weights = np.concatenate([m[c[p] : c[p + 1]] for m, c in zip(n, cuts, strict=True)])
+            found.append(different)
+            sums.append(np.bincount(at, weights=weights, minlength=len(different)).astype(np.int64))
+    return np.concatenate(found), np.concatenate(sums)
+
+
 def segments(counts: DataFrame, level_bits: int) -> DataFrame:
     """The model: for each segment a row of its words (keys; data: their counts; its tokens, different words, words seen once and twice) and
     a row of its bigrams (no keys; data: the filter)."""
 
+    def made(shard: int, kind: int, keys: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = added_up(keys, n)
+        if kind == WORDS:
+            row = [shard, kind, steps(keys), packed(n), int(n.sum()), len(n), int((n == 1).sum()), int((n == 2).sum())]
+        else:
+            row = [shard, kind, None, Filter(keys, levels(n), level_bits).to_bytes(), 0, 0, 0, 0]
+        return typed([[x] for x in row], MODEL)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "shard"):
-            label = group["shard"].to_numpy() * 2 + group["kind"].to_numpy()
-            cuts = np.flatnonzero(np.diff(label, prepend=-1, append=-1))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                own = group.slice(a, b - a)
-                every = np.concatenate([from_steps(x) for x in own["keys"].to_pylist()])
-                keys, at = np.unique(every, return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([unpacked(x, "u4") for x in own["n"].to_pylist()]), minlength=len(keys)).astype(np.int64)
-                shard, kind = divmod(int(label[a]), 2)
-                if kind == WORDS:
-                    row = [shard, kind, steps(keys), packed(n), int(n.sum()), len(n), int((n == 1).sum()), int((n == 2).sum())]
-                else:
-                    row = [shard, kind, None, Filter(keys, levels(n), level_bits).to_bytes(), 0, 0, 0, 0]
-                yield typed([[x] for x in row], MODEL)
+        label, keys, n = None, [], []
+        for batch in batches:
+            for shard, kind, k, m in zip(*(column(batch, x) for x, _ in COUNTED), strict=True):
+                now = (shard.as_py(), kind.as_py())
+                if keys and now != label:
+                    yield made(*label, keys, n)
+                    keys, n = [], []
+                label = now
+                keys.append(from_steps(k.as_py()))
+                n.append(unpacked(m.as_py(), "u4"))
+        if keys:
+            yield made(*label, keys, n)
 
     return counts.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, MODEL_SCHEMA)
 
@@ -265,6 +309,7 @@ def answered(rows: DataFrame, model: Model) -> DataFrame:
             for kind, keys in ((WORDS, t.words), (PAIRS, t.pairs)):
                 out = [(shard, kind, name, steps(keys[own]), None) for shard, own in runs(keys, bits, key_bits)]
                 yield typed(list(zip(*out, strict=True)), ASKED)
+            del t, keys, out
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, known, counts, filter_ = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), None
@@ -342,6 +387,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
                     p = probabilities(seen[t.pair], c[t.before].astype(float), word_probabilities(c, n, v, once, twice)[t.word])
                     score = np.add.reduceat(np.log10(p), t.first)
                 yield typed([column(batch, "d")[i].values, column(batch, "held")[i].values, t.last - t.first + 1, known, base, score], SCORES)
+                t = told = c = seen = p = None  # before the next slice's are made
 
     told = answered(rows, model).groupBy("slice").agg(F.collect_list(F.struct("kind", "shard", "told")).alias("told"))
     joined = rows.join(told, "slice").select("d", "held", "texts", "told")
@@ -352,5 +398,6 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
 def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, level_bits: int = LEVEL_BITS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; level_bits: the filter's bits for each level."""
     bounded_batches(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))  # a slice or so at a time
     rows = in_slices(docs, folds, held)
     return scored(rows, fitted(rows, level_bits))

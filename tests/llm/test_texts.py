@@ -560,3 +560,41 @@ def test_both_encoders_class_every_character_alike():
 def test_packing_long_white_space_rows(spark):
     given = [(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "one <|endoftext|> two"), (4, "a" + " " * 5_000_000 + "b")]
     check_packing(given, packing.pack(spark.createDataFrame(given, "doc_id long, text string")).collect())
+
+
+def test_a_segment_takes_little_more_than_its_keys():
+    """Counts added up and a filter made in parts: the same as at once, within a few times the bytes of keys and counts."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    keys = [np.unique(r.integers(1 << 30, 1 << 36, 50_000).astype(np.uint64) >> np.uint64(14)) for _ in range(40)]
+    n = [r.integers(1, 9, len(k)).astype(np.uint32) for k in keys]
+    tracemalloc.start()
+    found, sums = bloom_lm.added_up(keys, n)
+    level = bloom_lm.levels(sums)
+    filled = bloom_lm.Filter(found, level)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    assert (found == every).all()
+    assert (sums == np.bincount(at, weights=np.concatenate(n))).all()
+    assert peak < 4 * sum(k.nbytes + m.nbytes for k, m in zip(keys, n, strict=True))
+    on = np.zeros(len(filled.data) * 8, dtype=np.uint8)
+    for j in range(1, filled.top + 1):
+        for place in filled.places(found[level >= j], j):
+            on[place] = 1
+    assert (np.packbits(on, bitorder="little") == filled.data).all()
+
+
+def test_a_slice_takes_little_more_than_its_text():
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.3, 2_000) % 30_000).encode() for _ in range(200)]
+    tracemalloc.start()
+    t = bloom_lm.Tokens(texts, 43)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(t.word) == 200 * 2_001
+    assert [len(x) for x in (t.first, t.last)] == [200, 200]
+    assert peak < 60 * len(t.word)
