@@ -9,16 +9,16 @@ aligned on their own."""
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..sources.shared import checkpointed
+from ..sources.shared import bounded_batches, checkpointed
 
 #: Anchors of a pair that are looked at, at most (those of the smallest hashes), so that a pair's chain fits into one task at any length.
 ANCHORS = 1 << 20
@@ -131,13 +131,48 @@ def chain_of(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [anchors[i] for i in increasing([y for _, y in anchors])]
 
 
+def in_both_orders(at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest chain of anchors that are in the order of `at`; where they are in both orders that is all of them."""
+    if (to[1:] > to[:-1]).all():
+        return at, to
+    kept = increasing(to.tolist())
+    return at[kept], to[kept]
+
+
 def whole_differences(a: list[str], b: list[str]) -> list[tuple]:
     """The differences of two streams that fit into one task."""
-    one_a, one_b = Counter(a), Counter(b)
-    place = {w: i for i, w in enumerate(b) if one_b[w] == 1}
-    cuts = [(0, 0), *chain_of([(i, place[w]) for i, w in enumerate(a) if one_a[w] == 1 and w in place]), (len(a), len(b))]
-    a, b = list(enumerate(a)), list(enumerate(b))
-    return [x for (i, j), (k, m) in zip(cuts, cuts[1:], strict=False) for x in differences_of(a[i:k], b[j:m])]
+    both = pa.array([*a, *b], pa.string()).dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return numbered_differences(both[: len(a)], both[len(a) :], a.__getitem__, b.__getitem__)
+
+
+def numbered_differences(a: np.ndarray, b: np.ndarray, ours: Callable, theirs: Callable) -> list[tuple]:
+    """The differences of two streams of words' numbers; ours and theirs name the words of a place or of a slice of places. Pieces that are the
+    same in both are passed over at once: they have no differences."""
+    top = int(max(a.max(initial=-1), b.max(initial=-1))) + 1
+    once = (np.bincount(a, minlength=top) == 1) & (np.bincount(b, minlength=top) == 1)
+    place = np.zeros(top, dtype=np.int64)
+    place[b] = np.arange(len(b))
+    at = np.flatnonzero(once[a])
+    at, to = in_both_orders(at, place[a[at]])
+    low_a, low_b = np.concatenate([[0], at]), np.concatenate([[0], to])
+    high_a, high_b = np.concatenate([at, [len(a)]]), np.concatenate([to, [len(b)]])
+    piece = np.repeat(np.arange(len(low_a)), high_a - low_a)
+    other = np.arange(len(a)) + (low_b - low_a)[piece]
+    same = (high_a - low_a) == (high_b - low_b)
+    wrong = ~same[piece]
+    wrong[~wrong] = a[~wrong] != b[other[~wrong]]
+    out = []
+    for p in np.flatnonzero(~same | (np.bincount(piece[wrong], minlength=len(low_a)) > 0)).tolist():
+        i, k, j, m = int(low_a[p]), int(high_a[p]), int(low_b[p]), int(high_b[p])
+        x, y = a[i:k].tolist(), b[j:m].tolist()
+        u = v = 0
+        for s, t in [*shared_walk(x, y), (len(x), len(y))]:
+            if s > u or t > v:
+                tag = "replace" if s > u and t > v else "delete" if s > u else "insert"
+                ends = [(i + u, i + s - 1) if s > u else (None, None), (j + v, j + t - 1) if t > v else (None, None)]
+                out.append((tag, *ends[0], *ends[1], s - u, t - v, ours(slice(i + u, i + s)), theirs(slice(j + v, j + t))))
+            u, v = s + 1, t + 1
+    return out
 
 
 def _batch(key: pa.Array, rows: list[list[tuple]], name: str) -> pa.RecordBatch:
@@ -148,19 +183,27 @@ def _batch(key: pa.Array, rows: list[list[tuple]], name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([key.take(at), *columns], [name, *_NAMES])
 
 
-def differences(pairs: DataFrame, key: str, together: int = TOGETHER) -> DataFrame:
+def differences(pairs: DataFrame, key: str, together: int = TOGETHER, written: bool = False) -> DataFrame:
     """(key, tag, a_from, a_to, b_from, b_to, n_a, n_b, ours, theirs) of pairs (key, a, b) of word lists, one row for each key: a row for each
     difference with the first and last place of either side (null where it has none). A null list is an empty one. Pairs of up to
-    `together` words are aligned where they lie; longer ones are exploded into words and aligned by pieces."""
+    `together` words are aligned where they lie; longer ones are exploded into words and aligned by pieces. written: pairs is a table already."""
     kind = pairs.schema[key].dataType.simpleString()
     size = F.coalesce(F.size("a"), F.lit(0)) + F.coalesce(F.size("b"), F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sides = [(batch.column(k), batch.column(k).offsets.to_numpy()) for k in (1, 2)]
+            found = []
             for i in range(batch.num_rows):
-                a, b = (batch.column(k)[i].as_py() or [] for k in (1, 2))
-                yield _batch(batch.column(0).slice(i, 1), [whole_differences(a, b)], key)
-
+                a, b = (own.values[int(at[i]) : int(at[i + 1])] if own[i].is_valid else own.values[:0] for own, at in sides)
+                both = pa.concat_arrays([a, b]).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                found.append(numbered_differences(both[: len(a)], both[len(a) :], *(lambda s, x=x: x[s].to_pylist() for x in (a, b))))
+            if found:
+                yield _batch(batch.column(0), found, key)
+
+    bounded_batches(pairs.sparkSession)
+    # both kinds of pairs are cut from one written table, so that the lists are made once
+    pairs = pairs if written else checkpointed(pairs.select(key, "a", "b"))
     small = pairs.where(size <= together).select(key, "a", "b").mapInArrow(run, f"{key} {kind}, {DIFFERENCE}")
     long = pairs.where(size > together)
     if long.isEmpty():
@@ -226,14 +269,15 @@ def stream_differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """A text's words between white space; a null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "\\s+"), "")
 
 
 def error_rates(pairs: DataFrame, key: str, **how) -> DataFrame:
     """(key, n, substituted, deleted, inserted, rate) of pairs (key, a, b): a the reference's words, b those heard. Of a difference as many words
     are substituted as both sides have; the rate is of a's words, or of one where a has none."""
     a, b = F.col("n_a"), F.col("n_b")
-    found = differences(pairs, key, **how).groupBy(key).agg(F.sum(F.least(a, b)).alias("substituted"), F.sum(F.greatest(a - b, F.lit(0))).alias("deleted"), F.sum(F.greatest(b - a, F.lit(0))).alias("inserted"))
+    pairs = checkpointed(pairs.select(key, "a", "b"))
+    found = differences(pairs, key, written=True, **how).groupBy(key).agg(F.sum(F.least(a, b)).alias("substituted"), F.sum(F.greatest(a - b, F.lit(0))).alias("deleted"), F.sum(F.greatest(b - a, F.lit(0))).alias("inserted"))
     all_ = pairs.select(key, F.coalesce(F.size("a"), F.lit(0)).cast("long").alias("n"))
     out = all_.join(found, key, "left").na.fill(0, ["substituted", "deleted", "inserted"])
     wrong = F.col("substituted") + F.col("deleted") + F.col("inserted")

@@ -481,3 +481,17 @@ def test_split_segments(spark):
     found = speakers.split_segments(spark.createDataFrame(rows, "rec string, seg int, n int, word string, start double, end double")).orderBy("seg", "piece").collect()
     assert [(x["seg"], x["piece"], x["first"], x["last"]) for x in found] == [(1, 0, 0, 10), (1, 1, 11, 19), (2, 0, 0, 10), (2, 1, 11, 24), (2, 2, 25, 38), (2, 3, 39, 44)]
     assert found[0]["text"].split()[-1] == "w10." and (found[3]["start"], found[3]["end"]) == (11.0, 24.9)
+
+
+def test_equal_pieces_are_passed_over(monkeypatch):
+    """Only the pieces that differ are walked through, and the differences are those of the walk through all."""
+    from corpuslens.operators import alignment
+
+    a = [f"w{i}" for i in range(2000)]
+    b = [*a[:700], "um", *a[700:1200], *a[1201:]]
+    walked, walk = [], alignment.shared_walk
+    monkeypatch.setattr(alignment, "shared_walk", lambda x, y: walked.append(len(x)) or walk(x, y))
+    found = alignment.whole_differences(a, b)
+    assert [x[:7] for x in found] == [("insert", None, None, 700, 700, 0, 1), ("delete", 1200, 1200, None, None, 1, 0)]
+    assert [x[7:] for x in found] == [([], ["um"]), (["w1200"], [])]
+    assert len(walked) == 2
