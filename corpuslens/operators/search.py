@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.text import context
 
 
+#: Vectors that meet a block of queries at once: a worker holds a few numbers for each pair of them.
+ROWS = 500
+
+
 def term_score(text: Column, terms: list[str]) -> Column:
     low = F.lower(text)
     return sum((F.contains(low, F.lit(t.lower())).cast("int") for t in terms), F.lit(0))
@@ -40,6 +44,20 @@ def centroid(vectors: DataFrame, column: str = "embedding") -> list[float]:
     return [r["m"] for r in sorted(rows, key=lambda r: r["i"])]
 
 
+def nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, mean: np.ndarray, k: int) -> list[pa.Array]:
+    """Query, id and score of the k best of each query (ids; q: of length 1) among the vectors (id, embedding) that stream by."""
+    best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, dtype=np.int64)
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) - mean
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        s = np.concatenate([best_s, q @ x.T], axis=1)
+        i = np.concatenate([best_i, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], axis=1)
+        order = np.lexsort((i, -s), axis=1)[:, :k]
+        best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+    keep = best_i >= 0
+    return [pa.array(np.repeat(ids, keep.sum(axis=1))), pa.array(best_i[keep]), pa.array(best_s[keep])]
+
+
 def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", block: int = 1024) -> DataFrame:
     """(query_id, key, rank, score): of every query (query_id, embedding) the k nearest vectors by cosine after the vectors' mean is taken off.
 
@@ -58,19 +76,7 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "ve
         shared = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, dtype=np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) - mean
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = np.concatenate([best_s, q @ x.T], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            keep = best_i >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(axis=1))), pa.array(best_i[keep]), pa.array(best_s[keep])], ["query_id", key, "score"])
+            yield pa.RecordBatch.from_arrays(nearest(batches, *shared.value, mean, k), ["query_id", key, "score"])
 
         found = vectors.select(F.col(key).cast("long"), "embedding").mapInArrow(run, f"query_id long, {key} long, score double")
         out = found if out is None else out.union(found)

@@ -495,3 +495,24 @@ def test_equal_pieces_are_passed_over(monkeypatch):
     assert [x[:7] for x in found] == [("insert", None, None, 700, 700, 0, 1), ("delete", 1200, 1200, None, None, 1, 0)]
     assert [x[7:] for x in found] == [([], ["um"]), (["w1200"], [])]
     assert len(walked) == 2
+
+
+def test_nearest_holds_few_pairs_at_once():
+    """A block of queries and a batch of vectors: far less than a number for each of their pairs, and the k best of all."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from corpuslens.operators import search
+
+    r = np.random.default_rng(4)
+    x, q = r.normal(size=(10_000, 8)), r.normal(size=(512, 8))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(x))], ["vec_id", "embedding"])
+    tracemalloc.start()
+    found = search.nearest(iter([batch]), np.arange(512), q, np.zeros(8), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 512 * 10_000 * 8 / 2
+    score = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    assert (found[1].to_numpy().reshape(512, 5) == np.argsort(-score, axis=1)[:, :5]).all()
