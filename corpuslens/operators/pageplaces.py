@@ -11,7 +11,9 @@ to the letters; a page of under 30 letters is empty and lies there, too."""
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,15 @@ PROBE, MIN_PAGE, SPAN = 40, 30, 2000
 
 def letters(text: str) -> tuple[str, np.ndarray]:
     """A text's letters and the place of each in the text."""
-    at = np.array([i for i, c in enumerate(text) if c.isalpha()], dtype=np.int64)
-    return "".join(filter(str.isalpha, text)), at
+    codes = code_points(text)
+    keep = _alphabetic()[codes]
+    return codes[keep].tobytes().decode("utf-32-le", "surrogatepass"), np.flatnonzero(keep)
+
+
+@cache
+def _alphabetic() -> np.ndarray:
+    """Of each code point whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
 class Places:
@@ -40,18 +49,31 @@ class Places:
         self.order = np.argsort(found, kind="stable")
         self.sorted = found[self.order]
 
-    def of(self, page: str) -> list[tuple[int, np.ndarray]]:
-        """(offset in the page, places in the text, ascending) of each fingerprint whose next letters follow in the text, too."""
+    def of(self, page: str) -> Iterator[tuple[int, np.ndarray]]:
+        """(offset in the page, places in the text, ascending) of each fingerprint whose next letters follow in the text, too; one is looked at
+        when it is asked for, as the first ones mostly do."""
         starts = list(range(0, max(1, min(len(page) - PROBE + 1, SPAN)), PROBE))
         if len(page) < PROBE:
-            return [(0, np.array([m.start() for m in re.finditer(f"(?={re.escape(page)})", self.text)], dtype=np.int64))]
+            yield 0, np.array([m.start() for m in re.finditer(f"(?={re.escape(page)})", self.text)], dtype=np.int64)
+            return
         prints = rolling(code_points(page[: SPAN + PROBE]), PROBE)[starts]
         low, high = np.searchsorted(self.sorted, prints), np.searchsorted(self.sorted, prints, side="right")
-        out = []
         for k, a, b in zip(starts, low.tolist(), high.tolist(), strict=True):
             whole = page[k : k + 2 * PROBE]
-            out.append((k, np.sort([x for x in self.order[a:b].tolist() if self.text.startswith(whole, x)]).astype(np.int64)))
-        return out
+            yield k, np.sort([x for x in self.order[a:b].tolist() if self.text.startswith(whole, x)]).astype(np.int64)
+
+
+class Kept:
+    """An iterator's values, made once and only as far as they are asked for."""
+
+    def __init__(self, values: Iterator) -> None:
+        self.values, self.made = values, []
+
+    def __iter__(self) -> Iterator:
+        yield from self.made
+        for x in self.values:
+            self.made.append(x)
+            yield x
 
 
 def walked_back(text: str, page: str, at: int, k: int, low: int) -> int:
@@ -64,12 +86,12 @@ def walked_back(text: str, page: str, at: int, k: int, low: int) -> int:
 def located(text: str, pages: list[str]) -> list[int | None]:
     """Of each page of letters where it begins in the text's letters, or None."""
     places = Places(text)
-    found = [places.of(p) if len(p) >= MIN_PAGE else [] for p in pages]
+    found = [Kept(places.of(p)) if len(p) >= MIN_PAGE else None for p in pages]
     start: list[int | None] = [None] * len(pages)
 
     def settle(i: int, low: int, high: int) -> tuple[int, int] | None:
         """(page, place of its beginning, fingerprint's place) by the first fingerprint that stands once from low to high."""
-        for k, at in found[i]:
+        for k, at in found[i] or ():
             inside = at[(at >= low + k) & (at < high)]
             if len(inside) == 1:
                 return int(inside[0]), k

@@ -516,3 +516,19 @@ def test_nearest_holds_few_pairs_at_once():
     assert peak < 512 * 10_000 * 8 / 2
     score = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
     assert (found[1].to_numpy().reshape(512, 5) == np.argsort(-score, axis=1)[:, :5]).all()
+
+
+def test_pages_look_at_the_fingerprints_they_need(monkeypatch):
+    """A page found by its first fingerprint doesn't check the other ones, and letters are told by code point."""
+    import numpy as np
+    from corpuslens.operators import pageplaces
+
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefgh日é\U00010400 1.\n") for _ in range(9000))
+    whole, at = pageplaces.letters(text)
+    assert whole == "".join(filter(str.isalpha, text))
+    assert at.tolist() == [i for i, c in enumerate(text) if c.isalpha()]
+    pages, asked, of = [whole[i : i + 1500] for i in range(0, len(whole), 1500)], [], pageplaces.Places.of
+    monkeypatch.setattr(pageplaces.Places, "of", lambda self, page: (asked.append(x) or x for x in of(self, page)))
+    assert pageplaces.located(whole, pages) == list(range(0, len(whole), 1500))
+    assert len(asked) == len(pages)
