@@ -532,3 +532,17 @@ def test_pages_look_at_the_fingerprints_they_need(monkeypatch):
     monkeypatch.setattr(pageplaces.Places, "of", lambda self, page: (asked.append(x) or x for x in of(self, page)))
     assert pageplaces.located(whole, pages) == list(range(0, len(whole), 1500))
     assert len(asked) == len(pages)
+
+
+def test_few_sorts_tell_what_is_unique(monkeypatch):
+    """The shortest runs of code points are numbers as they are; only longer ones are ranked by sorting."""
+    import numpy as np
+    from corpuslens.operators import widening
+
+    text, calls, unique = "abcab dabcabc " * 40 + "xyz", [], np.unique
+    monkeypatch.setattr(widening.np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    need = widening.unique_lengths(text, 7)
+    assert len(calls) == 2
+    for i in range(0, len(text), 17):
+        short = next((n for n in range(1, min(7, len(text) - i) + 1) if text.find(text[i : i + n]) == i == text.rfind(text[i : i + n])), 8)
+        assert need[i] == short
