@@ -39,9 +39,10 @@ def chains(links: DataFrame, most: int = 64) -> DataFrame:
     now = links.select("id", F.coalesce("supersedes", "id").alias("up"), F.when(F.col("supersedes").isNotNull(), 1).otherwise(0).alias("d"))
     for _ in range(most):
         step = now.select(F.col("id").alias("up"), F.col("up").alias("upper"), F.col("d").alias("more"))
-        nxt = checkpointed(now.join(step, "up", "left").select("id", F.coalesce("upper", "up").alias("up"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")))
-        if nxt.join(now.select("id", F.col("up").alias("was")), "id").where("up <> was").isEmpty():
+        moved = F.coalesce(F.col("upper") != F.col("up"), F.lit(False))  # told in the round itself, without a join of both rounds
+        nxt = checkpointed(now.join(step, "up", "left").select("id", F.coalesce("upper", "up").alias("up"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), moved.alias("moved")))
+        if nxt.where("moved").isEmpty():
             break
-        now = nxt
+        now = nxt.drop("moved")
     last = now.groupBy("up").agg(F.max_by("id", F.struct("d", "id")).alias("current"), F.count("*").alias("revisions"))
     return now.join(last, "up").select("id", F.col("up").alias("first"), "current", "revisions")

@@ -546,3 +546,15 @@ def test_few_sorts_tell_what_is_unique(monkeypatch):
     for i in range(0, len(text), 17):
         short = next((n for n in range(1, min(7, len(text) - i) + 1) if text.find(text[i : i + n]) == i == text.rfind(text[i : i + n])), 8)
         assert need[i] == short
+
+
+def test_chains_end_without_a_join_of_rounds(spark, monkeypatch):
+    """A long chain, one alone, and one of two: as many written rounds as doublings, and one more."""
+    from corpuslens.operators import diff
+
+    written, put = [], diff.checkpointed
+    monkeypatch.setattr(diff, "checkpointed", lambda df: written.append(df.columns) or put(df))
+    links = spark.createDataFrame([(i, i - 1 if i > 1 else None) for i in range(1, 9)] + [(20, None), (31, 30), (30, None)], "id long, supersedes long")
+    found = {x["id"]: tuple(x)[1:] for x in diff.chains(links).collect()}
+    assert found == {i: (1, 8, 8) for i in range(1, 9)} | {20: (20, 20, 1), 31: (30, 31, 2), 30: (30, 31, 2)}
+    assert written == [["id", "up", "d", "moved"]] * 4
