@@ -20,6 +20,10 @@ SHAPES = {
     "newline": r"\n",
 }
 TOKEN = r"^[A-Za-z]{0,3}[\w.-]{1,40}$"
+#: Types of whole numbers, whose text tells them apart as they are.
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+#: Columns whose set is one long.
+BITS = 63
 #: How quotations of others are marked.
 QUOTE_STYLES = {"xenforo": r"(?m)^.{1,80} said:\s*$|Click to expand\.\.\.", "markdown": r"(?m)^\s*>", "email": r"(?m)^On .{5,120} wrote:\s*$"}
 
@@ -41,12 +45,6 @@ def as_strings(df: DataFrame) -> DataFrame:
     return df.select(*[cell(F.col(f"`{n}`"), k).alias(n) for n, k in df.dtypes])
 
 
-def long_form(df: DataFrame) -> DataFrame:
-    """(column, value): one row per cell, so that all columns are profiled by one aggregation."""
-    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").alias("value")) for n in df.columns])
-    return df.select(F.explode(cells).alias("c")).select("c.*")
-
-
 def percentile_of(lengths: Column, n: Column, p: float) -> Column:
     """The value at index round_half_even(p (n - 1)) of the lengths, given as sorted (length, count) pairs."""
     at = F.bround(F.lit(p) * (n - 1)).cast("long")
@@ -54,30 +52,44 @@ def percentile_of(lengths: Column, n: Column, p: float) -> Column:
     return step["hit"]
 
 
-def long_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    """(t, column, value) of all cells of tables of strings."""
-    out = None
-    for name, df in tables.items():
-        rows = long_form(df).select(F.lit(name).alias("t"), "column", "value")
-        out = rows if out is None else out.union(rows)
-    return out
-
-
 def list_parts(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, ";"), lambda x: F.btrim(x)), lambda x: x != "")
 
 
 def column_facts(tables: dict[str, DataFrame]) -> DataFrame:
-    """A row for each column of tables of strings: t, column, rows, filled, fill, distinct, unique, lengths (p50, p90, max), shares of shapes,
+    """A row for each column of tables: t, column, rows, filled, fill, distinct, unique, lengths (p50, p90, max), shares of shapes,
     quote_blocks (styles met in 2 % of the cells or more, where the p90 length is 40 or more).
 
     All tables go through one chain of aggregations: cells by value, so a shape is looked at once for each different value, values by
     length, so a column is a list of as many pairs as it has different lengths."""
-    return _facts(_values(tables))
+    facts, names = _facts(_values(tables)), _columns(tables)
+    return facts.select(_name(names, 0, "c").alias("t"), _name(names, 1, "c").alias("column"), *[c for c in facts.columns if c != "c"])
+
+
+def _columns(tables: dict[str, DataFrame]) -> list[tuple[str, str]]:
+    """The tables' columns; their places here are their numbers."""
+    return [(t, c) for t, df in tables.items() for c in df.columns]
+
+
+def _name(names: list[tuple[str, str]], part: int, number: str) -> Column:
+    """The table (0) or the column (1) of a column's number."""
+    return F.element_at(F.array(*[F.lit(x[part]) for x in names]), F.col(number) + 1)
 
 
 def _values(tables: dict[str, DataFrame]) -> DataFrame:
-    return long_tables(tables).groupBy("t", "column", F.coalesce("value", F.lit("")).alias("value")).agg(F.count("*").alias("n"))
+    """(c, value, n): the different cells of each column, by its number, as text, and how often each stands. Whole numbers are grouped as
+    numbers and become text once each, the others are grouped by their text."""
+    names = _columns(tables)
+    rows: dict[bool, DataFrame] = {}
+    for t, df in tables.items():
+        for whole in (True, False):
+            given = [(n, k) for n, k in df.dtypes if (k in INTEGERS) == whole]
+            if given:
+                cells = [(F.col(f"`{n}`").cast("long") if whole else cell(F.col(f"`{n}`"), k)).alias(str(names.index((t, n)))) for n, k in given]
+                long = df.select(*cells).unpivot([], [str(names.index((t, n))) for n, _ in given], "c", "value")
+                rows[whole] = rows[whole].union(long) if whole in rows else long
+    grouped = [x.groupBy("c", "value").agg(F.count("*").alias("n")).select(F.col("c").cast("int").alias("c"), cell(F.col("value"), "string").alias("value"), "n") for x in rows.values()]
+    return reduce(DataFrame.union, grouped)
 
 
 def _facts(values: DataFrame) -> DataFrame:
@@ -87,9 +99,9 @@ def _facts(values: DataFrame) -> DataFrame:
     parts = list_parts(F.col("value"))
     listed = F.col("value").contains(";") & F.forall(parts, lambda x: x.rlike(TOKEN))
     tests = {f"n_{k}": (F.col("value") if k == "newline" else trimmed).rlike(v) for k, v in SHAPES.items()} | {"n_list": listed} | {f"n_{k}": F.col("value").rlike(v) for k, v in QUOTE_STYLES.items()}
-    per = values.groupBy("t", "column", F.when(filled, F.length("value")).alias("length")).agg(F.sum("n").alias("n"), F.count(F.when(filled, 1)).alias("distinct"), *[weighed(x).alias(k) for k, x in tests.items()])
+    per = values.groupBy("c", F.when(filled, F.length("value")).alias("length")).agg(F.sum("n").alias("n"), F.count(F.when(filled, 1)).alias("distinct"), *[weighed(x).alias(k) for k, x in tests.items()])
     has = F.col("length").isNotNull()
-    out = per.groupBy("t", "column").agg(
+    out = per.groupBy("c").agg(
         F.sum("n").alias("rows"), F.sum(F.when(has, F.col("n")).otherwise(0)).alias("filled"), F.sum("distinct").alias("distinct"),
         F.array_sort(F.collect_list(F.when(has, F.struct("length", "n")))).alias("lengths"), F.coalesce(F.max("length"), F.lit(0)).alias("len_max"), *[F.sum(k).alias(k) for k in tests],
     )
@@ -122,12 +134,33 @@ def apply_transform(value: Column, strip: Column, add: Column) -> Column:
 
 
 def _short_columns(tables: dict[str, DataFrame], most: int = 400) -> dict[str, DataFrame]:
-    """The tables' columns without a cell of over `most` code points: one row a table comes to the driver."""
-    longest = lambda df: F.to_json(F.array(*[F.coalesce(F.max(F.length(c)), F.lit(0)) for c in df.columns])).alias("n")
-    rows = reduce(DataFrame.unionByName, [df.agg(longest(df)).withColumn("t", F.lit(t)) for t, df in tables.items()]).collect()
-    sizes = {r["t"]: json.loads(r["n"]) for r in rows}
-    kept = {t: [c for c, n in zip(df.columns, sizes[t], strict=True) if n <= most] for t, df in tables.items()}
-    return {t: df.select(*kept[t]) for t, df in tables.items() if kept[t]}
+    """The tables' columns without a cell of over `most` code points: one row a table comes to the driver. Whole numbers are never as long."""
+    longest = lambda given: F.to_json(F.array(*[F.coalesce(F.max(F.length(cell(F.col(f"`{c}`"), k))), F.lit(0)) for c, k in given])).alias("n")
+    open_ = {t: given for t, df in tables.items() if (given := [(c, k) for c, k in df.dtypes if k not in INTEGERS])}
+    rows = reduce(DataFrame.unionByName, [tables[t].agg(longest(given)).withColumn("t", F.lit(t)) for t, given in open_.items()]).collect() if open_ else []
+    long = {(r["t"], c) for r in rows for (c, _), n in zip(open_[r["t"]], json.loads(r["n"]), strict=True) if n > most}
+    kept = {t: [c for c in df.columns if (t, c) not in long] for t, df in tables.items()}
+    return {t: df.select(*[F.col(f"`{c}`") for c in kept[t]]) for t, df in tables.items() if kept[t]}
+
+
+def _met(values: DataFrame, facts: DataFrame, n: int) -> DataFrame:
+    """(s, n, strip, plain, froms, tos): for each token of the `n` columns, the columns that have it among their tokens (froms) and, if they
+    are keys, among their values (tos). Tokens alike but for prefixes (`strip`) lie together under one s; groups that are alike in prefixes and
+    columns are counted (n), so that there are about as many rows as ways in which columns share values.
+
+    Every token crosses one shuffle, by what is left of it without its prefix, and sets of columns are bits; a group has a prefix once."""
+    role = lambda r, token: F.struct(r.alias("role"), token.alias("token"))
+    own = F.array(role(F.when(F.col("key"), 3).otherwise(1), F.btrim("value")))
+    parts = F.concat(F.transform(list_parts(F.col("value")), lambda x: role(F.lit(1), x)), F.when(F.col("key"), F.array(role(F.lit(2), F.btrim("value")))).otherwise(F.array().cast("array<struct<role:int,token:string>>")))
+    open_ = facts.where("filled > 0 and len_max <= 400").select("c", "as_list", "key", F.expr(f"shiftleft(1L, c % {BITS})").alias("bit"))
+    rows = values.join(F.broadcast(open_), "c").select("c", "bit", F.explode(F.when(F.col("as_list"), parts).otherwise(own)).alias("x")).select("c", "bit", "x.*").where("token <> ''")
+    rows = rows.withColumn("strip", prefix_of(F.col("token"))).select("c", "bit", "role", "strip", F.when(F.col("strip") == "", F.col("token")).otherwise(without_prefix(F.col("token"))).alias("bare"))
+    sets = {f"{side}{w}": F.coalesce(F.bit_or(F.when((F.floor(F.col("c") / BITS) == w) & (F.col("role").bitwiseAND(r) > 0), F.col("bit"))), F.lit(0).cast("long")) for side, r in (("f", 1), ("k", 2)) for w in range(-(-n // BITS))}
+    tokens = rows.repartition("bare").groupBy("bare", "strip").agg(*[x.alias(k) for k, x in sets.items()])
+    group = F.array_sort(F.collect_list(F.struct("strip", F.concat("strip", "bare").rlike(TOKEN).alias("plain"), *sets)))
+    groups = checkpointed(tokens.groupBy("bare").agg(group.alias("x")).groupBy("x").agg(F.count("*").alias("n")).withColumn("s", F.monotonically_increasing_id()))
+    of = lambda side: F.array_compact(F.array(*[F.when(F.col(f"x.{side}{i // BITS}").bitwiseAND(1 << i % BITS) != 0, F.lit(i)) for i in range(n)]))
+    return groups.select("s", "n", F.explode("x").alias("x")).select("s", "n", "x.strip", "x.plain", of("f").alias("froms"), of("k").alias("tos"))
 
 
 def find_links(tables: dict[str, DataFrame], least: float = 0.5, whole: float = 0.9) -> DataFrame:
@@ -136,27 +169,23 @@ def find_links(tables: dict[str, DataFrame], least: float = 0.5, whole: float =
 
     Cells are split at semicolons where the column has lists. A column counts if it has five different tokens, or as many as rows, all of
     them token-like and no cell over 400 characters. Where less than `whole` of the tokens are found, prefixes of letters are taken off
-    both sides; the commonest pair of prefixes is named. One equi-join of all tokens with all keys' values, not one for each pair. Columns
-    with longer cells are weighed out before any cell is a key; values, facts and tokens are written once each."""
-    values = checkpointed(_values(_short_columns(tables)))
-    facts = checkpointed(_facts(values))
-    open_ = facts.where("filled > 0 and len_max <= 400").select("t", "column", (F.col("share_list") > 0).alias("as_list"), "rows")
-    cells = values.join(F.broadcast(open_), ["t", "column"])
-    parts = F.when(F.col("as_list"), list_parts(F.col("value"))).otherwise(F.array(F.btrim("value")))
-    toks = cells.select("t", "column", "as_list", "rows", F.explode(parts).alias("token")).where("token <> ''").distinct()
-    toks = checkpointed(toks)
-    sizes = toks.groupBy("t", "column", "as_list", "rows").agg(F.count("*").alias("n"), F.bool_and(F.col("token").rlike(TOKEN)).alias("plain")).where("plain and n >= least(5, rows)")
-    toks = toks.join(F.broadcast(sizes.select("t", "column")), ["t", "column"], "left_semi").select(F.col("t").alias("from_table"), F.col("column").alias("from_column"), "token")
-    keyed = values.join(F.broadcast(facts.where(is_key()).select("t", "column")), ["t", "column"], "left_semi").select(F.col("t").alias("to_table"), F.col("column").alias("to_column"), F.btrim("value").alias("token"))
-    pair = ["from_table", "from_column", "to_table", "to_column"]
-    other = (F.col("from_table") != F.col("to_table")) | (F.col("from_column") != F.col("to_column"))
-    direct = toks.join(keyed, "token").where(other).groupBy(*pair).agg(F.count("*").alias("hits"))
-    bare = toks.select("from_table", "from_column", prefix_of(F.col("token")).alias("strip"), without_prefix(F.col("token")).alias("token"))
-    bare_keys = keyed.groupBy("to_table", "to_column", without_prefix(F.col("token")).alias("token")).agg(F.min(prefix_of(F.col("token"))).alias("add"))
-    loose = bare.join(bare_keys, "token").where(other).groupBy(*pair, "strip", "add").agg(F.count("*").alias("m"))
+    both sides; the commonest pair of prefixes is named. All columns meet in one grouping of all tokens, not in a join for each pair. Columns
+    with longer cells are weighed out before any cell is a key; values, facts and groups of tokens are written once each."""
+    tables = _short_columns(tables)
+    names = _columns(tables)
+    values = checkpointed(_values(tables))
+    facts = checkpointed(_facts(values).select("c", "rows", "filled", "len_max", (F.col("share_list") > 0).alias("as_list"), is_key().alias("key")))
+    met = _met(values, facts, len(names))
+    sizes = met.select("n", "plain", F.explode("froms").alias("from")).groupBy("from").agg(F.sum("n").alias("n"), F.bool_and("plain").alias("plain"))
+    sizes = sizes.join(F.broadcast(facts.select(F.col("c").alias("from"), "rows", "as_list")), "from").where("plain and n >= least(5, rows)").select("from", "as_list", "n")
+    pair, other = ["from", "to"], F.col("from") != F.col("to")
+    direct = met.select("n", "tos", F.explode("froms").alias("from")).select("n", "from", F.explode("tos").alias("to")).where(other).groupBy(*pair).agg(F.sum("n").alias("hits"))
+    adds = met.select("s", "strip", F.explode("tos").alias("to")).groupBy("s", "to").agg(F.min("strip").alias("add"))
+    loose = met.select("s", "n", "strip", F.explode("froms").alias("from")).join(adds, "s").where(other).groupBy(*pair, "strip", "add").agg(F.sum("n").alias("m"))
     loose = loose.groupBy(*pair).agg(F.sum("m").alias("loose"), F.max_by(F.struct("strip", "add"), F.struct("m", "strip", "add")).alias("prefix"))
-    both = direct.join(loose, pair, "full").join(F.broadcast(sizes.select(F.col("t").alias("from_table"), F.col("column").alias("from_column"), "as_list", "n")), ["from_table", "from_column"])
+    both = direct.join(loose, pair, "full").join(F.broadcast(sizes), "from")
     hits = F.coalesce("hits", F.lit(0))
     better = (hits < whole * F.col("n")) & (F.coalesce("loose", F.lit(0)) > hits)
     found = both.withColumn("share", F.when(better, F.col("loose")).otherwise(hits) / F.col("n")).where(F.col("share") >= least)
-    return found.select(*pair, F.round("share", 3).alias("containment"), (F.col("share") < whole).alias("partial"), "as_list", F.when(better, F.col("prefix.strip")).alias("strip"), F.when(better, F.col("prefix.add")).alias("add"))
+    ends = [_name(names, i, side).alias(f"{side}_{k}") for side in pair for i, k in enumerate(("table", "column"))]
+    return found.select(*ends, F.round("share", 3).alias("containment"), (F.col("share") < whole).alias("partial"), "as_list", F.when(better, F.col("prefix.strip")).alias("strip"), F.when(better, F.col("prefix.add")).alias("add"))

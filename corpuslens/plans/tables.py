@@ -28,8 +28,8 @@ facts as (select tbl, col, count(*) as rows, count(*) filter (s <> '') as filled
 keys as (select tbl, col from facts where filled > 0 and distinct_ = filled and filled = rows and len_max <= 80 and share_newline = 0 and share_date < 0.9 and rows >= 3)"""
 
 
-def _strings(t: Tables) -> dict[str, DataFrame]:
-    return {name: profile.as_strings(getattr(t, name).select(*cols)) for name, cols in FACT_COLUMNS.items()}
+def _plain(t: Tables) -> dict[str, DataFrame]:
+    return {name: getattr(t, name).select(*cols) for name, cols in FACT_COLUMNS.items()}
 
 
 @R.add(f"""
@@ -37,7 +37,7 @@ with {FACTS} select tbl, col as column, cast(rows as bigint) as rows, cast(fille
   filled > 0 and distinct_ = filled and filled = rows as unique_, cast(len_max as integer) as len_max, share_int, share_number, share_bool, share_date, share_newline from facts""")
 def column_facts(t: Tables) -> DataFrame:
     shares = [f"share_{k}" for k in ("int", "number", "bool", "date", "newline")]
-    return profile.column_facts(_strings(t)).select(F.col("t").alias("tbl"), "column", "rows", "filled", "fill", F.col("distinct").alias("distinct_"), F.col("unique").alias("unique_"), "len_max", *shares)
+    return profile.column_facts(_plain(t)).select(F.col("t").alias("tbl"), "column", "rows", "filled", "fill", F.col("distinct").alias("distinct_"), F.col("unique").alias("unique_"), "len_max", *shares)
 
 
 @R.add("""
@@ -51,7 +51,7 @@ def percentile(t: Tables) -> DataFrame:
 
 @R.add(f"with {FACTS} select tbl, col as column from keys")
 def keys(t: Tables) -> DataFrame:
-    return profile.column_facts(_strings(t)).where(profile.is_key()).select(F.col("t").alias("tbl"), "column")
+    return profile.column_facts(_plain(t)).where(profile.is_key()).select(F.col("t").alias("tbl"), "column")
 
 
 @R.add(f"""
@@ -67,7 +67,7 @@ select from_table, from_column, to_table, to_column, round(c, 3) as containment,
 def find_links(t: Tables) -> DataFrame:
     """Over all tables of keys; their cells hold no lists."""
     names = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events")
-    return profile.find_links({k: v for k, v in _strings(t).items() if k in names}).select("from_table", "from_column", "to_table", "to_column", "containment", "partial")
+    return profile.find_links({k: v for k, v in _plain(t).items() if k in names}).select("from_table", "from_column", "to_table", "to_column", "containment", "partial")
 
 
 @R.add("select distinct cast(c_custkey as varchar) as start, cast(p_brand as varchar) as target from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey")

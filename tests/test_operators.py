@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +87,51 @@ def test_links_inside_a_table_and_with_prefixes(spark):
     assert not any(k[:2] == ("actions", "note") for k in found)
 
 
+def plain_links(tables: dict, least: float = 0.5, whole: float = 0.9) -> dict:
+    """find_links by sets and loops."""
+    cut = lambda x: re.match("([A-Za-z]{1,3})(?=[0-9])", x)
+    strip = lambda x: (m.group(1) if (m := cut(x)) else "", x[m.end() :] if m else x)
+    toks, keys, out = {}, {}, {}
+    for t, cols in tables.items():
+        for c, cells in cols.items():
+            cells = ["" if x is None else str(x) for x in cells]
+            parts = lambda v: [p for x in v.split(";") if (p := x.strip(" "))]
+            full = [x for x in cells if x.strip()]
+            lists = [x for x in full if ";" in x and all(re.fullmatch(r"[A-Za-z]{0,3}[\w.-]{1,40}", p, re.A) for p in parts(x))]
+            as_list = round(len(lists) / len(full), 3) > 0 if full else False
+            found = {p for x in full for p in (parts(x) if as_list else [x.strip(" ")])}
+            if found and len(found) >= min(5, len(cells)) and all(re.fullmatch(r"[A-Za-z]{0,3}[\w.-]{1,40}", x, re.A) for x in found):
+                toks[t, c] = found
+            if len(set(full)) == len(full) == len(cells) >= 3 and max(map(len, full)) <= 80:
+                keys[t, c] = {x.strip(" ") for x in full}
+    for a, mine in toks.items():
+        for b, theirs in keys.items():
+            if a != b:
+                adds: dict = {}
+                for x in theirs:
+                    adds[strip(x)[1]] = min(strip(x)[0], adds.get(strip(x)[1], "zzzz"))
+                hits, met = len(mine & theirs), Counter((strip(x)[0], adds[strip(x)[1]]) for x in mine if strip(x)[1] in adds)
+                better = hits < whole * len(mine) and sum(met.values()) > hits
+                share = (sum(met.values()) if better else hits) / len(mine)
+                if share >= least:
+                    out[a + b] = (round(share, 3), share < whole, *(max((n, *p) for p, n in met.items())[1:] if better else (None, None)))
+    return out
+
+
+def test_links_of_many_columns_against_loops(spark):
+    """Over 63 columns, numbers beside texts, prefixes, lists, nulls, and a key's cells that differ in spaces alone (a token is one hit)."""
+    r = random.Random(7)
+    some = lambda: [f"{r.choice(['', '', 'a', 'b', 'Cd'])}{r.randint(1, 14)}" for _ in range(9)]
+    tables = {
+        "wide": {f"c{i}": r.sample(range(1, 30), 9) if i % 3 else some() for i in range(66)},
+        "spaced": {"key": ["1", "2", "3", "4", "5", "5 ", "a6", "b6", "06"], "some": ["1", "2", "3", "4", "5", "5", "1", "", None]},
+        "lists": {"refs": ["1; 2", "3;4", "5;5", "a6", "b6;06", "", "9", "1", "2"], "n": [1, 2, 3, 4, 5, 6, None, 7, 8], "key": ["1; 2", "3", "4", "5", "6", "7", "8", "9", "10"]},
+    }
+    frames = {t: spark.createDataFrame(list(zip(*cols.values(), strict=True)), ", ".join(f"{c} {'long' if all(isinstance(x, int) or x is None for x in cells) else 'string'}" for c, cells in cols.items())) for t, cols in tables.items()}
+    found = {(x["from_table"], x["from_column"], x["to_table"], x["to_column"]): (x["containment"], x["partial"], x["strip"], x["add"]) for x in profile.find_links(frames).collect()}
+    assert found == plain_links(tables) and found["spaced", "some", "spaced", "key"] == (1.0, False, None, None)
+
+
 def test_apply_transform(spark):
     rows = spark.createDataFrame([("a12", "a", ""), ("12", "", "b"), ("x12", "a", "b"), ("a12", None, None)], "v string, s string, a string")
     assert [r[0] for r in rows.select(profile.apply_transform(F.col("v"), F.col("s"), F.col("a"))).collect()] == ["12", "b12", "bx12", "a12"]
