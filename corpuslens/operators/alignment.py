@@ -353,27 +353,41 @@ def ascending(marks: list[tuple[int, int]], gap: int) -> list[int]:
 
 
 #: Signs around a page number.
-EDGE = "^[-\\u2013\\u2014/|\\s.]+|[-\\u2013\\u2014/|\\s.]+$"
+EDGE_SIGNS = "[-\\u2013\\u2014/|\\s.]"
+EDGE = f"^{EDGE_SIGNS}+|{EDGE_SIGNS}+$"
 
 
 def page_number(line: Column) -> Column:
     """The number of a line that is only a page number ("12", "12 / 340", "12 of 340", with signs around), else null."""
     bare = F.regexp_replace(line, EDGE, "")
     number = F.regexp_extract(bare, "^(?i)([0-9]{1,5})(?:\\s*(?:/|of)\\s*[0-9]{1,5})?$", 1)
-    return F.when((F.length(bare) <= 12) & (number != ""), number.cast("long"))
+    return F.when(line.rlike(f"^{EDGE_SIGNS}*+[0-9]") & (F.length(bare) <= 12) & (number != ""), number.cast("long"))
 
 
 def folios(texts: DataFrame, key: str, gap: int = 3, least: int = 5, share: float = 0.3) -> DataFrame:
     """(key, lines, numbers, longest, places) of texts (key, text): a text's lines, how many of them are a page number alone, how long their
     longest ascending chain is, and the 0-based lines of it if it is a pagination: `least` long and over `share` of the text. Lines are
-    told apart in the JVM; only the numbers reach the chain."""
-    rows = texts.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    marked = rows.withColumn("value", page_number(F.col("line")))
-    per = marked.groupBy(key).agg(F.count("*").alias("lines"), F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("at", "value")))).alias("m"))
+    told apart in the JVM, where the text lies; only the numbers reach the chain."""
+    return _folios(_number_lines(texts, key), key, gap, least, share)
 
+
+def paginations(texts: DataFrame, key: str, gap: int = 3, least: int = 5, share: float = 0.3) -> DataFrame:
+    """(key, places) of the texts with a pagination; those with fewer numbers than it takes reach no chain."""
+    rows = _number_lines(texts, key).where(F.size("x.m") >= least)
+    return _folios(rows, key, gap, least, share).where(F.size("places") > 0).select(key, "places")
+
+
+def _number_lines(texts: DataFrame, key: str) -> DataFrame:
+    """(key, x): how many lines a text has, and which of them are a page number alone."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), page_number(x).alias("value"))), lambda m: m["value"].isNotNull())
+    return texts.select(key, F.struct(F.size(lines).cast("long").alias("lines"), marks.alias("m")).alias("x"))
+
+
+def _folios(rows: DataFrame, key: str, gap: int, least: int, share: float) -> DataFrame:
     def run(x: dict) -> tuple:
         chain = ascending([(m["at"], m["value"]) for m in x["m"]], gap)
         runs = len(chain) >= least and chain[-1] - chain[0] >= share * x["lines"]
         return x["lines"], len(x["m"]), len(chain), chain if runs else []
 
-    return _grouped(per.select(key, F.struct("lines", "m").alias("x")), key, "lines long, numbers long, longest long, places array<int>", run)
+    return _grouped(rows, key, "lines long, numbers long, longest long, places array<int>", run)

@@ -5,6 +5,8 @@ values that aren't null tell what lies around. A text's lines are one group, as
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +38,8 @@ def prose_weight(line: Column) -> Column:
 
 def page_number_line(line: Column) -> Column:
     """A line that is nothing but a page number: of one to five digits, "12 / 340", or a Roman numeral of two to seven letters."""
-    bare = F.regexp_replace(line, alignment.EDGE, "")
-    roman = bare.rlike("^[ivxlcdm]{2,7}$") | bare.rlike("^[IVXLCDM]{2,7}$")
-    return alignment.page_number(line).isNotNull() | ((F.length(bare) <= 12) & roman)
+    edge = alignment.EDGE_SIGNS
+    return alignment.page_number(line).isNotNull() | line.rlike(f"^{edge}*+(?:[ivxlcdm]{{2,7}}|[IVXLCDM]{{2,7}}){edge}*$")
 
 
 def coversheet(text: Column) -> Column:
@@ -53,57 +54,70 @@ def lines_of(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
 
 
+def _with_folios(texts: DataFrame, key: str) -> DataFrame:
+    """(key, ..., at, line, folio): the lines of texts (key, text, ...), and whether each is on the pagination of a text without dividers. Texts
+    come by key before they are cut into lines, so that whatever is asked of a text's lines needs no further shuffle."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    divided = F.exists(lines, lambda x: bare_line(x).rlike(PAGE_MARK))
+    paged = alignment.paginations(texts.where(~divided).select(key, "text"), key)
+    before = F.concat(F.array(F.lit(-1)), F.col("places"))
+    gaps = F.transform("places", lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.get(before, i) - 1), F.array(F.lit(True))))
+    flags = F.coalesce(F.flatten(gaps), F.array().cast("array<boolean>"))
+    rows = texts.repartition(key).join(paged, key, "left")
+    more = [c for c in texts.columns if c not in (key, "text")]
+    rows = rows.select(key, *more, F.posexplode(F.arrays_zip(lines.alias("line"), flags.alias("folio"))).alias("at", "x"))
+    return rows.select(key, *more, "at", F.col("x.line").alias("line"), F.coalesce("x.folio", F.lit(False)).alias("folio"))
+
+
+def bare_line(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\x0b\f"))
+
+
 def marked_lines(texts: DataFrame, key: str, level: str = "standard") -> DataFrame:
-    """(key, at, line, reason): a text's lines with the class of furniture that each is, or null.
+    """(key, ..., at, line, reason): the lines of texts (key, text, ...) with the class of furniture that each is, or null.
 
     Page dividers; page numbers within two lines of a divider or the text's end, or, in a text without dividers, on its pagination; lines
     next to dividers that stand so on over half of three pages or more; links with next to no prose; and, at the aggressive level, short
-    lines that stand more than three times. Lines between fences are kept as they are."""
-    w = Window.partitionBy(key).orderBy("at")
-    behind, ahead, all_ = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy(key)
-    bare = F.btrim("line", F.lit(" \t\r\x0b\f"))
-    rows = lines_of(texts, key).withColumn("bare", bare)
-    rows = rows.withColumns({"fence": F.col("bare").rlike(FENCE), "mark": F.col("bare").rlike(PAGE_MARK), "full": F.col("bare") != ""})
-    rows = rows.withColumns({"inside": F.coalesce(F.count_if("fence").over(behind), F.lit(0)) % 2 == 1, "n": F.count_if("full").over(w)})
-    divider = F.when(F.col("mark"), F.col("n"))
+    lines that stand more than three times. Lines between fences are kept as they are.
+
+    All is told by windows over a text's lines that aren't blank: one shuffle of whole texts, and a fixed number of neighbours of each line."""
+    all_ = Window.partitionBy(key, "full")
+    w, named = all_.orderBy("at"), Window.partitionBy(key, "name")
+    bare = bare_line(F.col("line"))
+    rows = _with_folios(texts, key).withColumns({"fence": bare.rlike(FENCE), "mark": bare.rlike(PAGE_MARK), "full": bare != ""})
+    beside = lambda i: F.lag("mark", i, False).over(w) | F.lead("mark", i, False).over(w)
     rows = rows.withColumns({
-        "since": F.when(F.col("full"), F.col("n") - F.last(divider, ignorenulls=True).over(behind)),
-        "until": F.when(F.col("full"), F.first(divider, ignorenulls=True).over(ahead) - F.col("n")),
-        "pages": F.count_if("mark").over(all_), "left": F.max("n").over(all_) - F.col("n"), "name": line_key(F.col("bare")),
+        "inside": F.coalesce(F.count_if("fence").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1,
+        "beside": F.lag("mark", 1, False).over(w).cast("int") + F.lead("mark", 1, False).over(w).cast("int"),
+        "near": reduce(Column.__or__, [beside(i) for i in range(1, EDGE_LINES + 1)]), "last": F.lead("at", EDGE_LINES).over(w).isNull(), "pages": F.count_if("mark").over(all_),
     })
-    heads = rows.where((F.col("pages") >= HEAD_PAGES) & (F.length("name").between(1, 120)))
-    heads = heads.withColumn("times", (F.coalesce(F.col("since"), F.lit(0)) == 1).cast("int") + (F.coalesce(F.col("until"), F.lit(0)) == 1).cast("int"))
-    heads = heads.groupBy(key, "name").agg(F.sum("times").alias("times"), F.max("pages").alias("p")).where(F.col("times") > HEAD_SHARE * F.col("p")).select(key, "name", F.lit(True).alias("head"))
-    rows = rows.join(heads, [key, "name"], "left")
-    if level == "aggressive":
-        often = rows.where(F.length("name").between(1, 80)).groupBy(key, "name").agg(F.count("*").alias("times")).where(F.col("times") > REPEATS)
-        rows = rows.join(often.select(key, "name", F.lit(True).alias("repeats")), [key, "name"], "left")
-    else:
-        rows = rows.withColumn("repeats", F.lit(None).cast("boolean"))
-    paged = alignment.folios(texts.select(key, "text"), key).select(key, F.explode("places").alias("at"), F.lit(True).alias("folio"))
-    rows = rows.join(paged, [key, "at"], "left")
-    edge = F.coalesce(F.col("since") <= EDGE_LINES, F.lit(False)) | F.coalesce(F.col("until") <= EDGE_LINES, F.lit(False)) | ((F.col("pages") > 0) & (F.col("left") < EDGE_LINES))
-    numbered = F.when(F.col("pages") > 0, edge & F.col("full")).otherwise(F.coalesce("folio", F.lit(False))) & page_number_line(F.col("bare"))
-    link = F.col("bare").rlike(LINK) & (prose_weight(F.col("bare")) < PROSE[level])
+    aggressive = level == "aggressive"
+    name = F.when(F.col("full") & (F.lit(aggressive) | (F.col("pages") >= HEAD_PAGES)), line_key(bare))
+    rows = rows.withColumn("name", name).withColumn("name", F.when(F.length("name").between(1, 120), F.col("name")))
+    head = F.col("name").isNotNull() & (F.col("pages") >= HEAD_PAGES) & (F.sum("beside").over(named) > HEAD_SHARE * F.col("pages"))
+    rows = rows.withColumns({"head": head, "repeats": (F.length("name") <= 80) & (F.count("*").over(named) > REPEATS) if aggressive else F.lit(False)})
+    edge = F.col("near") | F.col("last")
+    numbered = F.when(F.col("pages") > 0, edge & F.col("full")).otherwise(F.col("folio")) & page_number_line(bare)
+    link = bare.rlike(LINK) & (prose_weight(bare) < PROSE[level])
     reason = F.when(F.col("fence") | F.col("inside"), F.lit(None).cast("string")).when(F.col("mark"), "page_marker").when(numbered, "page_number")
     reason = reason.when(F.col("full") & F.col("head"), "running_head").when(F.col("full") & F.col("repeats"), "repeated_line").when(F.col("full") & link, "nav_line")
-    return rows.select(key, "at", "line", reason.alias("reason"))
+    return rows.select(key, *[c for c in texts.columns if c not in (key, "text")], "at", "line", reason.alias("reason"))
 
 
 def without_furniture(texts: DataFrame, key: str, level: str = "standard") -> DataFrame:
     """(key, text, page_marker, ..., nav_line, coversheet) of texts (key, text), one row for each key: the text without furniture, how many
     lines of each class went, and the coversheet's phrases. Blank lines that are left over fold into one; level "none" takes nothing out."""
-    cover = texts.select(key, coversheet(F.coalesce("text", F.lit(""))).alias("coversheet"))
+    text = F.coalesce("text", F.lit(""))
     if level == "none":
         none = {c: F.lit(0).cast("long") for c in CLASSES}
-        return texts.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumns(none).join(cover, key)
-    rows = marked_lines(texts, key, level)
+        return texts.select(key, text.alias("text"), coversheet(text).alias("coversheet")).withColumns(none).select(key, "text", *CLASSES, "coversheet")
+    rows = marked_lines(texts.select(key, "text", coversheet(text).alias("coversheet")), key, level)
     kept = F.transform(F.array_sort(F.collect_list(F.when(F.col("reason").isNull(), F.struct("at", "line")))), lambda x: x["line"])
-    out = rows.groupBy(key).agg(kept.alias("kept"), *[F.count_if(F.col("reason") == c).alias(c) for c in CLASSES])
+    out = rows.groupBy(key).agg(kept.alias("kept"), *[F.count_if(F.col("reason") == c).alias(c) for c in CLASSES], F.any_value("coversheet").alias("coversheet"))
     whole = F.regexp_replace(F.array_join("kept", "\n"), "\n{3,}", "\n\n")
     whole = F.regexp_replace(F.regexp_replace(whole, "^\n+", ""), r"\s+$", "")
     text = F.when(whole == "", "").otherwise(F.concat(whole, F.lit("\n")))
-    return out.select(key, text.alias("text"), *CLASSES).join(cover, key)
+    return out.select(key, text.alias("text"), *CLASSES, "coversheet")
 
 
 def page_edges(pages: DataFrame, running: DataFrame, key: str, edge: int = 4) -> DataFrame:

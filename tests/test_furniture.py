@@ -178,3 +178,11 @@ def test_units_of_a_cell(spark):
     assert [(r["n"], r["start"], r["end"]) for r in whole] == [(1, 2, 28), (2, 34, 53)]
     many = furniture.segment_units(spark.createDataFrame([(1, "\n".join(f"a line of the cell, {i}." for i in range(1200)), None)], "id long, text string, sources array<string>"), "id")
     assert many.where("unit = '1-1200'").count() == 1
+
+
+@pytest.mark.parametrize("level", ["standard", "aggressive"])
+def test_lines_stay_where_their_text_is(spark, level):
+    """Whole texts and paginations are shuffled, lines aren't, and no frame looks at all lines ahead of each line."""
+    found = furniture.without_furniture(texts(spark, "a\nPage 1\nb"), "id", level)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "1, unboundedfollowing" not in plan.replace("$()", "")
