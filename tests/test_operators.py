@@ -132,6 +132,13 @@ def test_links_of_many_columns_against_loops(spark):
     assert found == plain_links(tables) and found["spaced", "some", "spaced", "key"] == (1.0, False, None, None)
 
 
+def test_a_token_is_one_hit(spark):
+    """However many of a key's cells are that token but for spaces."""
+    key = spark.createDataFrame([(x,) for x in ("1", "2", "3", "4", "5", "5 ")], "key string")
+    some = spark.createDataFrame([(str(i),) for i in range(1, 6)], "some string")
+    assert [x["containment"] for x in profile.find_links({"a": key, "b": some}).collect() if x["from_column"] == "some"] == [1.0]
+
+
 def test_apply_transform(spark):
     rows = spark.createDataFrame([("a12", "a", ""), ("12", "", "b"), ("x12", "a", "b"), ("a12", None, None)], "v string, s string, a string")
     assert [r[0] for r in rows.select(profile.apply_transform(F.col("v"), F.col("s"), F.col("a"))).collect()] == ["12", "b12", "bx12", "a12"]
