@@ -358,14 +358,14 @@ SCORES = [("d", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
 def in_slices(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     """A corpus' slices, a written table."""
     given = docs.select(id_key().alias("d"), (fold() % folds == held).alias("held"), F.col("text").cast("string").alias("text"))
-    return written(sliced(given), "lm-slices")
+    return written(sliced(given), "lm-slices", SLICE_BYTES)
 
 
 def fitted(rows: DataFrame, level_bits: int = LEVEL_BITS) -> Model:
     size = rows.agg(F.sum("size")).first()[0] or 0
     bits = (max(SHARDS, -(-size // SHARD_BYTES)) - 1).bit_length()
     key_bits = min(64, max(LEAST_BITS, SPARE_BITS + size.bit_length()))
-    return Model(written(segments(training_counts(rows, bits, key_bits), level_bits), "lm-model"), bits, key_bits)
+    return Model(written(segments(training_counts(rows, bits, key_bits), level_bits), "lm-model", SLICE_BYTES), bits, key_bits)
 
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:

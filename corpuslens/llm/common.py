@@ -23,11 +23,15 @@ def fresh_path(folder: str, name: str) -> str:
     return f"{folder}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: it cuts lineage and outlives lost executors."""
+def written(df: DataFrame, name: str, group_bytes: int = 0) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: it cuts lineage and outlives lost executors.
+
+    group_bytes is for rows of some MB: a page ends behind any row that fills it, a row group behind one that brings it over group_bytes. Else
+    both last for a hundred rows at least, and the reader and the codec's direct buffers hold them whole."""
     spark = df.sparkSession
     path = fresh_path(shared_dir(spark), name)
-    df.write.parquet(path)
+    each = {f"parquet.{x}.size.row.check.{y}": "1" for x in ("page", "block") for y in ("min", "max")} | {"parquet.block.size": str(group_bytes)}
+    df.write.options(**(each if group_bytes else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -598,3 +598,19 @@ def test_a_slice_takes_little_more_than_its_text():
     assert len(t.word) == 200 * 2_001
     assert [len(x) for x in (t.first, t.last)] == [200, 200]
     assert peak < 60 * len(t.word)
+
+
+def test_lm_tables_end_their_groups_by_bytes(spark, monkeypatch):
+    """Rows of some MB: what is read at once of a written table is a slice or two, not a task's slices, whatever a task was given."""
+    import pyarrow.parquet as pq
+
+    r = np.random.default_rng(8)
+    docs = spark.createDataFrame([(d, " ".join(f"w{int(x)}" for x in r.integers(0, 1 << 40, 300))) for d in range(80)], "doc_id long, text string").repartition(1)
+    monkeypatch.setattr(bloom_lm, "SLICE_BYTES", 8000)
+    rows = bloom_lm.in_slices(docs, 5, 1)
+    for table in (rows, bloom_lm.fitted(rows).table):
+        for path in table.inputFiles():
+            found = pq.ParquetFile(path.removeprefix("file://")).metadata
+            groups = [found.row_group(i) for i in range(found.num_row_groups)]
+            assert all(g.num_rows == 1 or g.total_byte_size < 4 * 8000 for g in groups)
+    assert rows.count() >= 40
