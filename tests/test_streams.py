@@ -306,6 +306,42 @@ def test_widening_by_trying_all(seed):
         assert widening.widened(text, quote, widening.unique_lengths(text, len(quote) + 120)) == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_widening_over_whole_lines(seed):
+    """By trying every span of whole words on the line, however far it reaches."""
+    r = random.Random(seed)
+    far = 0
+    for n in range(40):
+        text = "".join(r.choice(("ab \n", "abcde   \n", "ab ", "a\u3000\x85\n")[n % 4]) for _ in range(r.randint(1, 90)))
+        text += r.choice(("", " ", "\n")) + text * (n % 3 == 0)
+        text = text if n % 5 else r.choice(("a b ", "ab ")) * r.randint(14, 18) + r.choice("ac")
+        s = r.randrange(len(text))
+        quote = text[s : s + r.randint(1, 6)]
+        found = [i for i in range(len(text)) if text.startswith(quote, i)]
+        tried = []
+        for p in found if len(found) > 1 else []:
+            end = p + len(quote)
+            line, stop = text.rfind("\n", 0, p) + 1, text.find("\n", end)
+            stop = len(text) if stop < 0 else stop
+            begins = [b for b in range(line, p + 1) if b in (line, p) or text[b - 1].isspace()]
+            ends = [e for e in range(end, stop + 1) if e in (end, stop) or text[e].isspace()]
+            tried += [(e - b, -p, p - b, b, e) for b in begins for e in ends if (b, e) != (p, end) and text.find(text[b:e]) == text.rfind(text[b:e])]
+        want = min(tried)[3:] if tried else None
+        need = widening.unique_lengths(text, widening.Lines.reach(text, len(quote)))
+        assert widening.Lines(text, need).widened(quote) == want
+        far += want is not None and want != widening.widened(text, quote, widening.unique_lengths(text, len(quote) + 120))
+    assert far
+
+
+def test_words_far_away_make_unique(spark):
+    """What tells a quotation apart may be hundreds of words away on its line."""
+    text = "\n".join(f"{'very ' * 300}odd and {'quite ' * 300}{x}" for x in ("plain", "queer"))
+    rows = widening.unique_quotes(spark.createDataFrame([(1, 1, "odd and"), (1, 2, "very odd")], "d long, quote_id long, quote string"), spark.createDataFrame([(1, text)], "d long, text string"), "d").collect()
+    found = {x["quote_id"]: x for x in rows}
+    assert found[1]["places"] == 2 and found[1]["quote"] == f"odd and {'quite ' * 300}queer"
+    assert found[2]["quote"] == f"very odd and {'quite ' * 300}queer" and text[found[2]["start"] : found[2]["end"]] == found[2]["quote"]
+
+
 def test_unique_quotes(spark, monkeypatch):
     monkeypatch.setattr(widening, "BLOCK", 2)
     text = "A dog came. The dog sat. It was late.\nThe dog ran. It was late."
